@@ -44,3 +44,8 @@ def whole_text(column: str = "text") -> Column:
 def input_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column; one number, to size partitions with."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Texts and files differ much in size: Arrow batches of few rows bound what a Python worker holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,15 +7,16 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import sharding
+from quillgraph.llm import mixing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mix_sources": mixing.op3_mix_sources,
         "op6_minimax_shards": sharding.op6_minimax_shards,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mix_sources": mixing.OP3_SQL}
