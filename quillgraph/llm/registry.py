@@ -7,12 +7,13 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import mixing, sharding
+from quillgraph.llm import mixing, sharding, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op5_wavelet_tokens": tokenfile.op5_wavelet_tokens,
         "op6_minimax_shards": sharding.op6_minimax_shards,
         "pipeline": corpus_pipeline.run,
     }

@@ -128,14 +128,14 @@ def _shards(path: str):
         encoder = WordEncoder.of(path)
         end = np.array([END_ID], dtype=encoder.kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
+        held = 0
         ids: list[int | None] = []
         lengths: list[int] = []
         bodies: list[bytes] = []
 
         def close() -> pa.RecordBatch:
-            n = sum(lengths)
             payload = dump(np.frombuffer(b"".join(bodies), dtype=encoder.kind), encoder.bits)
-            columns = [[part], [seq], [len(ids)], [n], [ids[:]], [lengths[:]], [payload]]
+            columns = [[part], [seq], [len(ids)], [held], [ids[:]], [lengths[:]], [payload]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = ["part", "seq", "n_docs", "n_tokens", "doc_ids", "doc_tokens", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -145,9 +145,10 @@ def _shards(path: str):
                 ids.append(doc_id)
                 bodies += [body, end]
                 lengths.append(len(body) // encoder.kind.itemsize + 1)
-                if sum(lengths[-1:]) and len(ids) and _total(lengths) >= SHARD_TOKENS:
+                held += lengths[-1]
+                if held >= SHARD_TOKENS:
                     yield close()
-                    seq += 1
+                    seq, held = seq + 1, 0
                     ids, lengths, bodies = [], [], []
         if ids:
             yield close()
@@ -155,10 +156,6 @@ def _shards(path: str):
     return run
 
 
-def _total(lengths: list[int]) -> int:
-    return sum(lengths)
-
-
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> None:
     """Writes one file for each shard."""
     small_batches(docs.sparkSession)
