@@ -7,11 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import mixing, sharding, tokenfile
+from quillgraph.llm import langid, mixing, sharding, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_kernels": langid.op2_language_kernels,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op5_wavelet_tokens": tokenfile.op5_wavelet_tokens,
         "op6_minimax_shards": sharding.op6_minimax_shards,
