@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import langid, mixing, sharding, tokenfile
+from quillgraph.llm import jaccard_join, langid, mixing, sharding, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": mixing.op3_mix_sources,
         "op5_wavelet_tokens": tokenfile.op5_wavelet_tokens,
         "op6_minimax_shards": sharding.op6_minimax_shards,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.OP3_SQL}
+    return {"op3_mix_sources": mixing.OP3_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL}
