@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import jaccard_join, langid, mixing, sharding, tokenfile
+from quillgraph.llm import decontaminate, jaccard_join, langid, mixing, sharding, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": mixing.op3_mix_sources,
         "op5_wavelet_tokens": tokenfile.op5_wavelet_tokens,
         "op6_minimax_shards": sharding.op6_minimax_shards,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "pipeline": corpus_pipeline.run,
     }
