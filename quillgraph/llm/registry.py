@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontaminate, jaccard_join, langid, mixing, sharding, tokenfile
+from quillgraph.llm import decontaminate, jaccard_join, langid, licences, mixing, sharding, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_minimax_shards": sharding.op6_minimax_shards,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+        "op9_licence_rules": licences.op9_licence_rules,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.OP3_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL}
+    return {"op3_mix_sources": mixing.OP3_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL, "op9_licence_rules": licences.OP9_SQL}
