@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontaminate, jaccard_join, langid, licences, mixing, sharding, tokenfile
+from quillgraph.llm import decontaminate, jaccard_join, langid, licences, mixing, secrets, sharding, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_licence_rules": licences.op9_licence_rules,
+        "op10_secret_models": secrets.op10_secret_models,
         "pipeline": corpus_pipeline.run,
     }
 
