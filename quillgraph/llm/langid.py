@@ -134,25 +134,43 @@ def train(docs: DataFrame) -> Model:
     return Model.fit(bits, labels, bits[marks])
 
 
+def _predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Languages and scores of whole texts; those without a letter are not asked for."""
+    asked = [k for k, text in enumerate(texts) if text and any(map(str.isalpha, text))]
+    langs, scores = [NO_LANGUAGE] * len(texts), [0.0] * len(texts)
+    for k, lang, score in zip(asked, *model.predict([texts[k] for k in asked]), strict=True):
+        langs[k], scores[k] = lang, score
+    return langs, scores
+
+
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and lang_score to every document; other columns pass through."""
+    """Adds lang_pred and lang_score to every document; other columns pass through, those of these names are replaced."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS weights a language
+    docs = docs.drop("lang_pred", "lang_score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *columns, letters = batch.columns
-            asked = [k for k, yes in enumerate(letters.to_pylist()) if yes]
-            texts = columns[at].to_pylist()
-            langs, scores = [NO_LANGUAGE] * len(texts), [0.0] * len(texts)
-            for k, lang, score in zip(asked, *held.value.predict([texts[k] for k in asked]), strict=True):
-                langs[k], scores[k] = lang, score
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.fieldNames())
-
-    flag = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("*", flag.alias("_has_letter")).mapInArrow(run, schema)
+            langs, scores = _predict(held.value, batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.fieldNames())
+
+    return docs.mapInArrow(run, schema)
+
+
+def with_known_language(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The documents that have a language with at least this score; all columns as they are."""
+    small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = _predict(held.value, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([y != NO_LANGUAGE and s >= least_score for y, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
 
 def op2_language_kernels(spark, sf_dir: str) -> DataFrame:

@@ -95,8 +95,9 @@ def with_probabilities(
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The sampled documents, with their own columns only."""
-    return with_probabilities(docs, **options).where("mix_selected").select(*docs.columns)
+    """The sampled documents, with their own columns only (whatever those are called)."""
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source", "lang")
+    return with_probabilities(packed, **options).where("mix_selected").select("_row.*")
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
