@@ -7,11 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import ann, decontaminate, jaccard_join, langid, licences, mixing, secrets, sharding, tokenfile
+from quillgraph.llm import ann, decontaminate, jaccard_join, langid, licences, mixing, repeats, secrets, sharding, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_prefix_doubling": repeats.op1_prefix_doubling,
         "op2_language_kernels": langid.op2_language_kernels,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_adaptive_scan": ann.op4_adaptive_scan,
