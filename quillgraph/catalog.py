@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.plans import retrieval
+
 #: Plan modules, each with QUERIES (name -> callable) and ORACLE (name -> SQL).
-MODULES = ()
+MODULES = (retrieval,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
