@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import graphs, retrieval
+from quillgraph.plans import admin, corpus, graphs, retrieval
 
 #: Plan modules, each with QUERIES (name -> callable) and ORACLE (name -> SQL).
-MODULES = (retrieval, graphs)
+MODULES = (retrieval, graphs, corpus, admin)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -136,12 +136,12 @@ def facet_search(spark, d):
 
 QUERIES = {f.__name__: f for f in (bm25_topk, date_filter_bm25, term_overlap, entity_pivot, vector_topk, vector_mean, sumo_expansion, cross_doc_expand, answers_same, decay_score, coverage_overlap, temporal_scores, fused_search, principal_tier, explorer_band, percentile_floor, query_understanding, facet_search)}
 
-_stop = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+STOP_SQL = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _terms = ", ".join(f"('{t}')" for t in TERMS)
 DOCS = """docs AS (SELECT doc_id AS node_id, text AS content, left(text, 60) AS title, source, lang, DATE '1995-01-01' + (doc_id * 7 % 10000)::INT AS published,
  ['EVERGREEN', 'SCHOLARLY', 'CURRENT', 'EPHEMERAL'][regexp_extract(source, '(\\d+)', 1)::INT % 4 + 1] AS decay_class FROM documents)"""
 BM25 = f"""{DOCS},
-tok AS (SELECT node_id, list_filter(regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_stop})) AS w FROM docs),
+tok AS (SELECT node_id, list_filter(regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({STOP_SQL})) AS w FROM docs),
 stat AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
 tf AS (SELECT node_id, len(w) AS dl, t, len(list_filter(w, lambda x: x = t)) AS tf FROM tok, (VALUES {_terms}) q(t)),
 df AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY t),
@@ -184,7 +184,7 @@ SELECT a.node_id AS src, b.node_id AS dst, md5(min(a.key)) AS question FROM u a
     "principal_tier": f"{FUSED}, g AS (SELECT score AS floor FROM (SELECT score, row_number() OVER (ORDER BY score) - 1 AS k, count(*) OVER () AS n FROM f) WHERE k = least(n - 1, floor(n * 0.75::DOUBLE)::BIGINT)) SELECT node_id, score, n_contributions FROM f, g WHERE n_contributions >= 2 AND score >= floor ORDER BY score DESC, node_id LIMIT 5",
     "explorer_band": f"{FUSED} SELECT node_id, score FROM f WHERE score >= 0.15::DOUBLE AND score < 0.6::DOUBLE",
     "percentile_floor": "SELECT c_acctbal AS floor FROM (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal) - 1 AS k, count(*) OVER () AS n FROM customer) WHERE k = least(n - 1, floor(n * 0.75::DOUBLE)::BIGINT)",
-    "query_understanding": rf"""WITH q AS (SELECT conv_id, turn, {_q} AS q, len(list_filter(regexp_extract_all(lower({_q}), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_stop}))) AS n FROM conversations WHERE role = 'user')
+    "query_understanding": rf"""WITH q AS (SELECT conv_id, turn, {_q} AS q, len(list_filter(regexp_extract_all(lower({_q}), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({STOP_SQL}))) AS n FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, n AS n_tokens, CASE WHEN n <= 3 THEN 'keyword' WHEN n <= 30 THEN 'phrase' ELSE 'paragraph' END AS kind, CASE WHEN turn % 3 = 0 THEN 'synthesis' ELSE 'factoid' END AS mode,
  CASE turn % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'historical_fact' ELSE 'current_state' END AS intent, CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN '1992' ELSE '1990' END AS date_from, CASE turn % 3 WHEN 0 THEN '2008' WHEN 1 THEN '1996' ELSE '1999' END AS date_to FROM q""",
     "facet_search": f"WITH {DOCS} SELECT node_id, title FROM docs WHERE contains(lower(concat_ws(' ', title, content)), 'the') AND contains(lower(concat_ws(' ', title, content)), 'and') AND published BETWEEN DATE '1996-01-01' AND DATE '2005-12-31'",
