@@ -40,10 +40,16 @@ def percentile_floor(rows: DataFrame, score: str, percentile: float) -> DataFram
 
 
 def principal(fused: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """At most ``principal_limit`` entries of two contributions or more and a score at or above the percentile's."""
-    floor = percentile_floor(fused, "score", config.principal_percentile)
-    chosen = fused.crossJoin(F.broadcast(floor)).where((F.col("n_contributions") >= 2) & (F.col("score") >= F.col("floor"))).drop("floor")
-    return chosen.orderBy(F.desc("score"), "node_id").limit(config.principal_limit)
+    """At most ``principal_limit`` entries of two contributions or more and a score at or above the percentile's.
+
+    Fused entries are at most the phases' limits together, so their ranks are one bounded window, and the phases run once.
+    """
+    everything = Window.partitionBy()
+    ranked = fused.withColumns({"_n": F.count("*").over(everything), "_rank": F.row_number().over(Window.orderBy("score")) - 1})
+    at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(config.principal_percentile)))
+    ranked = ranked.withColumn("_floor", F.max(F.when(F.col("_rank") == at, F.col("score"))).over(everything))
+    chosen = ranked.where((F.col("n_contributions") >= 2) & (F.col("score") >= F.col("_floor")))
+    return chosen.drop("_n", "_rank", "_floor").orderBy(F.desc("score"), "node_id").limit(config.principal_limit)
 
 
 def integrity(chosen: DataFrame, structural: DataFrame, cross_document: DataFrame, contradicts: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -16,30 +16,26 @@ def top(df: DataFrame, k: int, score: str = "score", key: str = "node_id") -> Da
 
 
 def bm25_scores(nodes: DataFrame, terms: list[str], content: str = "content", config: EngineConfig = DEFAULT) -> DataFrame:
-    """node_id and BM25 score of every node with a term.
+    """node_id, the other columns, and BM25 score of every node with a term.
 
-    One pass counts the query's terms in each node; corpus statistics are one row of counts, so nothing of the
-    texts is shuffled and nothing but that row is sent around.
+    Words are counted where the texts lie, so a node is one small row in the one shuffle, which statistics (one row,
+    sent around) and scores both read. Columns of ``nodes`` but the text should be few.
     """
-    words = T.tokens(F.coalesce(F.col(content), F.lit("")))
-    counted = nodes.withColumn("_w", words)
-    tf = [_count("_w", t).alias(f"_t{k}") for k, t in enumerate(terms)]
-    counted = counted.select("*", F.size("_w").alias("_dl"), *tf).drop("_w", content)
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_t{k}") > 0).alias(f"_d{k}") for k in range(len(terms))])
+    extra = [c for c in nodes.columns if c != content]
+    words = nodes.select(*extra, F.explode(T.long_words(F.col(content))).alias("_w")).where(~F.col("_w").isin(T.STOPWORDS))
+    counted = words.groupBy(*extra).agg(F.count("*").alias("_dl"), *[F.count_if(F.col("_w") == t).alias(f"_t{k}") for k, t in enumerate(terms)])
+    n = nodes.agg(F.count("*").alias("_n"))
+    sums = counted.agg(F.sum("_dl").alias("_len"), *[F.count_if(F.col(f"_t{k}") > 0).alias(f"_d{k}") for k in range(len(terms))])
+    stats = sums.crossJoin(F.broadcast(n)).withColumn("_avg", F.col("_len") / F.col("_n"))
     joined = counted.where(F.greatest(F.lit(0), *[F.col(f"_t{k}") for k in range(len(terms))]) > 0).crossJoin(F.broadcast(stats))
     score: Column = F.lit(0.0)
     for k in range(len(terms)):
         idf = F.log(1 + (F.col("_n") - F.col(f"_d{k}") + 0.5) / (F.col(f"_d{k}") + 0.5))
         norm = config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * F.col("_dl") / F.col("_avg"))
         score = score + idf * F.col(f"_t{k}") * (config.bm25_k1 + 1) / (F.col(f"_t{k}") + norm)
-    extra = [c for c in nodes.columns if c != content]
     return joined.select(*extra, score.alias("score"))
 
 
-def _count(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
-
-
 def bm25_topk(nodes: DataFrame, terms: list[str], k: int, keep: Column | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     """Top 2k first, then the date filter ``keep``, then k: later rows don't fill up what the filter takes."""
     found = top(bm25_scores(nodes, terms, config=config).where("score > 0"), 2 * k)

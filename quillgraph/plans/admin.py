@@ -42,11 +42,11 @@ def top_positive_nodes(spark, d):
 
 def tag_frequency(spark, d):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    return A.table(spark, d, "documents").select(F.explode(words).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return A.texts(spark, d, "documents").select(F.explode(words).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def coverage_ratio(spark, d):
-    docs = A.table(spark, d, "documents").join(A.table(spark, d, "labels"), "doc_id", "left")
+    docs = A.texts(spark, d, "documents").join(A.table(spark, d, "labels"), "doc_id", "left")
     return docs.groupBy("lang").agg(F.count("*").alias("n"), F.count("quality").alias("n_labelled"), F.round(F.count("quality") / F.count("*"), 6).alias("ratio"), F.round(F.avg(F.coalesce(F.col("quality").cast("double"), F.lit(0.0))), 6).alias("mean_quality"))
 
 

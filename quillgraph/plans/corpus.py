@@ -13,11 +13,11 @@ from quillgraph.sources import adapters as A
 
 def html_title(spark, d):
     title = T.html_title(F.col("html"))
-    return A.table(spark, d, "pages").select("page_id", title["text"].alias("title"), title["level"].alias("level"))
+    return A.texts(spark, d, "pages").select("page_id", title["text"].alias("title"), title["level"].alias("level"))
 
 
 def html_markdown(spark, d):
-    return A.table(spark, d, "pages").select("page_id", F.md5(T.html_markdown(F.col("html"))).alias("digest"))
+    return A.texts(spark, d, "pages").select("page_id", F.md5(T.html_markdown(F.col("html"))).alias("digest"))
 
 
 def markdown_headings(spark, d):
@@ -25,22 +25,22 @@ def markdown_headings(spark, d):
 
 
 def bundle_hosts(spark, d):
-    bundles = docproc.bundle_by_host(A.table(spark, d, "pages"), content="html")
+    bundles = docproc.bundle_by_host(A.texts(spark, d, "pages"), content="html")
     return bundles.select("host", "n_pages", F.md5("content").alias("digest"))
 
 
 def crawl_links(spark, d):
-    return docproc.crawl_links(A.table(spark, d, "pages")).groupBy("link").agg(F.countDistinct("url").alias("n_pages"))
+    return docproc.crawl_links(A.texts(spark, d, "pages")).groupBy("link").agg(F.countDistinct("url").alias("n_pages"))
 
 
 def crawl_frontier(spark, d):
-    pages = A.table(spark, d, "pages")
+    pages = A.texts(spark, d, "pages")
     start = pages.groupBy(T.hostname(F.col("url")).alias("host")).agg(F.min("url").alias("url")).select("url")
     return docproc.crawl_frontier(pages, start, 2)
 
 
 def bot_blocks(spark, d):
-    return A.table(spark, d, "pages").select("page_id", docproc.is_blocked(F.col("html")).alias("blocked"), T.url_key(F.col("url")).alias("key"))
+    return A.texts(spark, d, "pages").select("page_id", docproc.is_blocked(F.col("html")).alias("blocked"), T.url_key(F.col("url")).alias("key"))
 
 
 def artifact_filter(spark, d):
@@ -62,7 +62,7 @@ def virtual_pages(spark, d):
 
 
 def chunk_markdown(spark, d):
-    chunks = docproc.chunk_markdown(A.table(spark, d, "documents"), "doc_id", "text", most=4000, least=300)
+    chunks = docproc.chunk_markdown(A.texts(spark, d, "documents"), "doc_id", "text", most=4000, least=300)
     return chunks.select("key", "chunk", "start_page", "end_page", F.length("text").alias("n_chars"))
 
 
@@ -73,7 +73,7 @@ def toc_detect(spark, d):
 
 
 def opaque_tokens(spark, d):
-    words = A.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where(F.length("token") >= 20)
+    words = A.texts(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where(F.length("token") >= 20)
     return words.where(T.is_opaque(F.col("token"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -90,7 +90,7 @@ def hash_dedup(spark, d):
 
 
 def wiki_export(spark, d):
-    docs = A.table(spark, d, "pages").select("page_id", T.html_title(F.col("html"))["text"].alias("title"))
+    docs = A.texts(spark, d, "pages").select("page_id", T.html_title(F.col("html"))["text"].alias("title"))
     sections = A.sections(spark, d).select(F.col("page_id").alias("document_id"), F.col("pos").alias("doc_position"), "title")
     pages = docproc.wiki_pages(docs.select(F.col("page_id").alias("document_id"), "title"), sections)
     return pages.select("document_id", F.md5("body").alias("digest"))

@@ -128,11 +128,12 @@ def neighbour_expand(spark, d):
 
 def integrity_issues(spark, d):
     """The verifier over the graph built from pages (sections) and documents (paragraphs)."""
-    docs = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("node_id"))
+    docs = A.texts(spark, d, "documents").select(F.col("doc_id").cast("string").alias("node_id"))
     paras = A.paragraphs(spark, d).select("node_id", F.col("doc_id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("section_id"), "content", F.when(F.col("pos") == 0, F.array(F.lit("t"))).alias("tags"))
     nested = docproc.nest_sections(A.sections(spark, d), "page_id", "pos")
     key = lambda c: F.concat(F.lit("s"), F.concat_ws("-", "page_id", c))
     sections = nested.select(key("pos").alias("node_id"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("document_id"), F.when(F.col("parent_position").isNotNull(), key("parent_position")).alias("parent_id"), "level")
+    sections, paras = sections.persist(), paras.persist()  # a dozen rules read them
     edges = sections.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("node_id").alias("dst"), F.lit("HAS_CHILD").alias("relation"))
     edges = edges.unionByName(paras.where("length(content) > 40").select(F.col("node_id").alias("src"), F.col("document_id").alias("dst"), F.lit("BELONGS_TO").alias("relation")))
     return verify.verify(docs, sections, paras, edges).groupBy("code", "severity").agg(F.count("*").alias("n"))

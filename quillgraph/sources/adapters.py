@@ -13,9 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts. A small file may be a single row group, which one task would parse alone, so an input of
+    fewer partitions than cores is dealt out first; a larger one is read as it is, without a shuffle."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id, title, content, source, lang, file_hash, published, decay_class."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     number = F.regexp_extract("source", r"(\d+)", 1).cast("int") % 4
     classes = F.array(*[F.lit(c) for c in ("EVERGREEN", "SCHOLARLY", "CURRENT", "EPHEMERAL")])
     return docs.select(
@@ -32,13 +40,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, node_id (doc_id-pos), content: the lines of documents."""
-    rows = docproc.lines(table(spark, sf_dir, "documents"))
+    rows = docproc.lines(texts(spark, sf_dir, "documents"))
     return rows.select("doc_id", "pos", F.concat_ws("-", "doc_id", "pos").alias("node_id"), "content")
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, pos, level, title: the headings of crawled pages."""
-    pages = table(spark, sf_dir, "pages").select("page_id", T.html_markdown(F.col("html")).alias("markdown"))
+    pages = texts(spark, sf_dir, "pages").select("page_id", T.html_markdown(F.col("html")).alias("markdown"))
     return docproc.markdown_headings(pages, "page_id", "markdown")
 
 
@@ -47,7 +55,7 @@ def mentions(spark: SparkSession, sf_dir: str, least_df: int = 2, most_share: fl
 
     Commoner words carry no reference; the bound is a share of the corpus, so it means the same at every size.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= least_length))
     rows = docs.select(F.col("doc_id").alias("node_id"), F.explode(words).alias("slug"))
     n = docs.agg(F.count("*").alias("_n"))
