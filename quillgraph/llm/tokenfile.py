@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,8 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
         self.ends = np.zeros(1 << self.bits, bool)
         self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+        self.marks = {m: self._raw([m])[0] for m in (".", ",")}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -84,11 +86,12 @@ class WordEncoder:
             last = cut
         return out
 
-    def learn(self, missing: set[str]) -> None:
+    def learn(self, missing: set[str], make_room: bool = True) -> None:
         words = self.words
-        if len(words) + len(missing) > MEMORY_WORDS:
-            words.clear()
-            words[""] = b""
+        if make_room and len(words) + len(missing) > MEMORY_WORDS:
+            # Words met first are the common ones: the later half goes.
+            for word in list(islice(words, MEMORY_WORDS // 2, None)):
+                del words[word]
         plain, odd = {}, []
         for word in missing:
             stem = word[:-1] if word[-1:] in (".", ",") else word
@@ -100,26 +103,24 @@ class WordEncoder:
                 odd.append(word)
         new = [low for low in dict.fromkeys(plain.values()) if low not in words]
         words.update(zip(new, self._letters(new), strict=True))
-        mark = {m: self._raw([m])[0] for m in (".", ",")}
+        marks = self.marks
         for word, low in plain.items():
-            words[word] = words[low] + mark[word[-1]] if word[-1] in mark else words[low]
+            words[word] = words[low] + marks[word[-1]] if word[-1] in marks else words[low]
         if odd:
             words.update(zip(odd, self._raw(odd), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
+        missing = set().union(*(set(parts).difference(self.words) for parts in split))
+        if missing:  # one call of the library for all new words of a batch
+            self.learn(missing)
         out = []
         for parts in split:
             try:
                 out.append(b"".join(map(self.words.__getitem__, parts)))
-            except KeyError:
-                missing = set(parts).difference(self.words)
-                self.learn(missing)
-                try:
-                    out.append(b"".join(map(self.words.__getitem__, parts)))
-                except KeyError:  # the table was emptied for want of room: all of this text again
-                    self.learn(set(parts).difference(self.words))
-                    out.append(b"".join(map(self.words.__getitem__, parts)))
+            except KeyError:  # words went for want of room: those of this text again
+                self.learn(set(parts).difference(self.words), make_room=False)
+                out.append(b"".join(map(self.words.__getitem__, parts)))
         return out
 
 

@@ -17,11 +17,7 @@ SUPERBLOCK = 512
 
 
 def _part(values: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    out = np.empty_like(values)
-    zeros = len(values) - int(np.count_nonzero(mask))
-    out[:zeros] = values[~mask]
-    out[zeros:] = values[mask]
-    return out
+    return np.concatenate([np.compress(~mask, values), np.compress(mask, values)])
 
 
 def dump(ids: np.ndarray, bits: int) -> bytes:
@@ -134,8 +130,8 @@ class WaveletMatrix:
             mask = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             zeros = self.n - int(np.count_nonzero(mask))
             before = np.empty_like(values)
-            before[~mask] = values[:zeros]
-            before[mask] = values[zeros:]
+            before[np.flatnonzero(~mask)] = values[:zeros]
+            before[np.flatnonzero(mask)] = values[zeros:]
             before |= mask.astype(kind) << kind(self.bits - 1 - k)
             values = before
         return values
