@@ -87,7 +87,7 @@ RULES = [
 ]
 
 #: Every known sentence has one of these; a text without them has none.
-TRIGGERS = ["licens", "permission", "redistribut", "warrant", "free software", "unencumbered", "version 2 of", "version 3 of", "you may "]
+TRIGGERS = ["licens", "licenc", "permission", "redistribut", "warrant", "free software", "unencumbered", "version 2 of", "version 3 of", "you may "]
 #: What marks a sentence that isn't known as one about licences all the same.
 UNKNOWN = "(^| )(licen[cs]e[ds]?|sublicen[cs]e) "
 
