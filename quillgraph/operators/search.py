@@ -36,6 +36,15 @@ def bm25_scores(nodes: DataFrame, terms: list[str], content: str = "content", co
     return joined.select(*extra, score.alias("score"))
 
 
+def bm25_fields(nodes: DataFrame, fields: list[str], terms: list[str], k: int, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Top k by the sum of the fields' BM25 scores, each field with statistics of its own."""
+    parts = [bm25_scores(nodes.select("node_id", F.col(field).alias("content")), terms, config=config) for field in fields]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return top(rows.groupBy("node_id").agg(F.sum("score").alias("score")).where("score > 0"), k)
+
+
 def bm25_topk(nodes: DataFrame, terms: list[str], k: int, keep: Column | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     """Top 2k first, then the date filter ``keep``, then k: later rows don't fill up what the filter takes."""
     found = top(bm25_scores(nodes, terms, config=config).where("score > 0"), 2 * k)
