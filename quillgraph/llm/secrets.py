@@ -37,7 +37,7 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Candidates of the Markov models.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Mean log-likelihood ratio per character pair from which a candidate is a secret.
-LEAST_RATIO = 1.0
+LEAST_RATIO = 1.75
 TRAIN_DOCS = 2000
 TRAIN_STRINGS = 3000
 #: Words that the sample takes of one training document.
@@ -89,8 +89,11 @@ def _labelled_samples(docs: DataFrame) -> DataFrame:
     base64 = F.base64(F.unhex(digest))
     upper = F.upper(F.translate(F.substring(base64, 1, 32), "+/=", "234"))
     made = spark.range(TRAIN_STRINGS).select(F.explode(F.array(F.substring(digest, 1, 40), base64, upper)).alias("string"), F.lit(1).alias("label"))
-    # A bounded sample: TRAIN_DOCS documents at most, those with the smallest draws.
-    sample = docs.where(F.col("text").isNotNull()).orderBy(F.crc32(F.concat(F.lit("secrets:"), F.col("doc_id").cast("string"))), "doc_id").limit(TRAIN_DOCS).select("text")
+    # A bounded sample: TRAIN_DOCS documents at most, those with the smallest draws. Only ids are ranked; the texts of
+    # the chosen ones are found again by a join with that bounded list.
+    named = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    chosen = named.select("doc_id").orderBy(F.crc32(F.concat(F.lit("secrets:"), F.col("doc_id").cast("string"))), "doc_id").limit(TRAIN_DOCS)
+    sample = named.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text")
     found = sample.select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).alias("string")).where(F.length("string") >= ASSIGN_LEAST)
     found = found.unionByName(sample.select(F.explode(F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0))).alias("string")))
     words = sample.select(F.slice(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), lambda w: F.length(w) < 24), 1, TRAIN_WORDS).alias("w"))
