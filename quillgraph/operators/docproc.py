@@ -56,6 +56,32 @@ def nest_sections(sections: DataFrame, group: str, position: str, level: str = "
     return sections.withColumn("parent_position", parent)
 
 
+def normalise_levels(sections: DataFrame, group: str, position: str, level: str = "level", deepest: int = 6) -> DataFrame:
+    """Levels without gaps: a section is one level below its parent (``parent_position``), and roots keep theirs.
+
+    A heading has at most six levels, so its ancestors are found in as many joins.
+    """
+    up = sections.select(group, F.col(position).alias("_at"), F.col("parent_position").alias("_next"), F.col(level).alias("_level"))
+    rows = sections.withColumns({"_up": F.col("parent_position"), "_new": F.col(level), "_depth": F.lit(0)})
+    for _ in range(deepest - 1):
+        rows = rows.join(up.withColumnRenamed("_at", "_up"), [group, "_up"], "left")
+        found = F.col("_level").isNotNull()
+        rows = rows.withColumns({"_new": F.coalesce("_level", "_new"), "_depth": F.col("_depth") + found.cast("int"), "_up": F.col("_next")}).drop("_level", "_next")
+    return rows.withColumn(level, F.col("_new") + F.col("_depth")).select(*sections.columns)
+
+
+def as_markdown(results: DataFrame) -> DataFrame:
+    """document_id, body: an answer's paragraphs under their documents and sections, in the order of their scores.
+
+    results: document_id, document_title, section_title, section_level, content, rank (from 1, the best).
+    """
+    head = F.when(F.col("section_title").isNotNull(), F.concat(F.repeat(F.lit("#"), F.least(F.coalesce("section_level", F.lit(1)) + 1, F.lit(6))), F.lit(" "), F.col("section_title"), F.lit("\n\n"))).otherwise(F.lit(""))
+    parts = results.groupBy("document_id", "document_title", "section_title", "section_level").agg(F.min("rank").alias("rank"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n\n").alias("text"))
+    parts = parts.withColumn("block", F.concat(head, F.col("text")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n")
+    return parts.groupBy("document_id", "document_title").agg(F.concat(F.lit("# "), F.first("document_title"), F.lit("\n\n"), joined).alias("body"), F.min("rank").alias("rank"))
+
+
 def markdown_headings(pages: DataFrame, key: str, markdown: str) -> DataFrame:
     """key, pos, level, title of the heading lines."""
     rows = pages.select(key, F.posexplode(F.split(F.col(markdown), "\n")).alias("pos", "line"))

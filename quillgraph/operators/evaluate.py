@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,12 @@ def compare_reports(before: DataFrame, after: DataFrame, key: str = "config") ->
     return after.join(b, key).select(key, *[(F.col(c) - F.col(f"_b_{c}")).alias(c) for c in names])
 
 
+def ablation(run, gold: DataFrame, configs: dict[str, object], depth: int = 10) -> DataFrame:
+    """config and its metrics, for ``run(config) -> (query_id, rank, node_id)`` under each of a few named settings."""
+    parts = [metrics(hit_ranks(run(config), gold, depth)).withColumn("config", F.lit(name)) for name, config in configs.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def rank_accuracy(feedback: DataFrame) -> DataFrame:
     """Positive and negative signals of each rank, and their accuracy."""
     rows = feedback.groupBy("result_rank").agg(F.count_if(F.col("signal") == "positive").alias("positive"), F.count_if(F.col("signal") == "negative").alias("negative"))
