@@ -37,9 +37,11 @@ from quillgraph.llm.common import small_batches, table, whole_text
 LENGTH = 50
 SEED = 20
 #: Bytes of text in a block, about; blocks are cut by rows of average size.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
+#: Ranges of the hash that a block's windows are compared in, by the four leading bits.
+SLICES = 16
 #: Bytes that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _MIXED = np.uint64((1 << 40) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -159,21 +161,30 @@ class Block:
         low, high = np.flatnonzero(opens), np.flatnonzero(closes)
         return low + offset, high + offset, seeds[place[low]] >> np.uint64(24), chunk.hashes(low, high + LENGTH)
 
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, hash and document of every window of the given runs, by hash, then document."""
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of every window of the given runs, by start (and so by document)."""
         runs = runs[np.argsort(self.low[runs], kind="stable")]
         low, n = self.low[runs], self.high[runs] - self.low[runs] + 1
-        starts = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(runs) else np.empty(0, np.int64)
-        docs = np.repeat(self.doc[runs], n)
-        parts = []
+        total = int(n.sum())
+        starts = np.arange(total, dtype=np.int32) + np.repeat((low - np.cumsum(n) + n).astype(np.int32), n)
+        hashes = np.empty(total, np.uint64)
         for offset, _, raw in self._chunks():
-            a, b = np.searchsorted(starts, (offset, offset + len(raw)))
+            a, b = np.searchsorted(starts, np.array([offset, offset + len(raw)], starts.dtype))
             if a < b:
-                at = starts[a:b] - offset
-                parts.append(Chunk(raw).hashes(at, at + LENGTH))
-        hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        order = np.lexsort((docs, hashes))
-        return starts[order], hashes[order], docs[order]
+                at = starts[a:b].astype(np.int64) - offset
+                hashes[a:b] = Chunk(raw).hashes(at, at + LENGTH)
+        return starts, hashes
+
+    def documents(self, starts: np.ndarray) -> np.ndarray:
+        return self.rank[np.searchsorted(self.starts, starts, "right") - 1]
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats; the given array is sorted in place."""
+    hashes.sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    return hashes[new]
 
 
 def _pack(values: np.ndarray) -> np.ndarray:
@@ -277,8 +288,7 @@ def _ask_windows(buckets: int):
             return _slices(0, np.empty(0, np.uint64), 64, buckets, None, 2)
         block = _block(cell)
         _, asked = _open_runs(block, _answers(told, 1))
-        _, hashes, _ = block.windows(np.flatnonzero(asked))
-        hashes = np.unique(hashes)
+        hashes = _distinct(block.windows(np.flatnonzero(asked))[1])
         return _slices(cell.column("block")[0].as_py(), hashes, 64, buckets, lambda i, j: hashes[i:j].astype("<u8").tobytes(), 2)
 
     return run
@@ -295,18 +305,26 @@ def _remove(with_text: bool):
             np.add.at(mark, block.low[gone], 1)
             np.add.at(mark, block.high[gone] + LENGTH, -1)
             runs, asked = _open_runs(block, states)
-            starts, hashes, docs = block.windows(runs)
-            if len(starts):
-                new = np.ones(len(hashes), bool)
-                new[1:] = hashes[1:] != hashes[:-1]
+            outside = _distinct(block.windows(np.flatnonzero(asked))[1])
+            starts, hashes = block.windows(runs)
+            # By ranges of the hash, so that what is sorted at once stays small.
+            for part in range(SLICES):
+                at = starts[(hashes >> np.uint64(60)) == part] if len(hashes) else starts
+                if not len(at):
+                    continue
+                own = hashes[(hashes >> np.uint64(60)) == part]
+                order = np.argsort(own, kind="stable")  # starts ascend, so equal hashes stand by document
+                at, own = at[order], own[order]
+                docs = block.documents(at)
+                new = np.ones(len(own), bool)
+                new[1:] = own[1:] != own[:-1]
                 covered = docs > docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-                _, outside, _ = block.windows(np.flatnonzero(asked))
-                outside = np.unique(outside)
-                place = np.minimum(np.searchsorted(outside, hashes), max(len(outside) - 1, 0))
                 if len(outside):
-                    covered |= (outside[place] == hashes) & seen[place]
-                np.add.at(mark, starts[covered], 1)
-                np.add.at(mark, starts[covered] + LENGTH, -1)
+                    place = np.minimum(np.searchsorted(outside, own), len(outside) - 1)
+                    covered |= (outside[place] == own) & seen[place]
+                np.add.at(mark, at[covered], 1)
+                np.add.at(mark, at[covered] + LENGTH, -1)
+            del starts, hashes, outside
             removed = np.cumsum(mark[:-1]) > 0
             for k, text in enumerate(block.texts):
                 own = removed[block.starts[k] : block.starts[k + 1]]
@@ -338,7 +356,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text: str = "text",
         known = known.withColumn("_b", F.lit(0.0))
     known = known.select(F.col("_b").cast("int").alias("block"), "doc_id", "raw")
     blocks = known.groupBy("block")
-    buckets = n
+    buckets = -(-n // 2)  # an entry is a few bytes, a block's texts are many
     told_runs = blocks.applyInArrow(_ask_runs(buckets), MESSAGE).groupBy("bucket").applyInArrow(_tell_runs, MESSAGE)
     asked = blocks.cogroup(told_runs.groupBy("block")).applyInArrow(_ask_windows(buckets), MESSAGE)
     told_windows = asked.groupBy("bucket").applyInArrow(_tell_windows, MESSAGE)
