@@ -6,8 +6,10 @@ licences first, and each match uses up its sentences. A sentence that names a li
 unknown. Sentences that no rule uses, copyright lines and ordinary prose don't break a sequence, but more than ``GAP``
 sentences between two known ones do.
 
-Sentences end at ``. ! ? ; :`` before white space, at an empty line, or at a line break before a capital letter; so
-a wrapped licence is read as one text.
+Sentences end at ``. ! ? ; :`` before white space, at an empty line, or at a line break before a capital letter. The
+last is a guess: where pieces between such breaks make a known sentence together, they are read as one, so a licence
+wrapped anywhere is read whole. An SPDX tag and its value, and ``v. 2.0``, stay together; a tag is a sentence of its
+own. The comma form of the GNU notice (version 3) is cut like the one with a semicolon, and a bare address isn't unknown.
 
 Defined cases: null and empty texts have no licence; repeated rows are scanned each; very long texts are scanned
 whole; an empty table gives an empty result; further columns are ignored.
@@ -92,21 +94,37 @@ TRIGGERS = ["licens", "licenc", "permission", "redistribut", "warrant", "free so
 UNKNOWN = "(^| )(licen[cs]e[ds]?|sublicen[cs]e) "
 
 
-def _sentences(text: Column) -> Column:
-    mark = "␞"
-    cut = F.regexp_replace(text, r"([.!?;:])\s+", "$1" + mark)
-    cut = F.regexp_replace(cut, r"\n\s*\n", mark)
-    cut = F.regexp_replace(cut, r"\n\s*(\p{Lu})", mark + "$1")
-    return F.split(cut, mark)
+#: Cuts that hold, and cuts that a known sentence may lie across.
+CUT, SOFT = "␞", "␟"
+#: Texts with cuts of their own, and what they become.
+SPECIAL = [
+    (r"(?i)\s*(SPDX-License-Identifier):[ \t]*([^\r\n]*)\s*", SOFT + "$1 $2" + CUT),
+    (r"(?i)(Free[^a-z0-9]+Software[^a-z0-9]+Foundation),[^a-z0-9]+(?=either[^a-z0-9]+version)", "$1" + CUT),
+    (r"\s[^\p{L}\p{N}]*(https?://www\.apache\.org/licenses/LICENSE-2\.0(?:\.txt|\.html)?)[^\p{L}\p{N}]*", CUT + "$1" + CUT),
+]
 
 
-def _normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def _sentences(text: Column) -> Column:
+    """The normalised sentences of a text, in order."""
+    cut = F.translate(text, SOFT, " ")
+    for pattern, by in SPECIAL:
+        cut = F.regexp_replace(cut, pattern, by)
+    cut = F.regexp_replace(cut, r"([!?;:]|\.(?!(?<=\b[vV]\.)\s+\d))\s+", "$1" + CUT)
+    cut = F.regexp_replace(cut, r"\n\s*\n", CUT)
+    cut = F.regexp_replace(cut, r"\n\s*(\p{Lu})", SOFT + "$1")
+    cut = F.regexp_replace(F.lower(cut), f"[^a-z0-9{CUT}{SOFT}]+", " ")
+    cut = F.regexp_replace(cut, f" ?([{CUT}{SOFT}]) ?", "$1")
+    # Known sentences stand between K and L for a moment (the text is lower-case); soft cuts between these are no cuts.
+    known = "|".join(s.replace(" ", f"[ {SOFT}]") for s in sorted(SENTENCES, key=len, reverse=True))
+    whole = F.regexp_replace(cut, f"(^ ?|[{CUT}{SOFT}])({known})(?= ?$|[{CUT}{SOFT}])", "$1K$2L")
+    whole = F.regexp_replace(whole, f"{SOFT}(?=[^KL]{{0,{max(map(len, SENTENCES))}}}L)", " ")
+    cut = F.when(cut.contains(SOFT), F.translate(whole, "KL", "")).otherwise(cut)
+    return F.transform(F.split(cut, f"[{CUT}{SOFT}]"), lambda s: F.trim(s))
 
 
 def _identifier(sentence: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    named = F.concat(sentence, F.lit(" ")).rlike(UNKNOWN)
+    named = F.concat(sentence, F.lit(" ")).rlike(UNKNOWN) & ~sentence.rlike("^https? ")
     return F.coalesce(F.element_at(known, sentence), F.when(named, F.lit("Unknown")))
 
 
@@ -118,7 +136,7 @@ def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
         trigger = trigger | F.lower(F.col(text)).contains(word)
     # Identifiers and their places, then one string in which each identifier stands between spaces.
     found = F.filter(
-        F.transform(_sentences(F.col(text)), lambda s, i: F.struct(i.alias("at"), _identifier(_normalised(s)).alias("id"))), lambda x: x["id"].isNotNull()
+        F.transform(_sentences(F.col(text)), lambda s, i: F.struct(i.alias("at"), _identifier(s).alias("id"))), lambda x: x["id"].isNotNull()
     )
     docs = docs.withColumn("_found", F.when(F.coalesce(trigger, F.lit(False)), found))
     joined = F.aggregate(
