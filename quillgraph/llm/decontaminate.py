@@ -1,7 +1,8 @@
 """Benchmark decontamination with SimHash windows, multi-index Hamming blocks and exact weighted-shingle similarity.
 
 The benchmark is a stated, small set: it is read first, and refused beyond ``MOST_ITEM_WORDS`` words, so what is
-broadcast has a checked bound. For an item of n words, windows of n words slide over every whole text:
+broadcast has a checked bound. For an item of n words, windows of n words slide over every whole text; a text of fewer
+words is one window as a whole, so that a cut copy is found too:
 
 1. A window can only be similar to an item if it shares a shingle with it, so places without a shingle of some item of
    that length are passed over (this loses nothing). Every item-sized window with such a shingle gets a SimHash of
@@ -15,7 +16,7 @@ broadcast has a checked bound. For an item of n words, windows of n words slide
 Words are runs of letters and digits, lower-cased, so case and punctuation don't hide a leak. Reported for each
 document and item: the best window (first of equals), its similarity and place, and the number of windows that match.
 
-Defined cases: null and empty texts, and texts shorter than an item, match nothing (a window is item-sized); items
+Defined cases: null and empty texts match nothing; texts too short for the threshold can't match an item; items
 without a word match nothing; items shorter than a shingle are one shingle; repeated rows are reported for each row;
 an empty benchmark or table gives an empty result; further columns are ignored (``clean_documents`` keeps them).
 """
@@ -141,9 +142,10 @@ class Index:
             for g, places in sorted(hits.items()):
                 group, hit = self.groups[g], np.array(places)
                 span = group.length - width + 1  # shingles in a window
-                last = len(hashes) - group.length
-                if last < 0:
-                    continue
+                if len(rolled) < THRESHOLD * span - 1e-9:
+                    continue  # too short for any window to be similar enough
+                # A text with fewer words than the item is one window as a whole.
+                span, last = min(span, len(rolled)), max(len(hashes) - group.length, 0)
                 # Window starts that hold a hit: hit - span + 1 to hit.
                 mark = np.zeros(last + 2, np.int32)
                 np.add.at(mark, np.clip(hit - span + 1, 0, last + 1), 1)
@@ -161,7 +163,7 @@ class Index:
                         if score >= THRESHOLD - 1e-12:
                             best = found.get(item_id, (-1.0, 0, 0, 0))
                             n = best[3] + 1
-                            found[item_id] = (score, at, at + group.length, n) if score > best[0] else (*best[:3], n)
+                            found[item_id] = (score, at, min(at + group.length, len(hashes)), n) if score > best[0] else (*best[:3], n)
         return [(item_id, *rest) for item_id, rest in found.items()]
 
 

@@ -275,6 +275,28 @@ def test_leaks_against_brute_force(spark, docs, empty):
     assert decontaminate.contaminated(docs, decontaminate.build_index(bench.limit(0))).count() == 0
 
 
+def test_cut_copies_leak(spark):
+    """Texts with fewer words than the item are compared as a whole, down to the threshold."""
+    items = [(k, words(200 + k, n)) for k, n in enumerate((14, 20, 60, 300))]
+    index = decontaminate.build_index(spark.createDataFrame(items, "item_id long, text string"))
+    texts = []
+    for _, passage in items:
+        own = passage.split()
+        texts += [own[:-1], own[1:], own[2:-1], own[: len(own) * 9 // 10], own[: len(own) * 3 // 4], ["other", *own[2:]], own[:4]]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    want = {}
+    for doc_id, body in enumerate(texts):
+        for item_id, passage in items:
+            own = passage.split()
+            a, b = (shingles.roll(shingles.word_hashes(x), 5) for x in (own, body))
+            score = decontaminate.weighted_jaccard(b, a)
+            if score >= 0.8 - 1e-12:
+                want[doc_id, item_id] = (score, 0, len(body), 1)
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.contaminated(df, index).collect()}
+    assert got == want and {(0, 0), (1, 0), (7, 1), (14, 2), (21, 3)} <= set(got) and len(got) < len(texts)
+    assert {r["doc_id"] for r in decontaminate.clean_documents(df, index).collect()} == set(range(len(texts))) - {k for k, _ in got}
+
+
 def test_hamming_blocks_find_all_within_radius():
     r = np.random.default_rng(6)
     group = decontaminate.Group(9, 5, [(k, r.integers(0, 1 << 62, 5, dtype=np.uint64)) for k in range(30)])
