@@ -6,6 +6,10 @@ cells are raked in turn to each margin, and each round ends with a trim of the w
 document needs a probability above 1. A document's probability is its cell's ratio / cap; it is selected if a hash of
 seed and doc_id, read as a number in [0, 1), falls below it.
 
+The trim comes last, so a margin that needs a ratio beyond the cap is missed; ``attained`` reports every margin beside
+its target. With ``cap=None`` the cells are raked until all margins hold, and probabilities are ratios over the greatest
+ratio found: the margins are met, at the price of a much smaller sample. If they can't hold together, that is an error.
+
 Defined cases: a null text has 0 tokens; null source or language: category ``*``; a cell without tokens gets ratio 1;
 targets of absent categories are shared out in proportion; repeated rows are separate documents with the same draw; a
 null doc_id draws as an empty string; an empty table gives an empty result; further columns are kept by
@@ -24,6 +28,9 @@ ROUNDS = 10
 #: A document's weight lies between 1/CAP and CAP times the even one.
 CAP = 4.0
 SEED = "mix-1"
+#: Raking without a cap ends when no share is off by more than TOLERANCE, and fails after MOST_ROUNDS.
+TOLERANCE = 1e-9
+MOST_ROUNDS = 1000
 
 SOURCE_TARGETS = {"src0": 0.2, **{f"src{k}": 0.75 / 19 for k in range(1, 20)}, "*": 0.05}
 LANG_TARGETS = {"en": 0.5, "de": 0.16, "fr": 0.16, "es": 0.16, "*": 0.02}
@@ -63,12 +70,52 @@ def rake(cells: DataFrame, margins: dict[str, dict[str, float]], rounds: int = R
     return cells.withColumn("ratio", F.when(F.col("share") > 0, ratio).otherwise(F.lit(1.0)))
 
 
+def _present(cells: list, margin: str, targets: dict[str, float]) -> dict[str, float]:
+    """Targets of the categories that have tokens, shared out to 1."""
+    there = {c[margin] for c in cells if c["tokens"]}
+    total = sum(v for k, v in targets.items() if k in there)
+    return {k: v / total for k, v in targets.items() if k in there} if total else {}
+
+
+def rake_fully(cells: DataFrame, margins: dict[str, dict[str, float]]) -> tuple[DataFrame, float]:
+    """Cells with the ``ratio`` at which all margins hold, and the greatest ratio.
+
+    The cells are a bounded number, so the driver rakes them; how many rounds that takes isn't known before.
+    """
+    keys = list(margins)
+    rows = sorted(cells.collect(), key=lambda r: [r[k] for k in keys])
+    everything = sum(r["tokens"] for r in rows)
+    share = [r["tokens"] / everything if everything else 0.0 for r in rows]
+    w, targets = list(share), {k: _present(rows, k, t) for k, t in margins.items()}
+
+    def sums(margin):
+        out = dict.fromkeys(targets[margin], 0.0)
+        for r, x in zip(rows, w, strict=True):
+            if x:
+                out[r[margin]] += x
+        return out
+
+    for _ in range(MOST_ROUNDS):
+        for k in keys:
+            have = sums(k)
+            w = [x * targets[k][r[k]] / have[r[k]] if x else 0.0 for r, x in zip(rows, w, strict=True)]
+        miss = max((abs(v - targets[k][c]) for k in keys for c, v in sums(k).items()), default=0.0)
+        if miss <= TOLERANCE:
+            break
+    else:
+        raise ValueError(f"the margins can't hold together: a share is off by {miss:.4f} after {MOST_ROUNDS} rounds")
+    ratio = [x / s if s else 1.0 for x, s in zip(w, share, strict=True)]
+    schema = ", ".join(f"{k} string" for k in keys) + ", ratio double"
+    greatest = max((x for x, s in zip(ratio, share, strict=True) if s), default=1.0)
+    return cells.sparkSession.createDataFrame([(*(r[k] for k in keys), x) for r, x in zip(rows, ratio, strict=True)], schema), greatest
+
+
 def with_probabilities(
     docs: DataFrame,
     source_targets: dict[str, float] = SOURCE_TARGETS,
     lang_targets: dict[str, float] = LANG_TARGETS,
     topic_targets: dict[str, float] = TOPIC_TARGETS,
-    cap: float = CAP,
+    cap: float | None = CAP,
     seed: str = SEED,
 ) -> DataFrame:
     """Adds mix_topic, mix_tokens, mix_weight, mix_probability and mix_selected to each document."""
@@ -82,7 +129,8 @@ def with_probabilities(
     )
     keys = ["mix_s", "mix_l", "mix_topic"]
     cells = tagged.groupBy(*keys).agg(F.sum("mix_tokens").cast("double").alias("tokens")).coalesce(1)
-    raked = rake(cells, {"mix_s": source_targets, "mix_l": lang_targets, "mix_topic": topic_targets}, cap=cap)
+    margins = {"mix_s": source_targets, "mix_l": lang_targets, "mix_topic": topic_targets}
+    raked, cap = rake_fully(cells, margins) if cap is None else (rake(cells, margins, cap=cap), cap)
     # As many rows as the targets have combinations: a proven bound, so the broadcast never grows with the corpus.
     raked = F.broadcast(raked.select(*keys, F.round("ratio", 6).alias("mix_weight")))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10)
@@ -94,6 +142,23 @@ def with_probabilities(
     )
 
 
+def attained(
+    mixed: DataFrame,
+    source_targets: dict[str, float] = SOURCE_TARGETS,
+    lang_targets: dict[str, float] = LANG_TARGETS,
+    topic_targets: dict[str, float] = TOPIC_TARGETS,
+) -> DataFrame:
+    """margin, category, target, corpus (share of its tokens) and attained (share of the expected sample) of what with_probabilities gave."""
+    margins = {"source": (source_targets, _category(F.col("source"), source_targets)), "lang": (lang_targets, _category(F.col("lang"), lang_targets)), "topic": (topic_targets, F.col("mix_topic"))}
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), c.alias("category")) for m, (_, c) in margins.items()]))
+    expected = F.sum(F.col("mix_tokens") * F.col("mix_probability"))
+    sums = mixed.select("mix_tokens", "mix_probability", pairs.alias("p")).groupBy("p.margin", "p.category").agg(F.sum("mix_tokens").alias("tokens"), expected.alias("expected"))
+    rows = [(m, k, float(v)) for m, (targets, _) in margins.items() for k, v in targets.items()]
+    out = mixed.sparkSession.createDataFrame(rows, "margin string, category string, target double").join(sums, ["margin", "category"], "left")
+    part = lambda c: F.coalesce(F.col(c) / F.sum(c).over(Window.partitionBy("margin")), F.lit(0.0))
+    return out.select("margin", "category", "target", part("tokens").alias("corpus"), part("expected").alias("attained"))
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The sampled documents, with their own columns only (whatever those are called)."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source", "lang")

@@ -128,6 +128,31 @@ def test_mixing_meets_margins(spark):
     assert all(0 <= r["mix_probability"] <= 1 for r in out)
 
 
+def test_mixing_meets_all_margins_without_a_cap(spark, docs, empty):
+    """Rare topics too; with the cap they are missed, and attained() says so."""
+    forms = ["license", "a@b", "12345 6789", "a\n" * 30, "note", "article " * 60, "book " * 900]
+    rows = [(k, forms[6 if k % 50 > 6 else k % 50] + f"{'x' * (k % 3)}", ["en", "de"][k // 50 % 2], f"src{k // 100 % 3}") for k in range(1200)]
+    targets = {"src0": 0.5, "src1": 0.25, "*": 0.25}, {"en": 0.4, "de": 0.6, "*": 0.0}, mixing.TOPIC_TARGETS
+    df = frame(spark, rows)
+    full = mixing.with_probabilities(df, *targets, cap=None)
+    report = mixing.attained(full, *targets).collect()
+    assert {r["margin"] for r in report} == {"source", "lang", "topic"} and len(report) == sum(map(len, targets))
+    assert all(r["attained"] == pytest.approx(r["target"], abs=1e-3) for r in report)
+    found = full.collect()
+    assert all(0 <= r["mix_probability"] <= 1 for r in found) and max(r["mix_probability"] for r in found) == 1
+    capped = mixing.with_probabilities(df, *targets)
+    report = {(r["margin"], r["category"]): r for r in mixing.attained(capped, *targets).collect()}
+    got = capped.collect()
+    total = sum(r["mix_tokens"] * r["mix_probability"] for r in got)
+    for topic, target in mixing.TOPIC_TARGETS.items():
+        assert report["topic", topic]["attained"] == pytest.approx(sum(r["mix_tokens"] * r["mix_probability"] for r in got if r["mix_topic"] == topic) / total)
+    assert report["topic", "note"]["attained"] < 0.05
+    assert mixing.with_probabilities(empty, cap=None).count() == 0
+    apart = frame(spark, [(1, "note", "en", "src0"), (2, "12345", "de", "src1")])
+    with pytest.raises(ValueError, match="can't hold together"):
+        mixing.with_probabilities(apart, *targets, cap=None)
+
+
 def test_mixing_edges(docs, empty):
     found = mixing.with_probabilities(docs).collect()
     assert len(found) == len(ROWS) and all(r["mix_weight"] is not None for r in found)
