@@ -3,32 +3,36 @@
 Every pair of different texts whose sets of word shingles (five words) have a Jaccard similarity of at least 0.8 is
 linked. Steps, each a Spark job over rows that any executor can take:
 
-1. MinHash values of every whole text; bands of them are bucket keys. Two linked texts miss all ``BANDS`` buckets with
-   probability below (1 - 0.8 ** ROWS) ** BANDS < 5e-5. A bucket is reduced to its smallest document, to which its others
-   are tied: one row a document and band, no pairs.
-2. Connected components of those ties are the sets in which links can lie. Equal texts are one member.
-3. Within a component, in blocks of bounded size, pairs compare their MinHash values ``STEP`` at a time. A pair is
-   dropped as soon as the posterior probability (uniform prior) that its similarity reaches the threshold is below
-   ``TOLERANCE``; the rest is verified on the whole shingle sets. A block returns counts a text and a spanning forest.
+1. Equal texts become one row with its number of copies. MinHash values of every whole text; bands of them are bucket
+   keys. Two linked texts miss all ``BANDS`` buckets with probability below (1 - 0.8 ** ROWS) ** BANDS < 5e-5. A bucket
+   is reduced to its smallest text, to which its others are tied: one row a text and band, no pairs.
+2. Connected components of those ties are the sets in which links can lie. Texts are compared within a component, or
+   within the buckets of a component where that is fewer pairs (loose chains of buckets); a pair that shares several
+   buckets counts in the first of them only.
+3. Pairs compare their MinHash values ``STEP`` at a time. A pair is dropped as soon as the posterior probability (uniform
+   prior) that its similarity reaches the threshold is below ``TOLERANCE``; the rest is verified on the whole shingle
+   sets. A group returns counts a text and a spanning forest, never pairs.
 4. Components of the verified links are the classes.
 
-A component of more than ``BLOCK`` texts is split into blocks by hash, and every pair of blocks is a group of its own,
-so no group grows with the data.
+A component or bucket of more than ``BLOCK`` texts is split into blocks by hash, and every pair of blocks is a group of
+its own, so no group grows with the data. Texts with over a ``HOT`` part of all documents are few, and their result is
+sent to the documents; the others meet theirs by a shuffle.
 
 Defined cases: a null text is in a class of its own; equal texts, empty ones too, share a class without counting as
-links; a text without a word has no links; a text of fewer than five words is one shingle; rows with a null doc_id
-take part only as copies, and come with the class of their text; repeated rows are copies; an empty table gives an empty
-result; further columns are ignored.
+links; a text without a word has no links; a text of fewer than five words is one shingle; a text that only rows
+without a doc_id have takes no part in links, and rows with a null doc_id come with the class of their text; repeated rows
+are copies; an empty table gives an empty result; further columns are ignored. ``first_of_class`` states its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialise, small_batches, table
@@ -45,6 +49,8 @@ TOLERANCE = 1e-6
 BLOCK = 512
 #: Texts of small components that share a group.
 PACK = 1500
+#: A text is hot if it has more than one document in so many; at most so many texts can be.
+HOT = 1000
 
 _RANDOM = np.random.default_rng(20240229)
 _A = (_RANDOM.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -76,22 +82,22 @@ def fewest_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLE
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, mark, node (a text's digest) and the keys of its buckets; null for a text without a word."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        found = [(i, s) for i, s in zip(ids, map(_as_set, batch.column(1).to_pylist()), strict=True) if len(s)]
-        if not found:
-            continue
-        values = min_hashes([s for _, s in found])[:, : BANDS * ROWS].reshape(len(found), BANDS, ROWS).astype(np.uint64)
-        keys = np.empty((len(found), BANDS), np.uint64)
-        for band in range(BANDS):
-            rolled = np.full(len(found), band + 1, np.uint64)
+        texts = batch.column(2).to_pylist()
+        nodes = pa.array([None if t is None else hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts], pa.binary())
+        sets = [_as_set(t) for t in texts]
+        keys: list[list[int] | None] = [None] * len(texts)
+        found = [k for k, x in enumerate(sets) if len(x)]
+        if found:
+            values = min_hashes([sets[k] for k in found])[:, : BANDS * ROWS].reshape(len(found), BANDS, ROWS).astype(np.uint64)
+            rolled = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(found), 1))
             for r in range(ROWS):
-                rolled = (rolled ^ values[:, band, r]) * np.uint64(0x9E3779B97F4A7C15)
+                rolled = (rolled ^ values[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
                 rolled ^= rolled >> np.uint64(31)
-            keys[:, band] = rolled
-        flat = pa.array(keys.view(np.int64).ravel())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), lists], ["doc_id", "keys"])
+            for k, row in zip(found, rolled.view(np.int64).tolist(), strict=True):
+                keys[k] = row
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "node", "keys"])
 
 
 def _as_set(text: str | None) -> np.ndarray:
@@ -101,20 +107,25 @@ def _as_set(text: str | None) -> np.ndarray:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets and MinHash values of texts that may have links."""
     for batch in batches:
-        text = batch.schema.get_field_index("text")
-        sets = [_as_set(t) for t in batch.column(text).to_pylist()]
+        sets = [_as_set(t) for t in batch.column(1).to_pylist()]
         values = min_hashes([s if len(s) else np.zeros(1, np.uint64) for s in sets]) if sets else []
-        columns = [c for k, c in enumerate(batch.columns) if k != text]
-        names = [n for n in batch.schema.names if n != "text"]
-        columns += [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, [*names, "shingles", "hashes"])
+        packed = [pa.array([x.tobytes() for x in column], pa.binary()) for column in (sets, values)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *packed], ["node", "shingles", "hashes"])
 
 
-def linked_pairs(hashes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of all pairs of a left and a later right member, those linked; indices into the arrays."""
+def linked_pairs(
+    hashes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, before: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of a left and a later right member, those linked; indices into the arrays.
+
+    ``before`` has the keys of the bands before a bucket's own: pairs that share one of these are left to that bucket.
+    """
     i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
     keep = i < j if left is right else np.ones(len(i), bool)
     i, j = i[keep], j[keep]
+    for column in () if before is None else before.T:
+        keep = column[i] != column[j]
+        i, j = i[keep], j[keep]
     sizes = np.array([len(s) for s in sets])
     # Sets of too different sizes can't reach the threshold.
     keep = np.minimum(sizes[i], sizes[j]) >= THRESHOLD * np.maximum(sizes[i], sizes[j]) - 1e-9
@@ -172,24 +183,25 @@ def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 def _links(cell: pa.Table) -> pa.Table:
     """Links within one group: a row of counts and one of the forest for each linked text."""
-    data = cell.select(["component", "row", "col", "block", "node", "copies"]).to_pydict()
+    data = cell.select(["unit", "band", "row", "col", "block", "node", "copies", "keys"]).to_pydict()
     hashes = np.array([np.frombuffer(h, np.uint32) for h in cell.column("hashes").to_pylist()]).reshape(-1, HASHES)
     sets = [np.frombuffer(s, np.uint64) for s in cell.column("shingles").to_pylist()]
     copies = np.array(data["copies"], np.int64)
-    by: dict[tuple, dict[str, int]] = {}
-    for k, key in enumerate(zip(data["component"], data["row"], data["col"], strict=True)):
+    by: dict[tuple, dict[bytes, int]] = {}
+    for k, key in enumerate(zip(data["unit"], data["band"], data["row"], data["col"], strict=True)):
         by.setdefault(key, {}).setdefault(data["node"][k], k)
-    nodes: list[str] = []
-    others: list[str | None] = []
+    nodes: list[bytes] = []
+    others: list[bytes | None] = []
     links: list[int] = []
     docs: list[int] = []
-    for (_, row, col), members in by.items():
+    for (_, band, row, col), members in by.items():
         index = np.array([k for _, k in sorted(members.items())])
         block = np.array([data["block"][k] for k in index])
         left, right = np.flatnonzero(block == row), np.flatnonzero(block == col)
         if row == col:
             right = left
-        i, j = linked_pairs(hashes[index], [sets[k] for k in index], left, right)
+        before = np.array([data["keys"][k][:band] for k in index], np.int64).reshape(len(index), band) if band > 0 else None
+        i, j = linked_pairs(hashes[index], [sets[k] for k in index], left, right, before)
         n, c = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
         for a, b in ((i, j), (j, i)):
             np.add.at(n, a, 1)
@@ -204,7 +216,70 @@ def _links(cell: pa.Table) -> pa.Table:
             others.append(data["node"][index[root]])
             links.append(0)
             docs.append(0)
-    return pa.table({"node": pa.array(nodes, pa.string()), "other": pa.array(others, pa.string()), "links": pa.array(links, pa.int64()), "docs": pa.array(docs, pa.int64())})
+    return pa.table({"node": pa.array(nodes, pa.binary()), "other": pa.array(others, pa.binary()), "links": pa.array(links, pa.int64()), "docs": pa.array(docs, pa.int64())})
+
+
+def _groups(texts: DataFrame, unit: Column, band: Column, size: Column, pack: int) -> DataFrame:
+    """A row for each group that a text meets others in: all pairs of blocks of its unit; small units share groups."""
+    blocks = F.ceil(size / F.lit(BLOCK)).cast("int")
+    texts = texts.withColumns({"unit": unit, "band": band, "blocks": blocks}).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("row"), F.greatest("block", k).alias("col")))
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("unit"), F.lit(pack))).otherwise(F.xxhash64("unit", "band", "row", "col"))
+    texts = texts.withColumn("met", F.explode(met)).select("node", "copies", "keys", "unit", "band", "blocks", "block", "met.row", "met.col")
+    return texts.withColumn("cell", cell).drop("blocks")
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """The groups of texts that may be linked; ``texts`` has node, id, copies and keys."""
+    bands = texts.select("id", F.explode("keys").alias("key"))
+    buckets = bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    ties = bands.join(buckets.select("key", "first"), "key").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    parts = connected_components(ties).withColumnRenamed("node", "id")
+    texts = texts.select("node", "id", "copies", "first", "keys").join(parts, "id")
+    sizes = materialise(texts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    total, largest = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    texts = texts.join(sizes, "component")
+    pack = max(1, -(-total // PACK))
+    none = F.lit(None).cast("array<long>")
+    if largest <= BLOCK:
+        return _groups(texts.withColumn("keys", none), F.col("component"), F.lit(-1), F.col("size"), pack)
+    # Loose components have fewer pairs in their buckets than as a whole.
+    texts = materialise(texts, "texts")
+    large = texts.where(F.col("size") > BLOCK).select("component", "node", "copies", "keys", F.posexplode("keys").alias("band", "key"))
+    buckets = materialise(large.groupBy("component", "band", "key").agg(F.count("*").alias("met")).where("met > 1"), "buckets")
+    cost = buckets.groupBy("component").agg(F.sum(F.col("met").cast("double") * F.col("met")).alias("cost"))
+    loose = sizes.join(cost, "component").where(F.col("cost") < F.col("size").cast("double") * F.col("size")).select("component")
+    tight = _groups(texts.join(loose, "component", "left_anti").withColumn("keys", none), F.col("component"), F.lit(-1), F.col("size"), pack)
+    split = large.join(buckets.join(loose, "component", "left_semi"), ["component", "band", "key"])
+    return tight.unionByName(_groups(split, F.col("key"), F.col("band"), F.col("met"), pack))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, mark and node of every row; and of each text: class, class_id, best (least doc_id and mark), copies, links."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    # Digests and bucket keys are read several times and so kept.
+    known = materialise(docs.mapInArrow(_bands, "doc_id long, mark long, node binary, keys array<long>"), "known")
+    texts = known.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "mark")).alias("best"), F.count("*").alias("copies"), F.first("keys").alias("keys")
+    )
+    texts = materialise(texts.withColumn("id", F.xxhash64("node")), "nodes")  # an id met twice only brings two sets together
+    assigned = materialise(_candidates(texts.where(F.col("first").isNotNull() & F.col("keys").isNotNull())), "assigned")
+    wanted = assigned.select("node").distinct().join(texts.select("node", "first"), "node")
+    members = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("first")).where(F.unhex(F.md5("text")) == F.col("node"))
+    members = members.dropDuplicates(["node"]).select("node", "text").mapInArrow(_members, "node binary, shingles binary, hashes binary")
+    found = assigned.join(members, "node").groupBy("cell").applyInArrow(_links, "node binary, other binary, links long, docs long")
+    found = materialise(found, "links")
+    counts = found.where(F.col("other").isNull()).groupBy("node").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("n_linked_docs"))
+    classes = connected_components(found.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
+    linked = classes.join(counts, "node").join(texts.select("node", "first", "best"), "node")
+    first = linked.groupBy("component").agg(F.min("first").alias("class_id"))
+    linked = linked.join(first, "component").select("node", "class_id", F.col("component").alias("class"), "n_links", "n_linked_docs")
+    texts = texts.select("node", "first", "best", "copies").join(linked, "node", "left").select(
+        "node", F.coalesce("class", "node").alias("class"), F.coalesce("class_id", "first").alias("class_id"), "best", F.col("copies").alias("n_copies"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_docs", F.lit(0)).alias("n_linked_docs"),
+    )
+    return known.select("doc_id", "mark", "node"), texts
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -213,42 +288,34 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     n_copies: documents of the same text, this one too; n_links: different texts that this one is linked to;
     n_linked_docs: the documents that have those texts.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # A text is known by its digest; the digests are read twice and so kept.
-    known = materialise(docs.select("doc_id", F.md5("text").alias("node")), "known")
-    keys = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_bands, "doc_id long, keys array<long>")
-    bands = materialise(keys, "bands").select("doc_id", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    ties = bands.join(buckets.select("key", "first"), "key").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    parts = connected_components(ties).withColumnRenamed("node", "doc_id")
-    # Different texts of each component, each with one document that has it.
-    texts = known.join(parts, "doc_id").where(F.col("node").isNotNull()).groupBy("component", "node").agg(F.min("doc_id").alias("doc_id"))
-    copies = known.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("copies"))
-    texts = materialise(texts.join(copies, "node"), "texts")
-    sizes = texts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    texts = texts.join(sizes, "component").withColumns({"blocks": blocks}).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = docs.join(texts, "doc_id").where(F.md5("text") == F.col("node")).select("component", "node", "copies", "blocks", "block", "text")
-    schema = "component long, node string, copies long, blocks int, block int, shingles binary, hashes binary"
-    members = members.mapInArrow(_members, schema)
-    # Every pair of blocks of a component is a group; small components share groups.
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("row"), F.greatest("block", k).alias("col")))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    groups = max(1, -(-total // PACK))
-    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.xxhash64("component", "row", "col"))
-    members = members.withColumn("met", F.explode(met)).select("*", "met.row", "met.col").drop("met").withColumn("cell", cell)
-    found = members.groupBy("cell").applyInArrow(_links, "node string, other string, links long, docs long")
-    found = materialise(found, "links")
-    counts = found.where(F.col("other").isNull()).groupBy("node").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("n_linked_docs"))
-    classes = connected_components(found.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
-    keyed = known.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-    own = keyed.where(F.col("class").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_linked_docs"))
-    first = keyed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    shared = keyed.where(F.col("class").isNotNull()).join(first, "class").join(copies, "node").join(counts, "node", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return shared.select("doc_id", "class_id", F.col("copies").alias("n_copies"), zero("n_links"), zero("n_linked_docs")).unionByName(own)
+    known, texts = _classes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("mark"), F.col(text).alias("text")))
+    texts = materialise(texts, "classes")
+    total = known.count()
+    hot = texts.where(F.col("n_copies") * HOT > total)  # at most HOT rows
+    columns = ["doc_id", "class_id", "n_copies", "n_links", "n_linked_docs"]
+    of_hot = known.join(F.broadcast(hot), "node").select(*columns)
+    rest = known.where(F.col("node").isNotNull()).join(F.broadcast(hot.select("node")), "node", "left_anti")
+    rest = rest.join(texts.where(F.col("n_copies") * HOT <= total), "node").select(*columns)
+    zero = F.lit(0).cast("long")
+    own = known.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), zero.alias("n_links"), zero.alias("n_linked_docs"))
+    return of_hot.unionByName(rest).unionByName(own)
+
+
+def first_of_class(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each class, that of the smallest doc_id; all columns as they are.
+
+    Rows without a doc_id are compared as well and come after the others. Of rows with the same doc_id in one class the
+    one of the smallest row hash stays; of rows alike in every column, one. Rows of null text all stay, but for repeats.
+    """
+    hashed = F.xxhash64(*[F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in docs.dtypes])
+    # A row without a doc_id is known by its text, above all usual ids.
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 62)))
+    rows = docs.withColumns({"_key": key, "_mark": hashed})
+    known, texts = _classes(rows.select(F.col("_key").alias("doc_id"), F.col("_mark").alias("mark"), F.col(text).alias("text")))
+    first = texts.groupBy("class").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("_key"), F.col("best.mark").alias("_mark"))
+    first = first.unionByName(known.where(F.col("node").isNull()).select(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark")).distinct())
+    # Repeated rows go before the shuffle; the join then finds them where they are.
+    return rows.dropDuplicates(["_key", "_mark"]).join(first, ["_key", "_mark"], "left_semi").select(*docs.columns)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

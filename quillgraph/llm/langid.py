@@ -4,17 +4,21 @@ Kernel: the blended-spectrum presence kernel, the number of character n-grams (l
 share, divided by the geometric mean of their own numbers. Texts are lower-cased, digits and punctuation count as
 spaces. N-grams are hashed to ``DIMENSIONS`` slots, so a text is a bit vector and a kernel value a product of two.
 
-Fit: of the labelled rows of the training folds, about ``SAMPLE_PER_LANG`` of each language (rows whose hash falls
-below the rate that gives so many) are turned to bit vectors by the executors; of these about ``LANDMARKS`` are the
-Nyström landmarks. On the map K(x, L) K(L, L)^(-1/2), kernel ridge regression is solved for each language against the
-rest. These two numbers are the bound of the sample; prediction covers every whole text.
+Fit: of the labelled rows of the training folds, about ``SAMPLE_PER_LANG`` of each of the ``MOST_LANGUAGES`` most
+frequent languages (rows whose hash falls below the rate that gives so many) are turned to bit vectors by the executors;
+of these ``LANDMARKS`` are the Nyström landmarks. On the map K(x, L) K(L, L)^(-1/2), kernel ridge regression is solved
+for each language against the rest. Tasks return sums of kernel rows over the sample, so the driver holds matrices of
+landmarks by landmarks and never the sample. These numbers are the bound of the sample; prediction covers every whole
+text.
 
 Prediction: a batch of bit vectors times landmarks and weights. Both factors are linear in the bit vector, so their
 product is taken once and a batch takes one matrix product of texts by slots and slots by languages.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; null languages are not learned; with no
-labelled row every text is ``und``; with one language all texts get it; repeated rows are predicted alike; equal scores
-go to the first language in order; an empty table gives an empty result; further columns are kept by ``with_language``.
+labelled row every text is ``und``; with one language all texts get it; a language of one labelled row is learned; rows of
+null doc_id train too; repeated rows count once in the sample and are predicted alike; equal scores go to the first
+language in order; a very long text is one vector as any other (most slots of it may be set); an empty table gives an empty
+result; further columns are kept by ``with_language``.
 """
 
 from __future__ import annotations
@@ -23,18 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import small_batches, table
+from quillgraph.llm.common import materialise, small_batches, table
 
 ORDERS = (1, 2, 3, 4)
 DIMENSIONS = 1 << 14
 SAMPLE_PER_LANG = 400
 LANDMARKS = 300
-RIDGE = 0.05
-#: A language with fewer labelled rows than this share of all is learned too; there is no lower limit.
+#: Languages that are learned, those with the most labelled rows: a model has DIMENSIONS weights for each.
+MOST_LANGUAGES = 256
+#: Sampled rows that one task sums.
+TASK_ROWS = 4096
+RIDGE = 0.0005
+#: One-versus-rest values are near 1 for a language's own texts, below 0 for the rest, and near 0 for a text whose
+#: n-grams no language has. A text of at least so many letters is rejected below this value.
+LEAST_VALUE = 0.05
+LEAST_LETTERS = 200
 NO_LANGUAGE = "und"
 
 _FOLD = np.frombuffer(bytes(range(256)), np.uint8).copy()
@@ -66,6 +77,35 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["lang", "draw", "bits"])
 
 
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """Bit vectors over the root of their number of bits: products of these are kernel values."""
+    x = bits.astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    return x
+
+
+def _unpack(packed: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)
+
+
+def _sums(marks: list[bytes], weight: dict[str, float]):
+    """One row a task: K'WK over its rows of the sample, and the weighted sum of kernel rows of each language."""
+    order = {lang: k for k, lang in enumerate(weight)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _unit(_unpack(marks))
+        gram, sums = np.zeros((len(marks), len(marks))), np.zeros((len(order), len(marks)))
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            rows = (_unit(_unpack(batch.column(1).to_pylist())) @ known.T).astype(np.float64)
+            weighted = rows * np.array([weight[y] for y in langs])[:, None]
+            gram += rows.T @ weighted
+            np.add.at(sums, [order[y] for y in langs], weighted)
+        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["gram", "sums"])
+
+    return run
+
+
 class Model:
     """Languages, and for each a weight of every slot: landmarks and ridge weights multiplied out."""
 
@@ -73,33 +113,27 @@ class Model:
         self.languages, self.weights = languages, weights
 
     @classmethod
-    def fit(cls, bits: np.ndarray, labels: list[str], landmarks: np.ndarray) -> Model:
-        languages = sorted(set(labels))
-        x = bits.astype(np.float64)
-        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        marks = landmarks.astype(np.float64)
-        marks /= np.sqrt(np.maximum(marks.sum(axis=1, keepdims=True), 1))
-        values, vectors = np.linalg.eigh(marks @ marks.T)
-        good = values > 1e-8 * values.max()
+    def solve(cls, languages: list[str], marks: np.ndarray, gram: np.ndarray, sums: np.ndarray) -> Model:
+        """Ridge weights from what the tasks summed: K'WK, and for each language the weighted sum of its kernel rows.
+
+        Targets are 1 for a language's own rows and -1 for the rest, so K'Wy is twice its own sum less all sums.
+        """
+        marks = _unit(marks)
+        values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+        good = values > 1e-5 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        features = (x @ marks.T) @ root
-        target = np.array([[1.0 if y == c else -1.0 for c in languages] for y in labels])
-        # Each language weighs the same, however many of its rows the sample has.
-        share = {c: labels.count(c) for c in languages}
-        weight = np.array([len(labels) / (len(languages) * share[y]) for y in labels])[:, None]
-        gram = features.T @ (weight * features) + RIDGE * len(labels) / len(languages) * 0.01 * np.eye(features.shape[1])
-        solved = np.linalg.solve(gram, features.T @ (weight * target))
-        return cls(languages, (marks.T @ (root @ solved)).astype(np.float32))
-
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        held = root.T @ gram @ root + RIDGE * np.eye(root.shape[1])
+        solved = np.linalg.solve(held, root.T @ (2 * sums - sums.sum(axis=0)).T)
+        return cls(languages, marks.T @ (root @ solved).astype(np.float32))
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score from 0 to 1, and the ridge value of the language, which is near 1 for texts like those learned."""
         if not self.languages or not texts:
-            return [NO_LANGUAGE] * len(texts), [0.0] * len(texts)
-        x = np.stack([_bits(text) for text in texts]).astype(np.float32)
-        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        scores = (x @ self.weights).astype(np.float64)
+            return [NO_LANGUAGE] * len(texts), [0.0] * len(texts), [-1.0] * len(texts)
+        scores = (_unit(np.stack([_bits(text) for text in texts])) @ self.weights).astype(np.float64)
         best = scores.argmax(axis=1)
         power = np.exp(3.0 * (scores - scores.max(axis=1, keepdims=True)))
-        return [self.languages[k] for k in best], (1.0 / power.sum(axis=1)).tolist()
+        return [self.languages[k] for k in best], (1.0 / power.sum(axis=1)).tolist(), scores.max(axis=1).tolist()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -108,39 +142,42 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fits on a bounded sample of the labelled rows outside the held-out fold."""
+    """Fits on a bounded sample of the labelled rows outside the held-out fold.
+
+    The driver gets LANDMARKS bit vectors of two kB, and a LANDMARKS x LANDMARKS matrix from each of a few tasks.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Repeated rows draw alike and count as one; the least draw of a language is always in.
+    rows = rows.select("lang", "text", (F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40)) / F.lit(2.0**40)).alias("draw"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return Model([], np.zeros((DIMENSIONS, 0), np.float32))
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_PER_LANG / n))])
-    draw = F.crc32(F.concat(F.lit("langid:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / F.lit(2.0**32)
-    sample = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(rate, F.col("lang")))
-    schema = "lang string, draw double, bits binary"
-    found = sample.select("lang", "text", "draw").mapInArrow(_vectors, schema).collect()  # SAMPLE_PER_LANG a language
-    found.sort(key=lambda r: (r["draw"], r["lang"], bytes(r["bits"])))
-    if not found:  # a draw may miss the only rows of a tiny table
-        return Model(sorted(counts), np.zeros((DIMENSIONS, len(counts)), np.float32))
-    bits = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in found]).astype(bool)
-    labels = [r["lang"] for r in found]
-    turn: dict[str, int] = {}
-    each = []  # landmarks in turn from each language
-    for k, y in enumerate(labels):
-        turn[y] = turn.get(y, 0) + 1
-        each.append((turn[y], k))
-    marks = [k for _, k in sorted(each)[:LANDMARKS]]
-    return Model.fit(bits, labels, bits[marks])
-
-
-def _predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Languages and scores of whole texts; those without a letter are not asked for."""
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(min(1.0, SAMPLE_PER_LANG / r["n"]), np.nextafter(r["least"], 2).item()))])
+    sample = rows.where(F.col("draw") < F.element_at(rate, F.col("lang"))).mapInArrow(_vectors, "lang string, draw double, bits binary")
+    sample = materialise(sample.groupBy("lang", "draw").agg(F.min("bits").alias("bits")), "sample")
+    shares = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(shares)
+    # Landmarks in turn from each language.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    marks = [bytes(r["bits"]) for r in sample.withColumn("turn", turn).orderBy("turn", "draw", "lang").limit(LANDMARKS).select("bits").collect()]
+    # Each language weighs the same, however many of its rows the sample has; all weights add up to one a language.
+    weight = {y: 1.0 / shares[y] for y in languages}
+    tasks = -(-sum(shares.values()) // TASK_ROWS)
+    found = sample.select("lang", "bits").repartition(tasks).mapInArrow(_sums(marks, weight), "gram binary, sums binary").collect()
+    gram = sum(np.frombuffer(r["gram"]).reshape(len(marks), -1) for r in found)
+    sums = sum(np.frombuffer(r["sums"]).reshape(len(languages), -1) for r in found)
+    return Model.solve(languages, _unpack(marks), gram, sums)
+
+
+def _predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Languages, scores and ridge values of whole texts; those without a letter are not asked for."""
     asked = [k for k, text in enumerate(texts) if text and any(map(str.isalpha, text))]
-    langs, scores = [NO_LANGUAGE] * len(texts), [0.0] * len(texts)
-    for k, lang, score in zip(asked, *model.predict([texts[k] for k in asked]), strict=True):
-        langs[k], scores[k] = lang, score
-    return langs, scores
+    langs, scores, values = [NO_LANGUAGE] * len(texts), [0.0] * len(texts), [-1.0] * len(texts)
+    for k, lang, score, value in zip(asked, *model.predict([texts[k] for k in asked]), strict=True):
+        langs[k], scores[k], values[k] = lang, score, value
+    return langs, scores, values
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
@@ -153,22 +190,30 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = _predict(held.value, batch.column(at).to_pylist())
+            langs, scores, _ = _predict(held.value, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
 
-def with_known_language(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
-    """The documents that have a language with at least this score; all columns as they are."""
+def known(model: Model, texts: list[str | None], least_value: float = LEAST_VALUE, least_letters: int = LEAST_LETTERS) -> list[bool]:
+    """Whether some learned language fits each text; one of few letters has too few n-grams to tell, and any fits."""
+    langs, _, values = _predict(model, texts)
+    return [
+        y != NO_LANGUAGE and (v >= least_value or sum(map(str.isalpha, text)) < least_letters)
+        for text, y, v in zip(texts, langs, values, strict=True)
+    ]
+
+
+def with_known_language(docs: DataFrame, model: Model, least_value: float = LEAST_VALUE, least_letters: int = LEAST_LETTERS) -> DataFrame:
+    """The documents that some learned language fits; all columns as they are. Without a learned language none is left."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = _predict(held.value, batch.column(at).to_pylist())
-            yield batch.filter(pa.array([y != NO_LANGUAGE and s >= least_score for y, s in zip(langs, scores, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array(known(held.value, batch.column(at).to_pylist(), least_value, least_letters), pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 

@@ -1,11 +1,13 @@
 """Corpus operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import os
 import re
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,20 +101,57 @@ def test_language_edges(docs, empty):
     assert {r["doc_id"] for r in found if r["lang_pred"] == "und"} == {5, 6, 8, 11}
     assert langid.with_language(empty, model).count() == 0
     assert {r["lang_pred"] for r in langid.with_language(docs, langid.train(empty)).collect()} == {"und"}
-    kept = langid.with_known_language(docs, model, 0.0)
+    kept = langid.with_known_language(docs, model, -9.0)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 4
 
 
-def test_kernel_is_the_landmark_form():
-    """The folded weights give what kernel values on landmarks give."""
-    labels = ["a" if k % 2 else "b" for k in range(20)]
-    bits = np.stack([langid._bits(words(k, 20).translate({} if k % 2 else {c: c + 10 for c in range(97, 113)})) for k in range(20)])
-    model = langid.Model.fit(bits, labels, bits[:10])
-    x = bits / np.sqrt(bits.sum(axis=1, keepdims=True))
-    kernel = x @ x[:10].T
-    assert np.allclose(kernel.diagonal(), 1.0)
-    scores = x @ model.weights
-    assert (np.array(model.languages)[scores.argmax(axis=1)] == np.array(labels)).mean() == 1.0
+def test_model_is_kernel_ridge_on_landmarks():
+    """The folded weights give what kernels, Nystroem map and ridge regression give when written out for each pair of texts."""
+    texts = [words(k, 20).translate({} if k % 2 else {c: c + 10 for c in range(97, 113)}) for k in range(24)]
+    labels = ["a" if k % 2 else "b" for k in range(24)]
+    grams = [{t[i : i + n] for t in [" ".join(x.split())] for n in langid.ORDERS for i in range(len(t) - n + 1)} for x in texts]
+    bits = np.stack([langid._bits(x) for x in texts])
+    assert all(abs(b.sum() - len(g)) <= 0.1 * len(g) for b, g in zip(bits, grams, strict=True))  # few n-grams share a slot
+    kernel = np.array([[(x & y).sum() / np.sqrt(x.sum() * y.sum()) for y in bits] for x in bits])
+    marks = list(range(10))
+    values, vectors = np.linalg.eigh(kernel[np.ix_(marks, marks)])
+    root = vectors / np.sqrt(values)
+    features = kernel[:, marks] @ root
+    weight = np.array([1 / labels.count(y) for y in labels])
+    target = np.array([[1.0 if y == c else -1.0 for c in "ab"] for y in labels])
+    ridge = np.linalg.solve(features.T @ (weight[:, None] * features) + langid.RIDGE * np.eye(10), features.T @ (weight[:, None] * target))
+    packed = [np.packbits(b).tobytes() for b in bits]
+    batch = pa.RecordBatch.from_arrays([pa.array(labels), pa.array(packed)], ["lang", "bits"])
+    (out,) = langid._sums(packed[:10], {"a": 1 / labels.count("a"), "b": 1 / labels.count("b")})(iter([batch]))
+    gram, sums = (np.frombuffer(out.column(k)[0].as_py()).reshape(-1, 10) for k in range(2))
+    model = langid.Model.solve(["a", "b"], bits[:10], gram, sums)
+    got = langid._unit(bits) @ model.weights
+    assert np.allclose(got, features @ ridge, atol=0.02)
+    langs, _, value = model.predict(texts)
+    assert langs == labels and np.allclose(value, got.max(axis=1), atol=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_language_on_the_held_out_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.with_language(df, langid.train(df)).where(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike("[a-z]")).select("lang", "lang_pred").collect()
+    assert len(found) > 150 and np.mean([r[0] == r[1] for r in found]) >= 0.99
+
+
+def test_language_rejects_what_no_language_fits(spark, docs):
+    r = np.random.default_rng(3)
+    parts = {"en": ["the", "ing", "tion", "and"], "de": ["sch", "ung", "der", "keit"]}
+    rows = [(k, " ".join("".join(r.choice(parts[y], 2)) for _ in range(60)), y, "s") for k, y in enumerate(list(parts) * 60)]
+    rows += [(500, "\u043f\u043e\u0433\u043e\u0434\u0430 \u0438 " * 40, None, "s"), (501, "zqx jwv " * 60, None, "s"), (502, "zqx", None, "s"), (503, "", None, "s"), (504, None, None, "s"), (None, "the andtion " * 30, None, "s")]
+    df = frame(spark, rows)
+    kept = {x["doc_id"] for x in langid.with_known_language(df, langid.train(df)).collect()}
+    assert kept == {*range(120), 502, None}
+    assert langid.with_known_language(df, langid.train(df.where("lang is null"))).count() == 0
+
+
+def test_language_of_repeated_and_single_rows(spark):
+    rows = [(None, "abc def " * 9, "x", "s")] * 900 + [(1, "uvw xyz " * 9, "y", "s")]
+    assert {(r["text"][:3], r["lang_pred"]) for r in langid.with_language(frame(spark, rows), langid.train(frame(spark, rows))).collect()} == {("abc", "x"), ("uvw", "y")}
 
 
 # --- 3 mixing
@@ -361,6 +400,29 @@ def test_classes(spark, empty, monkeypatch, block):
     assert jaccard_join.jaccard_classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 16])
+def test_classes_of_a_chain(spark, monkeypatch, block):
+    """A loose component, in which each text is like its neighbours only, is compared by bucket; no pair counts twice."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    line = " ".join(words(k, 60) for k in range(50, 58)).split()
+    rows = [(k, " ".join(line[4 * k : 4 * k + 60]), None, None) for k in range(90)] + [(200 + k, " ".join(line[4 * k : 4 * k + 60]), None, None) for k in range(5)]
+    groups = jaccard_join._candidates(jaccard_join._classes(frame(spark, rows).selectExpr("doc_id", "doc_id AS mark", "text"))[0].limit(0).selectExpr("node", "doc_id AS id", "doc_id AS first", "1L AS copies", "array(1L) AS keys"))
+    assert groups.count() == 0
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_classes(frame(spark, rows)).collect()), key=str)
+    assert got == brute_classes([r[:2] for r in rows])
+
+
+def test_first_of_class(spark, empty):
+    """Rows without a doc_id are compared too; of rows alike in doc_id and class one stays; null texts stay."""
+    near = BASE[0].rsplit(" ", 1)[0] + " other"
+    rows = [*ROWS, (None, BASE[0], "en", "a"), (None, BASE[4], "en", "src5"), (None, BASE[4] + " tail", "de", "s"), (2, near, "en", "s"), (6, None, "fr", "src3"), (20, BASE[4] + " end", "en", "s")]
+    left = jaccard_join.first_of_class(frame(spark, rows))
+    assert left.columns == frame(spark, rows).columns
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    assert got == sorted([(1, BASE[0]), (4, BASE[1]), (5, ""), (6, None), (7, ROWS[7][1]), (8, "123 456"), (9, ROWS[9][1]), (10, ROWS[10][1]), (20, BASE[4] + " end")], key=str)
+    assert jaccard_join.first_of_class(empty).count() == 0
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     assert jaccard_join.fewest_matches(32) < 0.8 * 32 and jaccard_join.fewest_matches(128) > jaccard_join.fewest_matches(32)
 

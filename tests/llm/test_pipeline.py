@@ -17,8 +17,7 @@ def test_pipeline_equals_brute_force(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(frame)
-    langs, scores = langid._predict(model, [docs[k]["text"] for k in sorted(docs)])
-    kept = [k for k, y, s in zip(sorted(docs), langs, scores, strict=True) if y != "und" and s >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+    kept = [k for k, fits in zip(sorted(docs), langid.known(model, [docs[k]["text"] for k in sorted(docs)]), strict=True) if fits]
     sets = {k: set(jaccard_join._as_set(docs[k]["text"]).tolist()) for k in kept}
     root = {k: k for k in kept}
 
