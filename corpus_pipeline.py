@@ -7,25 +7,22 @@ written as Parquet and read again. All stages but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillgraph.llm import decontaminate, jaccard_join, langid, mixing, tokenfile
 from quillgraph.llm.common import materialise, table
 
-#: Documents below this score have no language that the model knows; a text in one of two languages has about 0.5.
-LEAST_LANGUAGE_SCORE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those whose language no learned one fits."""
-    return langid.with_known_language(docs, langid.train(docs), LEAST_LANGUAGE_SCORE)
+    return langid.with_known_language(docs, langid.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each class of near duplicates; rows without a doc_id stay."""
-    found = jaccard_join.jaccard_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    ids = docs.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return ids.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """Keeps the document of smallest doc_id of each class of near duplicates; of rows alike in doc_id one stays.
+
+    A row without a doc_id stays where no document with one has its text or one similar to it.
+    """
+    return jaccard_join.first_of_class(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
