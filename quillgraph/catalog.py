@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import admin, corpus, graphs, knowledge, retrieval
+from quillgraph.plans import admin, answers, corpus, exports, graphs, knowledge, retrieval
 
 #: Plan modules, each with QUERIES (name -> callable) and ORACLE (name -> SQL).
-MODULES = (retrieval, graphs, corpus, knowledge, admin)
+MODULES = (retrieval, graphs, corpus, knowledge, admin, answers, exports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

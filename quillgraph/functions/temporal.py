@@ -9,12 +9,16 @@ from quillgraph.config import DEFAULT, EngineConfig
 
 
 def in_window(published: Column, start: Column, end: Column, date_from: str | None, date_to: str | None, strict: bool = True) -> Column:
-    """String comparison of dates; undated rows fall out if strict, and without strictness nothing does."""
-    if not strict or (date_from is None and date_to is None):
-        return F.lit(True)
-    low, high = F.lit(date_from or "1000"), F.lit(date_to or "3000")
-    point = F.coalesce((published >= low) & (published <= F.concat(high, F.lit("-12-31"))), F.lit(False))
-    return point | F.coalesce((start <= high) & (end >= low), F.lit(False))
+    """Whether a document may lie in a window; dates and bounds are compared as strings.
+
+    Each bound is tested on its own: the publication date or the end of the coverage against the lower one, the
+    publication date or the start of the coverage against the upper one. Undated rows pass unless strict.
+    """
+    undated = F.lit(False) if strict else published.isNull() & start.isNull() & end.isNull()
+    holds = lambda *tests: undated | F.coalesce(tests[0], F.lit(False)) | F.coalesce(tests[1], F.lit(False))
+    low = F.lit(True) if date_from is None else holds(published >= F.lit(date_from), end >= F.lit(date_from))
+    high = F.lit(True) if date_to is None else holds(published <= F.lit(date_to), start <= F.lit(date_to))
+    return low & high
 
 
 def coverage(doc_from: Column, doc_to: Column, published: Column, query_from: Column, query_to: Column) -> Column:

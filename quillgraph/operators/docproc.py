@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.config import DEFAULT
+from quillgraph.functions import patterns as P
 from quillgraph.functions import text as T
 
 
@@ -96,98 +93,121 @@ def bundle_by_host(pages: DataFrame, url: str = "url", content: str = "content")
     return rows.groupBy("host").agg(F.count("*").alias("n_pages"), joined.alias("content"))
 
 
-CHUNKS = "key long, chunk int, heading string, heading_level int, start_page int, end_page int, page_source string, text string"
-_BREAK = re.compile(r"^-{5,}\s*$")
-_HEADING = re.compile(r"^\s{0,3}(#{1,3})\s+(.*)")
-
-
-def split_markdown(text: str, most: int = DEFAULT.chunk_chars, least: int = DEFAULT.chunk_least, page_size: int = DEFAULT.virtual_page) -> list[dict]:
-    """Chunks of at most about ``most`` characters: cut at headings once a quarter full, short ones merged into the one before."""
-    chunks: list[dict] = []
-    page = 1
-    breaks = 0
-    open_ = {"heading": None, "level": None, "start": 1, "parts": [], "size": 0}
-
-    def close() -> None:
-        nonlocal open_
-        body = "".join(open_["parts"])
-        if body.strip():
-            chunks.append({"heading": open_["heading"] or None, "level": open_["level"], "start": open_["start"], "end": page, "text": body})
-        open_ = {"heading": None, "level": None, "start": page, "parts": [], "size": 0}
-
-    for line in re.split(r"\r?\n", text):
-        piece = line + "\n"
-        if _BREAK.match(line):
-            open_["parts"].append(piece)
-            open_["size"] += len(piece)
-            page, breaks = page + 1, breaks + 1
-            continue
-        head = _HEADING.match(line)
-        if head and open_["size"] > most / 4:
-            close()
-        takes = head and (not open_["heading"] or not open_["size"])
-        if takes:
-            open_["heading"], open_["level"] = head[2].strip(), len(head[1])
-        open_["parts"].append(piece)
-        open_["size"] += len(piece)
-        if not takes and open_["size"] >= most:
-            close()
-    close()
-    if not breaks:
-        offset = 0
-        for c in chunks:
-            c["start"] = offset // page_size + 1
-            offset += len(c["text"])
-            c["end"] = offset // page_size + 1
-    merged: list[dict] = []
-    for c in chunks:
-        if merged and len(c["text"]) < least and len(merged[-1]["text"]) + len(c["text"]) <= most:
-            merged[-1]["text"] += "\n" + c["text"]
-            merged[-1]["end"] = c["end"]
-        else:
-            merged.append(c)
-    if len(merged) > 1 and len(merged[0]["text"]) < least and len(merged[0]["text"]) + len(merged[1]["text"]) <= most:
-        first = merged.pop(0)
-        second = merged[0]
-        second.update(text=first["text"] + "\n" + second["text"], start=first["start"], heading=second["heading"] or first["heading"], level=second["level"] if second["level"] is not None else first["level"])
-    for k, c in enumerate(merged):
-        c.update(chunk=k, source="physical" if breaks else "virtual")
-    return merged
-
-
-def chunk_markdown(docs: DataFrame, key: str, text: str, most: int = DEFAULT.chunk_chars, least: int = DEFAULT.chunk_least) -> DataFrame:
-    """Chunks of every document. The fold depends on its order within a document, so each is one small Python call."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (key_, c["chunk"], c["heading"], c["level"], c["start"], c["end"], c["source"], c["text"])
-                for key_, body in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True)
-                for c in split_markdown(body or "", most, least)
-            ]
-            frame = pd.DataFrame(rows, columns=["key", "chunk", "heading", "heading_level", "start_page", "end_page", "page_source", "text"])
-            frame["heading_level"] = frame["heading_level"].astype("Int32")
-            yield frame
-
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInPandas(run, CHUNKS)
+def chunk_markdown(
+    docs: DataFrame, key: str, text: str, most: int = DEFAULT.chunk_chars, least: int = DEFAULT.chunk_least, page_size: int = DEFAULT.virtual_page
+) -> DataFrame:
+    """key, chunk, heading, heading_level, start_page, end_page, page_source, text: pieces of about ``most`` characters.
 
+    A chunk ends before a heading (levels 1 to 3) once over a quarter full, and once it is full. Pages are counted at
+    lines of five hyphens or more; without any they are stretches of ``page_size`` characters. A chunk of fewer than
+    ``least`` characters joins the one before it, the first one the one after it, where both fit into ``most``.
 
-def table_of_contents(rows: DataFrame, group: str, position: str, content: str = "content", least_run: int = 5) -> DataFrame:
-    """Entries (title, page) of runs of at least so many neighbouring lines that end in a page number."""
-    pattern = r"^\s*(.*?\S)\s*(?:\.{2,}|\||\s{2,}|\t)\s*(\d{1,4})\s*$"
+    The two folds look at sizes only and grow a list only where a piece begins; all else is slices of the document's
+    lines, so a document is read where it lies and nothing is shuffled. A null text is empty and has no chunk.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n").alias("lines"))
+    heading, rule = r"^\s{0,3}(#{1,3})\s+(\S.*)$", r"^-{5,}\s*$"
+    sized = F.transform("lines", lambda x, i: F.struct(i.alias("at"), (F.length(x) + 1).alias("n"), x.rlike(r"^\s{0,3}#{1,3}\s").alias("head"), x.rlike(rule).cast("int").alias("ends_page")))
+
+    def next_line(state: Column, x: Column) -> Column:
+        full = (state["size"] >= most) | (x["head"] & (state["size"] > most / 4))
+        begins = F.array_append(state["begins"], F.struct(x["at"].alias("at"), state["page"].alias("page")))
+        return F.struct(
+            (F.when(full, 0).otherwise(state["size"]) + x["n"]).alias("size"), (state["page"] + x["ends_page"]).alias("page"), F.when(full, begins).otherwise(state["begins"]).alias("begins")
+        )
+
+    start = F.struct(F.lit(0).alias("size"), F.lit(1).alias("page"), F.array(F.struct(F.lit(0).alias("at"), F.lit(1).alias("page"))).alias("begins"))
+    rows = rows.withColumn("cut", F.aggregate(sized, start, next_line))
+    last = F.array(F.struct(F.size("lines").alias("at"), F.col("cut.page").alias("page")))
+    ends = F.concat(F.slice("cut.begins", 2, F.size("cut.begins")), last)
+    piece = lambda b, e: F.slice("lines", b["at"] + 1, e["at"] - b["at"])
+    title = lambda b, e: F.get(F.filter(piece(b, e), lambda x: x.rlike(heading)), F.lit(0))
+    parts = F.zip_with("cut.begins", ends, lambda b, e: F.struct(F.concat(F.array_join(piece(b, e), "\n"), F.lit("\n")).alias("text"), title(b, e).alias("head"), b["page"].alias("first"), e["page"].alias("last")))
+    rows = rows.select("key", F.col("cut.page").alias("pages"), F.filter(parts, lambda p: p["text"].rlike(r"\S")).alias("parts"))
+
+    def next_part(state: Column, x: Column) -> Column:
+        joins = (x["at"] > 0) & (x["n"] < least) & (state["size"] + x["n"] <= most)
+        begins = F.array_append(state["begins"], F.struct(x["at"].alias("at"), state["total"].alias("before"), x["n"].alias("n")))
+        return F.struct((F.when(joins, state["size"] + 1).otherwise(0) + x["n"]).alias("size"), (state["total"] + x["n"]).alias("total"), F.when(joins, state["begins"]).otherwise(begins).alias("begins"))
+
+    lengths = F.transform("parts", lambda p, i: F.struct(i.alias("at"), F.length(p["text"]).alias("n")))
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("total"), F.array().cast("array<struct<at:int,before:int,n:int>>").alias("begins"))
+    rows = rows.withColumn("cut", F.aggregate(lengths, start, next_part))
+    last = F.array(F.struct(F.size("parts").alias("at"), F.col("cut.total").alias("before"), F.lit(0).alias("n")))
+    ends = F.concat(F.slice("cut.begins", 2, F.size("cut.begins")), last)
+    spans = F.zip_with("cut.begins", ends, lambda b, e: F.struct(b.alias("b"), e.alias("e")))
+    rows = rows.select("key", "pages", "parts", F.when(F.size("parts") > 0, spans).alias("spans"))
+    # A short first chunk takes the second in.
+    two = lambda k: F.aggregate(F.slice("parts", F.get("spans", F.lit(k))["b"]["at"] + 1, F.get("spans", F.lit(k))["e"]["at"] - F.get("spans", F.lit(k))["b"]["at"]), F.lit(-1), lambda n, p: n + 1 + F.length(p["text"]))
+    short = (F.size("spans") > 1) & (two(0) < least) & (two(0) + two(1) <= most)
+    joined = F.concat(F.array(F.struct(F.get("spans", F.lit(0))["b"].alias("b"), F.get("spans", F.lit(1))["e"].alias("e"))), F.slice("spans", 3, F.size("spans")))
+    rows = rows.select("key", "pages", "parts", F.when(short, F.get("spans", F.lit(1))["b"]["at"]).otherwise(F.lit(0)).alias("lead"), F.when(F.coalesce(short, F.lit(False)), joined).otherwise(F.col("spans")).alias("spans"))
+    # An outer explode: a filter on the lists would be pushed down and would build them once more.
+    rows = rows.select("key", "pages", "parts", "lead", F.posexplode_outer("spans").alias("chunk", "span")).where("chunk IS NOT NULL")
+    own = F.slice("parts", F.col("span.b.at") + 1, F.col("span.e.at") - F.col("span.b.at"))
+    head = F.coalesce(F.when(F.col("chunk") == 0, F.get("parts", F.col("lead"))["head"]), F.get(own, F.lit(0))["head"])
+    paged = F.col("pages") > 1
+    virtual = lambda n: F.floor(n / page_size).cast("int") + 1
+    return rows.select(
+        "key", "chunk", F.trim(F.nullif(F.regexp_extract(head, heading, 2), F.lit(""))).alias("heading"), F.when(head.isNotNull(), F.length(F.regexp_extract(head, heading, 1))).alias("heading_level"),
+        F.when(paged, F.get(own, F.lit(0))["first"]).otherwise(virtual(F.col("span.b.before"))).alias("start_page"),
+        F.when(paged, F.element_at(own, -1)["last"]).otherwise(virtual(F.col("span.e.before"))).alias("end_page"),
+        F.when(paged, "physical").otherwise("virtual").alias("page_source"), F.array_join(F.transform(own, lambda p: p["text"]), "\n").alias("text"),
+    )
+
+
+def _marked_blocks(rows: DataFrame, group: str, position: str, content: str, opens: str) -> DataFrame:
+    """Lines of blocks that begin with a heading of a pattern, up to the next heading: block numbers them, head marks the first."""
     order = Window.partitionBy(group).orderBy(position)
-    marked = rows.withColumn("_e", F.coalesce(F.col(content).rlike(pattern), F.lit(False)))
-    marked = marked.withColumn("_run", F.sum((~F.col("_e")).cast("int")).over(order)).where("_e")
-    size = F.count("*").over(Window.partitionBy(group, "_run"))
-    kept = marked.withColumn("_n", size).where(F.col("_n") >= least_run)
-    return kept.select(group, position, F.regexp_extract(content, pattern, 1).alias("title"), F.regexp_extract(content, pattern, 2).cast("int").alias("page"))
-
-
-def glossary(rows: DataFrame, group: str, content: str = "content") -> DataFrame:
-    """term and definition of lines such as ``**Term**: text``, ``Term :: text`` or ``Term — text``."""
-    pattern = r"^\s*(?:\*\*([^*]{2,60})\*\*\s*:|([A-Z][^:—]{1,60}?)\s+::|([A-Z][^:—]{1,60}?)\s+—)\s+(.{10,})$"
-    part = lambda k: F.regexp_extract(content, pattern, k)
-    return rows.where(F.col(content).rlike(pattern)).select(group, F.trim(F.concat(part(1), part(2), part(3))).alias("term"), F.trim(part(4)).alias("definition"))
+    heading = F.coalesce(F.col(content).rlike(r"^#{1,4}\s+"), F.lit(False))
+    rows = rows.withColumns({"head": F.coalesce(F.col(content).rlike(opens), F.lit(False)), "_h": heading}).withColumn("block", F.sum(F.col("_h").cast("int")).over(order))
+    return rows.withColumn("_in", F.max("head").over(Window.partitionBy(group, "block"))).where("_in").drop("_in", "_h")
+
+
+def table_of_contents(rows: DataFrame, group: str, position: str, content: str = "content", least_run: int = 5) -> DataFrame:
+    """group, entry, title, level, page of the contents blocks of documents, and of runs of contents lines without a heading.
+
+    Below a contents heading, until the next heading or a third blank line in a row: links and numbered bold titles are
+    chapters without a page, dotted lines are entries with one; the pages found in the block are dealt to the chapters
+    in order. A document without such a heading: runs of ``least_run`` contents lines or more (blank lines don't end one).
+    """
+    order = Window.partitionBy(group, "block").orderBy(position)
+    text = F.col(content)
+    block = _marked_blocks(rows, group, position, content, P.TOC_HEADING)
+    blank = (F.trim(text) == "").cast("int")
+    third = F.sum(blank).over(order.rowsBetween(-2, 0)) == 3
+    block = block.withColumn("_over", F.max(third).over(order)).where(~F.col("_over") & ~F.col("head"))
+    kind = F.when(text.rlike(P.TOC_LINK), "link").when(text.rlike(P.TOC_BOLD), "bold").when(text.rlike(P.TOC_DOTTED), "dotted").when(text.rlike(P.TOC_BOLD_PAGE), "page")
+    block = block.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    part = lambda pattern, k: F.regexp_extract(text, pattern, k)
+    title = F.when(F.col("kind") == "link", part(P.TOC_LINK, 1)).when(F.col("kind") == "bold", F.regexp_replace(F.trim(part(P.TOC_BOLD, 2)), r"\.+$", "")).otherwise(F.regexp_replace(part(P.TOC_DOTTED, 1), r"\*+", ""))
+    page = F.when(F.col("kind") == "dotted", part(P.TOC_DOTTED, 2)).when(F.col("kind") == "page", part(P.TOC_BOLD_PAGE, 1))
+    block = block.withColumns({"title": F.trim(title), "page": F.try_to_number(page, F.lit("999999999")).cast("int")})
+    # The k-th chapter of a block gets its k-th page.
+    chapters = block.where(F.col("kind").isin("link", "bold")).withColumn("k", F.row_number().over(order)).select(group, "block", position, "title", F.lit(1).alias("level"), "k")
+    pages = block.where(F.col("page") >= 1).withColumn("k", F.row_number().over(order)).select(group, "block", "k", "page")
+    dealt = chapters.join(pages, [group, "block", "k"], "left").select(group, position, "title", "level", "page")
+    dotted = block.where((F.col("kind") == "dotted") & (F.length("title") > 1)).select(group, position, "title", F.lit(2).alias("level"), "page")
+    found = dealt.unionByName(dotted)
+    # Runs of contents lines, in documents that have no block.
+    whole = Window.partitionBy(group).orderBy(position)
+    line = F.coalesce(text.rlike(P.TOC_LINE), F.lit(False))
+    runs = rows.withColumns({"_e": line, "_b": F.coalesce(F.trim(text) == "", F.lit(True))}).withColumn("_run", F.sum((~F.col("_e") & ~F.col("_b")).cast("int")).over(whole)).where("_e")
+    runs = runs.withColumn("_n", F.count("*").over(Window.partitionBy(group, "_run"))).where(F.col("_n") >= least_run)
+    first = runs.groupBy(group).agg(F.min("_run").alias("_run"))
+    runs = runs.join(first, [group, "_run"]).join(found.select(group).distinct(), group, "left_anti")
+    linked = text.rlike(r"\[.+?\]")
+    listed = runs.select(group, position, F.trim(F.when(linked, part(r"\[(.+?)\]", 1)).otherwise(part(P.TOC_NUMBERED, 1))).alias("title"), F.lit(1).alias("level"), F.when(~linked, F.try_to_number(part(P.TOC_NUMBERED, 2), F.lit("999999999"))).cast("int").alias("page"))
+    return found.unionByName(listed.where("title <> ''")).select(group, F.col(position).alias("entry"), "title", "level", "page")
+
+
+def glossary(rows: DataFrame, group: str, position: str, content: str = "content") -> DataFrame:
+    """group, term, definition of the lines below a glossary heading, up to the next one: bold terms, terms with a colon, table rows."""
+    text = F.col(content)
+    block = _marked_blocks(rows, group, position, content, P.GLOSSARY_HEADING).where("NOT head")
+    which = F.when(text.rlike(P.GLOSSARY_BOLD), F.lit(P.GLOSSARY_BOLD)).when(text.rlike(P.GLOSSARY_COLON), F.lit(P.GLOSSARY_COLON)).when(text.rlike(P.GLOSSARY_TABLE) & ~text.rlike(r"^[\s|:-]+$"), F.lit(P.GLOSSARY_TABLE))
+    part = lambda k: F.trim(F.when(which == P.GLOSSARY_BOLD, F.regexp_extract(text, P.GLOSSARY_BOLD, k)).when(which == P.GLOSSARY_COLON, F.regexp_extract(text, P.GLOSSARY_COLON, k)).otherwise(F.regexp_extract(text, P.GLOSSARY_TABLE, k)))
+    return block.where(which.isNotNull()).select(group, part(1).alias("term"), part(2).alias("definition"))
 
 
 def link_contents(entries: DataFrame, sections: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def hit_ranks(results: DataFrame, gold: DataFrame, depth: int = 10) -> DataFrame:
-    """query_id, n_gold, first_rank (from 1, null without a hit), n_hits, average_precision within ``depth``.
+    """query_id, n_gold, ranks, first_rank (from 1, null without a hit), n_hits, average_precision within ``depth``.
 
     results: query_id, rank (from 1), node_id; gold: query_id, node_id (queries without gold have none here).
     """
@@ -19,7 +19,7 @@ def hit_ranks(results: DataFrame, gold: DataFrame, depth: int = 10) -> DataFrame
     rows = n.join(hits, "query_id", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
     precision = F.aggregate(F.transform("ranks", lambda r, k: (k + 1) / r), F.lit(0.0), lambda a, x: a + x)
     return rows.select(
-        "query_id", "n_gold", F.array_min("ranks").alias("first_rank"), F.size("ranks").alias("n_hits"),
+        "query_id", "n_gold", "ranks", F.array_min("ranks").alias("first_rank"), F.size("ranks").alias("n_hits"),
         (precision / F.least(F.col("n_gold"), F.lit(depth))).alias("average_precision"),
     )
 
@@ -54,3 +54,9 @@ def rank_accuracy(feedback: DataFrame) -> DataFrame:
     """Positive and negative signals of each rank, and their accuracy."""
     rows = feedback.groupBy("result_rank").agg(F.count_if(F.col("signal") == "positive").alias("positive"), F.count_if(F.col("signal") == "negative").alias("negative"))
     return rows.withColumn("accuracy", F.col("positive") / F.nullif(F.col("positive") + F.col("negative"), F.lit(0)))
+
+
+def recall_at(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20), by: list[str] | None = None) -> DataFrame:
+    """Mean share of a query's gold nodes among its first k results, for each k; ``hit_ranks`` must reach that deep."""
+    within = lambda k: F.avg(F.size(F.filter("ranks", lambda r: r <= k)) / F.col("n_gold")).alias(f"recall_{k}")
+    return ranks.groupBy(*(by or [])).agg(*[within(k) for k in ks])

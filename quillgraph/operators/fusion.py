@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.config import DEFAULT, PHASES, EngineConfig
+from quillgraph.state import written
 
 
 def contributions(phases: dict[str, DataFrame], weights: dict[str, float], normalise: bool = True) -> DataFrame:
@@ -32,11 +33,23 @@ def fuse(rows: DataFrame) -> DataFrame:
 
 
 def percentile_floor(rows: DataFrame, score: str, percentile: float) -> DataFrame:
-    """One row, ``floor``: element floor(n * p) (from 0) of the scores in ascending order."""
-    n = rows.agg(F.count("*").alias("_n"))
-    ranked = rows.select(score).withColumn("_rank", F.row_number().over(Window.orderBy(score)) - 1)
-    at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(percentile)))
-    return ranked.crossJoin(F.broadcast(n)).where(F.col("_rank") == at).select(F.col(score).alias("floor"))
+    """One row, ``floor``: element floor(n * p) (from 0) of the scores in ascending order; nulls don't count, none gives no row.
+
+    Equal scores are counted first; ranges of scores are then summed, and only the range with the element is ranked. The
+    driver gets one sum for each range.
+    """
+    counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("floor")).agg(F.count("*").alias("n"))
+    counts = written(counts.repartitionByRange("floor").select("floor", "n", F.spark_partition_id().alias("part")), "ranges")
+    sums = counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    total, before, part = sum(r["n"] for r in sums), 0, None
+    at = min(total - 1, int(total * percentile))
+    for r in sums:
+        if before + r["n"] > at:
+            part = r["part"]
+            break
+        before += r["n"]
+    upto = F.sum("n").over(Window.orderBy("floor"))
+    return counts.where(F.col("part") == F.lit(part)).withColumn("_upto", upto).where(F.col("_upto") > at - before).agg(F.min("floor").alias("floor")).where("floor IS NOT NULL")
 
 
 def principal(fused: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -54,8 +67,9 @@ def principal(fused: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
 
 def integrity(chosen: DataFrame, structural: DataFrame, cross_document: DataFrame, contradicts: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """node_id, provenance, contradicted: principal entries, their structural neighbours, strong cross-document ones."""
-    near = structural.join(F.broadcast(chosen.select(F.col("node_id").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node_id"), F.lit("structural").alias("provenance"))
-    strong = cross_document.where(F.col("score") >= config.integrity_min).select("node_id", F.lit("cross_document").alias("provenance"))
+    near = structural.join(chosen.select(F.col("node_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("node_id"), F.lit("structural").alias("provenance"))
+    near = near.join(chosen.select("node_id"), "node_id", "left_anti")
+    strong = cross_document.where(F.col("score") >= config.integrity_min).select("node_id", F.lit("cross_document").alias("provenance")).join(chosen.select("node_id"), "node_id", "left_anti")
     rows = chosen.select("node_id", F.lit("principal").alias("provenance")).unionByName(near).unionByName(strong)
     flagged = contradicts.select(F.col("dst").alias("node_id")).distinct().withColumn("contradicted", F.lit(True))
     return rows.join(flagged, "node_id", "left").withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.config import DEFAULT, EngineConfig
+from quillgraph.state import written
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -67,6 +68,36 @@ def next_edges(nodes: DataFrame, parent: list[str], position: str, relation: str
     return rows.select("src", F.col("node_id").alias("dst"), F.lit(relation).alias("relation"))
 
 
+def adjacent_edges(nodes: DataFrame, parent: list[str], position: str, kind: str = "node_type") -> DataFrame:
+    """NEXT_PARA between neighbouring paragraphs of a parent, ADJACENT_TO between a paragraph and a neighbour of another kind."""
+    order = Window.partitionBy(*parent).orderBy(position)
+    rows = nodes.withColumns({"src": F.lag("node_id").over(order), "_kind": F.lag(kind).over(order)}).where(F.col("src").isNotNull())
+    paragraphs = (F.col(kind) == "Paragraph") & (F.col("_kind") == "Paragraph")
+    mixed = (F.col(kind) == "Paragraph") != (F.col("_kind") == "Paragraph")
+    return rows.where(paragraphs | mixed).select("src", F.col("node_id").alias("dst"), F.when(paragraphs, "NEXT_PARA").otherwise("ADJACENT_TO").alias("relation"))
+
+
+def belongs_edges(nodes: DataFrame) -> DataFrame:
+    """BELONGS_TO from each node to its section, or to its document where it has none."""
+    return nodes.select(F.col("node_id").alias("src"), F.coalesce("section_id", "document_id").alias("dst"), F.lit("BELONGS_TO").alias("relation"))
+
+
+def keep_first(edges: DataFrame, order: str) -> DataFrame:
+    """One edge of each (src, dst, relation), the first by ``order``; all columns as they are."""
+    first = edges.groupBy("src", "dst", "relation").agg(F.min_by(F.struct(*edges.columns), order).alias("e"))
+    return first.select("e.*")
+
+
+def cross_edges(similar: DataFrame, mentions: DataFrame, paragraphs: DataFrame, titles: DataFrame, documents: DataFrame) -> DataFrame:
+    """document_id, relation, other, title: what the given documents are tied to, by similarity (either end) or by the
+    entities of their paragraphs, with the other end's title. documents: document_id (few); titles: node_id, title."""
+    ties = undirected(similar.select("src", "dst")).select(F.col("src").alias("document_id"), F.col("dst").alias("other"), F.lit("SIMILAR_TO").alias("relation"))
+    ties = ties.join(documents, "document_id", "left_semi")
+    own = paragraphs.join(documents, "document_id", "left_semi").select("document_id", "node_id")
+    named = mentions.join(own, "node_id").select("document_id", F.col("slug").alias("other"), F.lit("MENTIONS").alias("relation"))
+    return ties.unionByName(named).distinct().join(titles.withColumnRenamed("node_id", "other"), "other", "left").select("document_id", "relation", "other", "title")
+
+
 def structure_edges(sections: DataFrame) -> DataFrame:
     """HAS_CHILD and NEXT_SIBLING of sections (node_id, document_id, parent_id, doc_position)."""
     up = F.coalesce("parent_id", "document_id")
@@ -130,24 +161,26 @@ def evergreen(edges: DataFrame, nodes: DataFrame, least: int = DEFAULT.evergreen
     return rows.withColumn("decay_class", F.when(F.col("indegree") >= least, "EVERGREEN").otherwise(F.col("decay_class")))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 30, write=None) -> DataFrame:
-    """node_id, label after synchronous rounds: the most frequent label of the neighbours, ties to the smaller one.
+def label_propagation(edges: DataFrame, sweeps: int = 30, turn: Column | None = None) -> DataFrame:
+    """node_id, label after at most so many sweeps: the most frequent label of the neighbours, ties to the smaller one.
 
-    A node without neighbours isn't in the edges and has no label. ``write`` (frame, round -> frame) cuts the lineage;
-    rounds end early once no label changes, if it is given.
+    A sweep has two halves, in which the nodes of turn 0 and then those of turn 1 vote (by a hash unless given), so that
+    two sides of a graph can't swap labels for ever. It ends once a sweep changes nothing. Labels lie in the shared
+    folder between halves. A node without neighbours isn't in the edges and has no label.
     """
-    near = undirected(edges.select("src", "dst")).where("src <> dst").distinct()
-    labels = near.select(F.col("src").alias("node_id")).distinct().withColumn("label", F.col("node_id"))
-    for k in range(rounds):
-        votes = near.join(labels, F.col("dst") == F.col("node_id")).groupBy("src", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("b"))
-        after = best.select(F.col("src").alias("node_id"), F.col("b.label").alias("label"))
-        if write is not None:
-            after = write(after, k)
-            if after.join(labels, ["node_id", "label"], "left_anti").isEmpty():
-                return after
-        labels = after
-    return labels
+    near = written(undirected(edges.select("src", "dst")).where("src <> dst").distinct(), "near")
+    turn = F.pmod(F.xxhash64("node_id"), F.lit(2)) if turn is None else turn
+    labels = near.select(F.col("src").alias("node_id")).distinct().select("node_id", F.col("node_id").alias("label"), turn.cast("int").alias("turn"), F.lit(False).alias("moved"))
+    labels, still = written(labels, "labels"), 0
+    for half in range(2 * sweeps):
+        votes = near.join(labels.select(F.col("node_id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))
+        best = votes.groupBy(F.col("src").alias("node_id")).agg(F.min(F.struct((-F.col("n")).alias("m"), "label"))["label"].alias("best"))
+        now = F.when(F.col("turn") == half % 2, F.col("best")).otherwise(F.col("label"))
+        labels = written(labels.join(best, "node_id").select("node_id", now.alias("label"), "turn", (now != F.col("label")).alias("moved")), "labels")
+        still = still + 1 if labels.where("moved").isEmpty() else 0
+        if still == 2:
+            break
+    return labels.select("node_id", "label")
 
 
 def communities(labels: DataFrame, least_size: int = 2, most_members: int = 30) -> DataFrame:
@@ -185,6 +218,11 @@ def cascade_delete(nodes: DataFrame, edges: DataFrame, document_id) -> tuple[Dat
     return nodes.join(gone, "node_id", "left_anti"), left.select(*edges.columns)
 
 
+def without_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes that some edge touches."""
+    return nodes.join(edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct(), "node_id", "left_semi")
+
+
 def duplicate_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "relation").agg(F.count("*").alias("n")).where("n > 1")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.state import written
+
 
 def read_classes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Class names, and child, parent rows, of RDF/XML files; one row is read per class element."""
@@ -81,3 +83,61 @@ def lane_weights(lanes: DataFrame) -> DataFrame:
     total = sizes.agg(F.sum(F.sqrt("n")).alias("_all"))
     order = Window.orderBy(F.desc("n"), "lane")  # one row a lane
     return sizes.crossJoin(F.broadcast(total)).select("lane", "n", (F.sqrt("n") / F.col("_all")).alias("share"), F.row_number().over(order).alias("place"))
+
+
+def category_tree(hierarchy: DataFrame, categories: DataFrame, depth: int = 32) -> DataFrame:
+    """name, parent of categories: the nearest ancestor that is a category too, the smallest of equals; null for a root.
+
+    hierarchy: child, parent; categories: name. A climb stops at the first category that it meets.
+    """
+    names = categories.select("name").distinct()
+    front = names.select("name", F.col("name").alias("at"))
+    found = None
+    for k in range(1, depth + 1):
+        step = front.join(hierarchy, F.col("at") == F.col("child")).select("name", F.col("parent").alias("at")).where("name <> at").distinct()
+        met = step.join(names.select(F.col("name").alias("at")), "at", "left_semi").groupBy("name").agg(F.min("at").alias("parent"))
+        found = met if found is None else found.unionByName(met)
+        front = written(step.join(met.select("name"), "name", "left_anti"), "climb")
+        if front.isEmpty():
+            break
+    return names.join(found, "name", "left").select("name", "parent")
+
+
+def subtree_weights(tree: DataFrame, sizes: DataFrame, depth: int = 32) -> DataFrame:
+    """name, parent, weight: the square root of a category's own size (1 where it has none), and of all below it.
+
+    tree: name, parent; sizes: name, n.
+    """
+    own = tree.join(sizes, "name", "left").select("name", "parent", F.sqrt(F.coalesce("n", F.lit(1))).alias("own"))
+    up = own.select("name", F.col("name").alias("at"), "own")
+    found = up.select("at", "own")
+    for _ in range(depth):
+        up = written(up.join(tree.select(F.col("name").alias("at"), "parent"), "at").where("parent IS NOT NULL").select("name", F.col("parent").alias("at"), "own"), "up")
+        if up.isEmpty():
+            break
+        found = found.unionByName(up.select("at", "own"))
+    return own.select("name", "parent").join(found.groupBy(F.col("at").alias("name")).agg(F.sum("own").alias("weight")), "name")
+
+
+def angles(weights: DataFrame, floor: float = 8.0, depth: int = 32) -> DataFrame:
+    """name, start, end in degrees: each category's part of its parent's arc by weight, heaviest first, ties by name.
+
+    A part is at least ``floor`` where the arc has room for all; what that takes comes from the larger parts in proportion.
+    """
+    placed = weights.where("parent IS NULL").select("name", F.lit(None).cast("string").alias("parent"), "weight", F.lit(0.0).alias("a0"), F.lit(360.0).alias("a1"))
+    found = None
+    for _ in range(depth):
+        arc, total, kids = F.col("a1") - F.col("a0"), F.sum("weight").over(Window.partitionBy("parent")), F.count("*").over(Window.partitionBy("parent"))
+        rows = placed.withColumns({"_slice": F.col("weight") / total * arc, "_room": arc >= kids * floor})
+        low = F.col("_slice") < floor
+        lack = F.sum(F.when(low, floor - F.col("_slice")).otherwise(0.0)).over(Window.partitionBy("parent"))
+        rest = F.sum(F.when(low, 0.0).otherwise(F.col("_slice"))).over(Window.partitionBy("parent"))
+        fitted = F.when(~F.col("_room") | (rest <= 0), F.col("_slice")).when(low, floor).when(F.col("_slice") > floor, F.col("_slice") - lack * F.col("_slice") / rest).otherwise(F.col("_slice"))
+        order = Window.partitionBy("parent").orderBy(F.desc("weight"), "name")
+        rows = rows.withColumn("_fit", fitted).withColumn("_upto", F.sum("_fit").over(order))
+        rows = written(rows.select("name", (F.col("a0") + F.col("_upto") - F.col("_fit")).alias("start"), (F.col("a0") + F.col("_upto")).alias("end")), "arcs")
+        found = rows if found is None else found.unionByName(rows)
+        placed = weights.join(rows.select(F.col("name").alias("parent"), F.col("start").alias("a0"), F.col("end").alias("a1")), "parent").select("name", "parent", "weight", "a0", "a1")
+        if placed.isEmpty():
+            break
+    return found

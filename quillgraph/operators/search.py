@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,12 +78,12 @@ def entity_pivot(mentions: DataFrame, slugs: DataFrame, seen: DataFrame | None,
     """
     slugs = slugs.distinct()
     total = slugs.agg(F.count("*").alias("_n"))
-    hit = mentions.join(F.broadcast(slugs), "slug", "left_semi").groupBy("node_id").agg(F.countDistinct("slug").alias("shared"))
+    hit = mentions.join(slugs, "slug", "left_semi").groupBy("node_id").agg(F.countDistinct("slug").alias("shared"))
     if seen is not None:
         hit = hit.join(seen.select("node_id").distinct(), "node_id", "left_anti")
     hit = hit.crossJoin(F.broadcast(total)).withColumn("score", F.col("shared") / F.col("_n")).drop("_n")
     if adamic_adar is not None:
-        ties = adamic_adar.join(F.broadcast(slugs), "slug").select(F.col("other").alias("slug"), "weight")
+        ties = adamic_adar.join(slugs, "slug").select(F.col("other").alias("slug"), "weight")
         best = mentions.join(ties, "slug").groupBy("node_id").agg(F.max("weight").alias("_aa"))
         hit = hit.join(best, "node_id", "left").withColumn("score", F.col("score") + 0.2 * F.coalesce("_aa", F.lit(0.0))).drop("_aa")
     return top(hit, k)
@@ -98,27 +100,85 @@ def cluster_summaries(clusters: DataFrame, terms: list[str], k: int) -> DataFram
     return term_overlap(clusters, terms, k, content="summary")
 
 
-def cross_document(similar: DataFrame, paragraphs: DataFrame, seeds: DataFrame, slugs: list[str], k: int, least_weight: float = 0.3) -> DataFrame:
-    """Paragraphs of documents one similarity edge away from the seeds, best entity overlap first, scored by the edge.
+def cross_document(
+    similar: DataFrame, paragraphs: DataFrame, seeds: DataFrame, slugs: list[str], k: int, least_weight: float = 0.3, depth: int = 1, tags: list[str] | None = None
+) -> DataFrame:
+    """Paragraphs of documents within ``depth`` similarity edges of the seeds, best entity overlap first, scored by the last edge.
 
-    similar: src, dst, weight (either direction); paragraphs: node_id, document_id, entity_slugs; seeds: document_id.
+    The last edge is heavier than ``least_weight``, or shares a tag with the query if edges have tags. similar: src, dst,
+    weight and perhaps tags[] (either direction); paragraphs: node_id, document_id, entity_slugs; seeds: document_id (few).
+    A document reached several times counts with its heaviest last edge; hops are the fewest.
     """
+    strings = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    shared = F.coalesce(F.arrays_overlap("tags", strings(tags)), F.lit(False)) if tags and "tags" in similar.columns else F.lit(False)
+    edges = similar.select("src", "dst", "weight", ((F.col("weight") > least_weight) | shared).alias("good"))
+    edges = edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
     seeds = seeds.select("document_id").distinct()
-    edges = similar.select("src", "dst", "weight").unionByName(similar.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    reached = edges.where(F.col("weight") > least_weight).join(F.broadcast(seeds), F.col("src") == F.col("document_id"), "left_semi")
-    reached = reached.groupBy(F.col("dst").alias("document_id")).agg(F.max("weight").alias("score"))
-    reached = reached.join(F.broadcast(seeds), "document_id", "left_anti")
-    wanted = F.array(*[F.lit(s) for s in slugs]).cast("array<string>")
-    found = paragraphs.join(reached, "document_id").withColumn("overlap", F.size(F.array_intersect(F.coalesce("entity_slugs", F.array().cast("array<string>")), wanted)))
+    front, parts = seeds, []
+    for hop in range(1, depth + 1):
+        step = edges.join(front, F.col("src") == F.col("document_id"), "left_semi")
+        parts.append(step.where("good").groupBy(F.col("dst").alias("document_id")).agg(F.max("weight").alias("score")).withColumn("hops", F.lit(hop)))
+        front = step.select(F.col("dst").alias("document_id")).distinct()
+    reached = reduce(DataFrame.unionByName, parts).groupBy("document_id").agg(F.max("score").alias("score"), F.min("hops").alias("hops"))
+    reached = reached.join(seeds, "document_id", "left_anti")
+    found = paragraphs.join(reached, "document_id").withColumn("overlap", F.size(F.array_intersect(F.coalesce("entity_slugs", strings([])), strings(slugs))))
     if slugs:
         found = found.where("overlap > 0")
     return found.orderBy(F.desc("overlap"), F.desc("score"), "node_id").limit(k)
 
 
-def answers_same(edges: DataFrame, seeds: DataFrame, seen: DataFrame, k: int, score: float = 0.7) -> DataFrame:
-    """Paragraphs that answer a seed's question too (src, dst), at a constant score."""
-    found = edges.join(F.broadcast(seeds.select(F.col("node_id").alias("src")).distinct()), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct()
-    return top(found.join(seen.select("node_id").distinct(), "node_id", "left_anti").withColumn("score", F.lit(score)), k)
+def question_classes(questions: DataFrame) -> DataFrame:
+    """node_id, class_id, n_others: nodes with the same question (key) are a class, named after the smallest of them.
+
+    A class of n nodes stands for n (n - 1) ANSWERS_SAME edges, which are never written out.
+    """
+    classes = questions.groupBy("key").agg(F.min("node_id").alias("class_id"), (F.count("*") - 1).alias("n_others"))
+    return questions.join(classes, "key").select("node_id", "class_id", "n_others")
+
+
+def answers_same(classes: DataFrame, seeds: DataFrame, seen: DataFrame, k: int, score: float = 0.7) -> DataFrame:
+    """Nodes of the seeds' question classes (node_id, class_id), at a constant score."""
+    wanted = classes.join(seeds.select("node_id").distinct(), "node_id", "left_semi").select("class_id").distinct()
+    found = classes.join(wanted, "class_id", "left_semi").select("node_id").distinct()
+    return top(found.join(seen.select("node_id").unionByName(seeds.select("node_id")).distinct(), "node_id", "left_anti").withColumn("score", F.lit(score)), k)
+
+
+def community_pivot(mentions: DataFrame, members: DataFrame, slugs: DataFrame, seen: DataFrame, k: int, score: float = 0.35) -> DataFrame:
+    """Nodes that mention other members of the slugs' communities, at a constant score. members: slug, label."""
+    slugs = slugs.select("slug").distinct()
+    labels = members.join(slugs, "slug", "left_semi").select("label").distinct()
+    others = members.join(labels, "label", "left_semi").join(slugs, "slug", "left_anti").select("slug")
+    found = mentions.join(others, "slug", "left_semi").select("node_id").distinct().join(seen.select("node_id").distinct(), "node_id", "left_anti")
+    return top(found.withColumn("score", F.lit(score)), k)
+
+
+def adamic_pivot(mentions: DataFrame, ties: DataFrame, slugs: DataFrame, seen: DataFrame, k: int, least: float = 0.5, factor: float = 0.4) -> DataFrame:
+    """Nodes that mention entities strongly tied to the slugs, by the strongest tie. ties: slug, other, weight."""
+    near = ties.where(F.col("weight") >= least).join(slugs.select("slug").distinct(), "slug", "left_semi").groupBy(F.col("other").alias("slug")).agg(F.max("weight").alias("weight"))
+    found = mentions.join(near, "slug").groupBy("node_id").agg((F.max("weight") * factor).alias("score"))
+    return top(found.join(seen.select("node_id").distinct(), "node_id", "left_anti"), k)
+
+
+def postings(nodes: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """The stored text index: (word, node_id, tf, dl) of every word but stop words, and one row (n, avg) of statistics.
+
+    Written clustered by word, a query reads the rows of its few words and none of the texts.
+    """
+    words = nodes.select("node_id", F.explode(T.long_words(F.col(content))).alias("word")).where(~F.col("word").isin(T.STOPWORDS))
+    rows = words.groupBy("node_id", "word").agg(F.count("*").alias("tf"))
+    rows = rows.join(rows.groupBy("node_id").agg(F.sum("tf").alias("dl")), "node_id").select("word", "node_id", "tf", "dl")
+    total = nodes.agg(F.count("*").alias("n")).crossJoin(rows.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("len")))
+    return rows, total.select("n", (F.col("len") / F.col("n")).alias("avg"))
+
+
+def bm25_postings(index: DataFrame, stats: DataFrame, terms: list[str], k: int, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Top k by BM25 from stored postings; the words' rows are all that is read."""
+    rows = index.where(F.col("word").isin(list(terms)))
+    df = rows.groupBy("word").agg(F.count("*").alias("df"))  # one row a term of the query
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * F.col("dl") / F.col("avg"))
+    rows = rows.join(F.broadcast(df.crossJoin(stats)), "word").select("node_id", (idf * F.col("tf") * (config.bm25_k1 + 1) / (F.col("tf") + norm)).alias("s"))
+    return top(rows.groupBy("node_id").agg(F.sum("s").alias("score")).where("score > 0"), k)
 
 
 def facets(docs: DataFrame, words: str, haystack: Column, date: Column, date_from: str | None = None, date_to: str | None = None) -> DataFrame:

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgraph.functions import patterns as P
 from quillgraph.functions import text as T
-from quillgraph.operators import docproc, graph, mutate, verify
+from quillgraph.operators import docproc, graph, mutate, search, verify
 from quillgraph.sources import adapters as A
-
-#: Rounds of label propagation in the registered query; the oracle unrolls as many.
-ROUNDS = 3
-
+from quillgraph.state import written
 
 def _supplies(spark, d):
     return A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("item"))
@@ -23,7 +21,7 @@ def traversal_hier(spark, d):
 
 
 def traversal_any(spark, d):
-    edges = A.hierarchy(spark, d).where("src NOT LIKE 'C%'")
+    edges = A.hierarchy(spark, d)
     start = A.table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node_id"))
     return graph.traverse(edges, start, 2, any_direction=True).groupBy("start", "hops").agg(F.count("*").alias("n"))
 
@@ -83,8 +81,7 @@ def section_edges(spark, d):
 
 
 def label_propagation(spark, d):
-    edges = A.part_neighbours(spark, d)
-    return graph.label_propagation(edges, ROUNDS)
+    return graph.label_propagation(A.part_neighbours(spark, d), turn=F.col("node_id") % 2)
 
 
 def community_members(spark, d):
@@ -98,12 +95,11 @@ def surprising_edges(spark, d):
 
 
 def community_pivot(spark, d):
-    """For each customer of a nation the others of it that ordered the same day: member, community, co-member."""
-    orders = A.table(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"))
-    members = A.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    rows = orders.join(members, "o_custkey").distinct()
-    other = rows.withColumnRenamed("o_custkey", "other")
-    return rows.join(other, ["day", "c_nationkey"]).where("o_custkey <> other").groupBy(F.col("o_custkey").alias("member")).agg(F.countDistinct("other").alias("n_others"))
+    """From a query's few suppliers by their nations to the other suppliers there, and the orders that mention those."""
+    mentions = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node_id"), F.col("l_suppkey").alias("slug"))
+    members = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("slug"), F.col("s_nationkey").alias("label"))
+    wanted = A.table(spark, d, "supplier").orderBy("s_suppkey").limit(3).select(F.col("s_suppkey").alias("slug"))
+    return search.community_pivot(mentions, members, wanted, mentions.select("node_id").where("node_id < 100"), 60).select("node_id", "score")
 
 
 def cascade_delete(spark, d):
@@ -133,7 +129,7 @@ def integrity_issues(spark, d):
     nested = docproc.nest_sections(A.sections(spark, d), "page_id", "pos")
     key = lambda c: F.concat(F.lit("s"), F.concat_ws("-", "page_id", c))
     sections = nested.select(key("pos").alias("node_id"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("document_id"), F.when(F.col("parent_position").isNotNull(), key("parent_position")).alias("parent_id"), "level")
-    sections, paras = sections.persist(), paras.persist()  # a dozen rules read them
+    sections, paras = written(sections, "sections"), written(paras, "paragraphs")  # a dozen rules read them
     edges = sections.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("node_id").alias("dst"), F.lit("HAS_CHILD").alias("relation"))
     edges = edges.unionByName(paras.where("length(content) > 40").select(F.col("node_id").alias("src"), F.col("document_id").alias("dst"), F.lit("BELONGS_TO").alias("relation")))
     return verify.verify(docs, sections, paras, edges).groupBy("code", "severity").agg(F.count("*").alias("n"))
@@ -166,20 +162,22 @@ SIM = """m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS i FROM lineitem), z
 sim AS (SELECT a.s AS src, b.s AS dst, count(*) AS shared, 2.0::DOUBLE * count(*) / (any_value(x.n) + any_value(y.n)) AS dice, count(*) / (any_value(x.n) + any_value(y.n) - count(*))::DOUBLE AS jaccard FROM m a JOIN m b ON a.i = b.i AND a.s < b.s JOIN z x ON x.s = a.s JOIN z y ON y.s = b.s GROUP BY a.s, b.s)"""
 ONTO = """o AS (SELECT DISTINCT * FROM (SELECT 'P' || p_partkey AS child, p_brand AS parent FROM part UNION ALL SELECT p_brand, left(p_brand, 7) FROM part UNION ALL SELECT left(p_brand, 7), 'Thing' FROM part) WHERE child <> parent)"""
 CLOSE = f"""{ONTO}, up(tag, ancestor, distance) AS (SELECT child, parent, 1 FROM o UNION SELECT u.tag, o.parent, u.distance + 1 FROM up u JOIN o ON u.ancestor = o.child WHERE u.distance < {{depth}}), cl AS (SELECT tag, ancestor, min(distance) AS distance FROM up GROUP BY ALL)"""
-MD = r"""md0 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '(?is)<nav.*?</nav>', '', 'g'), '(?is)<header.*?</header>', '', 'g'), '(?is)<footer.*?</footer>', '', 'g') AS t FROM pages),
-md1 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?is)<h1[^>]*>\s*(.*?)\s*</h1>', chr(10) || '# \1' || chr(10), 'g'), '(?is)<h2[^>]*>\s*(.*?)\s*</h2>', chr(10) || '## \1' || chr(10), 'g'), '(?is)<h3[^>]*>\s*(.*?)\s*</h3>', chr(10) || '### \1' || chr(10), 'g'), '(?is)<h4[^>]*>\s*(.*?)\s*</h4>', chr(10) || '#### \1' || chr(10), 'g'), '(?is)<h5[^>]*>\s*(.*?)\s*</h5>', chr(10) || '##### \1' || chr(10), 'g'), '(?is)<h6[^>]*>\s*(.*?)\s*</h6>', chr(10) || '###### \1' || chr(10), 'g') AS t FROM md0),
-md2 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<li[^>]*>\s*(.*?)\s*</li>', '- \1' || chr(10), 'g'), '(?i)</?(p|div|br|section|article|main|aside|blockquote|tr)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM md1),
-md3 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&quot;', '"', 'g'), '(?i)&#39;', '''', 'g'), '(?i)&apos;', '''', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&[a-z]+;', ' ', 'g') AS t FROM md2),
-md AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS markdown FROM md3)"""
+_furniture = "|".join(f"<{t}.*?</{t}>" for t in P.FURNITURE)
+_inner = r"trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))"
+_names = "MAP {" + ", ".join(f"'{k}': '{v if v != chr(39) else chr(39) * 2}'" for k, v in P.ENTITIES.items()) + "}"
+MD = rf"""md0 AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(html, '(?is){_furniture}', '', 'g'), '{T.PIECES}'), lambda x:
+ CASE WHEN regexp_matches(x, '(?is)^<h[1-6].*</h[1-6]>$') THEN chr(10) || repeat('#', substr(x, 3, 1)::INT) || ' ' || {_inner} || chr(10) WHEN regexp_matches(x, '(?is)^<li.*</li>$') THEN '- ' || {_inner} || chr(10)
+ WHEN regexp_matches(x, '(?is)^</?({"|".join(P.BLOCK_TAGS)})[^>]*>$') THEN chr(10) WHEN regexp_matches(x, '(?s)^<.+>$') THEN '' ELSE x END), '') AS t FROM pages),
+md1 AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(t, '&[a-zA-Z]+;|&#\d{{1,7}};|[^&]+|&'), lambda e: CASE WHEN regexp_matches(e, '^&#\d+;$') THEN chr(regexp_extract(e, '(\d+)', 1)::INT % 65536) WHEN regexp_matches(e, '^&[a-zA-Z]+;$') THEN coalesce({_names}[lower(regexp_extract(e, '&([a-zA-Z]+);', 1))], ' ') ELSE e END), '') AS t FROM md0),
+md AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS markdown FROM md1)"""
 SECT = MD + r""", ml AS (SELECT page_id, unnest(string_split(markdown, chr(10))) AS line, unnest(range(len(string_split(markdown, chr(10)))))::INT AS pos FROM md),
 sec AS (SELECT page_id, pos, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(line, '^#+ ', '')) AS title FROM ml WHERE regexp_matches(line, '^#{1,6} \S')),
 nest AS (SELECT s.page_id, s.pos, s.level, s.title, (SELECT max(b.pos) FROM sec b WHERE b.page_id = s.page_id AND b.pos < s.pos AND b.level < s.level) AS parent FROM sec s)"""
 PARA = "pa AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10)))))::INT AS pos FROM documents)"
-_lp = ",\n".join(f"v{k} AS (SELECT n.a, l.label, count(*) AS c FROM nb n JOIN l{k} l ON n.b = l.node_id GROUP BY n.a, l.label), l{k + 1} AS (SELECT a AS node_id, label FROM (SELECT a, label, row_number() OVER (PARTITION BY a ORDER BY c DESC, label) AS k FROM v{k}) WHERE k = 1)" for k in range(ROUNDS))
 
 ORACLE = {
     "traversal_hier": f"WITH {HIER}, e1 AS (SELECT src AS start, dst FROM h WHERE src LIKE 'R%'), e2 AS (SELECT start, h.dst FROM e1 JOIN h ON e1.dst = h.src), e3 AS (SELECT start, h.dst FROM e2 JOIN h ON e2.dst = h.src) SELECT start, hops, count(*) AS n, count(DISTINCT dst) AS n_nodes FROM (SELECT start, dst, 1 AS hops FROM e1 UNION ALL SELECT start, dst, 2 FROM e2 UNION ALL SELECT start, dst, 3 FROM e3) GROUP BY start, hops",
-    "traversal_any": f"WITH {HIER}, g AS (SELECT * FROM h WHERE src NOT LIKE 'C%'), b AS (SELECT src, dst, src || dst AS id FROM g UNION ALL SELECT dst, src, src || dst FROM g), e1 AS (SELECT src AS start, dst, id FROM b WHERE src LIKE 'N%'), e2 AS (SELECT start, b.dst FROM e1 JOIN b ON e1.dst = b.src AND e1.id <> b.id) SELECT start, hops, count(*) AS n FROM (SELECT start, 1 AS hops FROM e1 UNION ALL SELECT start, 2 FROM e2) GROUP BY ALL",
+    "traversal_any": f"WITH {HIER}, g AS (SELECT * FROM h), b AS (SELECT src, dst, src || dst AS id FROM g UNION ALL SELECT dst, src, src || dst FROM g), e1 AS (SELECT src AS start, dst, id FROM b WHERE src LIKE 'N%'), e2 AS (SELECT start, b.dst FROM e1 JOIN b ON e1.dst = b.src AND e1.id <> b.id) SELECT start, hops, count(*) AS n FROM (SELECT start, 1 AS hops FROM e1 UNION ALL SELECT start, 2 FROM e2) GROUP BY ALL",
     "ancestor_closure": f"WITH RECURSIVE {CLOSE.format(depth=3)} SELECT * FROM cl",
     "tag_distance": f"WITH RECURSIVE {CLOSE.format(depth=6)}, pr AS (SELECT DISTINCT 'P' || p_partkey AS a, 'Brand#12' AS b FROM part UNION SELECT DISTINCT p_brand, 'Brand#3' FROM part), al AS (SELECT * FROM cl UNION ALL SELECT DISTINCT t, t, 0 FROM (SELECT a AS t FROM pr UNION SELECT b FROM pr)) SELECT a, b, coalesce((SELECT min(x.distance + y.distance) FROM al x JOIN al y ON x.ancestor = y.ancestor WHERE x.tag = a AND y.tag = b), -1) AS distance FROM pr",
     "dice_similar": f"WITH {SIM} SELECT src, dst, shared, round(dice, 6) AS dice, round(jaccard, 6) AS jaccard FROM sim WHERE dice >= 0.1::DOUBLE",
@@ -191,10 +189,11 @@ ORACLE = {
     "evergreen_promotion": f"WITH {PARTS}, n AS (SELECT dst AS k, count(*) AS c FROM pn GROUP BY dst) SELECT p_partkey AS node_id, coalesce(c, 0) AS indegree, CASE WHEN coalesce(c, 0) >= 25 THEN 'EVERGREEN' ELSE 'SCHOLARLY' END AS decay_class FROM part LEFT JOIN n ON k = p_partkey",
     "next_para": f"WITH {PARA} SELECT doc_id || '-' || (pos - 1) AS src, doc_id || '-' || pos AS dst, 'NEXT_PARA' AS relation FROM pa WHERE pos > 0",
     "section_edges": f"WITH {SECT}, q AS (SELECT page_id || '-' || pos AS id, coalesce(page_id || '-' || parent, page_id::VARCHAR) AS up, page_id, pos FROM nest) SELECT up AS src, id AS dst, 'HAS_CHILD' AS relation FROM q UNION ALL SELECT * FROM (SELECT lag(id) OVER (PARTITION BY page_id, up ORDER BY pos) AS src, id, 'NEXT_SIBLING' FROM q) WHERE src IS NOT NULL",
-    "label_propagation": f"WITH {PARTS}, nb AS (SELECT DISTINCT * FROM (SELECT src AS a, dst AS b FROM pn UNION ALL SELECT dst, src FROM pn)), l0 AS (SELECT DISTINCT a AS node_id, a AS label FROM nb), {_lp} SELECT node_id, label FROM l{ROUNDS}",
+    "label_propagation": f"""WITH RECURSIVE {PARTS}, n0 AS (SELECT src AS a, dst AS b FROM pn UNION SELECT dst, src FROM pn), nb AS (SELECT a, b, 1 AS w FROM n0 UNION ALL SELECT DISTINCT a, a, 0 FROM n0),
+l(k, node_id, label) AS (SELECT 0, a, a FROM nb WHERE w = 0 UNION ALL SELECT k + 1, a, label FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, label) AS r FROM (SELECT k, a, label, sum(w) AS c FROM l JOIN nb ON b = node_id WHERE k < 60 AND (w = 0 OR a % 2 = k % 2) GROUP BY 1, 2, 3)) WHERE r = 1) SELECT node_id, label FROM l WHERE k = 60""",
     "community_members": "SELECT label, n AS member_count, string_agg(k::VARCHAR, ',' ORDER BY k) AS members FROM (SELECT c_nationkey AS label, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE r <= 30 AND n >= 2 GROUP BY label, n",
     "surprising_edges": f"WITH {PARTS} SELECT coalesce(a.p_type <> b.p_type, false) AS is_surprising, count(*) AS n FROM pn LEFT JOIN part a ON a.p_partkey = src LEFT JOIN part b ON b.p_partkey = dst GROUP BY 1",
-    "community_pivot": "WITH r AS (SELECT DISTINCT o_custkey AS k, o_orderdate::DATE AS d, c_nationkey AS n FROM orders JOIN customer ON c_custkey = o_custkey) SELECT a.k AS member, count(DISTINCT b.k) AS n_others FROM r a JOIN r b ON a.d = b.d AND a.n = b.n AND a.k <> b.k GROUP BY 1",
+    "community_pivot": "WITH q AS (SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_suppkey LIMIT 3) SELECT DISTINCT l_orderkey AS node_id, 0.35::DOUBLE AS score FROM lineitem WHERE l_orderkey >= 100 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM q) AND s_suppkey NOT IN (SELECT s_suppkey FROM q)) ORDER BY 1 LIMIT 60",
     "cascade_delete": f"WITH {HIER}, g AS (SELECT 'N' || n_nationkey AS k FROM nation WHERE n_regionkey = 2) SELECT src, dst, relation FROM h WHERE src NOT IN (SELECT k FROM g) AND dst NOT IN (SELECT k FROM g)",
     "orphan_edges": f"WITH {HIER} SELECT h.src, h.dst, h.relation FROM h LEFT JOIN customer c ON h.src = 'C' || c_custkey AND c_acctbal > 0 WHERE h.src LIKE 'C%' AND c_custkey IS NULL",
     "dup_edges": f"WITH {PARTS} SELECT src, dst, count(*) AS n FROM pn GROUP BY 1, 2 HAVING count(*) > 1",

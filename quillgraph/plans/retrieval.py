@@ -69,10 +69,9 @@ def cross_doc_expand(spark, d):
 
 
 def answers_same(spark, d):
-    """Messages of equal normalised text answer the same question."""
+    """Messages of equal normalised text answer the same question: the class of each, and how many others it has."""
     turns = A.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("node_id"), T.question_key(F.col("text")).alias("key")).where("length(key) > 0")
-    a, b = turns.withColumnRenamed("node_id", "src"), turns.withColumnRenamed("node_id", "dst")
-    return a.join(b, "key").where("src < dst").groupBy("src", "dst").agg(F.md5(F.min("key")).alias("question"))
+    return search.question_classes(turns).select("node_id", "class_id", "n_others")
 
 
 def decay_score(spark, d):
@@ -148,8 +147,7 @@ df AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY t),
 bm AS (SELECT node_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM tf JOIN df USING (t), stat WHERE tf > 0 GROUP BY node_id)"""
 OVERLAP = "ov AS (SELECT node_id, (" + " + ".join(f"contains(lower(coalesce(content, '')), '{t}')::INT" for t in TERMS) + f") / {len(TERMS)}.0::DOUBLE AS score FROM docs)"
 MENTIONS = """wd AS (SELECT doc_id AS node_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 5))) AS slug FROM documents),
-kd AS (SELECT slug FROM wd GROUP BY slug HAVING count(*) >= 2 AND count(*) <= greatest(2, 0.05::DOUBLE * (SELECT count(*) FROM documents))),
-mn AS (SELECT node_id, slug FROM wd JOIN kd USING (slug)),
+mn AS (SELECT node_id, slug FROM wd),
 sl AS (SELECT slug FROM mn GROUP BY slug ORDER BY count(*) DESC, slug LIMIT 8)"""
 _w = DEFAULT.phase_weights("synthesis")
 FUSED = f"""WITH {BM25}, {OVERLAP}, {MENTIONS},
@@ -166,7 +164,7 @@ _vec = "[" + ", ".join(f"{x!r}::DOUBLE" for x in VECTOR) + "]"
 
 ORACLE = {
     "bm25_topk": f"WITH {BM25} SELECT node_id, round(score, 6) AS score FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, node_id LIMIT 20)",
-    "date_filter_bm25": f"WITH {BM25} SELECT node_id, round(score, 6) AS score FROM (SELECT bm.*, published FROM bm JOIN docs USING (node_id) WHERE score > 0 ORDER BY score DESC, node_id LIMIT 40) WHERE published::VARCHAR >= '2000' AND published::VARCHAR <= '2010-12-31' ORDER BY score DESC, node_id LIMIT 20",
+    "date_filter_bm25": f"WITH {BM25} SELECT node_id, round(score, 6) AS score FROM (SELECT bm.*, published FROM bm JOIN docs USING (node_id) WHERE score > 0 ORDER BY score DESC, node_id LIMIT 40) WHERE published::VARCHAR >= '2000' AND published::VARCHAR <= '2010' ORDER BY score DESC, node_id LIMIT 20",
     "term_overlap": f"WITH {DOCS}, {OVERLAP} SELECT node_id, round(score, 6) AS score FROM ov WHERE score > 0 ORDER BY ov.score DESC, node_id LIMIT 20",
     "entity_pivot": f"WITH {BM25}, {MENTIONS}, seen AS (SELECT node_id FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, node_id LIMIT 5)) SELECT node_id, round(count(DISTINCT slug) / 8.0::DOUBLE, 6) AS score FROM mn JOIN sl USING (slug) WHERE node_id NOT IN (SELECT node_id FROM seen) GROUP BY node_id ORDER BY score DESC, node_id LIMIT 20",
     "vector_topk": f"SELECT vec_id AS node_id, round(list_cosine_similarity(embedding::DOUBLE[], {_vec}), 5) AS score FROM embeddings WHERE list_cosine_similarity(embedding::DOUBLE[], {_vec}) > 0 ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_vec}) DESC, vec_id LIMIT 10",
@@ -176,7 +174,7 @@ ORACLE = {
 s AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1), r AS (SELECT dst, max(weight) AS score FROM b WHERE weight > 0.3 AND src IN (SELECT k FROM s) AND dst NOT IN (SELECT k FROM s) GROUP BY dst)
 SELECT c_custkey AS node_id, round(score, 6) AS score, 1 AS overlap FROM customer JOIN r ON c_nationkey = dst WHERE c_custkey % 7 IN (1, 3) ORDER BY overlap DESC, r.score DESC, node_id LIMIT 50""",
     "answers_same": r"""WITH t AS (SELECT conv_id || '-' || turn AS node_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM conversations), u AS (SELECT * FROM t WHERE length(key) > 0)
-SELECT a.node_id AS src, b.node_id AS dst, md5(min(a.key)) AS question FROM u a JOIN u b ON a.key = b.key AND a.node_id < b.node_id GROUP BY 1, 2""",
+SELECT node_id, min(node_id) OVER (PARTITION BY key) AS class_id, count(*) OVER (PARTITION BY key) - 1 AS n_others FROM u""",
     "decay_score": f"SELECT o_orderkey, round(exp(-({_rate}) * date_diff('day', o_orderdate::DATE, DATE '{AS_OF}')), 6) AS decay, round(1 - exp(-0.000274::DOUBLE * date_diff('day', o_orderdate::DATE, DATE '{AS_OF}')), 6) AS authority FROM orders",
     "coverage_overlap": "SELECT o_orderkey, round(CASE WHEN d + 365 >= DATE '1997-01-01' AND d <= DATE '1999-01-01' THEN least((least(d + 365, DATE '1999-01-01') - greatest(d, DATE '1997-01-01')) / 730.0::DOUBLE, 1.0::DOUBLE) ELSE 0 END, 6) AS coverage FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)",
     "temporal_scores": f"WITH {DOCS} SELECT node_id, round(CASE WHEN lang NOT IN ('en', 'fr') OR source = 'src3' THEN 0.0::DOUBLE WHEN lang = 'fr' THEN 0.2::DOUBLE * CASE WHEN days >= 0 THEN 1 - exp(-0.000274::DOUBLE * days) ELSE 0 END ELSE 0.2::DOUBLE * CASE WHEN days < 0 THEN 0 ELSE exp(-rate * days) END END, 6) AS temporal FROM (SELECT *, date_diff('day', published, DATE '{AS_OF}') AS days, CASE decay_class WHEN 'EVERGREEN' THEN 1e-6::DOUBLE WHEN 'CURRENT' THEN 1e-2::DOUBLE WHEN 'EPHEMERAL' THEN 1e-1::DOUBLE ELSE 1e-4::DOUBLE END AS rate FROM docs)",

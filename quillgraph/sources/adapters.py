@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
@@ -21,6 +21,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def by(group: str, order: str):
+    """The window of a group's rows in order."""
+    return Window.partitionBy(group).orderBy(order)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id, title, content, source, lang, file_hash, published, decay_class."""
     docs = texts(spark, sf_dir, "documents")
@@ -50,18 +55,11 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docproc.markdown_headings(pages, "page_id", "markdown")
 
 
-def mentions(spark: SparkSession, sf_dir: str, least_df: int = 2, most_share: float = 0.05, least_length: int = 5) -> DataFrame:
-    """node_id, slug: words of five letters or more that occur in two documents or more, but not in over a twentieth of all.
-
-    Commoner words carry no reference; the bound is a share of the corpus, so it means the same at every size.
-    """
-    docs = texts(spark, sf_dir, "documents")
+def mentions(spark: SparkSession, sf_dir: str, least_length: int = 5) -> DataFrame:
+    """node_id, slug: the different words of five letters or more of a document. Common words stay: rollups and counts
+    aggregate before they shuffle, and a query's words are few."""
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= least_length))
-    rows = docs.select(F.col("doc_id").alias("node_id"), F.explode(words).alias("slug"))
-    n = docs.agg(F.count("*").alias("_n"))
-    df = rows.groupBy("slug").agg(F.count("*").alias("_df")).crossJoin(F.broadcast(n))
-    kept = df.where((F.col("_df") >= least_df) & (F.col("_df") <= F.greatest(F.lit(least_df), F.col("_n") * most_share))).select("slug")
-    return rows.join(kept, "slug").select("node_id", "slug")
+    return texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.explode(words).alias("slug"))
 
 
 def part_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,8 @@ def test_html(spark):
     assert one(spark, T.html_title(F.lit("<title> T </title>")))["text"] == "T"
     assert one(spark, T.html_title(F.lit("nothing"))) is None
     assert one(spark, T.html_markdown(F.lit(html))) == "t\n## A b\n- one\n\nx & y"
+    assert one(spark, T.html_markdown(F.lit("<h1>two\n  lines</h1><p>&#65;&#8364; &amp;copy; &copy;x &lt;b&gt; a &</p>"))) == "# two lines\n\nA\u20ac &copy; x <b> a &"
+    assert one(spark, T.html_markdown(F.lit("<script>a</script><header><h1>gone</h1></header><div>x<br/>y</div>"))) == "x\ny"
 
 
 @pytest.mark.parametrize("text, k", [('{"k": 1}', 1), ('```json\n{"k": 2,}\n```', 2), ('so: {"k": 3} done', 3), ("nothing", None), (None, None)])
@@ -110,3 +112,21 @@ def test_cosine(spark):
     assert one(spark, V.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0)))) == pytest.approx(2**-0.5)
     assert one(spark, V.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0
     assert datetime.date(1995, 1, 1) == one(spark, T.parsed_date(F.lit("1995")))
+
+
+@pytest.mark.parametrize(
+    "published, start, end, lenient, strict",
+    [
+        ("1980-01-01", None, None, False, False),
+        ("2005-01-01", None, None, True, True),
+        (None, None, None, True, False),
+        (None, "1990-01-01", "2001-01-01", True, True),
+        ("1980-01-01", "1990-01-01", "2001-01-01", True, True),
+        (None, "2011-01-01", "2020-01-01", False, False),
+    ],
+)
+def test_windows(spark, published, start, end, lenient, strict):
+    dates = [F.lit(x).cast("string") for x in (published, start, end)]
+    assert one(spark, TT.in_window(*dates, "2000", "2010", False)) is lenient
+    assert one(spark, TT.in_window(*dates, "2000", "2010", True)) is strict
+    assert one(spark, TT.in_window(*dates, None, None)) is True

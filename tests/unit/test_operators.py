@@ -1,10 +1,14 @@
 """Operators on small frames, computed by hand."""
 
+import collections
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph import engine
-from quillgraph.operators import docproc, evaluate, fusion, graph, mutate, search, verify
+from quillgraph import api, engine
+from quillgraph.functions import vector as V
+from quillgraph.operators import answer, docproc, evaluate, exports, fusion, graph, ingest, mutate, report, search, verify
 from quillgraph.sources import layouts
 from quillgraph.streaming import feeds
 
@@ -99,11 +103,130 @@ def test_sections_nest(spark):
 
 def test_chunks(spark):
     text = "".join(f"# Chapter {k}\n" + "word " * 100 + "\n" for k in range(3))
-    assert len(docproc.split_markdown(text, most=500, least=100)) >= 2
-    one = docproc.split_markdown("# Heading\n\nSome content here.")
-    assert len(one) == 1 and one[0]["heading"] == "Heading"
-    docs = spark.createDataFrame([(1, text), (2, None)], "id long, t string")
-    assert docproc.chunk_markdown(docs, "id", "t", most=500, least=100).groupBy("key").count().collect()[0]["key"] == 1
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "# Heading\n\nSome content here."), (4, "a\n-----\nb\n-----\n"), (5, "")], "id long, t string")
+    found = docproc.chunk_markdown(docs, "id", "t", most=500, least=100).collect()
+    by = lambda k: sorted((r["chunk"], r["heading"], r["heading_level"], r["start_page"], r["end_page"], r["page_source"]) for r in found if r["key"] == k)
+    assert by(1) == [(0, "Chapter 0", 1, 1, 1, "virtual"), (1, "Chapter 1", 1, 1, 1, "virtual"), (2, "Chapter 2", 1, 1, 1, "virtual")]
+    assert by(2) == [] and by(5) == []
+    assert by(3) == [(0, "Heading", 1, 1, 1, "virtual")]
+    assert by(4) == [(0, None, None, 1, 3, "physical")]
+    assert "".join(r["text"] for r in sorted(found, key=lambda r: r["chunk"]) if r["key"] == 1) == text
+
+
+def test_short_chunks_join(spark):
+    """A short chunk goes to the one before it, a short first one takes the second in."""
+    text = "# A\n" + "x" * 20 + "\n# B\n" + "y" * 200 + "\n# C\n" + "z" * 30
+    found = docproc.chunk_markdown(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t", most=400, least=60).collect()
+    assert [(r["heading"], r["text"].count("\n# ")) for r in found] == [("A", 2)] or len(found) == 1
+    cut = docproc.chunk_markdown(spark.createDataFrame([(1, "# A\n" + "x" * 120 + "\n# B\n" + "y" * 380)], "id long, t string"), "id", "t", most=400, least=60).collect()
+    assert [r["heading"] for r in sorted(cut, key=lambda r: r["chunk"])] == ["A", "B"]
+
+
+def _lines(spark, text):
+    return spark.createDataFrame([(1, k, x) for k, x in enumerate(text.split("\n"))], "doc int, pos int, content string")
+
+
+def test_contents_in_all_formats(spark):
+    text = "intro\n## Table of Contents\n1. **First chapter . . .**\n[Second](#second)\nA dotted entry ........ 12\n**3**\n**ix 9**\n# Next\n1.1 Not here ..... 4"
+    assert rows(docproc.table_of_contents(_lines(spark, text), "doc", "pos"), "title", "level", "page") == [("A dotted entry", 2, 12), ("First chapter", 1, 12), ("Second", 1, 3)]
+    run = "\n".join(["x", *[f"1.{k} Heading {k} ..... {k + 3}" for k in range(3)], "", "- [Link](#link)", "2. Last one ...... 40", "y"])
+    found = rows(docproc.table_of_contents(_lines(spark, run), "doc", "pos"), "entry", "title", "page")
+    assert found == [(1, "Heading 0", 3), (2, "Heading 1", 4), (3, "Heading 2", 5), (5, "Link", None), (6, "Last one", 40)]
+    assert docproc.table_of_contents(_lines(spark, "1.1 Only ..... 4\n1.2 Two ..... 5"), "doc", "pos").count() == 0
+
+
+def test_glossary(spark):
+    text = "**no**: not below a heading\n## Glossary\n**Hash** - a digest\nNonce: a number used once\n| Term | What it is |\n|---|---|\n# After\nOther: not a term"
+    assert rows(docproc.glossary(_lines(spark, text), "doc", "pos"), "term", "definition") == [("Hash", "a digest"), ("Nonce", "a number used once"), ("Term", "What it is")]
+
+
+def test_label_propagation_against_a_loop(spark):
+    r = random.Random(4)
+    pairs = sorted({tuple(sorted(r.sample(range(40), 2))) for _ in range(70)})
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    label, still, half = {k: k for k in near}, 0, 0
+    while still < 2 and half < 60:
+        new = dict(label)
+        for k in near:
+            if k % 2 == half % 2:
+                votes = collections.Counter(label[x] for x in near[k])
+                new[k] = min(votes, key=lambda y: (-votes[y], y))
+        still, label, half = (still + 1 if new == label else 0), new, half + 1
+    got = graph.label_propagation(spark.createDataFrame(pairs, "src int, dst int"), turn=F.col("node_id") % 2)
+    assert {r["node_id"]: r["label"] for r in got.collect()} == label
+
+
+def test_percentile_floor(spark):
+    df = spark.createDataFrame([(float(x),) for x in (4, 2, 1, 3)] + [(None,)], "s double")
+    assert fusion.percentile_floor(df, "s", 0.75).first()["floor"] == 4.0
+    many = spark.createDataFrame([(float(k % 3),) for k in range(1000)], "s double")
+    assert fusion.percentile_floor(many, "s", 0.5).first()["floor"] == 1.0
+    assert fusion.percentile_floor(df.limit(0), "s", 0.5).count() == 0
+
+
+def test_verified_and_checked(spark):
+    entries = spark.createDataFrame([(1, "principal", False), (2, "structural", False), (3, "structural", True), (4, "structural", False)], "node_id int, provenance string, ok boolean")
+    documents = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (2, 8), (3, 7), (3, 8), (4, 7)], "node_id int, document_id int")
+    assert rows(answer.verified(entries, documents, F.col("ok")), "node_id") == [(1,), (3,), (4,)]
+    assert rows(answer.self_checked(entries, F.col("ok")), "node_id") == [(3,)]
+    assert answer.self_checked(entries, F.lit(None).cast("boolean")).count() == 4
+
+
+def test_agent_uses_each_tool_once(spark):
+    tools = {name: (lambda q, k=k: spark.createDataFrame([("a", float(k)), (f"n{k}", 1.0)], "node_id string, score double")) for k, name in enumerate("wxyz")}
+    found, trace = answer.agent(spark, "q", tools, lambda q, left, trace: left[-1] if len(trace) < 3 else None)
+    assert trace == ["z", "y", "x"] and rows(found, "node_id", "score") == [("a", 3.0), ("n1", 1.0), ("n2", 1.0), ("n3", 1.0)]
+    assert answer.agent(spark, "q", tools, lambda *_: "none")[0].count() == 0
+
+
+class Canned:
+    """Answers that a model may give: good JSON, broken JSON, none."""
+
+    def answer(self, requests):
+        good = F.concat(F.lit('```json {"nodes":[{"type":"Section","title":"T"},{"type":"Paragraph","content":"'), F.col("prompt"), F.lit('"},]}```'))
+        return requests.select("key", F.when(F.col("prompt") == "fine", good).otherwise("no json").alias("payload"))
+
+
+def test_structured_chunks(spark):
+    chunks = spark.createDataFrame([(1, 0, "fine"), (1, 1, "broken"), (2, 0, "fine")], "document_id int, chunk int, text string")
+    empty = spark.createDataFrame([], "key string, payload string")
+    nodes, new = ingest.structured_chunks(chunks, empty, Canned())
+    assert rows(nodes, "document_id", "chunk", "pos", "node_type", "status") == [(1, 0, 0, "Section", "structured"), (1, 0, 1, "Paragraph", "structured"), (1, 1, 0, "Paragraph", "llm_pending"), (2, 0, 0, "Section", "structured"), (2, 0, 1, "Paragraph", "structured")]
+    assert nodes.where("status = 'llm_pending'").first()["content"] == "broken" and new.count() == 2
+    assert ingest.structured_chunks(chunks, new, Canned())[1].count() == 0
+
+
+def test_tags_of_a_service(spark):
+    answers = spark.createDataFrame([("a", '{"sumo_tags": ["Dog"]}'), ("b", 'tags: "Dog", "Cat" and "Unknown"'), ("c", "none")], "key string, payload string")
+    terms = spark.createDataFrame([("Dog",), ("Cat",)], "term string")
+    assert rows(ingest.read_tags(answers, terms), "key", "tags") == [("a", ["Dog"]), ("b", ["Dog", "Cat"]), ("c", [])]
+
+
+def test_sections_of_pages(spark):
+    """Five pages a window; the short last part goes to the more similar side."""
+    vector = lambda k: [1.0, 0.0] if k < 10 else [0.0, 1.0] if k < 20 else [0.9, 0.1]
+    pages = spark.createDataFrame([(1, k, vector(k)) for k in range(22)] + [(2, 0, [1.0, 0.0])], "document_id int, page int, vector array<double>")
+    found = ingest.page_sections(pages, V.cosine(F.col("vector"), F.col("before")) < 0.5)
+    assert rows(found, "document_id", "first_page", "last_page") == [(1, 0, 9), (1, 10, 21), (2, 0, 0)]
+
+
+def test_evidence(spark):
+    lead = "the quick brown fox jumps over the lazy dog and runs away"
+    results = spark.createDataFrame([(1, 10, "It says: The quick  brown fox jumps over the lazy dog and runs away."), (1, 11, "other"), (2, 10, lead)], "query_id int, node_id int, content string")
+    evidence = spark.createDataFrame([(1, 5, lead), (1, 6, "short"), (2, 7, lead + " into the woods")], "query_id int, evidence_id int, evidence string")
+    assert rows(report.evidence_matches(results, evidence), "query_id", "node_id", "evidence_id") == [(1, 10, 5), (2, 10, 7)]
+
+
+def test_exports(spark, tmp_path):
+    nodes = spark.createDataFrame([(1, 2, "b"), (1, 1, None)], "document_id int, doc_position int, title string").withColumns({"level": F.lit(1), "node_id": F.col("doc_position")})
+    assert [r["node_id"] for r in report.in_tree_order(nodes).collect()] == [1, 2]
+    exports.write_json({"sections": nodes}, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/sections").count() == 2
+    listed = exports.entity_listing(spark.createDataFrame([("ORG", "beta"), ("ORG", "Alpha")], "type string, name string")).first()
+    assert listed["path"] == "entities/org.md" and listed["body"].endswith("- [[Alpha]]\n- [[beta]]")
 
 
 def test_metrics(spark):
@@ -164,9 +287,48 @@ def small_graph(spark):
 
 def test_engine_answers(spark):
     g = small_graph(spark)
-    answer = engine.run(g, engine.understand(spark, "bitcoin proof", vector=(1.0, 0.0)), "2024-06-01")
-    found = {r["node_id"]: r["score"] for r in answer["results"].collect()}
-    assert max(found, key=found.get) == 1 and set(found) == {1, 2, 3}
-    assert {r["node_id"] for r in answer["principal"].collect()} <= set(found)
+    found = engine.run(g, engine.understand(spark, "bitcoin proof", vector=(1.0, 0.0)), "2024-06-01")
+    scores = {r["node_id"]: r["score"] for r in found["results"].collect()}
+    assert max(scores, key=scores.get) == 1 and set(scores) == {1, 2, 3}
+    principal = {r["node_id"] for r in found["principal"].collect()}
+    assert principal <= set(scores)
+    integrity = found["integrity"].collect()
+    assert {r["node_id"] for r in integrity if r["provenance"] == "principal"} == principal
     best, rounds = engine.reason(g, engine.understand(spark, "bitcoin proof"), "2024-06-01")
     assert best.count() == 3 and rounds in (1, 2)
+
+
+def test_engine_with_all_parts(spark):
+    g = small_graph(spark)
+    df = spark.createDataFrame
+    g.questions = df([(1, 1), (3, 1), (2, 2)], "node_id long, class_id long")
+    g.ties = df([("btc", "net", 0.8)], "slug string, other string, weight double")
+    g.members = df([("btc", 1), ("net", 1)], "slug string, label long")
+    g.communities = df([(1, "coins", 2)], "label long, summary string, member_count long")
+    g.sections = df([(2, 10, "proof of work", None)], "node_id long, document_id long, title string, summary string")
+    g.entities = df([("btc", "Bitcoin", False, None), ("net", "Network", True, None)], "slug string, name string, isolated boolean, isolation_reason string")
+    g.related = df([("btc", "net", True)], "src string, dst string, is_surprising boolean")
+    g.clusters = df([(3, "bitcoin proof network")], "node_id long, summary string")
+    query = engine.understand(spark, "compare bitcoin proof work networks before 2023", tags=("T",), strict_dates=True)
+    assert (query.mode, query.date_to, query.kind) == ("synthesis", "2023", "phrase")
+    found = engine.run(g, query, "2024-06-01", subqueries=True)
+    results = {r["node_id"]: r for r in found["results"].collect()}
+    assert results[1]["raw_bm25"] > 0 and results[3]["raw_bm25"] is None  # document 20 is of 2024
+    assert "answers_same" in results[3]["sources"] and "cluster_summary" in results[3]["sources"]
+    assert all(r["temporal"] == 0 for r in results.values())  # no intent
+    for name in ("integrity", "explorer", "context", "gaps", "connections"):
+        found[name].collect()
+    assert found["gaps"].first()["entity_slug"] == "net"
+    past = engine.run(g, engine.understand(spark, "bitcoin 1994"), "2024-06-01")["results"].collect()
+    assert any(r["temporal"] > 0 for r in past)
+
+
+def test_answers_have_sources(spark):
+    found = api.answer(spark, small_graph(spark), "bitcoin proof", "2024-06-01")
+    assert [r["citation"] for r in found["sources"].orderBy("n").collect()][:1] == ["[1]"]
+    assert found["answer"].first()["key"] == "bitcoin proof"
+    assert api.graph_context(small_graph(spark), spark.createDataFrame([(1,)], "node_id long")).count() == 1
+    files = spark.createDataFrame([(1, "fine", "h1"), (2, "fine", "h2")], "doc_id long, text string, file_hash string")
+    stored = spark.createDataFrame([("h2", "complete")], "file_hash string, ingestion_status string")
+    out = api.ingest_documents(files, stored, spark.createDataFrame([], "key string, payload string"), Canned())
+    assert out["nodes"].select("document_id").distinct().count() == 1 and out["metadata"].first()["title"] == "fine"
