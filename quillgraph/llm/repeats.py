@@ -1,25 +1,31 @@
 """Removal of repeated byte strings by distributed prefix doubling over a sparse set of positions.
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a document with a smaller doc_id. Ranking all
-positions would move many times the input, so ranks are given to synchronising positions first: each window of
-``LENGTH`` bytes has one anchor, the leftmost smallest hash of its ``SEED``-byte strings, and neighbouring windows with
-the same anchor form a run. Equal windows have equal anchors at equal offsets, so ranks of anchors decide for all
-positions:
+positions would move many times the input (``doubling.py`` does that, for small corpora), so ranks are given to
+synchronising positions first: each window of ``LENGTH`` bytes has one anchor, the leftmost smallest hash of its
+``SEED``-byte strings, and neighbouring windows with the same anchor form a run. Equal windows have equal anchors at equal
+offsets, so ranks of anchors decide for all positions:
 
 1. Anchors are ranked by their SEED-byte prefix. Those whose rank is unique among documents drop out.
 2. The rest are ranked by the pair of that rank and the rank of the whole run (its bytes from the first window's start
    to the last one's end). A run that also occurs in an earlier document is repeated as a whole.
 3. Only positions of runs that share their anchor with an earlier or later block, but not the whole run, are ranked by
-   their LENGTH-byte string, which is past the threshold.
+   the pair of the ranks of their first and their second ``LENGTH`` / 2 bytes, which is past the threshold.
 
 Documents are dealt into blocks by ranges of doc_id, so comparing blocks compares documents. A rank is the hash of the
 string; a block sends each rank once, to the bucket that the rank falls in, so a string in a third of all documents is
 one entry a block. Buckets sort the entries and answer which of them an earlier block has. The texts are shuffled once:
 all passes of the plan read the same exchange.
 
+Ranks are wide enough to be taken for the strings: runs compare by 104 bits (64 of them where the anchors are the same),
+windows by 96. Among 10^12 different windows (100 TB) a false match has a chance below one in 10^5.
+
+Blocks: cuts of doc_id at equal numbers of bytes, at most ``MOST_CUTS`` of them; a larger corpus has several blocks of
+equal width in doc_id between two cuts, so what the driver holds doesn't grow.
+
 Defined cases: a null text counts as empty; texts shorter than ``LENGTH`` lose nothing; rows of the same doc_id don't
-repeat each other; rows with a null doc_id lose nothing; an empty table gives an empty result; further columns are
-ignored.
+repeat each other; rows with a null doc_id lose nothing; a text of any length is one piece of a block; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +42,17 @@ from quillgraph.llm.common import small_batches, table, whole_text
 
 LENGTH = 50
 SEED = 20
-#: Bytes of text in a block, about; blocks are cut by rows of average size.
+#: Bytes of text in a block, about.
 BLOCK_BYTES = 4 << 20
+#: Cuts of doc_id that are sent around.
+MOST_CUTS = 4096
 #: Ranges of the hash that a block's windows are compared in, by the four leading bits.
 SLICES = 16
 #: Bytes that are hashed at once.
 CHUNK = 1 << 19
 
-_MIXED = np.uint64((1 << 40) - 1)
+HALF = LENGTH // 2
+_MIXED = np.uint64((1 << 64) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTERS = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,7 +124,7 @@ class Block:
         self.anchors = anchor[at]
         several = np.bincount(self.entry[own], minlength=len(at)) > 1 if n else np.empty(0, bool)
         self.several = several
-        self.run_ranks = np.where(several, _MIXED, np.minimum(run[at] >> np.uint64(24), _MIXED - np.uint64(1)))
+        self.run_ranks = np.where(several, _MIXED, np.minimum(run[at], _MIXED - np.uint64(1)))
 
     def _chunks(self):
         """Pieces of whole documents: the offset of the first, their sizes, their bytes."""
@@ -162,29 +171,67 @@ class Block:
         return low + offset, high + offset, seeds[place[low]] >> np.uint64(24), chunk.hashes(low, high + LENGTH)
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of every window of the given runs, by start (and so by document)."""
+        """Start and rank of every window of the given runs, by start (and so by document)."""
         runs = runs[np.argsort(self.low[runs], kind="stable")]
         low, n = self.low[runs], self.high[runs] - self.low[runs] + 1
         total = int(n.sum())
         starts = np.arange(total, dtype=np.int32) + np.repeat((low - np.cumsum(n) + n).astype(np.int32), n)
-        hashes = np.empty(total, np.uint64)
+        ranks = np.empty(total, RANK)
         for offset, _, raw in self._chunks():
             a, b = np.searchsorted(starts, np.array([offset, offset + len(raw)], starts.dtype))
             if a < b:
                 at = starts[a:b].astype(np.int64) - offset
-                hashes[a:b] = Chunk(raw).hashes(at, at + LENGTH)
-        return starts, hashes
+                chunk = Chunk(raw)
+                # The pair of the ranks at the window and half a window further on; the second is kept in 32 bits beside it.
+                first, second = chunk.hashes(at, at + HALF), chunk.hashes(at + HALF, at + LENGTH)
+                ranks["pair"][a:b] = _mix(first * np.uint64(_BASE) + second)
+                ranks["second"][a:b] = (second >> np.uint64(32)).astype(np.uint32)
+        return starts, ranks
 
     def documents(self, starts: np.ndarray) -> np.ndarray:
         return self.rank[np.searchsorted(self.starts, starts, "right") - 1]
 
 
-def _distinct(hashes: np.ndarray) -> np.ndarray:
-    """Sorted and without repeats; the given array is sorted in place."""
-    hashes.sort()
-    new = np.ones(len(hashes), bool)
-    new[1:] = hashes[1:] != hashes[:-1]
-    return hashes[new]
+#: The rank of a window.
+RANK = np.dtype([("pair", "<u8"), ("second", "<u4")])
+
+
+def _ordered(ranks: np.ndarray) -> np.ndarray:
+    """A stable order by rank. Ranks with the same pair but not the same second half are put in order where they meet."""
+    order = np.argsort(ranks["pair"], kind="stable")
+    pair, second = ranks["pair"][order], ranks["second"][order]
+    odd = np.flatnonzero((pair[1:] == pair[:-1]) & (second[1:] != second[:-1]))
+    return np.lexsort((ranks["second"], ranks["pair"])) if len(odd) else order
+
+
+def _news(ranks: np.ndarray) -> np.ndarray:
+    """Where a rank differs from the one before it."""
+    new = np.ones(len(ranks), bool)
+    new[1:] = (ranks["pair"][1:] != ranks["pair"][:-1]) | (ranks["second"][1:] != ranks["second"][:-1])
+    return new
+
+
+def _distinct(ranks: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats."""
+    ranks = ranks[_ordered(ranks)]
+    return ranks[_news(ranks)]
+
+
+def _find(ranks: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each rank among distinct sorted ones, and whether it is there."""
+    place = np.searchsorted(among["pair"], ranks["pair"])
+    same = np.zeros(len(ranks), bool)
+    at = np.minimum(place, len(among) - 1)
+    open_ = np.arange(len(ranks))
+    # Nearly always the first of a pair is the only one.
+    while len(open_):
+        here = (place[open_] < len(among)) & (among["pair"][at[open_]] == ranks["pair"][open_])
+        hit = here & (among["second"][at[open_]] == ranks["second"][open_])
+        same[open_[hit]] = True
+        open_ = open_[here & ~hit]
+        place[open_] += 1
+        at[open_] = np.minimum(place[open_], len(among) - 1)
+    return at, same
 
 
 def _pack(values: np.ndarray) -> np.ndarray:
@@ -223,7 +270,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _ask_runs(buckets: int):
     def run(cell: pa.Table) -> pa.Table:
         block = _block(cell)
-        a, r = _pack(block.anchors), _pack(block.run_ranks)
+        a, r = _pack(block.anchors), block.run_ranks.astype("<u8")
         return _slices(cell.column("block")[0].as_py(), block.anchors, 40, buckets, lambda i, j: a[i:j].tobytes() + r[i:j].tobytes(), 1)
 
     return run
@@ -233,10 +280,9 @@ def _tell_runs(cell: pa.Table) -> pa.Table:
     """0: no other block has the anchor, or this one has the run first; 1: an earlier block has the run; 2: undecided."""
     blocks, payloads = cell.column("block").to_pylist(), cell.column("payload").to_pylist()
     order = sorted(range(len(blocks)), key=blocks.__getitem__)
-    sizes = [len(payloads[k]) // 10 for k in order]
-    pieces = [np.frombuffer(payloads[k], np.uint8).reshape(2, -1, 5) for k in order]
-    anchor = _unpack(np.concatenate([p[0] for p in pieces]))
-    run = _unpack(np.concatenate([p[1] for p in pieces]))
+    sizes = [len(payloads[k]) // 13 for k in order]
+    anchor = _unpack(np.concatenate([np.frombuffer(payloads[k], np.uint8, 5 * n).reshape(-1, 5) for k, n in zip(order, sizes, strict=True)]))
+    run = np.concatenate([np.frombuffer(payloads[k], "<u8", n, 5 * n) for k, n in zip(order, sizes, strict=True)])
     sort = np.lexsort((np.arange(len(anchor)), run, anchor))  # rows stand by block, so ties do too
     a, r = anchor[sort], run[sort]
     new = np.ones(len(a), bool)
@@ -256,13 +302,11 @@ def _tell_windows(cell: pa.Table) -> pa.Table:
     """1 if an earlier block has the window."""
     blocks, payloads = cell.column("block").to_pylist(), cell.column("payload").to_pylist()
     order = sorted(range(len(blocks)), key=blocks.__getitem__)
-    pieces = [np.frombuffer(payloads[k], "<u8") for k in order]
-    hashes = np.concatenate(pieces)
-    sort = np.argsort(hashes, kind="stable")
-    later = np.zeros(len(hashes), bool)
-    later[1:] = hashes[sort][1:] == hashes[sort][:-1]
-    out = np.empty(len(hashes), np.uint8)
-    out[sort] = later
+    pieces = [np.frombuffer(payloads[k], RANK) for k in order]
+    ranks = np.concatenate(pieces)
+    sort = _ordered(ranks)
+    out = np.empty(len(ranks), np.uint8)
+    out[sort] = ~_news(ranks[sort])
     return _replies(cell, [blocks[k] for k in order], [len(p) for p in pieces], out, 2)
 
 
@@ -288,8 +332,8 @@ def _ask_windows(buckets: int):
             return _slices(0, np.empty(0, np.uint64), 64, buckets, None, 2)
         block = _block(cell)
         _, asked = _open_runs(block, _answers(told, 1))
-        hashes = _distinct(block.windows(np.flatnonzero(asked))[1])
-        return _slices(cell.column("block")[0].as_py(), hashes, 64, buckets, lambda i, j: hashes[i:j].astype("<u8").tobytes(), 2)
+        ranks = _distinct(block.windows(np.flatnonzero(asked))[1])
+        return _slices(cell.column("block")[0].as_py(), ranks["pair"], 64, buckets, lambda i, j: ranks[i:j].tobytes(), 2)
 
     return run
 
@@ -306,25 +350,23 @@ def _remove(with_text: bool):
             np.add.at(mark, block.high[gone] + LENGTH, -1)
             runs, asked = _open_runs(block, states)
             outside = _distinct(block.windows(np.flatnonzero(asked))[1])
-            starts, hashes = block.windows(runs)
-            # By ranges of the hash, so that what is sorted at once stays small.
+            starts, ranks = block.windows(runs)
+            # By ranges of the rank, so that what is sorted at once stays small.
             for part in range(SLICES):
-                at = starts[(hashes >> np.uint64(60)) == part] if len(hashes) else starts
+                mine = (ranks["pair"] >> np.uint64(60)) == part
+                at, own = starts[mine], ranks[mine]
                 if not len(at):
                     continue
-                own = hashes[(hashes >> np.uint64(60)) == part]
-                order = np.argsort(own, kind="stable")  # starts ascend, so equal hashes stand by document
+                order = _ordered(own)  # starts ascend, so equal ranks stand by document
                 at, own = at[order], own[order]
                 docs = block.documents(at)
-                new = np.ones(len(own), bool)
-                new[1:] = own[1:] != own[:-1]
-                covered = docs > docs[np.flatnonzero(new)][np.cumsum(new) - 1]
+                covered = docs > docs[np.flatnonzero(new := _news(own))][np.cumsum(new) - 1]
                 if len(outside):
-                    place = np.minimum(np.searchsorted(outside, own), len(outside) - 1)
-                    covered |= (outside[place] == own) & seen[place]
+                    place, known = _find(own, outside)
+                    covered |= known & seen[place]
                 np.add.at(mark, at[covered], 1)
                 np.add.at(mark, at[covered] + LENGTH, -1)
-            del starts, hashes, outside
+            del starts, ranks, outside
             removed = np.cumsum(mark[:-1]) > 0
             for k, text in enumerate(block.texts):
                 own = removed[block.starts[k] : block.starts[k + 1]]
@@ -340,21 +382,33 @@ def _remove(with_text: bool):
     return run
 
 
+def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """block, doc_id, raw of the rows with a doc_id, in blocks of neighbouring ids and about BLOCK_BYTES; and the number of blocks."""
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)), F.count("doc_id")).first()
+    known = docs.where(F.col("doc_id").isNotNull())
+    n = max(1, min(rows, -(-size // BLOCK_BYTES)))
+    cuts = min(n, MOST_CUTS)
+    if n == 1:
+        return known.select(F.lit(0).alias("block"), "doc_id", "raw"), 1
+    # A document counts once for each mean size that it has, so parts between cuts hold about the same bytes.
+    mean = max(1, size // max(rows, 1))
+    weighed = known.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("raw") / mean))).alias("k"))
+    found = weighed.agg(F.percentile_approx("doc_id", [k / cuts for k in range(1, cuts)], 4 * cuts), F.min("doc_id"), F.max("doc_id")).first()
+    edges = sorted({float(c) for c in found[0] or []})
+    part = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol="_x", outputCol="_part").transform(known.withColumn("_x", F.col("doc_id").cast("double")))
+    each = -(-n // cuts)
+    low = F.element_at(F.array(*[F.lit(x) for x in [float(found[1]), *edges]]), F.col("_part").cast("int") + 1) if each > 1 else F.lit(0.0)
+    high = F.element_at(F.array(*[F.lit(x) for x in [*edges, float(found[2]) + 1]]), F.col("_part").cast("int") + 1) if each > 1 else F.lit(1.0)
+    within = F.least(F.floor((F.col("_x") - low) / F.greatest(high - low, F.lit(1.0)) * each), F.lit(each - 1)) if each > 1 else F.lit(0)
+    return part.select((F.col("_part").cast("int") * each + within.cast("int")).alias("block"), "doc_id", "raw"), n
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed bytes) and, if asked for, the kept bytes."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).cast("binary").alias("raw"))
-    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)), F.count("doc_id")).first()
-    n = max(1, min(rows, -(-size // BLOCK_BYTES)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn("_x", F.col("doc_id").cast("double"))
-    splits = [-float("inf"), *sorted({float(c) for c in cuts or []}), float("inf")]  # one number a block
-    if len(splits) > 2:
-        known = Bucketizer(splits=splits, inputCol="_x", outputCol="_b").transform(known)
-    else:
-        known = known.withColumn("_b", F.lit(0.0))
-    known = known.select(F.col("_b").cast("int").alias("block"), "doc_id", "raw")
+    known, n = _blocks(docs)
     blocks = known.groupBy("block")
     buckets = -(-n // 2)  # an entry is a few bytes, a block's texts are many
     told_runs = blocks.applyInArrow(_ask_runs(buckets), MESSAGE).groupBy("bucket").applyInArrow(_tell_runs, MESSAGE)

@@ -5,14 +5,16 @@ import os
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import ann, decontaminate, jaccard_join, langid, licences, mixing, repeats, secrets, sharding, shingles, tokenfile
+from quillgraph.llm import ann, decontaminate, doubling, jaccard_join, langid, licences, mixing, repeats, secrets, sharding, shingles, tokenfile
 from quillgraph.llm.components import connected_components
+from quillgraph.llm.decontaminate import _runs as runs
 from quillgraph.llm.wavelet import WaveletMatrix, dump
 from licence_texts import TEXTS, in_comment
 
@@ -81,6 +83,40 @@ def test_repeats_periodic(spark):
     assert sorted(tuple(r)[:5] for r in repeats.remove_repeats(frame(spark, rows)).collect()) == brute_repeats([r[:2] for r in rows])
 
 
+def test_repeats_with_few_cuts(docs, monkeypatch):
+    """Several blocks between two cuts, and blocks cut by bytes rather than rows."""
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1 << 9)
+    monkeypatch.setattr(repeats, "MOST_CUTS", 3)
+    rows, n = repeats._blocks(docs.selectExpr("doc_id", "cast(coalesce(text, '') as binary) AS raw"))
+    by = sorted((r["doc_id"], r["block"]) for r in rows.select("doc_id", "block").collect())
+    assert n > 9 and [b for _, b in by] == sorted(b for _, b in by) and len({b for _, b in by}) > 3
+    got = sorted(tuple(r)[:5] for r in repeats.remove_repeats(docs).collect() if r["doc_id"] is not None)
+    assert got == brute_repeats([r[:2] for r in ROWS])
+
+
+def test_ranks_that_share_their_first_part():
+    """Windows whose first 64 bits of rank are the same are still told apart."""
+    r = np.random.default_rng(2)
+    ranks = np.empty(500, repeats.RANK)
+    ranks["pair"], ranks["second"] = r.integers(0, 9, 500), r.integers(0, 7, 500)
+    pairs = list(zip(ranks["pair"].tolist(), ranks["second"].tolist(), strict=True))
+    order = repeats._ordered(ranks)
+    assert [(pairs[k], k) for k in order] == sorted((p, k) for k, p in enumerate(pairs))
+    distinct = repeats._distinct(ranks[:250])
+    assert list(zip(distinct["pair"].tolist(), distinct["second"].tolist(), strict=True)) == sorted(set(pairs[:250]))
+    place, known = repeats._find(ranks, distinct)
+    assert known.tolist() == [p in set(pairs[:250]) for p in pairs]
+    assert all(distinct[k].tolist() == p for k, p, ok in zip(place, pairs, known, strict=True) if ok)
+
+
+def test_doubling_over_all_positions(spark, docs):
+    """The plain form: Spark sorts rank pairs at growing offsets."""
+    rows = list(dict(r[:2] for r in ROWS).items()) + [(k + 50, t) for k, t in enumerate(["a" * 300, "ab" * 90, "b" + "ab" * 40, "\u00e9" * 61])]
+    want = {(r[0], r[2], r[3]) for r in brute_repeats(rows) if r[2]}
+    got = {tuple(r) for r in doubling.removed_bytes(frame(spark, [(*r, None, None) for r in rows])).collect()}
+    assert got == want
+
+
 # --- 2 language
 
 
@@ -317,49 +353,74 @@ def test_shard_capacity_is_least(spark, empty, monkeypatch):
 # --- 7 decontamination
 
 
-def test_leaks_against_brute_force(spark, docs, empty):
-    items = [(1, BASE[1]), (2, " ".join(BASE[2].split()[:20]).upper() + "!"), (3, None), (4, ""), (5, "two words"), (6, words(99, 30)), (1, BASE[1])]
-    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, lang string")
-    index = decontaminate.build_index(bench)
-    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs, index).collect()}
+def plain_words(text):
+    return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+
+
+def plain_similarity(a, b, k):
+    """Of the multisets of runs of k words, as strings; nothing of the operator is used."""
+    x, y = (Counter(" ".join(w[i : i + k]) for i in range(len(w) - k + 1)) for w in (a, b))
+    return (x & y).total() / max(1, (x | y).total())
+
+
+def plain_leaks(rows, items):
+    """(doc_id, item_id): (best similarity, first window that has it, windows that match)."""
     want = {}
-    for doc_id, text, *_ in ROWS:
+    for doc_id, text in rows:
         for item, passage in items:
-            own, body = decontaminate.words_of(passage), decontaminate.words_of(text)
-            if own:
-                k = min(5, len(own))
-                a, b = shingles.roll(shingles.word_hashes(own), k), shingles.roll(shingles.word_hashes(body), k)
-                best = max((decontaminate.weighted_jaccard(b[s : s + len(a)], a) for s in range(len(body) - len(own) + 1)), default=0)
-                if best >= 0.8:
-                    want[doc_id, item] = best
-    assert got == want and {(4, 1), (7, 1), (7, 2), (9, 1), (9, 2)} <= set(got)
-    clean = decontaminate.clean_documents(docs, index)
+            own, body = plain_words(passage), plain_words(text)
+            k = min(5, len(own))
+            windows = [body] if len(body) < len(own) else [body[s : s + len(own)] for s in range(len(body) - len(own) + 1)]
+            scores = [plain_similarity(own, w, k) for w in windows] if own and body else [0.0]
+            if max(scores) >= 0.8 - 1e-12:
+                want[doc_id, item] = (pytest.approx(max(scores)), scores.index(max(scores)), sum(x >= 0.8 - 1e-12 for x in scores))
+    return want
+
+
+@pytest.mark.parametrize("part_words, piece", [(500_000, 1024), (20, 3)])
+def test_leaks_against_brute_force(spark, docs, empty, monkeypatch, part_words, piece):
+    """In one part and in several; with windows looked up a few at a time."""
+    monkeypatch.setattr(decontaminate, "PART_WORDS", part_words)
+    monkeypatch.setattr(decontaminate, "_runs", lambda starts: runs(starts, piece))
+    items = [(1, BASE[1]), (2, " ".join(BASE[2].split()[:20]).upper() + "!"), (3, None), (4, ""), (5, "two words"), (6, words(99, 30)), (1, BASE[1]), (None, BASE[4])]
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, lang string")
+    assert len(list(decontaminate.indexes(bench))) == (1 if part_words > 100 else 10)
+    found = decontaminate.contaminated(docs, bench).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"], r["n_windows"]) for r in found}
+    want = plain_leaks([r[:2] for r in ROWS], [(i, t) for i, t in items if t])
+    assert got == want and {(4, 1), (7, 1), (7, 2), (9, 1), (9, 2), (None, None)} <= set(got) and len(found) == len(got)
+    clean = decontaminate.clean_documents(docs, bench)
     assert clean.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(r[0]) for r in ROWS if not any(k[0] == r[0] for k in got))
-    assert decontaminate.contaminated(empty, index).count() == 0
-    assert decontaminate.contaminated(docs, decontaminate.build_index(bench.limit(0))).count() == 0
+    assert decontaminate.contaminated(empty, bench).count() == 0
+    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_leaks_in_a_very_long_text(spark):
+    """More windows than one piece, all near: a text that repeats the item with small changes."""
+    own = words(321, 40).split()
+    text = " ".join(" ".join([*own[:-2], f"w{k}", "x"]) for k in range(150))
+    items = [(1, " ".join(own)), (2, " ".join([*own[:38], "a", "b"])), (3, words(5, 40))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"], r["n_windows"]) for r in decontaminate.contaminated(df, bench).collect()}
+    want = plain_leaks([(1, text)], items)
+    assert got == want and set(got) == {(1, 1), (1, 2)} and len(plain_words(text)) > 5 * decontaminate.PIECE
 
 
 def test_cut_copies_leak(spark):
     """Texts with fewer words than the item are compared as a whole, down to the threshold."""
     items = [(k, words(200 + k, n)) for k, n in enumerate((14, 20, 60, 300))]
-    index = decontaminate.build_index(spark.createDataFrame(items, "item_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
     texts = []
     for _, passage in items:
         own = passage.split()
         texts += [own[:-1], own[1:], own[2:-1], own[: len(own) * 9 // 10], own[: len(own) * 3 // 4], ["other", *own[2:]], own[:4]]
-    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
-    want = {}
-    for doc_id, body in enumerate(texts):
-        for item_id, passage in items:
-            own = passage.split()
-            a, b = (shingles.roll(shingles.word_hashes(x), 5) for x in (own, body))
-            score = decontaminate.weighted_jaccard(b, a)
-            if score >= 0.8 - 1e-12:
-                want[doc_id, item_id] = (score, 0, len(body), 1)
-    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.contaminated(df, index).collect()}
-    assert got == want and {(0, 0), (1, 0), (7, 1), (14, 2), (21, 3)} <= set(got) and len(got) < len(texts)
-    assert {r["doc_id"] for r in decontaminate.clean_documents(df, index).collect()} == set(range(len(texts))) - {k for k, _ in got}
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"], r["n_windows"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == plain_leaks(rows, items) and {(0, 0), (1, 0), (7, 1), (14, 2), (21, 3)} <= set(got) and len(got) < len(texts)
+    assert {r["doc_id"] for r in decontaminate.clean_documents(df, bench).collect()} == set(range(len(texts))) - {k for k, _ in got}
 
 
 def test_hamming_blocks_find_all_within_radius():
@@ -367,7 +428,7 @@ def test_hamming_blocks_find_all_within_radius():
     group = decontaminate.Group(9, 5, [(k, r.integers(0, 1 << 62, 5, dtype=np.uint64)) for k in range(30)])
     prints = np.concatenate([group.prints ^ np.uint64(1 << 7), r.integers(0, 1 << 62, 300, dtype=np.uint64)])
     want = sorted((i, j) for i, p in enumerate(prints) for j, q in enumerate(group.prints) if int(p ^ q).bit_count() <= decontaminate.RADIUS)
-    assert sorted(group.candidates(prints)) == want
+    assert sorted(group.candidates(prints, np.arange(30))) == want
 
 
 # --- 8 Jaccard join
