@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph
+from quillgraph.operators import graph, report
 
 
 def _issue(rows: DataFrame, code: str, severity: str, node: str = "node_id") -> DataFrame:
@@ -34,7 +34,9 @@ def verify(documents: DataFrame, sections: DataFrame, paragraphs: DataFrame, edg
         _issue(graph.duplicate_edges(edges), "DUPLICATE_EDGES", "warning", "src"),
         _issue(child.groupBy("dst").agg(F.countDistinct("src").alias("n")).where("n > 1"), "MULTI_PARENT_EDGE", "error", "dst"),
         _issue(anti(sections, child.select("dst")), "MISSING_SECTION_HAS_CHILD", "error"),
-        _issue(anti(parents, sections.select("node_id"), "parent_id"), "DANGLING_PARENT_SECTION_ID", "error"),
+        _issue(anti(parents, child.select("dst")), "MISSING_SECTION_PARENT_EDGE", "error"),
+        _issue(parents.where(F.col("parent_id").contains("/") & ~F.col("node_id").contains("/")), "LEGACY_PARENT_SECTION_ID", "warning"),
+        _issue(anti(parents.withColumn("parent_id", report.document_key(F.col("parent_id"))), sections.select(report.document_key(F.col("node_id"))), "parent_id"), "DANGLING_PARENT_SECTION_ID", "error"),
         _issue(parents.join(up, "parent_id").where(F.col("level") > F.col("parent_level") + 1), "LEVEL_GAP", "warning"),
         _issue(leaf.where("n > 1 AND nested = 0"), "ALL_SECTIONS_LEAF", "warning", "document_id"),
         _issue(anti(paragraphs, belongs.select("src")), "MISSING_BELONGS_TO", "error"),
@@ -45,3 +47,45 @@ def verify(documents: DataFrame, sections: DataFrame, paragraphs: DataFrame, edg
         _issue(paragraphs.where(F.coalesce(F.size("tags"), F.lit(0)) == 0), "NO_TAGS", "info"),
     ]
     return reduce(DataFrame.unionByName, rules)
+
+
+def coverage(documents: DataFrame, paragraphs: DataFrame, sources: DataFrame, low: float = 0.3, partial: float = 0.5) -> DataFrame:
+    """Issues of documents whose paragraphs hold too little of the text they were made from, or whose source is gone.
+
+    documents: node_id; paragraphs: document_id, content; sources: document_id, size.
+    """
+    held = paragraphs.groupBy("document_id").agg(F.sum(F.length(F.coalesce("content", F.lit("")))).alias("chars"))
+    rows = documents.select(F.col("node_id").alias("document_id")).join(sources, "document_id", "left").join(held, "document_id", "left")
+    rows = rows.withColumn("ratio", F.try_divide(F.coalesce("chars", F.lit(0)), F.col("size")))
+    return reduce(DataFrame.unionByName, [
+        _issue(rows.where("size IS NULL"), "ORIGINAL_FILE_NOT_FOUND", "warning", "document_id"),
+        _issue(rows.where(F.col("ratio") < low), "LOW_CONTENT_COVERAGE", "error", "document_id"),
+        _issue(rows.where((F.col("ratio") >= low) & (F.col("ratio") < partial)), "PARTIAL_CONTENT_COVERAGE", "warning", "document_id"),
+    ])
+
+
+def spot_checks(sources: DataFrame, paragraphs: DataFrame, most: int = 10, least: int = 60, lead: int = 40, seed: str = "spot") -> DataFrame:
+    """Issues of documents of which too few sampled source paragraphs are found in the graph.
+
+    Of each source, ``most`` paragraphs of ``least`` characters or more are drawn; one is found if some stored paragraph of
+    the document has its first ``lead`` letters and digits in its own text. A sample is the feature here: it is a check.
+    sources: document_id, text; paragraphs: document_id, content.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
+    pieces = sources.select("document_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("at", "piece")).where((F.length("piece") >= least) & ~F.col("piece").rlike(r"^\s*[#|-]"))
+    draw = F.row_number().over(Window.partitionBy("document_id").orderBy(F.xxhash64(F.lit(seed), "document_id", "at"), "at"))
+    drawn = pieces.withColumn("k", draw).where(F.col("k") <= most).select("document_id", "k", F.left(F.trim(plain(F.col("piece"))), F.lit(lead)).alias("lead"))
+    wanted = drawn.groupBy("document_id").agg(F.collect_list("lead").alias("leads"))  # at most ``most``
+    held = paragraphs.join(wanted, "document_id").select("document_id", F.explode(F.filter("leads", lambda x: plain(F.col("content")).contains(x))).alias("lead")).distinct()
+    hits = held.groupBy("document_id").agg(F.count("*").alias("hits"))
+    rows = wanted.select("document_id", F.size(F.array_distinct("leads")).alias("n")).join(hits, "document_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    failed, partial = F.col("hits") < F.ceil(F.col("n") * 0.4), F.col("hits") < F.ceil(F.col("n") * 0.6)
+    return _issue(rows.where(failed), "SPOT_CHECK_FAILED", "error", "document_id").unionByName(_issue(rows.where(~failed & partial), "SPOT_CHECK_PARTIAL", "warning", "document_id"))
+
+
+def missing_edges(sections: DataFrame, paragraphs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges that mend MISSING_SECTION_PARENT_EDGE and MISSING_BELONGS_TO: src, dst, relation."""
+    has = lambda name, end: edges.where(F.col("relation") == name).select(F.col(end).alias("node_id")).distinct()
+    child = sections.where("parent_id IS NOT NULL").join(has("HAS_CHILD", "dst"), "node_id", "left_anti")
+    child = child.select(F.col("parent_id").alias("src"), F.col("node_id").alias("dst"), F.lit("HAS_CHILD").alias("relation"))
+    return child.unionByName(graph.belongs_edges(paragraphs.join(has("BELONGS_TO", "src"), "node_id", "left_anti")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import exports, graph, ingest, ontology
+from quillgraph.operators import exports, graph, ingest, ontology, verify
 from quillgraph.plans.graphs import PARA
 from quillgraph.plans.retrieval import DOCS, STOP_SQL
 from quillgraph.sources import adapters as A
@@ -153,7 +153,25 @@ def layout_roundtrip(spark, d):
     return layouts.okf_nodes(exports.layout_json(nodes), "doc", "json")
 
 
-QUERIES = {f.__name__: f for f in (preflight, document_metadata, context_prefixes, enriched_edges, pseudo_questions, entity_resolution, entity_variants, promoted_tags, tag_terms, date_excerpts, missing_embeddings, cleanup, adjacent_edges, belongs_edges, dedup_edges, doc_cross_edges, category_tree, category_angles, section_pages, entity_pages, json_export, layout_roundtrip)}
+def content_coverage(spark, d):
+    """Lines of over forty characters as what was kept of a document; some sources are gone."""
+    docs = A.texts(spark, d, "documents")
+    paras = A.paragraphs(spark, d).where("length(content) > 40").select(F.col("doc_id").alias("document_id"), "content")
+    sources = docs.where("lang <> 'fr'").select(F.col("doc_id").alias("document_id"), F.length("text").alias("size"))
+    return verify.coverage(docs.select(F.col("doc_id").alias("node_id")), paras, sources)
+
+
+def missing_edges(spark, d):
+    """Nations under regions and orders under customers, of which some have their edge."""
+    n, o = A.table(spark, d, "nation"), A.table(spark, d, "orders")
+    sections = n.select(F.col("n_name").alias("node_id"), F.when(F.col("n_regionkey") > 0, F.col("n_regionkey").cast("string")).alias("parent_id"))
+    paras = o.select(F.col("o_orderkey").cast("string").alias("node_id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("section_id"), F.col("o_custkey").cast("string").alias("document_id"))
+    edges = n.where("n_regionkey < 3").select(F.lit("x").alias("src"), F.col("n_name").alias("dst"), F.lit("HAS_CHILD").alias("relation"))
+    edges = edges.unionByName(o.where("o_totalprice > 100000").select(F.col("o_orderkey").cast("string").alias("src"), F.lit("x").alias("dst"), F.lit("BELONGS_TO").alias("relation")))
+    return verify.missing_edges(sections, paras, edges)
+
+
+QUERIES = {f.__name__: f for f in (preflight, document_metadata, context_prefixes, enriched_edges, pseudo_questions, entity_resolution, entity_variants, promoted_tags, tag_terms, date_excerpts, missing_embeddings, cleanup, adjacent_edges, belongs_edges, dedup_edges, doc_cross_edges, category_tree, category_angles, section_pages, entity_pages, json_export, layout_roundtrip, content_coverage, missing_edges)}
 
 _slug = r"regexp_replace(regexp_replace(regexp_replace(trim(lower({x})), '\s+', '-', 'g'), '[^\w-]', '', 'g'), '-{{2,}}', '-', 'g')"
 _words = f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({{x}}), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({STOP_SQL}))))"
@@ -201,5 +219,8 @@ SELECT n_nationkey AS node_id, 'documents/' || d || '/' || s || '.md' AS path, m
     "entity_pages": f"""WITH m AS (SELECT l_suppkey AS k, o_custkey AS d, count(DISTINCT o_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2), l AS (SELECT k, string_agg('- [[' || coalesce(c_name, d::VARCHAR) || ']] (' || n || ')' || {_nl}, '' ORDER BY d) AS t FROM m LEFT JOIN customer ON c_custkey = d GROUP BY 1)
 SELECT s_suppkey AS slug, 'entities/' || {_slug.format(x='s_name')} || '.md' AS path, md5({_front.format(x='s_name', k='entity')} || '# ' || s_name || {_nl} || {_nl} || coalesce(t, '')) AS digest FROM supplier LEFT JOIN l ON k = s_suppkey""",
     "json_export": "SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})::VARCHAR AS json FROM nation",
+    "content_coverage": f"""WITH {PARA}, h AS (SELECT doc_id, sum(length(content)) AS c FROM pa WHERE length(content) > 40 GROUP BY 1), r AS (SELECT d.doc_id::VARCHAR AS node_id, CASE WHEN lang <> 'fr' THEN length(text) END AS s, coalesce(c, 0) / nullif(CASE WHEN lang <> 'fr' THEN length(text) END, 0)::DOUBLE AS q FROM documents d LEFT JOIN h USING (doc_id))
+SELECT CASE WHEN s IS NULL THEN 'ORIGINAL_FILE_NOT_FOUND' WHEN q < 0.3::DOUBLE THEN 'LOW_CONTENT_COVERAGE' ELSE 'PARTIAL_CONTENT_COVERAGE' END AS code, CASE WHEN s IS NOT NULL AND q < 0.3::DOUBLE THEN 'error' ELSE 'warning' END AS severity, node_id FROM r WHERE s IS NULL OR q < 0.5::DOUBLE""",
+    "missing_edges": "SELECT n_regionkey::VARCHAR AS src, n_name AS dst, 'HAS_CHILD' AS relation FROM nation WHERE n_regionkey >= 3 UNION ALL SELECT o_orderkey::VARCHAR, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE o_custkey::VARCHAR END, 'BELONGS_TO' FROM orders WHERE NOT o_totalprice > 100000",
     "layout_roundtrip": "SELECT o_custkey AS doc, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS pos, 'Paragraph' AS node_type, NULL::INT AS level, 3 AS page, o_orderstatus AS title, o_orderpriority AS content FROM orders",
 }

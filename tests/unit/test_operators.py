@@ -247,6 +247,20 @@ def test_verifier_finds_planted_faults(spark):
     assert codes == {"DUPLICATE_EDGES", "LEVEL_GAP", "EMPTY_PARAGRAPHS", "DEAD_EDGES"}
 
 
+def test_spot_checks_and_legacy_parents(spark):
+    text = "\n\n".join(f"Paragraph number {k} says that the {k} things are as they have been before {'x' * k}." for k in range(10))
+    sources = spark.createDataFrame([("a", text), ("b", text), ("c", text), ("d", "short")], "document_id string, text string")
+    parts = text.split("\n\n")
+    paras = spark.createDataFrame([*(("a", p.upper()) for p in parts), *(("b", p) for p in parts[:5]), ("c", parts[0])], "document_id string, content string")
+    assert rows(verify.spot_checks(sources, paras), "code", "node_id") == [("SPOT_CHECK_FAILED", "c"), ("SPOT_CHECK_PARTIAL", "b")]
+    sections = spark.createDataFrame([("s", "d", None, 1), ("t", "d", "sections/s", 2), ("u", "d", "gone", 2)], "node_id string, document_id string, parent_id string, level int")
+    docs = spark.createDataFrame([("d",)], "node_id string")
+    none = spark.createDataFrame([], "node_id string, document_id string, section_id string, content string, tags array<string>")
+    found = {(r["code"], r["node_id"]) for r in verify.verify(docs, sections, none, edges(spark, [("d", "s"), ("s", "t")], "HAS_CHILD")).collect()}
+    assert {("LEGACY_PARENT_SECTION_ID", "t"), ("MISSING_SECTION_PARENT_EDGE", "u"), ("DANGLING_PARENT_SECTION_ID", "u")} <= found
+    assert ("DANGLING_PARENT_SECTION_ID", "t") not in found
+
+
 def test_layouts(spark):
     okf = '{"nodes":[{"type":"Section","title":"A","metadata":{"page":2,"level":1}},{"type":"Table","table":{"content_data":[["h"],["v"]]}},]}'
     mineru = '{"pdf_body":[{"type":"title","text":"T","level":1},{"type":"text","text":"x"},{"type":"table","table_cells":[["h"],["v"]]}]}'
