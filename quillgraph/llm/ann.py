@@ -14,8 +14,8 @@ the table), order by inner product is order by distance, so lists, rotation and
 4. A query's best over its blocks, ties to the smaller id, are its result.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; repeated ids are candidates each (a query is never its own candidate, by id); a query probes on until its
-lists hold 2 k vectors, so small tables are searched whole; an empty table gives an empty result; further columns are ignored.
+part; rows of one id are candidates each, and the id is named once, with its best row (a query is never its own candidate,
+by id); query rows of one id are one query, with the least of their vectors; a query probes on until its lists hold 2 k vectors, so small tables are searched whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,6 +158,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dimensions: int
             return empty
         dimensions = found["d"]
     vectors, queries = (df.where(usable(F.col("embedding"), dimensions)) for df in (vectors, queries))
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     index = build_index(vectors, dimensions, k)
     if index is None:
         return empty
@@ -198,22 +199,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dimensions: int
         if left.num_rows and right.num_rows:
             order = np.argsort(left.column("vec_id").to_numpy(), kind="stable")
             ids = left.column("vec_id").to_numpy()[order]
+            # Rows of the query's own id, and further rows of other ids, may stand before the k-th id.
+            own_rows = 1 + len(ids) - len(np.unique(ids))
             vecs = _matrix(left.column("embedding").combine_chunks(), dimensions)[order]
             lifted = own.lift(vecs)
             asked_ids = right.column("vec_id").to_numpy()
             raw = _matrix(right.column("embedding").combine_chunks(), dimensions)
             turned = own.lift(raw, query=True)
             for q in range(len(asked_ids)):
-                rows = adaptive_scan(turned[q], lifted, k + 1)
+                rows = adaptive_scan(turned[q], lifted, k + own_rows)
                 rows = rows[ids[rows] != asked_ids[q]]
                 scores = (vecs[rows] * raw[q]).sum(axis=1)
-                best = np.lexsort((ids[rows], -scores))[:k]
+                best = np.lexsort((ids[rows], -scores))
+                best = best[np.sort(np.unique(ids[rows][best], return_index=True)[1])][:k]  # the best row of each id
                 out += [(int(asked_ids[q]), int(ids[rows[x]]), float(scores[x])) for x in best]
         kinds = [pa.int64(), pa.int64(), pa.float64()]
         return pa.table([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["query_id", "vec_id", "score"])
 
+    # Rows of one id may lie in several lists.
+    repeated = base.count() > base.select("vec_id").distinct().count()
     pieces = base.select("list", "block", "vec_id", "embedding").groupBy("list", "block")
     found = pieces.cogroup(asked.select("list", "block", "vec_id", "embedding").groupBy("list", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if repeated else found
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

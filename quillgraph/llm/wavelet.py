@@ -1,7 +1,9 @@
 """Wavelet matrix of a token sequence: one bit-plane per bit of an id, with rank and select support.
 
 A plane holds one bit of each id, most significant plane first; between planes the ids are stably parted into those
-with a 0 bit and those with a 1 bit. ``dump`` gives one compressed byte string, ``load`` reads it.
+with a 0 bit and those with a 1 bit. ``dump`` gives one byte string: for each plane the number of ones before every
+``SUPERBLOCK`` bits, and its bits compressed in pieces of ``PIECE`` bits. ``load`` reads the counts; a piece is
+decompressed when a query meets it, so access, count and locate touch a few pieces of a shard and never the whole.
 """
 
 from __future__ import annotations
@@ -11,66 +13,88 @@ import struct
 import numpy as np
 import zstandard
 
-MAGIC = b"WMX1"
-#: Bits between two stored rank counts.
-SUPERBLOCK = 512
+MAGIC = b"WMX2"
+#: Bits between two stored rank counts, and bits of a compressed piece (a multiple).
+SUPERBLOCK = 4096
+PIECE = 1 << 19
 
 
 def _part(values: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.concatenate([np.compress(~mask, values), np.compress(mask, values)])
 
 
+def _counts(plane: np.ndarray) -> np.ndarray:
+    """Ones before each superblock, and at the end."""
+    step = SUPERBLOCK // 8
+    whole = len(plane) // step * step
+    ones = np.bitwise_count(plane[:whole]).reshape(-1, step).sum(axis=1, dtype=np.uint32)
+    rest = [int(np.bitwise_count(plane[whole:]).sum())] if whole < len(plane) else []
+    return np.concatenate([[0], np.cumsum(np.concatenate([ones, rest]), dtype=np.uint32)]).astype("<u4")
+
+
 def dump(ids: np.ndarray, bits: int) -> bytes:
-    """Compressed planes and rank counts of unsigned ids below 2 ** bits."""
+    """Rank counts and compressed planes of unsigned ids below 2 ** bits."""
     n, level = len(ids), np.asarray(ids)
     press = zstandard.ZstdCompressor(level=1)
-    out = [MAGIC, struct.pack("<BQ", bits, n)]
+    head, body = [MAGIC, struct.pack("<BQ", bits, n)], []
     for b in range(bits - 1, -1, -1):
         mask = (level & level.dtype.type(1 << b)).astype(bool)
         plane = np.packbits(mask, bitorder="little")
-        blob = press.compress(plane.tobytes())
-        out += [struct.pack("<Q", len(blob)), blob]
+        pieces = [press.compress(plane[k : k + PIECE // 8].tobytes()) for k in range(0, len(plane), PIECE // 8)]
+        head += [_counts(plane).tobytes(), struct.pack(f"<{len(pieces)}I", *map(len, pieces))]
+        body += pieces
         if b:
             level = _part(level, mask)
-    return b"".join(out)
+    return b"".join(head + body)
 
 
 class WaveletMatrix:
-    """Rank and select run on the packed planes and a count per superblock; nothing is unpacked as a whole."""
+    """Rank and select run on stored counts and single pieces of the packed planes."""
 
-    def __init__(self, planes: list[np.ndarray], n: int):
-        self.planes, self.n, self.bits = planes, n, len(planes)
-        self._counts: list[np.ndarray] | None = None
+    def __init__(self, blob: bytes, bits: int, n: int, counts: list[np.ndarray], places: list[list[tuple[int, int]]]):
+        self.blob, self.bits, self.n, self.counts, self.places = blob, bits, n, counts, places
+        self._press = zstandard.ZstdDecompressor()
+        self._pieces: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
     def load(cls, blob: bytes) -> WaveletMatrix:
         if blob[:4] != MAGIC:
             raise ValueError("not a wavelet matrix")
         bits, n = struct.unpack_from("<BQ", blob, 4)
-        at, planes, press = 13, [], zstandard.ZstdDecompressor()
+        blocks, pieces = -(-n // SUPERBLOCK) + 1, -(-n // PIECE)
+        at, counts, sizes = 13, [], []
         for _ in range(bits):
-            (size,) = struct.unpack_from("<Q", blob, at)
-            planes.append(np.frombuffer(press.decompress(blob[at + 8 : at + 8 + size]), dtype=np.uint8) if n else np.empty(0, np.uint8))
-            at += 8 + size
-        return cls(planes, n)
-
-    @property
-    def counts(self) -> list[np.ndarray]:
-        """Ones before each superblock of each plane."""
-        if self._counts is None:
-            step, self._counts = SUPERBLOCK // 8, []
-            for plane in self.planes:
-                padded = np.concatenate([plane, np.zeros(-len(plane) % step, np.uint8)]).reshape(-1, step)
-                self._counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(padded).sum(axis=1, dtype=np.int64))]))
-        return self._counts
+            counts.append(np.frombuffer(blob, "<u4", blocks, at))
+            sizes.append(struct.unpack_from(f"<{pieces}I", blob, at + 4 * blocks))
+            at += 4 * blocks + 4 * pieces
+        places = []
+        for own in sizes:
+            ends = at + np.cumsum(own, dtype=np.int64) if own else np.empty(0, np.int64)
+            places.append([(int(e) - s, int(e)) for e, s in zip(ends, own, strict=True)])
+            at = int(ends[-1]) if own else at
+        return cls(blob, bits, n, counts, places)
+
+    def _raw(self, level: int, piece: int) -> np.ndarray:
+        a, b = self.places[level][piece]
+        return np.frombuffer(self._press.decompress(self.blob[a:b]), np.uint8)
+
+    def _bytes(self, level: int, piece: int) -> np.ndarray:
+        if (level, piece) not in self._pieces:
+            if len(self._pieces) >= 4 * self.bits:
+                del self._pieces[next(iter(self._pieces))]
+            self._pieces[level, piece] = self._raw(level, piece)
+        return self._pieces[level, piece]
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         block = i // SUPERBLOCK
-        start = block * SUPERBLOCK // 8
-        whole = int(np.bitwise_count(self.planes[level][start : i // 8]).sum())
-        rest = int(self.planes[level][i // 8] & ((1 << i % 8) - 1)).bit_count() if i % 8 else 0
-        return int(self.counts[level][block]) + whole + rest
+        found = int(self.counts[level][block])
+        if i % SUPERBLOCK:
+            own, start = self._bytes(level, i // PIECE), block * SUPERBLOCK % PIECE // 8
+            end = i % PIECE
+            found += int(np.bitwise_count(own[start : end // 8]).sum())
+            found += int(own[end // 8] & ((1 << end % 8) - 1)).bit_count() if end % 8 else 0
+        return found
 
     def _zeros(self, level: int) -> int:
         return self.n - int(self.counts[level][-1])
@@ -81,7 +105,7 @@ class WaveletMatrix:
             raise IndexError(i)
         value = 0
         for level in range(self.bits):
-            bit = int(self.planes[level][i // 8]) >> (i % 8) & 1
+            bit = int(self._bytes(level, i // PIECE)[i % PIECE // 8]) >> (i % 8) & 1
             ones = self._ones(level, i)
             value, i = value << 1 | bit, self._zeros(level) + ones if bit else i - ones
         return value
@@ -100,16 +124,15 @@ class WaveletMatrix:
         return b - a
 
     def _select_bit(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) bit of a kind in a plane."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            ones = self._ones(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        """Position of the k-th (from 0) bit of a kind in a plane: its superblock by the counts, then its place in it."""
+        ones = self.counts[level].astype(np.int64)
+        ends = np.minimum(np.arange(len(ones)) * SUPERBLOCK, self.n)
+        before = ones if bit else ends - ones
+        block = int(np.searchsorted(before, k, "right")) - 1
+        start = block * SUPERBLOCK
+        own = self._bytes(level, start // PIECE)[start % PIECE // 8 :][: SUPERBLOCK // 8]
+        flags = np.unpackbits(own, bitorder="little", count=min(SUPERBLOCK, self.n - start))
+        return start + int(np.flatnonzero(flags == bit)[k - int(before[block])])
 
     def locate(self, value: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of an id (select)."""
@@ -127,8 +150,9 @@ class WaveletMatrix:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         values = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            mask = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
-            zeros = self.n - int(np.count_nonzero(mask))
+            plane = [self._raw(k, p) for p in range(len(self.places[k]))]
+            mask = np.unpackbits(np.concatenate(plane) if plane else np.empty(0, np.uint8), count=self.n, bitorder="little").view(bool)
+            zeros = self._zeros(k)
             before = np.empty_like(values)
             before[np.flatnonzero(~mask)] = values[:zeros]
             before[np.flatnonzero(mask)] = values[zeros:]

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import ann, decontaminate, doubling, jaccard_join, langid, licences, mixing, repeats, secrets, sharding, shingles, tokenfile
+from quillgraph.llm import ann, decontaminate, doubling, jaccard_join, langid, licences, mixing, repeats, secrets, sharding, shingles, tokenfile, wavelet
 from quillgraph.llm.components import connected_components
 from quillgraph.llm.decontaminate import _runs as runs
 from quillgraph.llm.wavelet import WaveletMatrix, dump
@@ -270,10 +270,29 @@ def test_neighbours_recall_and_edges(spark, empty):
     assert ann.search(none, none, 20).count() == 0
 
 
+def test_neighbours_of_repeated_ids_and_clashing_columns(spark):
+    """A repeated query counts once, an id is named once with its best row; further columns, of any name, are ignored."""
+    r = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in r.normal(size=8)], 1, 2, "x", 0.5) for k in range(60)]
+    rows += [rows[0], rows[0], (7, [9.0] * 8, 1, 2, "x", 0.5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int, block int, query_id string, score double")
+    found = ann.search(df, df.where("vec_id = 0"), 10).orderBy("rank").collect()
+    score = {}
+    for k, v, *_ in rows:
+        if k:
+            score[k] = max(score.get(k, -np.inf), float(np.dot(v, rows[0][1])))
+    want = sorted(score, key=lambda k: (-score[k], k))[:10]
+    assert [x["vec_id"] for x in found] == want and [x["rank"] for x in found] == list(range(1, 11))
+    assert all(x["score"] == pytest.approx(score[x["vec_id"]]) for x in found)
+
+
 # --- 5 token files
 
 
-def test_wavelet_matrix():
+@pytest.mark.parametrize("superblock, piece", [(4096, 1 << 19), (64, 128), (512, 2048)])
+def test_wavelet_matrix(monkeypatch, superblock, piece):
+    monkeypatch.setattr(wavelet, "SUPERBLOCK", superblock)
+    monkeypatch.setattr(wavelet, "PIECE", piece)
     ids = np.random.default_rng(2).integers(0, 900, 5000).astype(np.uint16)
     w = WaveletMatrix.load(dump(ids, 16))
     assert (w.decode() == ids).all()
@@ -288,6 +307,22 @@ def test_wavelet_matrix():
     assert len(WaveletMatrix.load(dump(np.empty(0, np.uint16), 16)).decode()) == 0
 
 
+def test_rank_and_select_from_a_written_file(spark, docs, tmp_path):
+    """Access, counts and occurrences asked of the file as it lies on disk, with a few pieces read."""
+    tokenfile.write_tokens(docs, str(tmp_path / "t"), tokenfile.tokenizer_path())
+    shards = spark.read.schema(tokenfile.SHARD_SCHEMA).parquet(str(tmp_path / "t")).collect()
+    assert sum(r["n_docs"] for r in shards) == len(ROWS)
+    for r in shards:
+        w = WaveletMatrix.load(bytes(r["payload"]))
+        ids = WaveletMatrix.load(bytes(r["payload"])).decode()
+        assert len(ids) == r["n_tokens"] == sum(r["doc_tokens"])
+        at = np.flatnonzero(ids == tokenfile.END_ID)
+        assert w.count(tokenfile.END_ID) == r["n_docs"] == len(at)
+        assert [w.locate(tokenfile.END_ID, k) for k in range(len(at))] == at.tolist() == (np.cumsum(r["doc_tokens"]) - 1).tolist()
+        for i in range(0, len(ids), 37):
+            assert w.access(i) == ids[i] and w.count(int(ids[i]), 0, i) == (ids[:i] == ids[i]).sum()
+
+
 def test_tokens_round_trip(docs, empty, monkeypatch):
     from tokenizers import Tokenizer
 
@@ -561,6 +596,44 @@ def test_secrets(spark, docs, empty, monkeypatch):
     assert len(secrets.train(empty)) == len(secrets.ALPHABET) ** 2
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    return secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_ratio_is_the_plain_markov_ratio(spark, trained):
+    """Pair counts, smoothing and the mean written out in plain Python over the same labelled strings."""
+    rows = secrets._labelled_samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("string", "label").collect()
+    counts = [Counter(), Counter()]
+    for string, label in rows:
+        counts[label].update(string[i : i + 2] for i in range(len(string) - 1))
+    n = len(secrets.ALPHABET)
+    total = [{a: n + sum(c[a + b] for b in secrets.ALPHABET) for a in secrets.ALPHABET} for c in counts]
+    chance = lambda k, p: (counts[k][p] + 1) / total[k][p[0]]
+    strings = ["k9J2mQ8zLp4Rt7Vw1Xy3Bn6", "customer_account_number_12", "0123456789abcdef0123", "AAAAAAAAAAAAAAAAAAAA1", "a-b_c/d+e=f-a-b_c/d+e1"]
+    got = spark.createDataFrame([(s,) for s in strings], "s string").select("s", secrets.mean_ratio(F.col("s"), trained).alias("r")).collect()
+    for s, r in got:
+        assert r == pytest.approx(np.mean([np.log(chance(1, s[i : i + 2]) / chance(0, s[i : i + 2])) for i in range(len(s) - 1)]), abs=1e-4)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_precision_and_recall_at_the_shipped_threshold(spark, trained):
+    """Random keys of several alphabets against names as they stand in code; none of either was trained on."""
+    r = np.random.default_rng(12)
+    make = lambda letters, n: "".join(r.choice(list(letters), n))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    keys = [make(a, 20 + k % 25) for k in range(300) for a in (low + up + num, low + up + num + "+/", up + num)]
+    vocabulary = "account address array buffer builder cache client config connection context controller customer default dispatcher document element exception factory format handler identifier instance iterator manager message model number object observer option parameter parser payload pipeline process provider request resolver response result schema sender server service session setting signature socket source status storage stream string target template thread timestamp token tracker transaction transformer validation variable version worker".split()
+    name = lambda k: (lambda w: ["".join(x.title() for x in w) + str(k % 100), "_".join(w) + f"_{k % 1000}", "-".join(w) + "-v2", w[0] + "".join(x.title() for x in w[1:]) + "2024", "/".join(w) + "/v1/list"][k % 5])(list(r.choice(vocabulary, 4)))
+    names = [x for x in map(name, range(900)) if len(x) >= 20]
+    df = spark.createDataFrame([(s, 1) for s in keys if any(c in num for c in s)] + [(s, 0) for s in names], "text string, label int")
+    found = secrets.scan_secrets(df, trained).select("label", (F.size("markov") > 0).alias("hit")).groupBy("label").agg(F.avg(F.col("hit").cast("double")).alias("share"), F.count("*").alias("n")).collect()
+    share = {r["label"]: r["share"] for r in found}
+    print(share)
+    assert share[1] >= 0.9 and share[0] <= 0.01
+
+
 def test_random_strings_score_above_identifiers(spark, docs):
     model = secrets.train(docs.withColumn("text", F.lit(PROSE * 5)))
     strings = ["k9J2mQ8zLp4Rt7Vw1Xy3Bn6", "wJalrXUtnFEMIK7MDENGbPxRfiCY9", "customer_account_number_12", "requestHandlerResponse2024"]
