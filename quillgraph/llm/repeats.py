@@ -43,7 +43,7 @@ from quillgraph.llm.common import small_batches, table, whole_text
 LENGTH = 50
 SEED = 20
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Cuts of doc_id that are sent around.
 MOST_CUTS = 4096
 #: Ranges of the hash that a block's windows are compared in, by the four leading bits.
@@ -234,14 +234,15 @@ def _find(ranks: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, same
 
 
-def _pack(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+def _deltas(values: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte: the high bytes are zeros, which the shuffle's compression takes out."""
+    values = values.astype("<u8")
+    values[1:] -= values[:-1].copy()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _unpack(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").ravel()
+def _sums(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def _answers(data: pa.Table | None, kind: int) -> np.ndarray:
@@ -270,8 +271,8 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _ask_runs(buckets: int):
     def run(cell: pa.Table) -> pa.Table:
         block = _block(cell)
-        a, r = _pack(block.anchors), block.run_ranks.astype("<u8")
-        return _slices(cell.column("block")[0].as_py(), block.anchors, 40, buckets, lambda i, j: a[i:j].tobytes() + r[i:j].tobytes(), 1)
+        payload = lambda i, j: _deltas(block.anchors[i:j]) + block.run_ranks[i:j].astype("<u8").tobytes()
+        return _slices(cell.column("block")[0].as_py(), block.anchors, 40, buckets, payload, 1)
 
     return run
 
@@ -280,9 +281,9 @@ def _tell_runs(cell: pa.Table) -> pa.Table:
     """0: no other block has the anchor, or this one has the run first; 1: an earlier block has the run; 2: undecided."""
     blocks, payloads = cell.column("block").to_pylist(), cell.column("payload").to_pylist()
     order = sorted(range(len(blocks)), key=blocks.__getitem__)
-    sizes = [len(payloads[k]) // 13 for k in order]
-    anchor = _unpack(np.concatenate([np.frombuffer(payloads[k], np.uint8, 5 * n).reshape(-1, 5) for k, n in zip(order, sizes, strict=True)]))
-    run = np.concatenate([np.frombuffer(payloads[k], "<u8", n, 5 * n) for k, n in zip(order, sizes, strict=True)])
+    sizes = [len(payloads[k]) // 16 for k in order]
+    anchor = np.concatenate([_sums(payloads[k], n) for k, n in zip(order, sizes, strict=True)])
+    run = np.concatenate([np.frombuffer(payloads[k], "<u8", n, 8 * n) for k, n in zip(order, sizes, strict=True)])
     sort = np.lexsort((np.arange(len(anchor)), run, anchor))  # rows stand by block, so ties do too
     a, r = anchor[sort], run[sort]
     new = np.ones(len(a), bool)
@@ -302,12 +303,14 @@ def _tell_windows(cell: pa.Table) -> pa.Table:
     """1 if an earlier block has the window."""
     blocks, payloads = cell.column("block").to_pylist(), cell.column("payload").to_pylist()
     order = sorted(range(len(blocks)), key=blocks.__getitem__)
-    pieces = [np.frombuffer(payloads[k], RANK) for k in order]
-    ranks = np.concatenate(pieces)
+    sizes = [len(payloads[k]) // RANK.itemsize for k in order]
+    ranks = np.empty(sum(sizes), RANK)
+    ranks["pair"] = np.concatenate([_sums(payloads[k], n) for k, n in zip(order, sizes, strict=True)])
+    ranks["second"] = np.concatenate([np.frombuffer(payloads[k], "<u4", n, 8 * n) for k, n in zip(order, sizes, strict=True)])
     sort = _ordered(ranks)
     out = np.empty(len(ranks), np.uint8)
     out[sort] = ~_news(ranks[sort])
-    return _replies(cell, [blocks[k] for k in order], [len(p) for p in pieces], out, 2)
+    return _replies(cell, [blocks[k] for k in order], sizes, out, 2)
 
 
 def _replies(cell: pa.Table, blocks: list[int], sizes: list[int], out: np.ndarray, kind: int) -> pa.Table:
@@ -333,7 +336,8 @@ def _ask_windows(buckets: int):
         block = _block(cell)
         _, asked = _open_runs(block, _answers(told, 1))
         ranks = _distinct(block.windows(np.flatnonzero(asked))[1])
-        return _slices(cell.column("block")[0].as_py(), ranks["pair"], 64, buckets, lambda i, j: ranks[i:j].tobytes(), 2)
+        payload = lambda i, j: _deltas(ranks["pair"][i:j]) + ranks["second"][i:j].tobytes()
+        return _slices(cell.column("block")[0].as_py(), ranks["pair"], 64, buckets, payload, 2)
 
     return run
 
@@ -410,7 +414,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text: str = "text",
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).cast("binary").alias("raw"))
     known, n = _blocks(docs)
     blocks = known.groupBy("block")
-    buckets = -(-n // 2)  # an entry is a few bytes, a block's texts are many
+    buckets = n
     told_runs = blocks.applyInArrow(_ask_runs(buckets), MESSAGE).groupBy("bucket").applyInArrow(_tell_runs, MESSAGE)
     asked = blocks.cogroup(told_runs.groupBy("block")).applyInArrow(_ask_windows(buckets), MESSAGE)
     told_windows = asked.groupBy("bucket").applyInArrow(_tell_windows, MESSAGE)
