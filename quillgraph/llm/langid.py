@@ -42,9 +42,9 @@ MOST_LANGUAGES = 256
 #: Sampled rows that one task sums.
 TASK_ROWS = 4096
 RIDGE = 0.0005
-#: One-versus-rest values are near 1 for a language's own texts, below 0 for the rest, and near 0 for a text whose
-#: n-grams no language has. A text of at least so many letters is rejected below this value.
-LEAST_VALUE = 0.05
+#: The value of all learned texts is near 1 for a text of any learned language, or of several, and near 0 for one whose
+#: n-grams none has. A text of at least so many letters is rejected below this value.
+LEAST_VALUE = 0.5
 LEAST_LETTERS = 200
 NO_LANGUAGE = "und"
 
@@ -107,7 +107,7 @@ def _sums(marks: list[bytes], weight: dict[str, float]):
 
 
 class Model:
-    """Languages, and for each a weight of every slot: landmarks and ridge weights multiplied out."""
+    """Languages, and for each, and at last for any of them, a weight of every slot: landmarks and ridge weights multiplied out."""
 
     def __init__(self, languages: list[str], weights: np.ndarray):
         self.languages, self.weights = languages, weights
@@ -116,24 +116,27 @@ class Model:
     def solve(cls, languages: list[str], marks: np.ndarray, gram: np.ndarray, sums: np.ndarray) -> Model:
         """Ridge weights from what the tasks summed: K'WK, and for each language the weighted sum of its kernel rows.
 
-        Targets are 1 for a language's own rows and -1 for the rest, so K'Wy is twice its own sum less all sums.
+        Targets are 1 for a language's own rows and -1 for the rest, so K'Wy is twice its own sum less all sums. The last
+        column has the target 1 for every row: it is near 1 for texts of any learned language, near 0 for others.
         """
         marks = _unit(marks)
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         good = values > 1e-5 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
         held = root.T @ gram @ root + RIDGE * np.eye(root.shape[1])
-        solved = np.linalg.solve(held, root.T @ (2 * sums - sums.sum(axis=0)).T)
+        total = sums.sum(axis=0)
+        solved = np.linalg.solve(held, root.T @ np.vstack([2 * sums - total, total]).T)
         return cls(languages, marks.T @ (root @ solved).astype(np.float32))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score from 0 to 1, and the ridge value of the language, which is near 1 for texts like those learned."""
+        """Language, score from 0 to 1, and the ridge value of all learned texts, which is near 1 for texts like those."""
         if not self.languages or not texts:
-            return [NO_LANGUAGE] * len(texts), [0.0] * len(texts), [-1.0] * len(texts)
-        scores = (_unit(np.stack([_bits(text) for text in texts])) @ self.weights).astype(np.float64)
+            return [NO_LANGUAGE] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        values = (_unit(np.stack([_bits(text) for text in texts])) @ self.weights).astype(np.float64)
+        scores = values[:, :-1]
         best = scores.argmax(axis=1)
         power = np.exp(3.0 * (scores - scores.max(axis=1, keepdims=True)))
-        return [self.languages[k] for k in best], (1.0 / power.sum(axis=1)).tolist(), scores.max(axis=1).tolist()
+        return [self.languages[k] for k in best], (1.0 / power.sum(axis=1)).tolist(), values[:, -1].tolist()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -174,7 +177,7 @@ def train(docs: DataFrame) -> Model:
 def _predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
     """Languages, scores and ridge values of whole texts; those without a letter are not asked for."""
     asked = [k for k, text in enumerate(texts) if text and any(map(str.isalpha, text))]
-    langs, scores, values = [NO_LANGUAGE] * len(texts), [0.0] * len(texts), [-1.0] * len(texts)
+    langs, scores, values = [NO_LANGUAGE] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     for k, lang, score, value in zip(asked, *model.predict([texts[k] for k in asked]), strict=True):
         langs[k], scores[k], values[k] = lang, score, value
     return langs, scores, values

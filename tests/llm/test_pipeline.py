@@ -52,6 +52,36 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, frame, SF).columns == frame.columns
 
 
+def _tables(spark, folder, docs, items):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, _key int, mix_topic string, lang_pred string"
+    spark.createDataFrame([(*d, len(d[1] or ""), "n", 1, "t", "p") for d in docs], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_odd_tables_go_through(spark, tmp_path):
+    """Nulls in every column, repeated rows, empty and letterless texts, columns that the stages use themselves."""
+    prose = [" ".join(f"word{(7 * k + j * j) % 83}" for j in range(80)) for k in range(12)]
+    leak = "this passage stands in the benchmark and should never be found in what a model is trained on"
+    docs = [(k, t, ["en", "de", None][k % 3], ["src0", "src1", None][k % 3]) for k, t in enumerate(prose)]
+    docs += [(0, prose[0], "en", "src0"), (50, prose[1], "fr", "src2"), (None, prose[2], None, None), (None, None, None, None), (60, None, "en", "src0"), (61, "", "en", "src0"), (62, "12 34", "en", "src0"), (63, leak, "en", "src0")]
+    folder = _tables(spark, tmp_path, docs, [(1, leak), (None, None), (2, "")])
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, folder)
+        assert kept.columns == frame.columns
+    before_mixing = corpus_pipeline.decontaminate_benchmark(spark, corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.identify_language(spark, frame, folder), folder), folder)
+    assert sorted(r["doc_id"] for r in before_mixing.select("doc_id").collect()) == list(range(12))
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert {r["doc_id"] for r in out} <= set(range(12)) and [r["start"] for r in sorted(out, key=lambda r: r["start"])][:1] in ([], [0])
+
+
+def test_empty_tables_go_through(spark, tmp_path):
+    folder = _tables(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 def test_entry_without_the_package(tmp_path):
     """The other queries work where the corpus package and the pipeline are absent."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
