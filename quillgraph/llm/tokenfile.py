@@ -21,6 +21,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,48 +110,63 @@ class WordEncoder:
         if odd:
             words.update(zip(odd, self._raw(odd), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        missing = set().union(*(set(parts).difference(self.words) for parts in split))
-        if missing:  # one call of the library for all new words of a batch
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has. A word of the batch is looked up once."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        # All words as one string, which is parted faster than an Arrow array; no word has a line break.
+        whole = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        words = pc.binary_join(whole, "\n")[0].as_py().split("\n") if len(coded.dictionary) else []
+        codes = coded.indices.to_numpy()
+        missing = set(words).difference(self.words)
+        if missing:
             self.learn(missing)
-        out = []
-        for parts in split:
-            try:
-                out.append(b"".join(map(self.words.__getitem__, parts)))
-            except KeyError:  # words went for want of room: those of this text again
-                self.learn(set(parts).difference(self.words), make_room=False)
-                out.append(b"".join(map(self.words.__getitem__, parts)))
-        return out
+        try:
+            pieces = list(map(self.words.__getitem__, words))
+        except KeyError:  # words went for want of room: those of this batch again
+            self.learn(set(words).difference(self.words), make_room=False)
+            pieces = list(map(self.words.__getitem__, words))
+        flat = np.frombuffer(b"".join(pieces), self.kind)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.kind.itemsize
+        starts, many = np.cumsum(sizes) - sizes, sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = flat[np.repeat(starts[codes] - ends[:-1], many) + np.arange(ends[-1])]
+        return ids, np.diff(ends[parts.offsets.to_numpy()])
 
 
 def _shards(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
-        end = np.array([END_ID], dtype=encoder.kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         held = 0
         ids: list[int | None] = []
         lengths: list[int] = []
-        bodies: list[bytes] = []
+        bodies: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            payload = dump(np.frombuffer(b"".join(bodies), dtype=encoder.kind), encoder.bits)
+            payload = dump(np.concatenate(bodies), encoder.bits)
             columns = [[part], [seq], [len(ids)], [held], [ids[:]], [lengths[:]], [payload]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = ["part", "seq", "n_docs", "n_tokens", "doc_ids", "doc_tokens", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            found, many = encoder.encode(batch.column(1))
+            ends = np.cumsum(many)
+            found = np.insert(found, ends, END_ID)  # an end id after each document
+            many, done = many + 1, 0
+            upto = np.cumsum(many)
+            for k, (doc_id, n) in enumerate(zip(batch.column(0).to_pylist(), many.tolist(), strict=True)):
                 ids.append(doc_id)
-                bodies += [body, end]
-                lengths.append(len(body) // encoder.kind.itemsize + 1)
-                held += lengths[-1]
+                lengths.append(n)
+                held += n
                 if held >= SHARD_TOKENS:
+                    bodies.append(found[done : upto[k]])
                     yield close()
-                    seq, held = seq + 1, 0
+                    seq, held, done = seq + 1, 0, int(upto[k])
                     ids, lengths, bodies = [], [], []
+            if done < len(found):
+                bodies.append(found[done:])
         if ids:
             yield close()
 

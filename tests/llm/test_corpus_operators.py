@@ -358,7 +358,9 @@ def test_tokens_round_trip(docs, empty, monkeypatch):
 def test_words_encode_as_whole_texts(text, monkeypatch):
     monkeypatch.setattr(tokenfile, "MEMORY_WORDS", 4)
     encoder = tokenfile.WordEncoder(tokenfile.tokenizer_path())
-    assert np.frombuffer(encoder.encode([text, text])[1], encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    ids, many = encoder.encode(pa.array(["x", text, "", text]))
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert many.tolist()[1:] == [len(want), 0, len(want)] and ids[many[0] :].tolist() == want + want
 
 
 # --- 6 shards
