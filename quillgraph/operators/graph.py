@@ -185,9 +185,11 @@ def label_propagation(edges: DataFrame, sweeps: int = 30, turn: Column | None =
 
 def communities(labels: DataFrame, least_size: int = 2, most_members: int = 30) -> DataFrame:
     """label, member_count and its first members, of communities large enough."""
-    ranked = labels.withColumn("_k", F.row_number().over(Window.partitionBy("label").orderBy("node_id")))
-    first = F.sort_array(F.collect_list(F.when(F.col("_k") <= most_members, F.col("node_id"))))
-    return ranked.groupBy("label").agg(F.count("*").alias("member_count"), first.alias("members")).where(F.col("member_count") >= least_size)
+    sizes = labels.groupBy("label").agg(F.count("*").alias("member_count")).where(F.col("member_count") >= least_size)
+    # Each task keeps its first members only, so a community of any size meets as a few rows.
+    ranked = labels.withColumn("_k", F.row_number().over(Window.partitionBy("label").orderBy("node_id"))).where(F.col("_k") <= most_members)
+    first = ranked.groupBy("label").agg(F.sort_array(F.collect_list("node_id")).alias("members"))
+    return sizes.join(first, "label").select("label", "member_count", "members")
 
 
 def surprising(edges: DataFrame, labels: DataFrame) -> DataFrame:

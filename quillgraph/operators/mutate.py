@@ -12,7 +12,7 @@ def upsert_entities(existing: DataFrame, found: DataFrame) -> DataFrame:
     Both: slug, name, type, aliases[], document_ids[], mention_count, first_seen. Existing rows come before found ones.
     """
     rows = existing.withColumn("_new", F.lit(0)).unionByName(found.withColumn("_new", F.lit(1)))
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)  # noqa: E731  equal lists count once, before the shuffle
     first = lambda c: F.min_by(c, F.struct("_new", "name")).alias(c)
     return rows.groupBy("slug").agg(first("name"), first("type"), union("aliases"), union("document_ids"), F.sum("mention_count").alias("mention_count"), F.min("first_seen").alias("first_seen"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgraph import engine
 from quillgraph.functions import temporal as TT
 from quillgraph.operators import answer, evaluate, fusion, graph, report, search
 from quillgraph.plans.admin import _gold, _ranked
@@ -206,7 +207,22 @@ def full_count(spark, d):
     return rows.crossJoin(F.broadcast(total)).select("o_orderkey", "full_count")  # one row
 
 
-QUERIES = {f.__name__: f for f in (postings_topk, lenient_window, community_context, guided_sections, subqueries, subquery_union, frontier, gap_cards, connection_cards, answer_sources, reranked, integrity_tier, corrective_rows, verified_rows, web_results, eval_quality, recall_at, weight_suggestions, usage_sums, ingestion_status, diagnostics_latest, entity_index, title_order, source_distribution, content_stats, parent_titles, gold_titles, back_references, full_count)}
+def engine_answer(spark, d):
+    """The whole engine over documents as paragraphs: their words as entities, sources as tags and neighbours in doc_id as edges."""
+    docs = A.documents(spark, d)
+    none = F.array().cast("array<string>")
+    paragraphs = docs.select("node_id", F.col("node_id").alias("document_id"), "content", F.array("source").alias("tags"), none.alias("types"), none.alias("entity_slugs"), F.lit(None).cast("array<double>").alias("embedding"))
+    pairs = docs.select(F.col("node_id").alias("src"), (F.col("node_id") + 1).alias("dst"))
+    stored = engine.Graph(
+        paragraphs, docs.select(F.col("node_id").alias("document_id"), "published", "decay_class"), A.mentions(spark, d),
+        pairs.withColumn("weight", F.col("src") % 10 / 10.0), pairs.withColumn("relation", F.lit("NEXT_PARA")),
+        questions=docs.select("node_id", F.col("file_hash").alias("class_id")),
+    )
+    query = engine.understand(spark, "latest " + " ".join(TERMS))
+    return engine.run(stored, query, "2025-01-01")["results"].select("node_id", F.round("score", 6).alias("score"), "n_contributions", F.array_join("sources", ",").alias("sources"))
+
+
+QUERIES = {f.__name__: f for f in (postings_topk, lenient_window, community_context, guided_sections, subqueries, subquery_union, frontier, gap_cards, connection_cards, answer_sources, reranked, integrity_tier, corrective_rows, verified_rows, web_results, eval_quality, recall_at, weight_suggestions, usage_sums, ingestion_status, diagnostics_latest, entity_index, title_order, source_distribution, content_stats, parent_titles, gold_titles, back_references, full_count, engine_answer)}
 
 _held = " + ".join(f"contains(lower(title), '{t}')::INT" for t in TERMS)
 _key = "replace(translate(base64(encode(url)), '+/', '-_'), '=', '')"
