@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import patterns as P
 from quillgraph.functions import text as T
-from quillgraph.operators import docproc, graph, mutate, search, verify
+from quillgraph.operators import docproc, graph, louvain, mutate, search, verify
 from quillgraph.sources import adapters as A
 from quillgraph.state import written
 
@@ -84,6 +84,12 @@ def label_propagation(spark, d):
     return graph.label_propagation(A.part_neighbours(spark, d), turn=F.col("node_id") % 2)
 
 
+def louvain_communities(spark, d):
+    """Communities of suppliers that deliver the same parts, by modularity."""
+    pairs = graph.set_similarity(_supplies(spark, d), "dice", 0.2).select("src", "dst", F.col("dice").alias("weight"))
+    return louvain.louvain(pairs)
+
+
 def community_members(spark, d):
     labels = A.table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_nationkey").alias("label"))
     return graph.communities(labels, 2, 30).select("label", "member_count", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
@@ -154,7 +160,7 @@ def upsert_entities(spark, d):
     return merged.select("slug", "name", "type", join("aliases").alias("aliases"), join(F.col("document_ids")).alias("document_ids"), "mention_count", "first_seen")
 
 
-QUERIES = {f.__name__: f for f in (traversal_hier, traversal_any, ancestor_closure, tag_distance, dice_similar, jaccard_similar, adamic_adar, co_mention_edges, precedes_edges, isolation_flags, evergreen_promotion, next_para, section_edges, label_propagation, community_members, surprising_edges, community_pivot, cascade_delete, orphan_edges, dup_edges, neighbour_expand, integrity_issues, dedup_merge, upsert_entities)}
+QUERIES = {f.__name__: f for f in (traversal_hier, traversal_any, ancestor_closure, tag_distance, dice_similar, jaccard_similar, adamic_adar, co_mention_edges, precedes_edges, isolation_flags, evergreen_promotion, next_para, section_edges, label_propagation, louvain_communities, community_members, surprising_edges, community_pivot, cascade_delete, orphan_edges, dup_edges, neighbour_expand, integrity_issues, dedup_merge, upsert_entities)}
 
 HIER = """h AS (SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst, 'HAS_CHILD' AS relation FROM nation UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 'HAS_CHILD' FROM customer UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, 'HAS_CHILD' FROM orders)"""
 PARTS = """pn AS (SELECT least(a.l_partkey, b.l_partkey) AS src, greatest(a.l_partkey, b.l_partkey) AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1 WHERE a.l_partkey <> b.l_partkey)"""

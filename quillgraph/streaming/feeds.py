@@ -48,3 +48,9 @@ def ingest(stream: DataFrame, stored: Callable[[], DataFrame], save: Callable[[D
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def periodic(spark: SparkSession, action: Callable[[], None], checkpoint: str, every: str = "1 hour") -> StreamingQuery:
+    """Runs an upkeep action at an interval, on a clock stream; ``stop()`` ends it. A run that fails ends the query."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(lambda rows, number: action()).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

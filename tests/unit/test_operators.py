@@ -2,13 +2,14 @@
 
 import collections
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph import api, engine
 from quillgraph.functions import vector as V
-from quillgraph.operators import answer, docproc, evaluate, exports, fusion, graph, ingest, mutate, report, search, verify
+from quillgraph.operators import answer, docproc, evaluate, exports, fusion, graph, ingest, louvain, mutate, report, search, verify
 from quillgraph.sources import layouts
 from quillgraph.streaming import feeds
 
@@ -159,6 +160,31 @@ def test_label_propagation_against_a_loop(spark):
     assert {r["node_id"]: r["label"] for r in got.collect()} == label
 
 
+def test_louvain_finds_planted_groups(spark):
+    r = random.Random(1)
+    pairs = [(a, b) for a in range(60) for b in range(a) if r.random() < (0.5 if a // 20 == b // 20 else 0.02)]
+    found = louvain.louvain(spark.createDataFrame(pairs, "src int, dst int"))
+    label = {x["node_id"]: x["label"] for x in found.collect()}
+    assert len(label) == 60 and [len({label[k] for k in range(g, g + 20)}) for g in (0, 20, 40)] == [1, 1, 1] and len(set(label.values())) == 3
+    assert all(v == min(k for k in label if label[k] == v) for v in set(label.values()))
+    edges_ = spark.createDataFrame(pairs, "src int, dst int")
+    degree = collections.Counter(x for p in pairs for x in p)
+    plain = sum(label[a] == label[b] for a, b in pairs) / len(pairs) - sum((sum(degree[k] for k in label if label[k] == v) / (2 * len(pairs))) ** 2 for v in set(label.values()))
+    assert louvain.modularity(edges_, found) == pytest.approx(plain)
+    assert louvain.louvain(edges_.limit(0)).count() == 0
+
+
+def test_periodic_upkeep(spark, tmp_path):
+    runs = []
+    query = feeds.periodic(spark, lambda: runs.append(1), str(tmp_path / "cp"), "1 second")
+    for _ in range(60):
+        if len(runs) > 1:
+            break
+        time.sleep(0.5)
+    query.stop()
+    assert len(runs) > 1
+
+
 def test_percentile_floor(spark):
     df = spark.createDataFrame([(float(x),) for x in (4, 2, 1, 3)] + [(None,)], "s double")
     assert fusion.percentile_floor(df, "s", 0.75).first()["floor"] == 4.0
