@@ -9,8 +9,8 @@ of several groups counts once as indivisible (an upper bound of the capacity) an
 only bins in which a cut may fall are split finer, until both bounds meet. What the driver holds is bounded by
 ``MAX_BINS``, whatever the input.
 
-Defined cases: a null text counts as an empty one (size 16, with the default overhead); repeated rows are rows of
-the same group; fewer groups than shards leave shards empty; an empty table gives an empty result; further columns
+Defined cases: a null text counts as an empty one (size 16, with the default overhead); a null doc_id is kept, first in
+its group; repeated rows are rows of the same group; a text of any length is one unit of its group; fewer groups than shards leave shards empty; an empty table gives an empty result; further columns
 are ignored.
 """
 

@@ -402,6 +402,39 @@ def test_shard_capacity_is_least(spark, empty, monkeypatch):
     assert sharding.minimax_shards(empty, 5).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 5, 8])
+def test_groups_as_large_as_a_share(spark, n):
+    """A third of all rows are copies of one text, another sixth of a second: these stand alone, the rest is parted at the least capacity."""
+    r = np.random.default_rng(9)
+    rows = [(k, "a" * 50, None, None) for k in range(200)] + [(1000 + k, "b" * 50, None, None) for k in range(100)]
+    rows += [(2000 + k, "x" * int(r.integers(1, 90)) + str(k), None, None) for k in range(300)] + [(None, "a" * 50, None, None)]
+    out = sharding.minimax_shards(frame(spark, rows), n).collect()
+    group, load = Counter(), Counter()
+    for x in out:
+        group[x["key"]] += x["size"]
+        load[x["shard"]] += x["size"]
+    left, alone = group.total(), []
+    for key, size in sorted(group.items(), key=lambda g: (-g[1], g[0])):
+        if n - len(alone) <= 1 or size * (n - len(alone)) < left:
+            break
+        alone.append(key)
+        left -= size
+    sizes = [size for key, size in sorted(group.items()) if key not in alone]
+
+    def shards(capacity):
+        used, room = 1, capacity
+        for s in sizes:
+            if s > room:
+                used, room = used + 1, capacity
+            room -= s
+        return used
+
+    best = next(c for c in range(max(sizes), sum(sizes) + 1) if shards(c) <= n - len(alone))
+    assert (alone or n == 2) and [load[k] for k in range(len(alone))] == [group[k] for k in alone]
+    assert max(load[k] for k in range(len(alone), n)) == best
+    assert all(len({x["shard"] for x in out if x["key"] == key}) == 1 for key in group)
+
+
 # --- 7 decontamination
 
 
