@@ -149,7 +149,9 @@ RULES = [
 ]
 
 #: Every known sentence has one of these; a text without them has none.
-TRIGGERS = ["licens", "licenc", "permission", "permitted", "redistribut", "warrant", "unencumbered", "copyright", "under", "do whatever", "spdx"]
+TRIGGERS = ["licens", "licenc", "permission", "permitted", "redistribut", "warrant", "unencumbered", "copyright", "do whatever", "spdx"]
+#: Or a name right after one of these words.
+REFERS = r"(?i)\b(?:under|by)\W+(?:(?:the|an?)\W+)?(?:(?:terms|conditions)\W+(?:and\W+conditions\W+)?of\W+(?:(?:the|an?)\W+)?)?(?:" + "|".join(sorted({n.split()[0] for names in NAMES.values() for n in names})) + ")"
 #: What marks a sentence that isn't known as one about licences all the same.
 UNKNOWN = "(^| )(licen[cs]e[ds]?|sublicen[cs]e) "
 
@@ -220,6 +222,7 @@ def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
     trigger = F.lit(False)
     for word in TRIGGERS:
         trigger = trigger | F.lower(F.col(text)).contains(word)
+    trigger = trigger | F.col(text).rlike(REFERS)
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     # Every second part is a known sentence; the others hold unknown ones.
     parts = F.split(F.when(F.coalesce(trigger, F.lit(False)), _marked(F.col(text))), "[KL]")
