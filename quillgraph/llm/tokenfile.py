@@ -87,9 +87,9 @@ class WordEncoder:
             last = cut
         return out
 
-    def learn(self, missing: set[str], make_room: bool = True) -> None:
+    def learn(self, missing: set[str]) -> None:
         words = self.words
-        if make_room and len(words) + len(missing) > MEMORY_WORDS:
+        if len(words) + len(missing) > MEMORY_WORDS:
             # Words met first are the common ones: the later half goes.
             for word in list(islice(words, MEMORY_WORDS // 2, None)):
                 del words[word]
@@ -118,14 +118,11 @@ class WordEncoder:
         whole = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
         words = pc.binary_join(whole, "\n")[0].as_py().split("\n") if len(coded.dictionary) else []
         codes = coded.indices.to_numpy()
-        missing = set(words).difference(self.words)
+        pieces = list(map(self.words.get, words))
+        missing = {word for word, piece in zip(words, pieces, strict=True) if piece is None}
         if missing:
             self.learn(missing)
-        try:
-            pieces = list(map(self.words.__getitem__, words))
-        except KeyError:  # words went for want of room: those of this batch again
-            self.learn(set(words).difference(self.words), make_room=False)
-            pieces = list(map(self.words.__getitem__, words))
+            pieces = [self.words[word] if piece is None else piece for word, piece in zip(words, pieces, strict=True)]
         flat = np.frombuffer(b"".join(pieces), self.kind)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.kind.itemsize
         starts, many = np.cumsum(sizes) - sizes, sizes[codes]
