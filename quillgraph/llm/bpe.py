@@ -30,12 +30,12 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quillgraph.llm.common import table
 
-#: Bytes of text encoded between two outputs.
-SLICE_BYTES = 1 << 23
+#: Bytes of text whose ids are put out together.
+SLICE_BYTES = 1 << 21
 #: Bytes of new pre-tokens merged in one go.
-ROUND_BYTES = 1 << 21
+ROUND_BYTES = 1 << 22
 #: Different stretches of text, and pre-tokens, that a worker remembers.
-MEMORY_PIECES = 800_000
+MEMORY_PIECES = 500_000
 
 
 def ranks_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -288,12 +288,6 @@ class Encoder:
             cls._known[path, pattern] = cls(Ranks.of(path), pattern)
         return cls._known[path, pattern]
 
-    def forget(self) -> None:
-        for numbers, lists in ((self.stretches, self.stretch_ids), (self.pieces, self.piece_ids)):
-            if len(numbers) > MEMORY_PIECES:
-                numbers.forget(MEMORY_PIECES // 2)
-                lists.forget(MEMORY_PIECES // 2)
-
     def _learn_pieces(self) -> None:
         waiting = [piece.encode() for piece in self.pieces.take()]
         sizes = np.array([*map(len, waiting)], np.int64)
@@ -314,9 +308,8 @@ class Encoder:
         flat, many = self.piece_ids.join(numbers, sizes)
         self.stretch_ids.add([flat], [many])
 
-    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and how many each has. ``raw``: their bytes, ``offsets``: where they begin, and the end."""
-        self.forget()
+    def number(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the stretches of all texts, and how many each text has. ``raw``: their bytes, ``offsets``: where they begin, and the end."""
         if not len(raw):
             return np.empty(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         edges = offsets[offsets < len(raw)]
@@ -332,11 +325,22 @@ class Encoder:
         bounds = pa.py_buffer(np.append(starts, len(raw)).astype(np.int32))
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.stretches.__getitem__, distinct), np.int64, len(distinct))
+        numbers = np.fromiter(map(self.stretches.__getitem__, distinct), np.int32, len(distinct))
+        return numbers[coded.indices.to_numpy()], np.diff(np.searchsorted(starts, offsets))
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For runs of texts: the first, the one after the last, their ids one after the other, and how many each has."""
+        for numbers, lists in ((self.stretches, self.stretch_ids), (self.pieces, self.piece_ids)):
+            if len(numbers) > MEMORY_PIECES:
+                numbers.forget(MEMORY_PIECES // 2)
+                lists.forget(MEMORY_PIECES // 2)
+        slices = list(_slices(np.diff(offsets)))
+        numbered = [self.number(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices]
         if self.stretches.waiting:
             self._learn()
-        own = np.diff(np.searchsorted(starts, offsets))
-        return self.stretch_ids.join(numbers[coded.indices.to_numpy()], own)
+        for k, (a, b) in enumerate(slices):
+            own, numbered[k] = numbered[k], None
+            yield a, b, *self.stretch_ids.join(*own)
 
 
 def _offsets(counts: np.ndarray) -> np.ndarray:
@@ -348,29 +352,40 @@ def _bounds(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
 
 
+def _binary(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Values of so many bytes each."""
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(_offsets(counts).astype(np.int32)), pa.py_buffer(flat)])
+
+
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of rows of ``SLICE_BYTES`` or so."""
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True)
 
 
-def encode_texts(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and ids (array of int) of every text. ``ranks``: path of a rank file; ``pattern``: what parts a text into pre-tokens."""
+def encode_texts(
+    docs: DataFrame, ranks: str | None = None, pattern: str | None = None, text: str = "text", doc_id: str = "doc_id", decoded: bool = False
+) -> DataFrame:
+    """doc_id and ids (array of int) of every text. ``ranks``: path of a rank file; ``pattern``: what parts a text into pre-tokens.
+
+    ``decoded`` adds what ``decode_ids`` finds, in the same pass.
+    """
     ranks, pattern = ranks or ranks_path(), pattern or split_pattern()
     kind = docs.schema[doc_id].dataType.simpleString()
+    names = ["doc_id", "ids", "decoded"] if decoded else ["doc_id", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(ranks, pattern)
         for batch in batches:
-            for a, b in _slices(np.diff(_bounds(batch.column(1)))):
-                bounds = _bounds(batch.column(1))[a : b + 1]
-                raw = np.frombuffer(batch.column(1).buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-                ids, counts = encoder.encode(raw, bounds - bounds[0])
+            bounds = _bounds(batch.column(1))
+            raw = np.frombuffer(batch.column(1).buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+            for a, b, ids, counts in encoder.encode(raw, bounds - bounds[0]):
                 lists = pa.ListArray.from_arrays(pa.array(_offsets(counts), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
+                columns = [batch.column(0).slice(a, b - a), lists]
+                yield pa.RecordBatch.from_arrays([*columns, _binary(*encoder.ranks.decode(ids, counts))] if decoded else columns, names)
 
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.select(F.col(doc_id).alias("doc_id"), body.alias("raw")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(doc_id).alias("doc_id"), body.alias("raw")).mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode_ids(encoded: DataFrame, ranks: str | None = None, ids: str = "ids") -> DataFrame:
@@ -388,8 +403,7 @@ def decode_ids(encoded: DataFrame, ranks: str | None = None, ids: str = "ids") -
                 part = batch.slice(a, b - a)
                 own = part.column(place)
                 sizes = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                flat, counts = tables.decode(own.flatten().to_numpy(zero_copy_only=False), sizes)
-                raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(_offsets(counts).astype(np.int32)), pa.py_buffer(flat)])
+                raw = _binary(*tables.decode(own.flatten().to_numpy(zero_copy_only=False), sizes))
                 yield pa.RecordBatch.from_arrays([*part.columns, raw], [*batch.schema.names, "decoded"])
 
     encoded_columns = encoded.columns
@@ -398,7 +412,7 @@ def decode_ids(encoded: DataFrame, ranks: str | None = None, ids: str = "ids") -
 
 def op12_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Digests of ids and decoded bytes of every document."""
-    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
+    coded = encode_texts(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

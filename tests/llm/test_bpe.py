@@ -27,8 +27,8 @@ def encoder():
 
 def encoded(encoder, texts):
     raw = [t.encode() for t in texts]
-    ids, counts = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([*map(len, raw)])))
-    return [own.tolist() for own in np.split(ids, np.cumsum(counts)[:-1])]
+    parts = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([*map(len, raw)])))
+    return [own.tolist() for _, _, ids, counts in parts for own in np.split(ids, np.cumsum(counts)[:-1])]
 
 
 def some_texts():
@@ -130,6 +130,7 @@ def test_frames(spark, library, monkeypatch, size):
     for k, text, *_ in rows:
         t = text or ""
         assert by[k]["ids"] == library.encode_ordinary(t) and bytes(by[k]["decoded"]).decode() == t
+    assert sorted(map(str, bpe.encode_texts(docs, decoded=True).collect())) == sorted(map(str, found))
     assert bpe.encode_texts(docs.limit(0)).count() == 0
 
 
