@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import ann, bpe, decontaminate, jaccard_join, langid, licences, mixing, repeats, secrets, sharding, tokenfile
+from quillgraph.llm import ann, bpe, decontaminate, jaccard_join, langid, licences, mixing, periods, repeats, secrets, sharding, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_licence_rules": licences.op9_licence_rules,
         "op10_secret_models": secrets.op10_secret_models,
+        "op11_block_periods": periods.op11_block_periods,
         "op12_byte_bpe": bpe.op12_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }
