@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import ann, bpe, decontaminate, jaccard_join, langid, licences, mixing, periods, repeats, secrets, sharding, tokenfile
+from quillgraph.llm import ann, bpe, decontaminate, filter_audit, jaccard_join, langid, licences, mixing, periods, repeats, secrets, sharding, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,9 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_models": secrets.op10_secret_models,
         "op11_block_periods": periods.op11_block_periods,
         "op12_byte_bpe": bpe.op12_byte_bpe,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.OP3_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL, "op9_licence_rules": licences.OP9_SQL}
+    return {"op3_mix_sources": mixing.OP3_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL, "op9_licence_rules": licences.OP9_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
