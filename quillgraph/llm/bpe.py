@@ -35,7 +35,7 @@ SLICE_BYTES = 1 << 21
 #: Bytes of new pre-tokens merged in one go.
 ROUND_BYTES = 1 << 22
 #: Different stretches of text, and pre-tokens, that a worker remembers.
-MEMORY_PIECES = 500_000
+MEMORY_PIECES = 300_000
 
 
 def ranks_path(name: str = "byte_bpe_50k.tiktoken") -> str:
