@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialise
 
-#: Rounds after which the search gives up; each round at least halves the depth of a tree, so this is never met.
+#: Rounds after which the search ends with an error; each round at least halves the depth of a tree, so this is never met.
 MOST_ROUNDS = 60
 
 
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each is one shuffle, a node's neighbours are
     only reduced to their minimum and never gathered, and the number of rounds grows with the logarithm of the
-    size. State between rounds lies in the shared folder.
+    size. State between rounds lies in the shared folder. An edge with a null end, or from a node to itself, is none.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = materialise(pairs, "edges")
@@ -34,5 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {MOST_ROUNDS} rounds")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()

@@ -137,7 +137,7 @@ def with_probabilities(
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10)
     return (
         tagged.join(raked, keys)
-        .withColumn("mix_probability", F.round(F.col("mix_weight") / cap, 6))
+        .withColumn("mix_probability", F.round(F.col("mix_weight") / cap, 8))
         .withColumn("mix_selected", draw.cast("double") / F.lit(4294967296.0) < F.col("mix_probability"))
         .drop("mix_s", "mix_l")
     )
@@ -192,8 +192,8 @@ c0 AS (SELECT *, tokens / sum(tokens) OVER () AS share, tokens / sum(tokens) OVE
         at = f"r{k}"
     return sql + f""",
 g AS (SELECT s, l, t, round(CASE WHEN share > 0 THEN w / share ELSE 1.0 END, 6) AS weight FROM {at})
-SELECT doc_id, source, lang, d.t AS topic, n_tokens::BIGINT AS n_tokens, weight, round(weight / {CAP}, 6) AS probability,
- ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < round(weight / {CAP}, 6) AS selected
+SELECT doc_id, source, lang, d.t AS topic, n_tokens::BIGINT AS n_tokens, weight, round(weight / {CAP}, 8) AS probability,
+ ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < round(weight / {CAP}, 8) AS selected
 FROM d JOIN g ON d.s = g.s AND d.l = g.l AND d.t = g.t"""
 
 
