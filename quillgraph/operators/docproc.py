@@ -40,16 +40,18 @@ def reattach_fragments(rows: DataFrame, group: list[str], position: str, content
     return rows.groupBy(*group, "_island").agg(F.min(position).alias("start"), joined.alias("content")).drop("_island")
 
 
-def nest_sections(sections: DataFrame, group: str, position: str, level: str = "level") -> DataFrame:
+def nest_sections(sections: DataFrame, group: str, position: str, level: str = "level", deepest: int = 6) -> DataFrame:
     """Adds parent_position: the last earlier section of a lower level, by the running maximum for each lower level.
 
-    Levels are few (headings have six), so each is one window function over the document's sections.
+    Each level is one window function over the document's sections. Headings have six levels; a layout with more says
+    how many by ``deepest``, and a section below that is an error.
     """
     before = Window.partitionBy(group).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    last = {k: F.max(F.when(F.col(level) == k, F.col(position))).over(before) for k in range(1, 6)}
-    parent = F.lit(None).cast("int")
-    for k in range(2, 7):
-        parent = F.when(F.col(level) == k, F.greatest(F.lit(None).cast("int"), *[last[j] for j in range(1, k)])).otherwise(parent)
+    last = {k: F.max(F.when(F.col(level) == k, F.col(position))).over(before) for k in range(1, deepest)}
+    none = F.lit(None).cast(sections.schema[position].dataType)
+    parent = F.when(F.col(level) > deepest, F.raise_error(F.concat(F.lit(f"a section below level {deepest}: "), F.col(level).cast("string"))).cast(sections.schema[position].dataType)).otherwise(none)
+    for k in range(2, deepest + 1):
+        parent = F.when(F.col(level) == k, F.greatest(none, none, *[last[j] for j in range(1, k)])).otherwise(parent)
     return sections.withColumn("parent_position", parent)
 
 

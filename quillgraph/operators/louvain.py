@@ -31,12 +31,13 @@ def _moved(graph: DataFrame, state: DataFrame, total: float, turn: int) -> DataF
     return best.select(F.col("a").alias("node"), com.alias("com"), F.col("s.k").alias("k"), F.col("s.turn").alias("turn"), goes.alias("moved"))
 
 
-def louvain(edges: DataFrame, levels: int = 10, sweeps: int = 20) -> DataFrame:
+def louvain(edges: DataFrame, levels: int = 100, sweeps: int = 1000) -> DataFrame:
     """node_id, label: communities of an undirected graph (src, dst and perhaps weight), named after their smallest node.
 
     On each level nodes move to the community of the greatest gain, half of them at a time (by a hash), until a sweep
     moves none; communities then become the nodes of the next level. It ends when a level merges nothing. State lies in
     the shared folder between halves. Loops and repeated edges add up; a node without edges has no community.
+    More than so many levels, or sweeps of a level, are an error: there is no unfinished result.
     """
     w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     graph = undirected(edges.where("src <> dst").select("src", "dst", w.alias("w"))).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.sum("w").alias("w"))
@@ -52,6 +53,8 @@ def louvain(edges: DataFrame, levels: int = 10, sweeps: int = 20) -> DataFrame:
             still = still + 1 if state.where("moved").isEmpty() else 0
             if still == 2:
                 break
+        else:
+            raise RuntimeError(f"nodes still move after {sweeps} sweeps")
         least = state.groupBy("com").agg(F.min("node").alias("label"))
         named = written(state.join(least, "com").select("node", "label"), "named")
         if named.where("node <> label").isEmpty():
@@ -59,6 +62,9 @@ def louvain(edges: DataFrame, levels: int = 10, sweeps: int = 20) -> DataFrame:
         end = lambda c: named.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
         graph = written(graph.join(end("a"), "a").join(end("b"), "b").groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.sum("w").alias("w")), "graph")
         members = written(members.join(named.withColumnRenamed("label", "up"), members["label"] == named["node"]).select("node_id", F.col("up").alias("label")), "members")
+    else:
+        if total:
+            raise RuntimeError(f"communities still merge after {levels} levels")
     # The smallest node of a community names it on every level.
     first = members.groupBy("label").agg(F.min("node_id").alias("name"))
     return members.join(first, "label").select("node_id", F.col("name").alias("label"))

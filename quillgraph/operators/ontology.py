@@ -64,17 +64,29 @@ def known_words(texts: DataFrame, vocabulary: DataFrame, key: str, text: str) ->
     return words.join(vocabulary.select("word").distinct(), "word", "left_semi").select(key, "word")
 
 
-def primary_depth(hierarchy: DataFrame, root: str, most: int = 32) -> DataFrame:
-    """name, depth, lane (ancestor right under the root) along each name's first parent."""
+#: Levels of a hierarchy; a deeper one has a circle, which is an error.
+DEEPEST = 1000
+
+
+def _too_deep() -> RuntimeError:
+    return RuntimeError(f"a hierarchy of more than {DEEPEST} levels: it has a circle")
+
+
+def primary_depth(hierarchy: DataFrame, root: str) -> DataFrame:
+    """name, depth, lane (ancestor right under the root) along each name's first parent.
+
+    Every level is written, so a round reads the last one only. Names in a circle aren't under the root.
+    """
     first = hierarchy.groupBy("child").agg(F.min("parent").alias("parent"))
-    front = first.where(F.col("parent") == root).select(F.col("child").alias("name"), F.lit(1).alias("depth"), F.col("child").alias("lane"))
+    first = written(first.where(F.col("child") != root), "parents")
+    front = written(first.where(F.col("parent") == root).select(F.col("child").alias("name"), F.lit(1).alias("depth"), F.col("child").alias("lane")), "level")
     found = front
-    for k in range(2, most + 1):
-        front = first.join(front, F.col("parent") == F.col("name")).select(F.col("child").alias("name"), F.lit(k).alias("depth"), "lane")
+    for k in range(2, DEEPEST + 2):
+        front = written(first.join(front, F.col("parent") == F.col("name")).select(F.col("child").alias("name"), F.lit(k).alias("depth"), "lane"), "level")
         if front.isEmpty():
-            break
+            return found
         found = found.unionByName(front)
-    return found
+    raise _too_deep()
 
 
 def lane_weights(lanes: DataFrame) -> DataFrame:
@@ -85,7 +97,7 @@ def lane_weights(lanes: DataFrame) -> DataFrame:
     return sizes.crossJoin(F.broadcast(total)).select("lane", "n", (F.sqrt("n") / F.col("_all")).alias("share"), F.row_number().over(order).alias("place"))
 
 
-def category_tree(hierarchy: DataFrame, categories: DataFrame, depth: int = 32) -> DataFrame:
+def category_tree(hierarchy: DataFrame, categories: DataFrame) -> DataFrame:
     """name, parent of categories: the nearest ancestor that is a category too, the smallest of equals; null for a root.
 
     hierarchy: child, parent; categories: name. A climb stops at the first category that it meets.
@@ -93,17 +105,17 @@ def category_tree(hierarchy: DataFrame, categories: DataFrame, depth: int = 32)
     names = categories.select("name").distinct()
     front = names.select("name", F.col("name").alias("at"))
     found = None
-    for k in range(1, depth + 1):
+    for _ in range(DEEPEST + 1):
         step = front.join(hierarchy, F.col("at") == F.col("child")).select("name", F.col("parent").alias("at")).where("name <> at").distinct()
         met = step.join(names.select(F.col("name").alias("at")), "at", "left_semi").groupBy("name").agg(F.min("at").alias("parent"))
         found = met if found is None else found.unionByName(met)
         front = written(step.join(met.select("name"), "name", "left_anti"), "climb")
         if front.isEmpty():
-            break
-    return names.join(found, "name", "left").select("name", "parent")
+            return names.join(found, "name", "left").select("name", "parent")
+    raise _too_deep()
 
 
-def subtree_weights(tree: DataFrame, sizes: DataFrame, depth: int = 32) -> DataFrame:
+def subtree_weights(tree: DataFrame, sizes: DataFrame) -> DataFrame:
     """name, parent, weight: the square root of a category's own size (1 where it has none), and of all below it.
 
     tree: name, parent; sizes: name, n.
@@ -111,22 +123,24 @@ def subtree_weights(tree: DataFrame, sizes: DataFrame, depth: int = 32) -> DataF
     own = tree.join(sizes, "name", "left").select("name", "parent", F.sqrt(F.coalesce("n", F.lit(1))).alias("own"))
     up = own.select("name", F.col("name").alias("at"), "own")
     found = up.select("at", "own")
-    for _ in range(depth):
+    for _ in range(DEEPEST + 1):
         up = written(up.join(tree.select(F.col("name").alias("at"), "parent"), "at").where("parent IS NOT NULL").select("name", F.col("parent").alias("at"), "own"), "up")
         if up.isEmpty():
             break
         found = found.unionByName(up.select("at", "own"))
+    else:
+        raise _too_deep()
     return own.select("name", "parent").join(found.groupBy(F.col("at").alias("name")).agg(F.sum("own").alias("weight")), "name")
 
 
-def angles(weights: DataFrame, floor: float = 8.0, depth: int = 32) -> DataFrame:
+def angles(weights: DataFrame, floor: float = 8.0) -> DataFrame:
     """name, start, end in degrees: each category's part of its parent's arc by weight, heaviest first, ties by name.
 
     A part is at least ``floor`` where the arc has room for all; what that takes comes from the larger parts in proportion.
     """
     placed = weights.where("parent IS NULL").select("name", F.lit(None).cast("string").alias("parent"), "weight", F.lit(0.0).alias("a0"), F.lit(360.0).alias("a1"))
     found = None
-    for _ in range(depth):
+    for _ in range(DEEPEST + 1):
         arc, total, kids = F.col("a1") - F.col("a0"), F.sum("weight").over(Window.partitionBy("parent")), F.count("*").over(Window.partitionBy("parent"))
         rows = placed.withColumns({"_slice": F.col("weight") / total * arc, "_room": arc >= kids * floor})
         low = F.col("_slice") < floor
@@ -139,5 +153,5 @@ def angles(weights: DataFrame, floor: float = 8.0, depth: int = 32) -> DataFrame
         found = rows if found is None else found.unionByName(rows)
         placed = weights.join(rows.select(F.col("name").alias("parent"), F.col("start").alias("a0"), F.col("end").alias("a1")), "parent").select("name", "parent", "weight", "a0", "a1")
         if placed.isEmpty():
-            break
-    return found
+            return found
+    raise _too_deep()

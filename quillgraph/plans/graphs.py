@@ -170,11 +170,13 @@ ONTO = """o AS (SELECT DISTINCT * FROM (SELECT 'P' || p_partkey AS child, p_bran
 CLOSE = f"""{ONTO}, up(tag, ancestor, distance) AS (SELECT child, parent, 1 FROM o UNION SELECT u.tag, o.parent, u.distance + 1 FROM up u JOIN o ON u.ancestor = o.child WHERE u.distance < {{depth}}), cl AS (SELECT tag, ancestor, min(distance) AS distance FROM up GROUP BY ALL)"""
 _furniture = "|".join(f"<{t}.*?</{t}>" for t in P.FURNITURE)
 _inner = r"trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))"
+_code = "(CASE WHEN e[3] IN ('x', 'X') THEN ('0x' || e[4:-2])::INT ELSE e[3:-2]::INT END)"
+_char = f"chr(CASE WHEN {_code} = 0 OR {_code} BETWEEN 55296 AND 57343 OR {_code} > 1114111 THEN 65533 ELSE {_code} END)"
 _names = "MAP {" + ", ".join(f"'{k}': '{v if v != chr(39) else chr(39) * 2}'" for k, v in P.ENTITIES.items()) + "}"
 MD = rf"""md0 AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(html, '(?is){_furniture}', '', 'g'), '{T.PIECES}'), lambda x:
  CASE WHEN regexp_matches(x, '(?is)^<h[1-6].*</h[1-6]>$') THEN chr(10) || repeat('#', substr(x, 3, 1)::INT) || ' ' || {_inner} || chr(10) WHEN regexp_matches(x, '(?is)^<li.*</li>$') THEN '- ' || {_inner} || chr(10)
  WHEN regexp_matches(x, '(?is)^</?({"|".join(P.BLOCK_TAGS)})[^>]*>$') THEN chr(10) WHEN regexp_matches(x, '(?s)^<.+>$') THEN '' ELSE x END), '') AS t FROM pages),
-md1 AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(t, '&[a-zA-Z]+;|&#\d{{1,7}};|[^&]+|&'), lambda e: CASE WHEN regexp_matches(e, '^&#\d+;$') THEN chr(regexp_extract(e, '(\d+)', 1)::INT % 65536) WHEN regexp_matches(e, '^&[a-zA-Z]+;$') THEN coalesce({_names}[lower(regexp_extract(e, '&([a-zA-Z]+);', 1))], ' ') ELSE e END), '') AS t FROM md0),
+md1 AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(t, '&[a-zA-Z]+;|{T.NUMBERED}|[^&]+|&'), lambda e: CASE WHEN regexp_matches(e, '^{T.NUMBERED}$') THEN {_char} WHEN regexp_matches(e, '^&[a-zA-Z]+;$') THEN coalesce({_names}[lower(regexp_extract(e, '&([a-zA-Z]+);', 1))], ' ') ELSE e END), '') AS t FROM md0),
 md AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS markdown FROM md1)"""
 SECT = MD + r""", ml AS (SELECT page_id, unnest(string_split(markdown, chr(10))) AS line, unnest(range(len(string_split(markdown, chr(10)))))::INT AS pos FROM md),
 sec AS (SELECT page_id, pos, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(line, '^#+ ', '')) AS title FROM ml WHERE regexp_matches(line, '^#{1,6} \S')),

@@ -11,10 +11,14 @@ _FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset; it goes when the application ends."""
+    """This application's folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset and, if local, the session too; it goes when the application ends."""
     context = spark.sparkContext
     if context.applicationId not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_state"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_state"
+            if base.startswith(("file:", "/")) and not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)

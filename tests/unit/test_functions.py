@@ -130,3 +130,20 @@ def test_windows(spark, published, start, end, lenient, strict):
     assert one(spark, TT.in_window(*dates, "2000", "2010", False)) is lenient
     assert one(spark, TT.in_window(*dates, "2000", "2010", True)) is strict
     assert one(spark, TT.in_window(*dates, None, None)) is True
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [("&#55357;", "�"), ("&#120900;", chr(120900)), ("&#128512;x", "\U0001f600x"), ("&#x27;&#X1F600;", "'\U0001f600"), ("&#0;&#1114112;&#9999999;", "�" * 3), ("&#12345678;", "&#12345678;"), ("&#xg;", "&#xg;")],
+)
+def test_numbered_entities(spark, html, text):
+    assert one(spark, T.html_markdown(F.lit(html))) == text
+
+
+def test_every_numbered_entity(spark):
+    """All numbers in steps, surrogates and those above 65535 included."""
+    rows = spark.range(0, 0x110400, 97).select("id", T.decoded(F.format_string("&#%d;", "id")).alias("d"), T.decoded(F.format_string("&#x%x;", "id")).alias("x"))
+    for r in rows.collect():
+        c = r["id"]
+        want = chr(c) if 0 < c < 0x110000 and not 0xD800 <= c < 0xE000 else "�"
+        assert r["d"] == r["x"] == want
