@@ -4,8 +4,8 @@ Kernel: the blended-spectrum presence kernel, the number of character n-grams (l
 share, divided by the geometric mean of their own numbers. Texts are lower-cased, digits and punctuation count as
 spaces. N-grams are hashed to ``DIMENSIONS`` slots, so a text is a bit vector and a kernel value a product of two.
 
-Fit: of the labelled rows of the training folds, about ``SAMPLE_PER_LANG`` of each of the ``MOST_LANGUAGES`` most
-frequent languages (rows whose hash falls below the rate that gives so many) are turned to bit vectors by the executors;
+Fit: of the labelled rows of the training folds, about ``SAMPLE_PER_LANG`` of each
+language (rows whose hash falls below the rate that gives so many) are turned to bit vectors by the executors;
 of these ``LANDMARKS`` are the Nyström landmarks. On the map K(x, L) K(L, L)^(-1/2), kernel ridge regression is solved
 for each language against the rest. Tasks return sums of kernel rows over the sample, so the driver holds matrices of
 landmarks by landmarks and never the sample. These numbers are the bound of the sample; prediction covers every whole
@@ -37,8 +37,6 @@ ORDERS = (1, 2, 3, 4)
 DIMENSIONS = 1 << 14
 SAMPLE_PER_LANG = 400
 LANDMARKS = 300
-#: Languages that are learned, those with the most labelled rows: a model has DIMENSIONS weights for each.
-MOST_LANGUAGES = 256
 #: Sampled rows that one task sums.
 TASK_ROWS = 4096
 RIDGE = 0.0005
@@ -154,7 +152,7 @@ def train(docs: DataFrame) -> Model:
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     # Repeated rows draw alike and count as one; the least draw of a language is always in.
     rows = rows.select("lang", "text", (F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40)) / F.lit(2.0**40)).alias("draw"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).orderBy(F.desc("n"), "lang").collect()  # a row a language
     if not counts:
         return Model([], np.zeros((DIMENSIONS, 0), np.float32))
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(min(1.0, SAMPLE_PER_LANG / r["n"]), np.nextafter(r["least"], 2).item()))])

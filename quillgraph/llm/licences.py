@@ -165,9 +165,13 @@ def _spread(words: str) -> str:
     return words.replace(" ", _BETWEEN)
 
 
+#: A clause that begins like a known one and doesn't end like it: no rule goes over it to a shorter licence.
+UNREAD = "neither the name of"
+
+
 def _known() -> dict[str, str]:
     """Sentences and identifiers, with those of references and SPDX tags, which are made by rule."""
-    known = dict(SENTENCES)
+    known = SENTENCES | {UNREAD: "Unread"}
     for spdx, names in NAMES.items():
         norm = " ".join("".join(c if c.isalnum() else " " for c in spdx.lower()).split())
         for name in names:
@@ -184,20 +188,33 @@ def _known() -> dict[str, str]:
 
 KNOWN = _known()
 _names = "|".join(_spread(x) for x in sorted({n for names in NAMES.values() for n in names}, key=len, reverse=True))
-_spdx = "|".join(_spread(k) for k in sorted((k for k in KNOWN if k.startswith("spdx")), key=len, reverse=True))
+_TAG = "spdx license identifier "
+_spdx = "|".join(_spread(k.removeprefix(_TAG)) for k in sorted((k for k in KNOWN if k.startswith(_TAG)), key=len, reverse=True))
+#: Goes on where the last match ended, and not at the beginning of a text.
+_NEXT = r"(?<=[a-z0-9])\G"
+#: Stands for the beginning of a clause that names someone, while its end is looked for.
+OPEN = "␟"
+
+
+def _naming(start: str, end: str, by: str, unread: str) -> list[tuple[str, str]]:
+    """Forms of a clause in which someone is named, in any number of words, up to the next clause of its kind."""
+    return [(rf"{start}(?=[ {CUT}])", OPEN), (rf"{OPEN}[^{OPEN}]+?{_BETWEEN}{end}", by), (OPEN, unread)]
+
+
 _verbs = _spread("(?:licensed|released|distributed|published|available|provided|offered|made available|dual licensed|covered|governed)")
 
 #: Normalised texts with open places, and the one way in which they are written then.
 FORMS = [
     # A reference is a sentence of its own, whatever stands around it.
-    (rf"(?<!not )\b{_verbs}{_BETWEEN}(?:under|by){_BETWEEN}(?:an?{_BETWEEN}|the{_BETWEEN})?(?:(?:terms|conditions|terms{_BETWEEN}and{_BETWEEN}conditions){_BETWEEN}of{_BETWEEN})?(?:an?{_BETWEEN}|the{_BETWEEN})?({_names})(?:{_BETWEEN}licen[cs]e)?({_spread('(?: or later| only)')})?(?= |{CUT}|$)", f"{CUT}licensed under the $1$2{CUT}"),
-    (rf"\b({_spdx})(?= |{CUT}|$)", f"{CUT}$1{CUT}"),
-    (rf"(?:^|{CUT})(?:[a-z0-9]+ ){{1,5}}is free software{_BETWEEN}you can", f"{CUT}this program is free software{CUT}you can"),
+    (rf"(?:(?<!not )\b{_verbs}{_BETWEEN}(?:under|by){_BETWEEN}(?:either{_BETWEEN})?(?:of{_BETWEEN})?(?:an?{_BETWEEN}|the{_BETWEEN})?|{_NEXT}(?:{_BETWEEN}at{_BETWEEN}your{_BETWEEN}option)?{_BETWEEN}(?:and|or|and{_BETWEEN}or){_BETWEEN}(?:under{_BETWEEN})?(?:an?{_BETWEEN}|the{_BETWEEN})?)(?:(?:terms|conditions|terms{_BETWEEN}and{_BETWEEN}conditions){_BETWEEN}of{_BETWEEN})?(?:an?{_BETWEEN}|the{_BETWEEN})?({_names})(?:{_BETWEEN}licen[cs]es?)?({_spread('(?: or later| only)')})?(?= |{CUT}|$)", f"{CUT}licensed under the $1$2{CUT}"),
+    # Each operand of an expression is a tag.
+    (rf"(?:\b{_spread(_TAG)}|{_NEXT}(?: with [a-z]+ exception(?: [0-9]+)*)? (?:and|or) )({_spdx})(?= |{CUT}|$)", f"{CUT}{_TAG}$1{CUT}"),
+    (rf"(?:^|{CUT})[a-z0-9 ]+? is free software{_BETWEEN}you can", f"{CUT}this program is free software{CUT}you can"),
     (rf"free{_BETWEEN}software{_BETWEEN}foundation{_BETWEEN}(either{_BETWEEN}version|version{_BETWEEN}[23])", f"free software foundation{CUT}$1"),
     (rf"(either{_BETWEEN}version{_BETWEEN}[23](?:{_BETWEEN}1)?{_BETWEEN}of{_BETWEEN}the){_BETWEEN}(?:gnu{_BETWEEN})?(?:lesser{_BETWEEN}|affero{_BETWEEN})?(?:general{_BETWEEN}public{_BETWEEN})?license", "$1 license"),
-    (rf"this{_BETWEEN}software{_BETWEEN}is{_BETWEEN}provided{_BETWEEN}by{_BETWEEN}(?:[a-z0-9]+{_BETWEEN}){{1,8}}as{_BETWEEN}is{_BETWEEN}and", "this software is provided by the copyright holders and contributors as is and"),
-    (rf"neither{_BETWEEN}the{_BETWEEN}names?{_BETWEEN}of{_BETWEEN}(?:[a-z0-9]+{_BETWEEN}){{1,8}}nor{_BETWEEN}the{_BETWEEN}names{_BETWEEN}of{_BETWEEN}(?:its|their|other){_BETWEEN}contributors", "neither the name of the copyright holder nor the names of its contributors"),
-    (rf"{_spread('to the extent possible under law')}{_BETWEEN}(?:[a-z0-9]+{_BETWEEN}){{1,10}}(?:has|have){_BETWEEN}waived", "to the extent possible under law the author has waived"),
+    *_naming(_spread("this software is provided by"), _spread("as is and"), "this software is provided by the copyright holders and contributors as is and", "this software is provided by"),
+    *_naming(_spread("neither the name") + f"s?{_BETWEEN}of", rf"nor{_BETWEEN}the{_BETWEEN}names{_BETWEEN}of{_BETWEEN}(?:its|their|other){_BETWEEN}contributors", "neither the name of the copyright holder nor the names of its contributors", f"{CUT}{UNREAD}{CUT}"),
+    *_naming(_spread("to the extent possible under law"), rf"(?:has|have){_BETWEEN}waived", "to the extent possible under law the author has waived", "to the extent possible under law"),
     (rf"{_spread('permission to use copy modify')}{_BETWEEN}and{_BETWEEN}distribute{_BETWEEN}this{_BETWEEN}software{_BETWEEN}for", "permission to use copy modify and or distribute this software for"),
     # List numbers before a clause.
     (rf"{CUT}(?:[0-9]|[a-d]|[ivx]{{1,3}}){CUT}", CUT),
@@ -240,7 +257,8 @@ def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
         F.struct(F.lit(-1).alias("at"), F.lit("").alias("ids")),
         lambda acc, x: F.struct(x["at"].alias("at"), F.concat(acc["ids"], F.when((acc["at"] >= 0) & (x["at"] - acc["at"] > GAP + 1), F.lit(" |")).otherwise(F.lit("")), F.lit(" "), x["id"], F.lit(" ")).alias("ids")),
     )["ids"]
-    docs = docs.withColumn("_left", joined)
+    # An unread clause clings to the sentence before it, so that no rule ends there.
+    docs = docs.withColumn("_left", F.replace(joined, F.lit("  Unread "), F.lit("+Unread ")))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" " + "  ".join(sequence) + " ").alias("pattern")) for name, sequence in RULES])
 
     def apply(acc: Column, rule: Column) -> Column:

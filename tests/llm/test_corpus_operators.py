@@ -690,3 +690,45 @@ def test_random_strings_score_above_identifiers(spark, docs):
     rows = spark.createDataFrame([(s,) for s in strings], "s string").select("s", secrets.mean_ratio(F.col("s"), model).alias("r")).collect()
     score = {r["s"]: r["r"] for r in rows}
     assert min(score[s] for s in strings[:2]) > max(score[s] for s in strings[2:])
+
+
+BSD3 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+    "3. Neither the name of {0} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+    'THIS SOFTWARE IS PROVIDED BY {0} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL {0} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.\n"
+)
+
+
+@pytest.mark.parametrize("style", [None, "# {}", "// {}", "; {}", " * {}", "-- {}"])
+def test_holders_of_any_length(spark, style):
+    names = ["Acme", "the University of California, Lawrence Berkeley National Laboratory, U.S. Dept. of Energy", " ".join(f"Name{k}" for k in range(20)), "a " * 400 + "holder"]
+    text = lambda name: BSD3.format(name) if style is None else "\n".join(style.format(line) for line in BSD3.format(name).split("\n"))
+    got = licences.scan_licences(spark.createDataFrame([(k, text(n)) for k, n in enumerate(names)], "k int, text string")).orderBy("k").collect()
+    assert [r["licences"] for r in got] == ["BSD-3-Clause:1"] * len(names)
+
+
+def test_an_unread_clause_blocks_the_shorter_licence(spark):
+    text = BSD3.format("Acme").replace("nor the names of its contributors", "nor anybody else")
+    assert licences.scan_licences(spark.createDataFrame([(text,)], "text string")).first()["licences"] == ""
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT Apache-2.0"),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", "MIT Apache-2.0 BSD-3-Clause"),
+        ("SPDX-License-Identifier: MIT OR ISC OR Zlib OR NCSA OR 0BSD OR X11", "MIT X11 NCSA ISC 0BSD Zlib"),
+        ("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MIT\ncode", "MIT GPL-2.0-only"),
+        ("or MIT and Apache-2.0", ""),
+        ("Licensed under either the MIT license or the Apache License, Version 2.0.", "MIT Apache-2.0"),
+        ("This is released under the MIT and ISC licenses.", "MIT ISC"),
+        ("Available under the terms of the MIT License, or the Apache License, Version 2.0, at your option.", "MIT Apache-2.0"),
+        ("Not licensed under the MIT license or the Apache License, Version 2.0.", ""),
+    ],
+)
+def test_choices_and_expressions(spark, text, found):
+    got = licences.scan_licences(spark.createDataFrame([(text,)], "text string")).first()["licences"]
+    assert sorted(x.split(":")[0].replace("-reference", "") for x in got.split(",") if x) == sorted(found.split())
