@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.config import DEFAULT, EngineConfig
 from quillgraph.functions import temporal as TT
 from quillgraph.functions import text as T
-from quillgraph.operators import answer, fusion, graph, search
+from quillgraph.operators import answer, fusion, graph, search, textindex
 from quillgraph.state import written
 
 
@@ -21,7 +21,8 @@ class Graph:
     similar: src, dst, weight; edges: src, dst, relation. The rest may be absent: hierarchy: child, parent; clusters:
     node_id, summary; questions: node_id, class_id; ties: slug, other, weight; members: slug, label; communities: label,
     summary, member_count; sections: node_id, document_id, title, summary; entities: slug, name, isolated,
-    isolation_reason; related: src, dst, is_surprising (slugs)."""
+    isolation_reason; related: src, dst, is_surprising (slugs). index: the stored text index of the paragraphs; without it
+    the first phase reads all texts."""
 
     paragraphs: DataFrame
     documents: DataFrame
@@ -37,6 +38,7 @@ class Graph:
     sections: DataFrame | None = None
     entities: DataFrame | None = None
     related: DataFrame | None = None
+    index: textindex.TextIndex | None = None
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,13 @@ def _lexical(graph_: Graph, query: Query, config: EngineConfig, subqueries: bool
     if query.strict_dates and (query.date_from or query.date_to):
         nodes = nodes.join(_dated(graph_), "document_id", "left")
         keep = TT.in_window(text("published"), text("coverage_start"), text("coverage_end"), query.date_from, query.date_to)
-    find = lambda words, k: search.bm25_topk(nodes, words, k, keep, config).select("node_id", "document_id", "score")
+    scan = lambda words, k: search.bm25_topk(nodes, words, k, keep, config)
+
+    def stored(words: list[str], k: int) -> DataFrame:
+        best = textindex.topk(nodes.sparkSession, graph_.index, words, 2 * k, config).join(nodes.drop("content"), "node_id")
+        return search.top(best if keep is None else best.where(keep), k)
+
+    find = lambda words, k: (scan if graph_.index is None else stored)(words, k).select("node_id", "document_id", "score")
     first = written(find(list(query.words), config.limit), "lexical")
     if subqueries:
         held = first.join(graph_.paragraphs.select("node_id", "content"), "node_id")

@@ -159,28 +159,6 @@ def adamic_pivot(mentions: DataFrame, ties: DataFrame, slugs: DataFrame, seen: D
     return top(found.join(seen.select("node_id").distinct(), "node_id", "left_anti"), k)
 
 
-def postings(nodes: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """The stored text index: (word, node_id, tf, dl) of every word but stop words, and one row (n, avg) of statistics.
-
-    Written clustered by word, a query reads the rows of its few words and none of the texts.
-    """
-    words = nodes.select("node_id", F.explode(T.long_words(F.col(content))).alias("word")).where(~F.col("word").isin(T.STOPWORDS))
-    rows = words.groupBy("node_id", "word").agg(F.count("*").alias("tf"))
-    rows = rows.join(rows.groupBy("node_id").agg(F.sum("tf").alias("dl")), "node_id").select("word", "node_id", "tf", "dl")
-    total = nodes.agg(F.count("*").alias("n")).crossJoin(rows.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("len")))
-    return rows, total.select("n", (F.col("len") / F.col("n")).alias("avg"))
-
-
-def bm25_postings(index: DataFrame, stats: DataFrame, terms: list[str], k: int, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Top k by BM25 from stored postings; the words' rows are all that is read."""
-    rows = index.where(F.col("word").isin(list(terms)))
-    df = rows.groupBy("word").agg(F.count("*").alias("df"))  # one row a term of the query
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * F.col("dl") / F.col("avg"))
-    rows = rows.join(F.broadcast(df.crossJoin(stats)), "word").select("node_id", (idf * F.col("tf") * (config.bm25_k1 + 1) / (F.col("tf") + norm)).alias("s"))
-    return top(rows.groupBy("node_id").agg(F.sum("s").alias("score")).where("score > 0"), k)
-
-
 def facets(docs: DataFrame, words: str, haystack: Column, date: Column, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Rows that hold all words somewhere and, if a window is given, a date within it."""
     found = docs

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import engine
 from quillgraph.functions import temporal as TT
-from quillgraph.operators import answer, evaluate, fusion, graph, report, search
+from quillgraph.operators import answer, evaluate, fusion, graph, report, search, textindex
 from quillgraph.plans.admin import _gold, _ranked
 from quillgraph.plans.graphs import PARTS, SECT
 from quillgraph.plans.retrieval import BM25, DOCS, OVERLAP, TERMS
@@ -22,11 +22,6 @@ def _members(spark, d):
     return A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("slug"), F.col("s_nationkey").alias("label"))
 
 
-def postings_topk(spark, d):
-    index, stats = search.postings(A.documents(spark, d).select("node_id", "content"))
-    return search.bm25_postings(index, stats, TERMS, 20).select("node_id", F.round("score", 6).alias("score"))
-
-
 def lenient_window(spark, d):
     """Orders as documents: dates, coverage of a year, and some undated."""
     o = A.table(spark, d, "orders")
@@ -217,19 +212,19 @@ def engine_answer(spark, d):
         paragraphs, docs.select(F.col("node_id").alias("document_id"), "published", "decay_class"), A.mentions(spark, d),
         pairs.withColumn("weight", F.col("src") % 10 / 10.0), pairs.withColumn("relation", F.lit("NEXT_PARA")),
         questions=docs.select("node_id", F.col("file_hash").alias("class_id")),
+        index=textindex.stored(docs.select("node_id", "content"), f"documents of {d}"),
     )
     query = engine.understand(spark, "latest " + " ".join(TERMS))
     return engine.run(stored, query, "2025-01-01")["results"].select("node_id", F.round("score", 6).alias("score"), "n_contributions", F.array_join("sources", ",").alias("sources"))
 
 
-QUERIES = {f.__name__: f for f in (postings_topk, lenient_window, community_context, guided_sections, subqueries, subquery_union, frontier, gap_cards, connection_cards, answer_sources, reranked, integrity_tier, corrective_rows, verified_rows, web_results, eval_quality, recall_at, weight_suggestions, usage_sums, ingestion_status, diagnostics_latest, entity_index, title_order, source_distribution, content_stats, parent_titles, gold_titles, back_references, full_count, engine_answer)}
+QUERIES = {f.__name__: f for f in (lenient_window, community_context, guided_sections, subqueries, subquery_union, frontier, gap_cards, connection_cards, answer_sources, reranked, integrity_tier, corrective_rows, verified_rows, web_results, eval_quality, recall_at, weight_suggestions, usage_sums, ingestion_status, diagnostics_latest, entity_index, title_order, source_distribution, content_stats, parent_titles, gold_titles, back_references, full_count, engine_answer)}
 
 _held = " + ".join(f"contains(lower(title), '{t}')::INT" for t in TERMS)
 _key = "replace(translate(base64(encode(url)), '+/', '-_'), '=', '')"
 _nt = r"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
 
 ORACLE = {
-    "postings_topk": f"WITH {BM25} SELECT node_id, round(score, 6) AS score FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, node_id LIMIT 20)",
     "lenient_window": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS p, CASE WHEN o_orderpriority LIKE '1%' THEN strftime(o_orderdate, '%Y-%m-%d') END AS a, CASE WHEN o_orderpriority LIKE '1%' THEN strftime(o_orderdate::DATE + 365, '%Y-%m-%d') END AS b FROM orders),
 t AS (SELECT o_orderkey, p IS NULL AND a IS NULL AND b IS NULL AS u, coalesce(p >= '1996', false) OR coalesce(b >= '1996', false) AS lo, coalesce(p <= '1998', false) OR coalesce(a <= '1998', false) AS hi FROM o) SELECT o_orderkey, (u OR lo) AND (u OR hi) AS lenient, lo AND hi AS strict FROM t""",
     "community_context": "WITH h AS (SELECT s_nationkey AS label, count(*) AS hits FROM supplier WHERE s_acctbal < 0 GROUP BY 1), c AS (SELECT s_nationkey AS label, count(*) AS member_count FROM supplier GROUP BY 1) SELECT label, hits, member_count, n_name AS summary FROM h JOIN c USING (label) JOIN nation ON n_nationkey = label ORDER BY hits DESC, label LIMIT 3",
