@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.config import DEFAULT, EngineConfig
+from quillgraph.operators import setjoin
 from quillgraph.state import written
 
 
@@ -112,27 +113,71 @@ def co_mentions(mentions: DataFrame) -> DataFrame:
     return a.join(b, "node_id").where("src < dst").select("src", "dst", F.lit("RELATED_TO").alias("relation"))
 
 
-def set_similarity(members: DataFrame, measure: str = "dice", threshold: float = DEFAULT.similarity_threshold) -> DataFrame:
-    """src, dst, shared, dice, jaccard of sets (set_id, item) that share items, through the items they share."""
-    members = members.select("set_id", "item").distinct()
-    sizes = members.groupBy("set_id").agg(F.count("*").alias("n"))
-    a, b = (members.select(F.col("set_id").alias(c), "item") for c in ("src", "dst"))
-    shared = a.join(b, "item").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
-    for c in ("src", "dst"):
-        shared = shared.join(sizes.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}")), c)
-    total = F.col("n_src") + F.col("n_dst")
-    scored = shared.withColumns({"dice": 2.0 * F.col("shared") / total, "jaccard": F.col("shared") / (total - F.col("shared"))})
-    return scored.where(F.col(measure) >= threshold).select("src", "dst", "shared", "dice", "jaccard")
+def set_similarity(members: DataFrame, measure: str = "dice", threshold: float = DEFAULT.similarity_threshold, new: DataFrame | None = None) -> DataFrame:
+    """src, dst, shared, dice, jaccard of sets (set_id, item) alike enough; with ``new`` (set_id) only pairs with one of those."""
+    return setjoin.similar_sets(members, measure, threshold, new)
 
 
-def adamic_adar(edges: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """src, dst, weight, common of node pairs with common neighbours: the sum of 1 / ln(degree) over these."""
+#: Neighbours of a node that one block of its pairs takes from each side.
+BLOCK_NEIGHBOURS = 1 << 10
+
+
+def shared_neighbours(edges: DataFrame) -> DataFrame:
+    """w, node, d, share: every node under each of its neighbours w, the degree of w, and what w adds to a pair."""
     both = undirected(edges.select("src", "dst")).where("src <> dst").distinct()
-    degree = both.groupBy(F.col("dst").alias("w")).agg((1.0 / F.log(F.greatest(F.count("*"), F.lit(2)))).alias("share"))
-    near = both.select(F.col("dst").alias("w"), F.col("src").alias("node")).join(degree, "w")
-    a, b = near.select("w", F.col("node").alias("src"), "share"), near.select("w", F.col("node").alias("dst"))
-    pairs = a.join(b, "w").where("src < dst").groupBy("src", "dst").agg(F.sum("share").alias("weight"), F.count("*").alias("common"))
-    return pairs.where((F.col("common") >= config.aa_least_common) & (F.col("weight") >= config.aa_threshold))
+    degree = both.groupBy(F.col("dst").alias("w")).agg(F.count("*").alias("d")).withColumn("share", 1.0 / F.log(F.greatest("d", F.lit(2))))
+    return both.select(F.col("dst").alias("w"), F.col("src").alias("node")).join(degree, "w").where("d > 1")
+
+
+def split_heavy(near: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """The neighbours of each node, parted: its heaviest ones, which alone can't make a pair, and the others.
+
+    The heaviest ones are too few (below ``aa_least_common``) or add too little (below ``aa_threshold``). A pair that
+    counts has a common neighbour among the others of both its nodes: of all common ones, that of lowest degree.
+    """
+    # A share is above 1 / 30 for any degree that 64 bits count, so the heaviest ones are few.
+    most = int(config.aa_threshold * 45) + config.aa_least_common
+    order = Window.partitionBy("node").orderBy(F.desc("d"), F.desc("w"))
+    first = near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+    sums = first.withColumn("_sum", F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    heavy = sums.where((F.col("_sum") < config.aa_threshold - 1e-9) | (F.col("_k") < config.aa_least_common)).select("node", "w", "share")
+    return heavy, near.join(heavy.select("node", "w"), ["node", "w"], "left_anti")
+
+
+def wedges(near: DataFrame, block: int = BLOCK_NEIGHBOURS) -> DataFrame:
+    """src, dst, share: the pairs (src < dst) of nodes under each w.
+
+    The nodes under a w are dealt by hash into blocks, and each pair of blocks is a key of its own: the pairs of a hub are made
+    by as many tasks as it has pairs of blocks.
+    """
+    blocks = F.ceil(F.col("d") / F.lit(block)).cast("int")
+    near = near.withColumns({"_blocks": blocks, "_own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = near.select("w", "share", F.col("node").alias("_a"), F.col("_own").alias("_i"), other.alias("_j")).where("_i <= _j")
+    right = near.select("w", F.col("node").alias("_b"), F.col("_own").alias("_j"), other.alias("_i")).where("_i <= _j")
+    pairs = left.join(right, ["w", "_i", "_j"]).where("_i < _j OR _a < _b")
+    return pairs.select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"), "share")
+
+
+def adamic_adar(edges: DataFrame, config: EngineConfig = DEFAULT, block: int = BLOCK_NEIGHBOURS) -> DataFrame:
+    """src, dst, weight, common of node pairs with common neighbours: the sum of 1 / ln(degree) over these.
+
+    Pairs come from neighbours that can make one; what the heaviest neighbours add is looked up for these pairs only, so
+    a hub that reaches everything makes no pairs of its own.
+    """
+    near = shared_neighbours(edges)
+    heavy, light = split_heavy(near, config)
+    light = light.select("node", "w", "d", "share")
+    pairs = wedges(light, block).groupBy("src", "dst").agg(F.sum("share").alias("_s"), F.count("*").alias("_c"))
+    pairs = written(pairs, "pairs")
+    own = lambda rows, c, *more: rows.select(F.col("node").alias(c), "w", *more)
+    both = pairs.select("src", "dst")
+    # Heavy for the first node, of any kind for the second; and heavy for the second node only.
+    added = both.join(own(heavy, "src", "share"), "src").join(own(near, "dst"), ["dst", "w"])
+    added = added.unionByName(both.join(own(heavy, "dst", "share"), "dst").join(own(light, "src"), ["src", "w"]))
+    total = pairs.unionByName(added.groupBy("src", "dst").agg(F.sum("share").alias("_s"), F.count("*").alias("_c")))
+    total = total.groupBy("src", "dst").agg(F.sum("_s").alias("weight"), F.sum("_c").alias("common"))
+    return total.where((F.col("common") >= config.aa_least_common) & (F.col("weight") >= config.aa_threshold))
 
 
 def precedes(edges: DataFrame, dates: DataFrame, existing: DataFrame | None = None) -> DataFrame:
