@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillgraph.config import DEFAULT
-from quillgraph.operators import textindex
-from quillgraph.plans.retrieval import BM25, DOCS, TERMS
+from quillgraph.operators import intervals, resolution, textindex, vectorlists
+from quillgraph.plans import retrieval
+from quillgraph.plans.exports import _words
+from quillgraph.plans.retrieval import BM25, DOCS, TERMS, VECTOR
 from quillgraph.sources import adapters as A
 from quillgraph.state import shared_folder
 
@@ -34,12 +36,62 @@ def index_updates(spark, d):
     return found[0].unionByName(found[1])
 
 
-QUERIES = {f.__name__: f for f in (postings_topk, index_updates)}
+def vector_lists(spark, d):
+    """Nearest vectors from stored lists, exactly."""
+    nodes = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+    index = vectorlists.build(nodes, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    return vectorlists.search(spark, index, VECTOR, DEFAULT.vector_limit).select("node_id", F.round("score", 5).alias("score"))
+
+
+def interval_overlaps(spark, d):
+    """Documents that cover windows of time (parts give them, some open at one end): how many, and how much in all."""
+    docs = A.documents(spark, d).join(A.table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "n_chars"), "node_id")
+    docs = docs.select(F.col("node_id").alias("document_id"), "published", F.lit(None).cast("date").alias("coverage_start"), F.when(F.col("n_chars") % 3 > 0, F.date_add("published", (F.col("n_chars") % 400).cast("int"))).alias("coverage_end"))
+    start = F.date_add(F.to_date(F.lit("1994-06-01")), (F.col("p_partkey") * 13 % 10000).cast("int"))
+    windows = A.table(spark, d, "part").select(F.col("p_partkey").alias("window_id"), F.when(F.col("p_partkey") % 97 > 0, start).alias("date_from"), F.when(F.col("p_partkey") % 89 > 0, F.date_add(start, F.col("p_size") * 3)).alias("date_to"))
+    found = intervals.covered_windows(docs, windows)
+    return found.groupBy("document_id").agg(F.count("*").alias("n"), F.round(F.sum("covered"), 6).alias("covered"))
+
+
+def _names(spark, d):
+    p = A.table(spark, d, "part")
+    words = F.split("p_name", " ")
+    name = F.when(F.col("p_partkey") % 3 == 0, words[0]).when(F.col("p_partkey") % 7 == 0, F.array_join(F.reverse(words), " ")).otherwise(F.concat_ws(" ", "p_name", "p_type"))
+    return p.select(F.col("p_partkey").alias("slug"), F.col("p_brand").alias("type"), name.alias("canonical"))
+
+
+def type_variants(spark, d):
+    """Forms of names over whole types: how many children each has."""
+    return resolution.variants(_names(spark, d)).groupBy("type", "parent").agg(F.count("*").alias("n"), F.min("child").alias("first"))
+
+
+def merge_chains(spark, d):
+    """Parts merged by name and by price within a brand: chains of both end at one part."""
+    p = A.table(spark, d, "part").select("p_partkey", "p_brand", F.floor(F.col("p_retailprice") / 5).alias("k"))
+    least = p.groupBy("p_brand", "k").agg(F.min("p_partkey").alias("survivor"))
+    priced = p.join(least, ["p_brand", "k"]).select(F.col("p_partkey").alias("slug"), "survivor")
+    return resolution.final_survivors([resolution.same_words(_names(spark, d)), priced])
+
+
+QUERIES = {f.__name__: f for f in (postings_topk, index_updates, vector_lists, interval_overlaps, type_variants, merge_chains)}
 
 _top = "SELECT node_id, round(score, 6) AS score FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, node_id LIMIT 20)"
 _left = BM25.replace(DOCS, DOCS.replace("FROM documents", "FROM documents WHERE coalesce(source, '') <> 'src3'"))
 
+_named = f"""nm AS (SELECT p_partkey AS slug, p_brand AS type, CASE WHEN p_partkey % 3 = 0 THEN string_split(p_name, ' ')[1] WHEN p_partkey % 7 = 0 THEN string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] ELSE p_name || ' ' || p_type END AS canonical FROM part),
+wn AS (SELECT slug, type, {_words.format(x="canonical")} AS w FROM nm)"""
+_early, _late = "DATE '1000-01-01'", "DATE '3000-01-01'"
+
 ORACLE = {
+    "vector_lists": retrieval.ORACLE["vector_topk"],
+    "interval_overlaps": f"""WITH {DOCS}, c AS (SELECT node_id AS document_id, published AS a, coalesce(CASE WHEN n_chars % 3 > 0 THEN published + (n_chars % 400)::INT END, published) AS b FROM docs JOIN (SELECT doc_id, n_chars FROM documents) n ON n.doc_id = node_id),
+w0 AS (SELECT p_partkey AS window_id, DATE '1994-06-01' + (p_partkey * 13 % 10000)::INT AS s, * FROM part), w AS (SELECT window_id, CASE WHEN p_partkey % 97 > 0 THEN s END AS f, CASE WHEN p_partkey % 89 > 0 THEN s + p_size * 3 END AS t FROM w0),
+wd AS (SELECT window_id, coalesce(f, {_early}) AS f, coalesce(t, {_late}) AS t FROM w WHERE f IS NOT NULL OR t IS NOT NULL)
+SELECT document_id, count(*) AS n, round(sum(least((least(b, t) - greatest(a, f)) / greatest(t - f, 1)::DOUBLE, 1.0)), 6) AS covered FROM c JOIN wd ON b >= f AND a <= t GROUP BY document_id""",
+    "type_variants": f"WITH {_named} SELECT p.type, p.slug AS parent, count(*) AS n, min(c.slug) AS first FROM wn p JOIN wn c ON p.type = c.type AND len(p.w) > 0 AND len(p.w) < len(c.w) AND list_has_all(c.w, p.w) GROUP BY 1, 2",
+    "merge_chains": f"""WITH RECURSIVE {_named}, g AS (SELECT slug AS a, min(slug) OVER (PARTITION BY type, w) AS b FROM wn WHERE len(w) > 0 UNION ALL SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, floor(p_retailprice / 5)) FROM part),
+e AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM g UNION ALL SELECT b, a FROM g) WHERE a <> b), r(slug, m) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.a, r.m FROM r JOIN e ON e.b = r.slug)
+SELECT slug, min(m) AS survivor FROM r GROUP BY slug HAVING min(m) <> slug""",
     "postings_topk": f"WITH {BM25} {_top}",
     "index_updates": f"WITH {_left}, t AS ({_top}) SELECT a.state, t.* FROM t, (VALUES ('segments'), ('merged')) a(state)",
 }
