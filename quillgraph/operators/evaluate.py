@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.state import written
+
 
 def hit_ranks(results: DataFrame, gold: DataFrame, depth: int = 10) -> DataFrame:
     """query_id, n_gold, ranks, first_rank (from 1, null without a hit), n_hits, average_precision within ``depth``.
@@ -50,6 +52,41 @@ def ablation(run, gold: DataFrame, configs: dict[str, object], depth: int = 10)
     return reduce(DataFrame.unionByName, parts)
 
 
+def contribution_frame(phases: dict[str, DataFrame], by: str = "query_id") -> DataFrame:
+    """query_id, phase, node_id, scaled: each phase's scores over their greatest one of the query. phases: query_id, node_id, score.
+
+    Written once: whatever is weighed afterwards reads it, and no phase runs again.
+    """
+    rows = reduce(DataFrame.unionByName, [df.select(by, F.lit(phase).alias("phase"), "node_id", F.col("score").cast("double").alias("score")) for phase, df in phases.items()])
+    rows = written(rows.where("score IS NOT NULL"), "phases")
+    most = rows.groupBy(by, "phase").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("_most"))
+    return rows.join(most, [by, "phase"]).select(by, "phase", "node_id", F.when(F.col("_most") > 0, F.col("score") / F.col("_most")).otherwise(F.col("score")).alias("scaled"))
+
+
+def fused_by(contributions: DataFrame, settings: dict[str, dict[str, float]], depth: int, by: str = "query_id") -> DataFrame:
+    """config, query_id, rank (1 to ``depth``), node_id, score under each of some settings (phase -> weight; 0 or absent: off).
+
+    One pass: every contribution is weighed by all settings at once, and each node and query carries a score a setting.
+    """
+    names = list(settings)
+    weight = lambda config: reduce(lambda e, phase: e.when(F.col("phase") == phase, float(settings[config][phase])), [p for p, w in settings[config].items() if w], F.when(F.lit(False), 0.0)).otherwise(0.0)
+    sums = contributions.groupBy(by, "node_id").agg(*[F.sum(weight(c) * F.col("scaled")).alias(f"_s{k}") for k, c in enumerate(names)], *[F.max(weight(c) > 0).alias(f"_in{k}") for k, c in enumerate(names)])
+    long = sums.select(by, "node_id", F.explode(F.array(*[F.struct(F.lit(c).alias("config"), F.col(f"_s{k}").alias("score"), F.col(f"_in{k}").alias("on")) for k, c in enumerate(names)])).alias("x"))
+    long = long.where("x.on").select("x.config", by, "node_id", "x.score")
+    rank = F.row_number().over(Window.partitionBy("config", by).orderBy(F.desc("score"), "node_id"))
+    return long.withColumn("rank", rank).where(F.col("rank") <= depth).select("config", by, "rank", "node_id", "score")
+
+
+def matrix(phases: dict[str, DataFrame], gold: DataFrame, settings: dict[str, dict[str, float]], depth: int = 10) -> DataFrame:
+    """config and its metrics (``metrics``) over all queries of ``gold`` (query_id, node_id), from one run of the phases."""
+    ranked = fused_by(contribution_frame(phases), settings, depth)
+    each = gold.select(F.explode(F.array(*[F.lit(c) for c in settings])).alias("config"), F.struct("query_id").alias("_q"), "node_id")
+    key = F.struct("config", F.col("_q.query_id").alias("query_id"))
+    results = ranked.select(F.struct("config", "query_id").alias("query_id"), "rank", "node_id")
+    ranks = hit_ranks(results, each.select(key.alias("query_id"), "node_id"), depth).withColumn("config", F.col("query_id.config"))
+    return metrics(ranks, ["config"])
+
+
 def rank_accuracy(feedback: DataFrame) -> DataFrame:
     """Positive and negative signals of each rank, and their accuracy."""
     rows = feedback.groupBy("result_rank").agg(F.count_if(F.col("signal") == "positive").alias("positive"), F.count_if(F.col("signal") == "negative").alias("negative"))

@@ -159,6 +159,20 @@ def adamic_pivot(mentions: DataFrame, ties: DataFrame, slugs: DataFrame, seen: D
     return top(found.join(seen.select("node_id").distinct(), "node_id", "left_anti"), k)
 
 
+def bm25_batch(counts: DataFrame, total: DataFrame, asked: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """query_id, node_id, score of every node with a word of each of many queries, in one plan.
+
+    counts: node_id, dl, word, tf (a node's words, without stop words); total: one row, n (nodes, those without words too);
+    asked: query_id, word. A word is sought once for all queries that have it.
+    """
+    df = counts.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    stats = total.crossJoin(counts.agg(F.sum("tf").alias("len")))  # one row
+    idf = df.crossJoin(F.broadcast(stats)).select("word", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("len") / F.col("n")).alias("avg"))
+    norm = config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * F.col("dl") / F.col("avg"))
+    scored = counts.join(idf, "word").select("word", "node_id", (F.col("idf") * F.col("tf") * (config.bm25_k1 + 1) / (F.col("tf") + norm)).alias("s"))
+    return scored.join(asked.distinct(), "word").groupBy("query_id", "node_id").agg(F.sum("s").alias("score"))
+
+
 def facets(docs: DataFrame, words: str, haystack: Column, date: Column, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Rows that hold all words somewhere and, if a window is given, a date within it."""
     found = docs

@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillgraph.config import DEFAULT
-from quillgraph.operators import intervals, resolution, textindex, vectorlists
+from quillgraph import providers
+from quillgraph.functions import text as T
+from quillgraph.operators import evaluate, intervals, resolution, search, textindex, vectorlists
 from quillgraph.plans import retrieval
 from quillgraph.plans.exports import _words
 from quillgraph.plans.retrieval import BM25, DOCS, TERMS, VECTOR
 from quillgraph.sources import adapters as A
-from quillgraph.state import shared_folder
+from quillgraph.state import shared_folder, written
 
 
 def _score():
@@ -73,7 +75,47 @@ def merge_chains(spark, d):
     return resolution.final_survivors([resolution.same_words(_names(spark, d)), priced])
 
 
-QUERIES = {f.__name__: f for f in (postings_topk, index_updates, vector_lists, interval_overlaps, type_variants, merge_chains)}
+def provider_chain(spark, d):
+    """Descriptions of documents by two models, the second for what the first leaves: calls and tokens of each."""
+    docs = A.table(spark, d, "documents").select(F.sha2(F.concat_ws("-", "doc_id", "text"), 256).alias("key"), F.coalesce("text", F.lit("")).alias("prompt"))
+
+    class Whole:
+        def answer(self, requests):
+            return requests.select("key", F.left("prompt", F.lit(100)).alias("payload"), F.lit(7).alias("output_tokens"))
+
+    chain = providers.Chain([("sentences", providers.FirstSentence()), ("whole", Whole())], accept=lambda p: F.length(p) <= 60)
+    return providers.usage(chain.calls(docs))
+
+
+#: Settings of the ablation: all phases, one alone, one left out, and equal weights.
+SETTINGS = {
+    "all": {"fulltext": 1.0, "entity_pivot": 0.6, "structural": 0.3},
+    "fulltext": {"fulltext": 1.0}, "entity_pivot": {"entity_pivot": 1.0}, "structural": {"structural": 1.0},
+    "no_fulltext": {"entity_pivot": 0.6, "structural": 0.3}, "no_entity_pivot": {"fulltext": 1.0, "structural": 0.3}, "no_structural": {"fulltext": 1.0, "entity_pivot": 0.6},
+    "equal": {"fulltext": 1.0, "entity_pivot": 1.0, "structural": 1.0},
+}
+
+
+def ablation_matrix(spark, d):
+    """Every hundredth document asks for the documents of its text, by its long words: metrics under eight settings."""
+    docs = A.documents(spark, d).select("node_id", "content", "file_hash")
+    words = F.filter(T.long_words(F.col("content")), lambda w: ~w.isin(T.STOPWORDS))
+    tf = written(docs.select("node_id", F.size(words).alias("dl"), F.explode(words).alias("word")).groupBy("node_id", "dl", "word").agg(F.count("*").alias("tf")), "tf")
+    asked = tf.where((F.col("node_id") % 100 == 0) & (F.length("word") >= 9)).select(F.col("node_id").alias("query_id"), "word")
+    fulltext = search.bm25_batch(tf, docs.agg(F.count("*").alias("n")), asked)
+    n = asked.groupBy("query_id").agg(F.count("*").alias("_n"))
+    shared = asked.join(tf.select("node_id", "word"), "word").groupBy("query_id", "node_id").agg(F.count("*").alias("c")).join(n, "query_id")
+    near = docs.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), F.explode(F.array(F.col("node_id") - 1, F.col("node_id") + 1)).alias("node_id"))
+    phases = {
+        "fulltext": fulltext, "entity_pivot": shared.select("query_id", "node_id", (F.col("c") / F.col("_n")).alias("score")),
+        "structural": near.join(docs.select("node_id"), "node_id", "left_semi").withColumn("score", F.lit(1.0)),
+    }
+    gold = docs.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), "file_hash").join(docs.select("node_id", "file_hash"), "file_hash").select("query_id", "node_id")
+    rows = evaluate.matrix(phases, gold, SETTINGS)
+    return rows.select("config", "n_queries", *[F.round(c, 6).alias(c) for c in ("hits_1", "hits_4", "hits_10", "mrr", "map", "gold_recall", "ndcg")])
+
+
+QUERIES = {f.__name__: f for f in (postings_topk, index_updates, vector_lists, interval_overlaps, type_variants, merge_chains, provider_chain, ablation_matrix)}
 
 _top = "SELECT node_id, round(score, 6) AS score FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, node_id LIMIT 20)"
 _left = BM25.replace(DOCS, DOCS.replace("FROM documents", "FROM documents WHERE coalesce(source, '') <> 'src3'"))
@@ -82,7 +124,24 @@ _named = f"""nm AS (SELECT p_partkey AS slug, p_brand AS type, CASE WHEN p_partk
 wn AS (SELECT slug, type, {_words.format(x="canonical")} AS w FROM nm)"""
 _early, _late = "DATE '1000-01-01'", "DATE '3000-01-01'"
 
+_sent = r"left(regexp_extract(p, '(?s)^\s*(.*?[.!?])(?:\s|$)', 1), 300)"
+_w = "CASE config " + " ".join(f"WHEN '{c}' THEN CASE phase " + " ".join(f"WHEN '{p}' THEN {w!r}::DOUBLE" for p, w in s.items()) + " ELSE 0.0 END" for c, s in SETTINGS.items()) + " END"
+
 ORACLE = {
+    "provider_chain": f"""WITH r AS (SELECT coalesce(text, '') AS p FROM documents GROUP BY doc_id, text), s AS (SELECT p, {_sent} AS a FROM r), o AS (SELECT p, a, trim(a) <> '' AND length(a) <= 60 AS ok FROM s),
+c AS (SELECT 'sentences' AS model, ok, ceil(length(p) / 4.0) AS pt, ceil(length(a) / 4.0) AS ot FROM o UNION ALL SELECT 'whole', trim(left(p, 100)) <> '' AND length(left(p, 100)) <= 60, ceil(length(p) / 4.0), 7 FROM o WHERE NOT ok)
+SELECT model, count(*) AS n_calls, count(*) FILTER (WHERE ok) AS n_answered, sum(pt)::BIGINT AS prompt_tokens, sum(ot)::BIGINT AS output_tokens FROM c GROUP BY model""",
+    "ablation_matrix": f"""WITH {BM25.split("tok AS")[0]} tok AS{BM25.split("tok AS")[1].split("stat AS")[0]} tf AS (SELECT node_id, dl, t, count(*) AS tf FROM (SELECT node_id, len(w) AS dl, unnest(w) AS t FROM tok) GROUP BY ALL),
+stat AS (SELECT count(*) AS n, sum(len(w)) / count(*)::DOUBLE AS avgdl FROM tok), asked AS (SELECT node_id AS query_id, t FROM tf WHERE node_id % 100 = 0 AND length(t) >= 9), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+ph AS (SELECT 'fulltext' AS phase, query_id, node_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM asked JOIN tf USING (t) JOIN df USING (t), stat GROUP BY query_id, node_id
+ UNION ALL SELECT 'entity_pivot', query_id, node_id, count(*) / any_value(c)::DOUBLE FROM asked JOIN tf USING (t) JOIN (SELECT query_id, count(*) AS c FROM asked GROUP BY 1) USING (query_id) GROUP BY query_id, node_id
+ UNION ALL SELECT 'structural', a.node_id, b.node_id, 1.0 FROM docs a JOIN docs b ON abs(a.node_id - b.node_id) = 1 WHERE a.node_id % 100 = 0),
+sc AS (SELECT *, score / max(score) OVER (PARTITION BY query_id, phase) AS scaled FROM ph), cf AS (SELECT unnest([{", ".join(repr(c) for c in SETTINGS)}]) AS config),
+fu AS (SELECT config, query_id, node_id, sum({_w} * scaled) AS s FROM sc, cf GROUP BY ALL HAVING max({_w}) > 0), rk AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY s DESC, node_id) AS rank FROM fu QUALIFY rank <= 10),
+gold AS (SELECT a.node_id AS query_id, b.node_id FROM docs a JOIN docs b ON a.content = b.content WHERE a.node_id % 100 = 0), ng AS (SELECT query_id, count(*) AS g FROM gold GROUP BY 1),
+hit AS (SELECT config, query_id, rank, row_number() OVER (PARTITION BY config, query_id ORDER BY rank) AS k FROM rk JOIN gold USING (query_id, node_id)),
+h AS (SELECT cf.config, ng.query_id, g, min(rank) AS first, count(rank) AS hits, coalesce(sum(k / rank::DOUBLE), 0) / least(g, 10) AS ap FROM ng CROSS JOIN cf LEFT JOIN hit ON hit.query_id = ng.query_id AND hit.config = cf.config GROUP BY cf.config, ng.query_id, g)
+SELECT config, count(*) AS n_queries, round(avg((coalesce(first, 99) <= 1)::INT), 6) AS hits_1, round(avg((coalesce(first, 99) <= 4)::INT), 6) AS hits_4, round(avg((coalesce(first, 99) <= 10)::INT), 6) AS hits_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(ap), 6) AS map, round(avg(hits / g::DOUBLE), 6) AS gold_recall, round(avg(coalesce(1.0 / log2(first + 1.0), 0)), 6) AS ndcg FROM h GROUP BY config""",
     "vector_lists": retrieval.ORACLE["vector_topk"],
     "interval_overlaps": f"""WITH {DOCS}, c AS (SELECT node_id AS document_id, published AS a, coalesce(CASE WHEN n_chars % 3 > 0 THEN published + (n_chars % 400)::INT END, published) AS b FROM docs JOIN (SELECT doc_id, n_chars FROM documents) n ON n.doc_id = node_id),
 w0 AS (SELECT p_partkey AS window_id, DATE '1994-06-01' + (p_partkey * 13 % 10000)::INT AS s, * FROM part), w AS (SELECT window_id, CASE WHEN p_partkey % 97 > 0 THEN s END AS f, CASE WHEN p_partkey % 89 > 0 THEN s + p_size * 3 END AS t FROM w0),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.state import written
 
 # The fields of the three layouts that are read.
 OKF = "struct<nodes:array<struct<type:string,title:string,content:string,text:string,part:string,metadata:struct<page:int,level:int>,sumo_candidate_tags:array<string>,table:struct<content_data:array<array<string>>>>>>"
@@ -59,10 +60,13 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached(requests: DataFrame, cache: DataFrame, compute) -> tuple[DataFrame, DataFrame]:
-    """Answers to requests (key, ...): those in the cache (key, payload), and newly computed ones, which are also returned to be appended."""
+    """Answers to requests (key, ...): those in the cache (key, payload), and newly computed ones, which are also returned to be appended.
+
+    The new ones are written before anything reads them: ``compute`` is asked once for each key, whatever is made of its answers.
+    """
     requests = requests.dropDuplicates(["key"])
-    new = compute(requests.join(cache.select("key"), "key", "left_anti"))
-    return cache.join(requests.select("key"), "key", "left_semi").unionByName(new), new
+    new = written(compute(written(requests.join(cache.select("key"), "key", "left_anti"), "requests")), "answers")
+    return cache.join(requests.select("key"), "key", "left_semi").select("key", "payload").unionByName(new.select("key", "payload")), new
 
 
 def write_wiki(pages: DataFrame, path: str) -> None:

@@ -5,7 +5,9 @@ import random
 
 import numpy as np
 
-from quillgraph.operators import intervals, resolution, vectorlists
+from quillgraph import providers
+from quillgraph.operators import evaluate, intervals, resolution, vectorlists
+from quillgraph.sources import layouts
 
 
 def cosines(rows, query):
@@ -76,3 +78,61 @@ def test_chains_end_at_one_survivor(spark):
     got = {r["slug"]: r["survivor"] for r in resolution.final_survivors([chain, more]).collect()}
     assert got == {"b": "a", "c": "a", "d": "a", "e": "a", "p": "e2", "q": "e2", "r": "e2", **{"hub": "h0"}, **{f"h{k}": "h0" for k in range(1, 50)}}
     assert resolution.final_survivors([frame([])]).count() == 0
+
+
+def test_a_provider_is_asked_once(spark):
+    """However much reads its answers, and only for what the models before it left."""
+    asked = {"first": spark.sparkContext.accumulator(0), "second": spark.sparkContext.accumulator(0)}
+
+    class Counting:
+        def __init__(self, name, answers):
+            self.name, self.answers = name, answers
+
+        def answer(self, requests):
+            counter, answers = asked[self.name], self.answers
+
+            def run(batches):
+                for batch in batches:
+                    counter.add(len(batch))
+                    yield batch.assign(payload=[answers(p) for p in batch["prompt"]])[["key", "payload"]]
+
+            return requests.select("key", "prompt").mapInPandas(run, "key string, payload string")
+
+    requests = spark.createDataFrame([(f"k{k}", f"prompt {k}") for k in range(30)] + [("k1", "prompt 1")], "key string, prompt string")
+    chain = providers.Chain([("first", Counting("first", lambda p: "  " if p.endswith("7") else p.upper() if "1" in p else None)), ("second", Counting("second", lambda p: "known" if "2" in p else None))], attempts=2)
+    cache = spark.createDataFrame([("k0", "old"), ("zz", "other")], "key string, payload string")
+    answers, new = layouts.cached(requests, cache, chain.answer)
+    for _ in range(2):
+        assert answers.where("payload = 'old'").count() == 1 and new.count() == answers.count() - 1
+    told = {r["key"]: (r["payload"], r["model"], r["attempt"]) for r in new.collect()}
+    first = {k for k in range(1, 30) if "1" in str(k) and k % 10 != 7}
+    second = {k for k in range(1, 30) if "2" in str(k)} - first
+    assert told == {f"k{k}": (f"PROMPT {k}", "first", 1) for k in first} | {f"k{k}": ("known", "second", 1) for k in second}
+    assert asked["first"].value == 29 + (29 - len(first))
+    assert asked["second"].value == (29 - len(first)) + (29 - len(first) - len(second))
+    usage = {r["model"]: (r["n_calls"], r["n_answered"]) for r in providers.usage(chain.calls(requests)).collect()}
+    assert usage["first"][0] == 30 + 30 - len(first) and usage["first"][1] == len(first)
+
+
+def test_ablation_runs_phases_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+    rows = [(q, n, float((q * 7 + n * 3) % 11)) for q in range(4) for n in range(12)]
+    frame = spark.createDataFrame(rows, "query_id long, node_id long, score double")
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(len(batch))
+            yield batch
+
+    phases = {"a": frame.mapInPandas(counted, frame.schema), "b": frame.selectExpr("query_id", "node_id", "11 - score AS score")}
+    gold = spark.createDataFrame([(q, (q * 5) % 12) for q in range(4)] + [(9, 1)], "query_id long, node_id long")
+    settings = {"a": {"a": 1.0}, "b": {"b": 1.0}, "both": {"a": 0.5, "b": 1.0}, "off": {"a": 0.0}}
+    got = {r["config"]: r for r in evaluate.matrix(phases, gold, settings).collect()}
+    assert runs.value == len(rows)
+    for name, weights in settings.items():
+        ranked = []
+        for q in range(4):
+            best = {n: weights.get("a", 0) * s / max(x[2] for x in rows if x[0] == q) + weights.get("b", 0) * (11 - s) / max(11 - x[2] for x in rows if x[0] == q) for p, n, s in rows if p == q}
+            ranked += [(q, rank + 1, n) for rank, n in enumerate(sorted(best, key=lambda n: (-best[n], n))[:10])] if any(weights.values()) else []
+        one = evaluate.metrics(evaluate.hit_ranks(spark.createDataFrame(ranked, "query_id long, rank int, node_id long"), gold)).first()
+        assert {k: got[name][k] for k in one.asDict()} == one.asDict()
