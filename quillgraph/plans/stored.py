@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillgraph.config import DEFAULT
-from quillgraph import providers
+from quillgraph import ingestion, providers
 from quillgraph.functions import text as T
-from quillgraph.operators import evaluate, intervals, resolution, search, textindex, vectorlists
+from quillgraph.operators import evaluate, intervals, resolution, search, textindex, vectorlists, verify
 from quillgraph.plans import retrieval
 from quillgraph.plans.exports import _words
+from quillgraph.plans.graphs import SECT
 from quillgraph.plans.retrieval import BM25, DOCS, TERMS, VECTOR
 from quillgraph.sources import adapters as A
 from quillgraph.state import shared_folder, written
@@ -115,7 +116,20 @@ def ablation_matrix(spark, d):
     return rows.select("config", "n_queries", *[F.round(c, 6).alias(c) for c in ("hits_1", "hits_4", "hits_10", "mrr", "map", "gold_recall", "ndcg")])
 
 
-QUERIES = {f.__name__: f for f in (postings_topk, index_updates, vector_lists, interval_overlaps, type_variants, merge_chains, provider_chain, ablation_matrix)}
+def ingest_graph(spark, d):
+    """Pages taken in as two batches: how many edges of each structural kind the graph has, and issues of the verifier."""
+    pages = A.texts(spark, d, "pages").select(F.col("page_id").cast("string").alias("document_id"), T.html_markdown(F.col("html")).alias("text"), F.sha2(F.concat_ws("-", "page_id", "html"), 256).alias("file_hash"))
+    pages = written(pages, "pages")
+    store = ingestion.Store(f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
+    for k in range(2):
+        ingestion.add_batch(spark, store, pages.where(F.col("document_id").cast("long") % 2 == k), f"b{k}")
+    edges = store.read(spark, "edges")
+    issues = verify.verify(store.read(spark, "documents").select(F.col("document_id").alias("node_id")), store.read(spark, "sections"), store.read(spark, "paragraphs"), edges)
+    broken = issues.where("severity = 'error'").agg(F.lit("errors").alias("relation"), F.count("*").alias("n"))
+    return edges.groupBy("relation").agg(F.count("*").alias("n")).unionByName(broken)
+
+
+QUERIES = {f.__name__: f for f in (postings_topk, index_updates, vector_lists, interval_overlaps, type_variants, merge_chains, provider_chain, ablation_matrix, ingest_graph)}
 
 _top = "SELECT node_id, round(score, 6) AS score FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, node_id LIMIT 20)"
 _left = BM25.replace(DOCS, DOCS.replace("FROM documents", "FROM documents WHERE coalesce(source, '') <> 'src3'"))
@@ -128,6 +142,11 @@ _sent = r"left(regexp_extract(p, '(?s)^\s*(.*?[.!?])(?:\s|$)', 1), 300)"
 _w = "CASE config " + " ".join(f"WHEN '{c}' THEN CASE phase " + " ".join(f"WHEN '{p}' THEN {w!r}::DOUBLE" for p, w in s.items()) + " ELSE 0.0 END" for c, s in SETTINGS.items()) + " END"
 
 ORACLE = {
+    "ingest_graph": f"""WITH {SECT}, ln AS (SELECT page_id, pos, regexp_matches(line, '^#{{1,6}} \\S') AS head, trim(line) = '' AS blank FROM ml),
+ru AS (SELECT *, sum((head OR blank)::INT) OVER w AS run, max(CASE WHEN head THEN pos END) OVER w AS sec_at FROM ln WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+bl AS (SELECT DISTINCT page_id, run, sec_at FROM ru WHERE NOT head AND NOT blank)
+SELECT 'HAS_CHILD' AS relation, count(*) AS n FROM nest HAVING count(*) > 0 UNION ALL SELECT 'NEXT_SIBLING', count(*) - count(DISTINCT (page_id, coalesce(parent, -1))) FROM nest HAVING count(*) > count(DISTINCT (page_id, coalesce(parent, -1)))
+UNION ALL SELECT 'BELONGS_TO', count(*) FROM bl HAVING count(*) > 0 UNION ALL SELECT 'NEXT_PARA', count(*) - count(DISTINCT (page_id, coalesce(sec_at, -1))) FROM bl HAVING count(*) > count(DISTINCT (page_id, coalesce(sec_at, -1))) UNION ALL SELECT 'errors', 0""",
     "provider_chain": f"""WITH r AS (SELECT coalesce(text, '') AS p FROM documents GROUP BY doc_id, text), s AS (SELECT p, {_sent} AS a FROM r), o AS (SELECT p, a, trim(a) <> '' AND length(a) <= 60 AS ok FROM s),
 c AS (SELECT 'sentences' AS model, ok, ceil(length(p) / 4.0) AS pt, ceil(length(a) / 4.0) AS ot FROM o UNION ALL SELECT 'whole', trim(left(p, 100)) <> '' AND length(left(p, 100)) <= 60, ceil(length(p) / 4.0), 7 FROM o WHERE NOT ok)
 SELECT model, count(*) AS n_calls, count(*) FILTER (WHERE ok) AS n_answered, sum(pt)::BIGINT AS prompt_tokens, sum(ot)::BIGINT AS output_tokens FROM c GROUP BY model""",
