@@ -89,8 +89,8 @@ def _write_blocks(postings: DataFrame, path: str, buckets: int, nodes: int) -> s
     return name
 
 
-def _counted(nodes: DataFrame, content: str) -> DataFrame:
-    """node_id, dl, words: the words that count."""
+def counted_words(nodes: DataFrame, content: str) -> DataFrame:
+    """node_id, dl, words: the words that count, stop words left out. Computed below an explode of them, once a node."""
     words = F.filter(T.long_words(F.col(content)), lambda w: ~w.isin(T.STOPWORDS))
     return nodes.select("node_id", words.alias("words")).select("node_id", F.size("words").alias("dl"), "words")
 
@@ -100,7 +100,7 @@ def append(index: TextIndex | None, nodes: DataFrame, path: str | None = None, c
     spark = nodes.sparkSession
     path, buckets = (index.path, index.buckets) if index else (path, buckets)
     # Null texts have no words.
-    counted = _counted(nodes, content)
+    counted = counted_words(nodes, content)
     sums = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("dl") > 0, F.col("dl"))), F.lit(0)).alias("len")).first()
     postings = counted.select("node_id", "dl", F.explode("words").alias("word")).groupBy("node_id", "dl", "word").agg(F.count("*").cast("int").alias("tf"))
     name = _write_blocks(postings, path, buckets, sums["n"]) if sums["len"] else ""
@@ -117,7 +117,7 @@ def build(nodes: DataFrame, path: str, content: str = "content", buckets: int =
 def delete(index: TextIndex, ids: DataFrame, nodes: DataFrame, content: str = "content") -> TextIndex:
     """Takes back the nodes of ``ids`` (node_id) by their texts as they were added (``nodes``); ids that aren't in it are none."""
     spark = ids.sparkSession
-    gone = _counted(nodes.join(ids.select("node_id").distinct(), "node_id", "left_semi"), content)
+    gone = counted_words(nodes.join(ids.select("node_id").distinct(), "node_id", "left_semi"), content)
     gone = written(gone.select("node_id", "dl", F.array_distinct("words").alias("words")), "gone")
     sums = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("dl") > 0, F.col("dl"))), F.lit(0)).alias("len")).first()
     if not sums["n"]:

@@ -11,10 +11,11 @@ from quillgraph import ingestion, providers
 from quillgraph.functions import text as T
 from quillgraph.operators import evaluate, intervals, resolution, search, textindex, vectorlists, verify
 from quillgraph.plans import retrieval
-from quillgraph.plans.exports import _words
+from quillgraph.plans.exports import _slug, _words
 from quillgraph.plans.graphs import SECT
 from quillgraph.plans.retrieval import BM25, DOCS, TERMS, VECTOR
 from quillgraph.sources import adapters as A
+from quillgraph.sources import pages
 from quillgraph.state import shared_folder, written
 
 
@@ -100,8 +101,7 @@ SETTINGS = {
 def ablation_matrix(spark, d):
     """Every hundredth document asks for the documents of its text, by its long words: metrics under eight settings."""
     docs = A.documents(spark, d).select("node_id", "content", "file_hash")
-    words = F.filter(T.long_words(F.col("content")), lambda w: ~w.isin(T.STOPWORDS))
-    tf = written(docs.select("node_id", F.size(words).alias("dl"), F.explode(words).alias("word")).groupBy("node_id", "dl", "word").agg(F.count("*").alias("tf")), "tf")
+    tf = written(textindex.counted_words(docs, "content").select("node_id", "dl", F.explode("words").alias("word")).groupBy("node_id", "dl", "word").agg(F.count("*").alias("tf")), "tf")
     asked = tf.where((F.col("node_id") % 100 == 0) & (F.length("word") >= 9)).select(F.col("node_id").alias("query_id"), "word")
     fulltext = search.bm25_batch(tf, docs.agg(F.count("*").alias("n")), asked)
     n = asked.groupBy("query_id").agg(F.count("*").alias("_n"))
@@ -118,18 +118,27 @@ def ablation_matrix(spark, d):
 
 def ingest_graph(spark, d):
     """Pages taken in as two batches: how many edges of each structural kind the graph has, and issues of the verifier."""
-    pages = A.texts(spark, d, "pages").select(F.col("page_id").cast("string").alias("document_id"), T.html_markdown(F.col("html")).alias("text"), F.sha2(F.concat_ws("-", "page_id", "html"), 256).alias("file_hash"))
-    pages = written(pages, "pages")
+    crawled = A.texts(spark, d, "pages").select(F.col("page_id").cast("string").alias("document_id"), T.html_markdown(F.col("html")).alias("text"), F.sha2(F.concat_ws("-", "page_id", "html"), 256).alias("file_hash"))
+    crawled = written(crawled, "pages")
     store = ingestion.Store(f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
     for k in range(2):
-        ingestion.add_batch(spark, store, pages.where(F.col("document_id").cast("long") % 2 == k), f"b{k}")
+        ingestion.add_batch(spark, store, crawled.where(F.col("document_id").cast("long") % 2 == k), f"b{k}")
     edges = store.read(spark, "edges")
     issues = verify.verify(store.read(spark, "documents").select(F.col("document_id").alias("node_id")), store.read(spark, "sections"), store.read(spark, "paragraphs"), edges)
     broken = issues.where("severity = 'error'").agg(F.lit("errors").alias("relation"), F.count("*").alias("n"))
     return edges.groupBy("relation").agg(F.count("*").alias("n")).unionByName(broken)
 
 
-QUERIES = {f.__name__: f for f in (postings_topk, index_updates, vector_lists, interval_overlaps, type_variants, merge_chains, provider_chain, ablation_matrix, ingest_graph)}
+def page_files(spark, d):
+    """A page for each part under its name: written as files, read back. Parts of one name keep a page each."""
+    p = A.table(spark, d, "part").select("p_partkey", F.concat(F.lit("entities/"), T.wiki_slug(F.col("p_name")), F.lit(".md")).alias("path"), F.concat(F.lit("# "), F.col("p_name"), F.lit("\n"), F.col("p_brand")).alias("body"))
+    uri = f"{shared_folder(spark)}/wiki-{uuid.uuid4().hex}"
+    uri = uri if "://" in uri else "file://" + uri.removeprefix("file:")
+    pages.write_pages(pages.unique_paths(p, "p_partkey"), uri)
+    return pages.read_pages(spark, uri).select("path", F.md5("body").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (postings_topk, index_updates, vector_lists, interval_overlaps, type_variants, merge_chains, provider_chain, ablation_matrix, ingest_graph, page_files)}
 
 _top = "SELECT node_id, round(score, 6) AS score FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, node_id LIMIT 20)"
 _left = BM25.replace(DOCS, DOCS.replace("FROM documents", "FROM documents WHERE coalesce(source, '') <> 'src3'"))
@@ -142,6 +151,7 @@ _sent = r"left(regexp_extract(p, '(?s)^\s*(.*?[.!?])(?:\s|$)', 1), 300)"
 _w = "CASE config " + " ".join(f"WHEN '{c}' THEN CASE phase " + " ".join(f"WHEN '{p}' THEN {w!r}::DOUBLE" for p, w in s.items()) + " ELSE 0.0 END" for c, s in SETTINGS.items()) + " END"
 
 ORACLE = {
+    "page_files": "WITH s AS (SELECT p_partkey, p_name, p_brand, " + _slug.format(x="p_name") + " AS slug FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS k FROM s) SELECT 'entities/' || slug || CASE WHEN k > 1 THEN '~' || k ELSE '' END || '.md' AS path, md5('# ' || p_name || chr(10) || p_brand) AS digest FROM k",
     "ingest_graph": f"""WITH {SECT}, ln AS (SELECT page_id, pos, regexp_matches(line, '^#{{1,6}} \\S') AS head, trim(line) = '' AS blank FROM ml),
 ru AS (SELECT *, sum((head OR blank)::INT) OVER w AS run, max(CASE WHEN head THEN pos END) OVER w AS sec_at FROM ln WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
 bl AS (SELECT DISTINCT page_id, run, sec_at FROM ru WHERE NOT head AND NOT blank)

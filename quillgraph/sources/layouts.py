@@ -69,11 +69,6 @@ def cached(requests: DataFrame, cache: DataFrame, compute) -> tuple[DataFrame, D
     return cache.join(requests.select("key"), "key", "left_semi").select("key", "payload").unionByName(new.select("key", "payload")), new
 
 
-def write_wiki(pages: DataFrame, path: str) -> None:
-    """Text files, one folder for each page path."""
-    pages.select("path", "body").write.mode("overwrite").partitionBy("path").text(path)
-
-
 def append_feedback(rows: DataFrame, path: str) -> None:
     """Valid signals only."""
     ok = F.col("signal").isin("positive", "negative") & F.col("node_id").isNotNull() & F.col("query_hash").isNotNull()

@@ -4,10 +4,11 @@ import datetime
 import random
 
 import numpy as np
+import pytest
 
 from quillgraph import providers
 from quillgraph.operators import evaluate, intervals, resolution, vectorlists
-from quillgraph.sources import layouts
+from quillgraph.sources import layouts, pages
 
 
 def cosines(rows, query):
@@ -136,3 +137,17 @@ def test_ablation_runs_phases_once(spark):
             ranked += [(q, rank + 1, n) for rank, n in enumerate(sorted(best, key=lambda n: (-best[n], n))[:10])] if any(weights.values()) else []
         one = evaluate.metrics(evaluate.hit_ranks(spark.createDataFrame(ranked, "query_id long, rank int, node_id long"), gold)).first()
         assert {k: got[name][k] for k in one.asDict()} == one.asDict()
+
+
+def test_one_file_a_page(spark, tmp_path):
+    uri = f"file://{tmp_path}/wiki"
+    rows = [(1, "entities/ada.md", "one"), (2, "entities/ada.md", "two\nlines\n"), (3, "entities/ada.md", ""), (4, "documents/d d/index.md", "é+%"), (5, "top", "x"), (6, "entities/a+b%20c.md", "y")]
+    kept = pages.unique_paths(spark.createDataFrame(rows, "k int, path string, body string").repartition(3), "k")
+    pages.write_pages(kept, uri)
+    want = {"entities/ada.md": "one", "entities/ada~2.md": "two\nlines\n", "entities/ada~3.md": "", "documents/d d/index.md": "é+%", "top": "x", "entities/a+b%20c.md": "y"}
+    assert {str(f.relative_to(tmp_path / "wiki")): f.read_text() for f in (tmp_path / "wiki").rglob("*") if f.is_file()} == want
+    pages.write_pages(kept, uri)  # again: the same
+    read = {r["path"]: r["body"] for r in pages.read_pages(spark, uri).collect()}
+    assert {k: v for k, v in want.items() if v} == {k: v for k, v in read.items() if v}
+    with pytest.raises(Exception, match="stays in its folder"):
+        pages.write_pages(spark.createDataFrame([("../x", "b")], "path string, body string"), uri)
