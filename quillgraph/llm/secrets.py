@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,42 +45,75 @@ TRAIN_STRINGS = 3000
 TRAIN_WORDS = 400
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
-_OPEN, _SPLIT = "\ue000", "\ue001"
+_OPEN, _SPLIT, _TAKEN = "\ue000", "\ue001", "\ue002"
 _SPAN = "array<struct<start:long,end:long>>"
+_FOUND = "array<struct<start:long,end:long,string:string>>"
+
+
+#: Parts that one fold goes over: a list that grows is copied at each step, so it stays short.
+FOLD = 128
 
 
 def _clean(text: Column) -> Column:
-    return F.translate(text, _OPEN + _SPLIT, "\ufffd\ufffd")
+    return F.translate(text, _OPEN + _SPLIT + _TAKEN, "\ufffd\ufffd\ufffd")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _marked_spans(marked: Column, least: int) -> Column:
-    """Spans from a text in which each match stands as OPEN match SPLIT measured SPLIT."""
-    parts = F.split(marked, _OPEN)
-    first = F.length(F.element_at(parts, 1)).cast("long")
+def _marked(text: Column, pattern: str, group: int) -> Column:
+    """What lies between matches, split: each part but the first is match SPLIT measured SPLIT rest."""
+    return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_SPLIT}${group}{_SPLIT}")), _OPEN)
 
-    def step(acc: Column, part: Column) -> Column:
+
+def _marked_spans(parts: Column, least: int) -> Column:
+    """Spans (start, end, string) from the parts of ``_marked``, by sums over runs of ``FOLD`` parts and then within each."""
+
+    def measured(part: Column) -> Column:
         pieces = F.split(part, _SPLIT)
-        start, end = acc["at"], acc["at"] + F.length(pieces[0])
-        longer = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        return F.struct((end + F.length(pieces[2])).alias("at"), F.when(F.length(pieces[1]) >= least, longer).otherwise(acc["out"]).alias("out"))
+        return F.struct(pieces[0].alias("string"), F.length(pieces[0]).alias("n"), (F.length(pieces[0]) + F.length(pieces[2])).alias("all"), (F.length(pieces[1]) >= least).alias("ok"))
+
+    def step(acc: Column, x: Column) -> Column:
+        longer = F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + x["n"]).alias("end"), x["string"].alias("string")))
+        return F.struct((acc["at"] + x["all"]).alias("at"), F.when(x["ok"], longer).otherwise(acc["out"]).alias("out"))
+
+    def spans(parts: Column) -> Column:
+        rows = F.transform(F.slice(parts, 2, F.size(parts)), measured)
+        first = F.length(F.element_at(parts, 1)).cast("long")
+        runs = lambda rows: F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / FOLD)), lambda k: F.slice(rows, (k * FOLD + 1).cast("int"), F.lit(FOLD)))
+        total = lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda n, x: n + x["all"])
+        zero = lambda at: F.struct(at.alias("at"), F.array().cast(_FOUND).alias("out"))
 
-    zero = F.struct(first.alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(F.slice(parts, 2, F.size(parts)), zero, step)["out"]
+        def placed(runs: Column) -> Column:
+            begin = F.struct(first.alias("at"), F.array().cast("array<long>").alias("out"))
+            starts = F.aggregate(F.transform(runs, total), begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+            return F.flatten(F.zip_with(runs, starts, lambda run, at: F.aggregate(run, zero(at), step)["out"]))
+
+        return _let(rows, lambda rows: F.when(F.size(rows) > 0, _let(runs(rows), placed)).otherwise(F.array().cast(_FOUND)))
+
+    return _let(parts, spans)
 
 
 def pattern_spans(text: Column, pattern: str, least: int, group: int = 0) -> Column:
     """Leftmost matches that don't overlap, those whose measured group is shorter than ``least`` dropped."""
-    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_SPLIT}${group}{_SPLIT}"))
-    return F.when(text.rlike(pattern), _marked_spans(marked, least)).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), _marked_spans(_marked(text, pattern, group), least)).otherwise(F.array().cast(_FOUND))
+
+
+def _taken(text: Column, pattern: str, least: int, group: int = 0) -> Column:
+    """The text with TAKEN for each character of the spans of a pattern."""
+    shown = lambda pieces: F.concat(F.when(F.length(pieces[1]) >= least, F.repeat(F.lit(_TAKEN), F.length(pieces[0]))).otherwise(pieces[0]), pieces[2])
+    joined = _let(_marked(text, pattern, group), lambda parts: F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), lambda p: shown(F.split(p, _SPLIT))), "")))
+    return F.when(text.rlike(pattern), joined).otherwise(text)
+
+
+#: kind: pattern, fewest characters, measured group. A run of AKIA or hex characters is matched whole, so short ones are passed over without marking them.
+BASE = {"assign": (ASSIGN, ASSIGN_LEAST, 2), "access": (f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}", ACCESS_LEAST, 0), "hex": (f"[0-9a-f]{{{HEX_LEAST},}}", HEX_LEAST, 0)}
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    """A run of AKIA or hex characters is matched whole, so short ones are passed over without marking them."""
-    return {
-        "assign": pattern_spans(text, ASSIGN, ASSIGN_LEAST, 2),
-        "access": pattern_spans(text, f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}", ACCESS_LEAST),
-        "hex": pattern_spans(text, f"[0-9a-f]{{{HEX_LEAST},}}", HEX_LEAST),
-    }
+    return {kind: F.transform(pattern_spans(text, *rule), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for kind, rule in BASE.items()}
 
 
 def _labelled_samples(docs: DataFrame) -> DataFrame:
@@ -122,11 +156,11 @@ def train(docs: DataFrame) -> list[float]:
 
 
 def mean_ratio(string: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio of a string's character pairs."""
+    """Mean log-likelihood ratio of a string's character pairs; reads each character once."""
     ratios = F.from_json(F.lit(json.dumps(model)), "array<double>")  # folded to one literal
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(string, i, F.lit(1)))
-    place = lambda i: (code(i) - 1) * len(ALPHABET) + code(i + 1)
-    total = F.aggregate(F.sequence(F.lit(1), F.length(string) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(ratios, place(i)))
+    codes = F.transform(F.slice(F.split(string, ""), F.lit(1), F.length(string)), lambda c: F.instr(F.lit(ALPHABET), c))
+    pairs = lambda codes: F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.element_at(ratios, (a - 1) * len(ALPHABET) + b))
+    total = _let(codes, lambda codes: F.aggregate(pairs(codes), F.lit(0.0), lambda acc, x: acc + x))
     return total / (F.length(string) - 1)
 
 
@@ -134,18 +168,19 @@ def scan_secrets(docs: DataFrame, model: list[float]) -> DataFrame:
     """Adds assign, access, hex and markov: arrays of spans (code points, end exclusive)."""
     docs = docs.withColumn("_clean", _clean(whole_text()))
     docs = docs.withColumns(base_spans(F.col("_clean")))
-    runs = pattern_spans(F.col("_clean"), CANDIDATE, 0)
-    base = F.concat("assign", "access", "hex")
-
-    def secret(span: Column) -> Column:
-        string = F.substring(F.col("_clean"), (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
-        apart = ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-        return F.when(apart & string.rlike("[0-9]"), mean_ratio(string, model) >= LEAST_RATIO).otherwise(F.lit(False))
-
+    # A candidate goes over what base spans took; one that holds any of it is dropped. All of a base span that isn't
+    # taken yet when its pattern comes is in one run with what is, so the patterns are taken in turn.
+    left = F.col("_clean")
+    for kind, rule in BASE.items():
+        left = F.when(F.size(kind) > 0, _taken(left, *rule)).otherwise(left)
+    docs = docs.withColumn("_left", F.when(F.size("assign") + F.size("access") + F.size("hex") > 0, left).otherwise(F.col("_clean")))
+    runs = pattern_spans(F.col("_left"), CANDIDATE.replace("A-Z", "A-Z" + _TAKEN), 0)
+    secret = lambda s: F.when(s["string"].rlike("[0-9]") & ~s["string"].contains(_TAKEN), mean_ratio(s["string"], model) >= LEAST_RATIO).otherwise(F.lit(False))
     # A candidate run with a digit: tested first, so that plain texts are done with one pass.
     likely = F.col("_clean").rlike(r"(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{20}")
-    docs = docs.withColumn("markov", F.when(likely, F.filter(runs, secret)).otherwise(F.array().cast(_SPAN)))
-    return docs.drop("_clean")
+    found = F.transform(F.filter(runs, secret), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    docs = docs.withColumn("markov", F.when(likely, found).otherwise(F.array().cast(_SPAN)))
+    return docs.drop("_clean", "_left")
 
 
 def spans_text(kinds: tuple[str, ...]) -> Column:

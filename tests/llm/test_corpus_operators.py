@@ -732,3 +732,23 @@ def test_an_unread_clause_blocks_the_shorter_licence(spark):
 def test_choices_and_expressions(spark, text, found):
     got = licences.scan_licences(spark.createDataFrame([(text,)], "text string")).first()["licences"]
     assert sorted(x.split(":")[0].replace("-reference", "") for x in got.split(",") if x) == sorted(found.split())
+
+
+def test_many_matches_take_linear_time(spark):
+    """40,000 matches in one text, and one run of 200,000 characters."""
+    import time
+
+    line = lambda k: f"password={k:x}abcdef0123456789Zq token-{k}-Zm9vYmFyMTIzNDU2Nzg5"
+    model = [0.0] * len(secrets.ALPHABET) ** 2
+
+    def seconds(text):
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = secrets.scan_secrets(frame, model).select("assign", "markov").first()
+        return time.time() - began, len(row["assign"])
+
+    seconds("warm up password=abcdef0123456789")
+    few, many = seconds(" ".join(map(line, range(4000)))), seconds(" ".join(map(line, range(20_000))))
+    assert (few[1], many[1]) == (4000, 20_000)
+    assert many[0] < 12 * max(few[0], 0.5)
+    assert seconds("Ab1+" * 50_000)[0] < 20
