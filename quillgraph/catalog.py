@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import admin, answers, corpus, exports, graphs, knowledge, retrieval, stored
+from quillgraph.plans import admin, answers, corpus, exports, graphs, knowledge, retrieval, rules, stored
 
 #: Plan modules, each with QUERIES (name -> callable) and ORACLE (name -> SQL).
-MODULES = (retrieval, graphs, corpus, knowledge, admin, answers, exports, stored)
+MODULES = (retrieval, graphs, corpus, knowledge, admin, answers, exports, rules, stored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

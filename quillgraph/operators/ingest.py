@@ -44,6 +44,16 @@ def document_metadata(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return docs.select(key, F.left(first, F.lit(120)).alias("title"), F.left(prose, F.lit(chars)).alias("description"), date.alias("published"))
 
 
+def best_dates(candidates: DataFrame) -> DataFrame:
+    """Of each document's dates, found in its chunks, the row of the highest confidence (none counts as 0); the first chunk of equals, then the smallest of the rest.
+
+    candidates: document_id, chunk, confidence and what goes with them.
+    """
+    rest = [c for c in candidates.columns if c not in ("document_id", "chunk", "confidence")]
+    best = F.min(F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("_c"), "chunk", *rest, "confidence")).alias("b")
+    return candidates.groupBy("document_id").agg(best).select("document_id", *[f"b.{c}" for c in ("chunk", "confidence", *rest)])
+
+
 def batches(rows: DataFrame, by: list[str], order: str, size: int) -> DataFrame:
     """Adds batch, from 0: rows of a group in order, so many to a batch."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
