@@ -108,6 +108,9 @@ def tied_pivot(spark, d):
 QUERIES = {f.__name__: f for f in (date_forms, node_rules, pipe_tables, best_scores, merged_entities, cluster_hits, section_levels, valid_tags, contents_links, evidence_found, tied_pivot, best_dates)}
 
 ORACLE = {
+    "evidence_found": r"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS c, trim(regexp_replace(lower(coalesce(text[1:150], '')), '\s+', ' ', 'g')) AS e FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, doc_id // 2 AS q FROM n UNION ALL SELECT doc_id, doc_id FROM n)
+SELECT d.doc_id AS node_id, count(*) AS n FROM p JOIN n d ON d.doc_id = p.doc_id JOIN n q ON q.doc_id = p.q WHERE length(q.e) > 40 AND d.c <> '' AND (contains(d.c, q.e[1:200]) OR contains(q.e, d.c[1:200])) GROUP BY 1""",
     "best_dates": "SELECT l_orderkey AS document_id, l_linenumber AS chunk, strftime(l_shipdate, '%Y-%m-%d') AS published FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_quantity % 5 > 0 THEN l_discount ELSE 0 END DESC, l_linenumber, l_shipdate) = 1",
     "date_forms": "WITH s AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN strftime(l_shipdate, '%Y') WHEN 1 THEN strftime(l_shipdate, '%Y-%m-01') WHEN 2 THEN strftime(l_shipdate, '%Y-%m-%d') END AS normal FROM lineitem) SELECT normal, CASE WHEN length(normal) = 4 THEN normal || '-01-01' ELSE normal END AS day, count(*) AS n FROM s GROUP BY 1, 2",
     "node_rules": r"WITH p AS (SELECT unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10)))))::INT AS pos FROM documents) SELECT regexp_matches(content, '[\\^_]') AS latex, CASE WHEN pos % 9 BETWEEN 3 AND 6 THEN pos % 9 ELSE 3 END AS page, ['extends', 'supersedes', 'discusses', NULL][pos % 4 + 1] AS relation, count(*) AS n FROM p GROUP BY ALL",
