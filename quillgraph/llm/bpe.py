@@ -33,7 +33,9 @@ from quillgraph.llm.common import table
 #: Bytes of text whose ids are put out together.
 SLICE_BYTES = 1 << 21
 #: Bytes of new pre-tokens merged in one go.
-ROUND_BYTES = 1 << 22
+ROUND_BYTES = 1 << 20
+#: Stretches that are split into pre-tokens at a time.
+SPLIT_STRETCHES = 1 << 15
 #: Different stretches of text, and pre-tokens, that a worker remembers.
 MEMORY_PIECES = 300_000
 
@@ -300,12 +302,14 @@ class Encoder:
         self.piece_ids.add(flats, counts)
 
     def _learn(self) -> None:
-        found = [self.pattern.findall(raw.decode("utf-8", "replace")) for raw in self.stretches.take()]
-        sizes = np.array([*map(len, found)], np.int64)
-        numbers = np.array([self.pieces[piece] for pieces in found for piece in pieces], np.int64)
+        waiting, sizes, numbers = self.stretches.take(), [], []
+        for at in range(0, len(waiting), SPLIT_STRETCHES):
+            found = [self.pattern.findall(raw.decode("utf-8", "replace")) for raw in waiting[at : at + SPLIT_STRETCHES]]
+            sizes.append(np.array([*map(len, found)], np.int64))
+            numbers.append(np.array([self.pieces[piece] for pieces in found for piece in pieces], np.int32))
         if self.pieces.waiting:
             self._learn_pieces()
-        flat, many = self.piece_ids.join(numbers, sizes)
+        flat, many = self.piece_ids.join(np.concatenate(numbers), np.concatenate(sizes))
         self.stretch_ids.add([flat], [many])
 
     def number(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
