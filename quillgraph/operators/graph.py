@@ -213,15 +213,17 @@ def label_propagation(edges: DataFrame, sweeps: int = 30, turn: Column | None =
     two sides of a graph can't swap labels for ever. It ends once a sweep changes nothing. Labels lie in the shared
     folder between halves. A node without neighbours isn't in the edges and has no label.
     """
-    near = written(undirected(edges.select("src", "dst")).where("src <> dst").distinct(), "near")
-    turn = F.pmod(F.xxhash64("node_id"), F.lit(2)) if turn is None else turn
-    labels = near.select(F.col("src").alias("node_id")).distinct().select("node_id", F.col("node_id").alias("label"), turn.cast("int").alias("turn"), F.lit(False).alias("moved"))
+    near = undirected(edges.select("src", "dst")).where("src <> dst").distinct()
+    turn = (F.pmod(F.xxhash64("node_id"), F.lit(2)) if turn is None else turn).cast("int")
+    near = written(near.withColumn("node_id", F.col("src")).withColumn("turn", turn).select("src", "dst", "turn"), "near")
+    labels = near.select(F.col("src").alias("node_id"), "turn").distinct().select("node_id", F.col("node_id").alias("label"), "turn", F.lit(False).alias("moved"))
     labels, still = written(labels, "labels"), 0
     for half in range(2 * sweeps):
-        votes = near.join(labels.select(F.col("node_id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))
+        # Only the half that may move is counted.
+        votes = near.where(F.col("turn") == half % 2).join(labels.select(F.col("node_id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy(F.col("src").alias("node_id")).agg(F.min(F.struct((-F.col("n")).alias("m"), "label"))["label"].alias("best"))
-        now = F.when(F.col("turn") == half % 2, F.col("best")).otherwise(F.col("label"))
-        labels = written(labels.join(best, "node_id").select("node_id", now.alias("label"), "turn", (now != F.col("label")).alias("moved")), "labels")
+        now = F.coalesce("best", "label")
+        labels = written(labels.join(best, "node_id", "left").select("node_id", now.alias("label"), "turn", (now != F.col("label")).alias("moved")), "labels")
         still = still + 1 if labels.where("moved").isEmpty() else 0
         if still == 2:
             break
