@@ -44,6 +44,16 @@ def document_metadata(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return docs.select(key, F.left(first, F.lit(120)).alias("title"), F.left(prose, F.lit(chars)).alias("description"), date.alias("published"))
 
 
+def running_positions(nodes: DataFrame) -> DataFrame:
+    """Adds doc_position: the place of a node in its whole document, from 0, over all chunks and kinds of nodes.
+
+    nodes: document_id, chunk, pos and more; nodes of one chunk and pos keep an order by their other columns.
+    """
+    rest = [c for c in nodes.columns if c not in ("document_id", "chunk", "pos")]
+    order = Window.partitionBy("document_id").orderBy("chunk", "pos", *rest)
+    return nodes.withColumn("doc_position", F.row_number().over(order) - 1)
+
+
 def best_dates(candidates: DataFrame) -> DataFrame:
     """Of each document's dates, found in its chunks, the row of the highest confidence (none counts as 0); the first chunk of equals, then the smallest of the rest.
 

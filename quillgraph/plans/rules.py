@@ -97,6 +97,22 @@ def best_dates(spark, d):
     return ingest.best_dates(lines).select("document_id", "chunk", "published")
 
 
+def running_positions(spark, d):
+    """Lines as nodes of a supplier's document, in chunks by order: their places in the whole document."""
+    rows = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("document_id"), F.col("l_orderkey").alias("chunk"), F.col("l_linenumber").alias("pos"), "l_partkey", "l_extendedprice")
+    found = ingest.running_positions(rows)
+    return found.groupBy("document_id").agg(F.max("doc_position").alias("last"), F.sum((F.col("doc_position") + 1) * (F.col("chunk") % 7 + F.col("pos"))).alias("digest"))
+
+
+def opaque_names(spark, d):
+    """Names of parts, their digests, UUIDs, runs of consonants and short hex: how many of each kind are opaque."""
+    p = A.table(spark, d, "part").select("p_partkey", "p_name", F.md5(F.concat("p_name", F.col("p_partkey").cast("string"))).alias("h"))
+    uuid = F.concat_ws("-", *[F.substring("h", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    forms = {"name": F.replace("p_name", F.lit(" "), F.lit("")), "hex": F.col("h"), "uuid": uuid, "run": F.translate("h", "0123456789abcdef", "bcdfghjklmnpqrae"), "short": F.left("h", F.lit(15)), "dashed": F.concat(F.col("h"), F.lit("-x"))}
+    rows = p.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("token")) for k, v in forms.items()])).alias("x"))
+    return rows.groupBy("x.kind").agg(F.count("*").alias("n"), F.count_if(T.is_opaque(F.col("x.token"))).alias("opaque"))
+
+
 def tied_pivot(spark, d):
     """Orders by the parts that they have, and the ties of those parts by neighbouring lines."""
     mentions = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node_id"), F.col("l_partkey").alias("slug"))
@@ -105,9 +121,12 @@ def tied_pivot(spark, d):
     return search.entity_pivot(mentions, slugs, None, 30, ties).select("node_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (date_forms, node_rules, pipe_tables, best_scores, merged_entities, cluster_hits, section_levels, valid_tags, contents_links, evidence_found, tied_pivot, best_dates)}
+QUERIES = {f.__name__: f for f in (date_forms, node_rules, pipe_tables, best_scores, merged_entities, cluster_hits, section_levels, valid_tags, contents_links, evidence_found, tied_pivot, best_dates, running_positions, opaque_names)}
 
 ORACLE = {
+    "running_positions": "WITH r AS (SELECT l_suppkey AS document_id, l_orderkey % 7 + l_linenumber AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem) SELECT document_id, max(k)::INT - 1 AS last, sum(k * x)::BIGINT AS digest FROM r GROUP BY 1",
+    "opaque_names": r"""WITH p AS (SELECT p_name, md5(p_name || p_partkey) AS h FROM part), t AS (SELECT 'name' AS kind, replace(p_name, ' ', '') AS t FROM p UNION ALL SELECT 'hex', h FROM p UNION ALL SELECT 'uuid', h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] FROM p UNION ALL SELECT 'run', translate(h, '0123456789abcdef', 'bcdfghjklmnpqrae') FROM p UNION ALL SELECT 'short', h[1:15] FROM p UNION ALL SELECT 'dashed', h || '-x' FROM p)
+SELECT kind, count(*) AS n, count(*) FILTER (WHERE regexp_full_match(t, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') OR (length(t) >= 20 AND (regexp_full_match(t, '[0-9a-f]{16,}') OR (regexp_full_match(t, '[a-zA-Z0-9]+') AND length(regexp_replace(t, '[^aeiou]', '', 'g')) < 0.15 * length(t))))) AS opaque FROM t GROUP BY kind""",
     "evidence_found": r"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS c, trim(regexp_replace(lower(coalesce(text[1:150], '')), '\s+', ' ', 'g')) AS e FROM documents WHERE doc_id IS NOT NULL),
 p AS (SELECT doc_id, doc_id // 2 AS q FROM n UNION ALL SELECT doc_id, doc_id FROM n)
 SELECT d.doc_id AS node_id, count(*) AS n FROM p JOIN n d ON d.doc_id = p.doc_id JOIN n q ON q.doc_id = p.q WHERE length(q.e) > 40 AND d.c <> '' AND (contains(d.c, q.e[1:200]) OR contains(q.e, d.c[1:200])) GROUP BY 1""",
