@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.operators import clusters, docproc, entities, fusion, ingest, ontology, report, search
 from quillgraph.plans.graphs import PARTS, SECT
 from quillgraph.sources import adapters as A
+from quillgraph.sources import layouts
+from quillgraph.state import shared_folder
 
 
 def date_forms(spark, d):
@@ -113,6 +117,40 @@ def opaque_names(spark, d):
     return rows.groupBy("x.kind").agg(F.count("*").alias("n"), F.count_if(T.is_opaque(F.col("x.token"))).alias("opaque"))
 
 
+def ontology_files(spark, d):
+    """Brands as classes of RDF/XML files under their makers, written and read back: names and edges."""
+    p = A.table(spark, d, "part").select("p_brand", F.left("p_brand", F.lit(7)).alias("maker"), "p_type").distinct()
+    up = lambda c: F.concat(F.lit('<rdfs:subClassOf rdf:resource="http://x.org/o#'), F.regexp_replace(c, "#", "-"), F.lit('"/>'))
+    element = F.concat(F.lit('<owl:Class rdf:about="http://x.org/o#'), F.regexp_replace("p_brand", "#", "-"), F.lit('">'), up("maker"), up("p_type"), F.lit("</owl:Class>"))
+    path = f"{shared_folder(spark)}/ontology-{uuid.uuid4().hex}"
+    p.select(element.alias("value")).write.text(path)
+    names, edges = ontology.read_classes(spark, path)
+    return edges.groupBy("parent").agg(F.count("*").alias("n"), F.min("child").alias("first")).join(names.withColumnRenamed("name", "parent"), "parent", "left_semi")
+
+
+def seeded_nations(spark, d):
+    """Settings of nations: those of customers that exist stay, defaults fill in the others."""
+    c = A.table(spark, d, "customer").where("c_nationkey % 3 = 0").groupBy("c_nationkey").agg(F.max("c_name").alias("value"))
+    return ontology.seed(c, A.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("value")), "c_nationkey")
+
+
+def feedback_sink(spark, d):
+    """Events as feedback, appended in two parts and read back: invalid signals don't get in."""
+    rows = A.table(spark, d, "events").select(F.when(F.col("event_id") % 11 > 0, F.col("user_id")).alias("node_id"), F.col("event_type").alias("query_hash"), F.when(F.col("event_id") % 3 == 0, "positive").when(F.col("event_id") % 3 == 1, "negative").otherwise("unsure").alias("signal"))
+    path = f"{shared_folder(spark)}/feedback-{uuid.uuid4().hex}"
+    for part in (rows.where("query_hash = 'purchase'"), rows.where("query_hash <> 'purchase'")):
+        layouts.append_feedback(part, path)
+    return spark.read.parquet(path).groupBy("query_hash", "signal").agg(F.count("*").alias("n"))
+
+
+def strata(spark, d):
+    """Forty customers of each nation, drawn by key and seed: how many, and that a second draw is the same."""
+    c = A.table(spark, d, "customer")
+    draw = lambda seed: entities.stratified(c, "c_nationkey", "c_custkey", 40, seed).select("c_nationkey", "c_custkey")
+    both = draw("a").join(draw("a").withColumn("again", F.lit(1)), ["c_nationkey", "c_custkey"], "left")
+    return both.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count("again").alias("again"))
+
+
 def tied_pivot(spark, d):
     """Orders by the parts that they have, and the ties of those parts by neighbouring lines."""
     mentions = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node_id"), F.col("l_partkey").alias("slug"))
@@ -121,9 +159,13 @@ def tied_pivot(spark, d):
     return search.entity_pivot(mentions, slugs, None, 30, ties).select("node_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (date_forms, node_rules, pipe_tables, best_scores, merged_entities, cluster_hits, section_levels, valid_tags, contents_links, evidence_found, tied_pivot, best_dates, running_positions, opaque_names)}
+QUERIES = {f.__name__: f for f in (date_forms, node_rules, pipe_tables, best_scores, merged_entities, cluster_hits, section_levels, valid_tags, contents_links, evidence_found, tied_pivot, best_dates, running_positions, opaque_names, ontology_files, seeded_nations, feedback_sink, strata)}
 
 ORACLE = {
+    "ontology_files": "WITH e AS (SELECT DISTINCT replace(p_brand, '#', '-') AS child, unnest([replace(left(p_brand, 7), '#', '-'), p_type]) AS parent FROM part) SELECT parent, count(*) AS n, min(child) AS first FROM e GROUP BY 1",
+    "seeded_nations": "WITH c AS (SELECT c_nationkey, max(c_name) AS value FROM customer WHERE c_nationkey % 3 = 0 GROUP BY 1) SELECT * FROM c UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM c)",
+    "feedback_sink": "SELECT event_type AS query_hash, CASE event_id % 3 WHEN 0 THEN 'positive' ELSE 'negative' END AS signal, count(*) AS n FROM events WHERE event_id % 11 > 0 AND event_id % 3 < 2 AND user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2",
+    "strata": "SELECT c_nationkey, least(count(*), 40) AS n, least(count(*), 40) AS again FROM customer GROUP BY 1",
     "running_positions": "WITH r AS (SELECT l_suppkey AS document_id, l_orderkey % 7 + l_linenumber AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem) SELECT document_id, max(k)::INT - 1 AS last, sum(k * x)::BIGINT AS digest FROM r GROUP BY 1",
     "opaque_names": r"""WITH p AS (SELECT p_name, md5(p_name || p_partkey) AS h FROM part), t AS (SELECT 'name' AS kind, replace(p_name, ' ', '') AS t FROM p UNION ALL SELECT 'hex', h FROM p UNION ALL SELECT 'uuid', h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] FROM p UNION ALL SELECT 'run', translate(h, '0123456789abcdef', 'bcdfghjklmnpqrae') FROM p UNION ALL SELECT 'short', h[1:15] FROM p UNION ALL SELECT 'dashed', h || '-x' FROM p)
 SELECT kind, count(*) AS n, count(*) FILTER (WHERE regexp_full_match(t, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') OR (length(t) >= 20 AND (regexp_full_match(t, '[0-9a-f]{16,}') OR (regexp_full_match(t, '[a-zA-Z0-9]+') AND length(regexp_replace(t, '[^aeiou]', '', 'g')) < 0.15 * length(t))))) AS opaque FROM t GROUP BY kind""",
