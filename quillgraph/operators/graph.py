@@ -129,8 +129,8 @@ def shared_neighbours(edges: DataFrame) -> DataFrame:
     return both.select(F.col("dst").alias("w"), F.col("src").alias("node")).join(degree, "w").where("d > 1")
 
 
-def split_heavy(near: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """The neighbours of each node, parted: its heaviest ones, which alone can't make a pair, and the others.
+def split_heavy(near: DataFrame, config: EngineConfig = DEFAULT, hub: int = BLOCK_NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
+    """The neighbours of each node, parted: of its heaviest ones, which alone can't make a pair, those of more than ``hub`` neighbours; and the others.
 
     The heaviest ones are too few (below ``aa_least_common``) or add too little (below ``aa_threshold``). A pair that
     counts has a common neighbour among the others of both its nodes: of all common ones, that of lowest degree.
@@ -139,9 +139,10 @@ def split_heavy(near: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFr
     most = int(config.aa_threshold * 45) + config.aa_least_common
     order = Window.partitionBy("node").orderBy(F.desc("d"), F.desc("w"))
     first = near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
-    sums = first.withColumn("_sum", F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = first.where(F.col("d") > hub).withColumn("_sum", F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     heavy = sums.where((F.col("_sum") < config.aa_threshold - 1e-9) | (F.col("_k") < config.aa_least_common)).select("node", "w", "share")
-    return heavy, near.join(heavy.select("node", "w"), ["node", "w"], "left_anti")
+    heavy = written(heavy, "heavy")  # a few rows a node, none without hubs
+    return heavy, near if heavy.isEmpty() else near.join(heavy.select("node", "w"), ["node", "w"], "left_anti")
 
 
 def wedges(near: DataFrame, block: int = BLOCK_NEIGHBOURS) -> DataFrame:
@@ -165,11 +166,17 @@ def adamic_adar(edges: DataFrame, config: EngineConfig = DEFAULT, block: int = B
     Pairs come from neighbours that can make one; what the heaviest neighbours add is looked up for these pairs only, so
     a hub that reaches everything makes no pairs of its own.
     """
-    near = shared_neighbours(edges)
-    heavy, light = split_heavy(near, config)
+    near = written(shared_neighbours(edges), "near")
+    good = (F.col("common") >= config.aa_least_common) & (F.col("weight") >= config.aa_threshold)
+    summed = lambda pairs: pairs.groupBy("src", "dst").agg(F.sum("share").alias("_s"), F.count("*").alias("_c"))
+    if near.where(F.col("d") > block).isEmpty():
+        # Every node is one block.
+        a, b = near.select("w", F.col("node").alias("src"), "share"), near.select("w", F.col("node").alias("dst"))
+        pairs = summed(a.join(b, "w").where("src < dst"))
+        return pairs.select("src", "dst", F.col("_s").alias("weight"), F.col("_c").alias("common")).where(good)
+    heavy, light = split_heavy(near, config, block)
     light = light.select("node", "w", "d", "share")
-    pairs = wedges(light, block).groupBy("src", "dst").agg(F.sum("share").alias("_s"), F.count("*").alias("_c"))
-    pairs = written(pairs, "pairs")
+    pairs = written(summed(wedges(light, block)), "pairs")
     own = lambda rows, c, *more: rows.select(F.col("node").alias(c), "w", *more)
     both = pairs.select("src", "dst")
     # Heavy for the first node, of any kind for the second; and heavy for the second node only.
@@ -177,7 +184,7 @@ def adamic_adar(edges: DataFrame, config: EngineConfig = DEFAULT, block: int = B
     added = added.unionByName(both.join(own(heavy, "dst", "share"), "dst").join(own(light, "src"), ["src", "w"]))
     total = pairs.unionByName(added.groupBy("src", "dst").agg(F.sum("share").alias("_s"), F.count("*").alias("_c")))
     total = total.groupBy("src", "dst").agg(F.sum("_s").alias("weight"), F.sum("_c").alias("common"))
-    return total.where((F.col("common") >= config.aa_least_common) & (F.col("weight") >= config.aa_threshold))
+    return total.where(good)
 
 
 def precedes(edges: DataFrame, dates: DataFrame, existing: DataFrame | None = None) -> DataFrame:

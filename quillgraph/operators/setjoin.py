@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Against rounding: bounds are lowered by so much, and the exact check decides.
 SLACK = 1e-9
+#: Below this Jaccard similarity prefixes hold most items of a set, so that all shared items are counted in one join.
+LEAST_PREFIX = 0.3
 
 
 def _needed(measure: str, threshold: float, total: Column) -> Column:
@@ -65,6 +67,26 @@ def candidates(placed: DataFrame, measure: str, threshold: float, new: DataFrame
     return rows, pairs.select("aset_id", "bset_id", "an", "bn")
 
 
+def _counted(members: DataFrame, measure: str, threshold: float, new: DataFrame | None) -> DataFrame:
+    """Shared items of all pairs of sets of fitting sizes, counted at once."""
+    j = _jaccard(measure, threshold)
+    members = members.where("set_id IS NOT NULL AND item IS NOT NULL").select("set_id", "item").distinct()
+    rows = members.join(members.groupBy("set_id").agg(F.count("*").alias("n")), "set_id")
+    side = lambda c: rows.select("item", F.col("set_id").alias(f"{c}set_id"), F.col("n").alias(f"{c}n"))
+
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        first = (F.col("an") < F.col("bn")) | (F.col("an") == F.col("bn")) & (F.col("aset_id") < F.col("bset_id"))
+        return a.join(b, "item").where(first & (F.col("an") >= F.col("bn") * j - SLACK))
+
+    if new is None:
+        met = pairs(side("a"), side("b"))
+    else:
+        ids = new.select(F.col("set_id").alias("_id")).distinct()
+        mine = lambda c, how: side(c).join(ids, F.col(f"{c}set_id") == F.col("_id"), how)
+        met = pairs(mine("a", "left_semi"), side("b")).unionByName(pairs(mine("a", "left_anti"), mine("b", "left_semi")))
+    return met.groupBy("aset_id", "bset_id", "an", "bn").agg(F.count("*").alias("shared"))
+
+
 def similar_sets(members: DataFrame, measure: str = "dice", threshold: float = 0.1, new: DataFrame | None = None) -> DataFrame:
     """src, dst (src < dst), shared, dice, jaccard of the pairs of sets (set_id, item) whose measure reaches the threshold.
 
@@ -73,10 +95,13 @@ def similar_sets(members: DataFrame, measure: str = "dice", threshold: float = 0
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
-    placed = with_positions(members, measure, threshold)
-    _, pairs = candidates(placed, measure, threshold, new)
-    own = lambda c: placed.select(F.col("set_id").alias(f"{c}set_id"), "item")
-    shared = pairs.join(own("a"), "aset_id").join(own("b"), ["bset_id", "item"]).groupBy("aset_id", "bset_id", "an", "bn").agg(F.count("*").alias("shared"))
+    if _jaccard(measure, threshold) < LEAST_PREFIX:
+        shared = _counted(members, measure, threshold, new)
+    else:
+        placed = with_positions(members, measure, threshold)
+        _, pairs = candidates(placed, measure, threshold, new)
+        own = lambda c: placed.select(F.col("set_id").alias(f"{c}set_id"), "item")
+        shared = pairs.join(own("a"), "aset_id").join(own("b"), ["bset_id", "item"]).groupBy("aset_id", "bset_id", "an", "bn").agg(F.count("*").alias("shared"))
     total = F.col("an") + F.col("bn")
     scored = shared.withColumns({"dice": 2.0 * F.col("shared") / total, "jaccard": F.col("shared") / (total - F.col("shared"))})
     return scored.where(F.col(measure) >= threshold).select(F.least("aset_id", "bset_id").alias("src"), F.greatest("aset_id", "bset_id").alias("dst"), "shared", "dice", "jaccard")
