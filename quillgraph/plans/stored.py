@@ -53,8 +53,7 @@ def interval_overlaps(spark, d):
     docs = docs.select(F.col("node_id").alias("document_id"), "published", F.lit(None).cast("date").alias("coverage_start"), F.when(F.col("n_chars") % 3 > 0, F.date_add("published", (F.col("n_chars") % 400).cast("int"))).alias("coverage_end"))
     start = F.date_add(F.to_date(F.lit("1994-06-01")), (F.col("p_partkey") * 13 % 10000).cast("int"))
     windows = A.table(spark, d, "part").select(F.col("p_partkey").alias("window_id"), F.when(F.col("p_partkey") % 97 > 0, start).alias("date_from"), F.when(F.col("p_partkey") % 89 > 0, F.date_add(start, F.col("p_size") * 3)).alias("date_to"))
-    found = intervals.covered_windows(docs, windows)
-    return found.groupBy("document_id").agg(F.count("*").alias("n"), F.round(F.sum("covered"), 6).alias("covered"))
+    return intervals.coverage_totals(docs, windows).select("document_id", "n", F.round("covered", 6).alias("covered"))
 
 
 def _names(spark, d):

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph import providers
 from quillgraph.operators import evaluate, intervals, resolution, vectorlists
@@ -43,6 +44,24 @@ def test_vector_lists(spark, tmp_path):
     assert vectorlists.search(spark, vectorlists.build(stored.limit(0), str(tmp_path / "none")), [1.0] * 16, 5).count() == 0
 
 
+def test_coverage_totals(spark):
+    """Totals of a document equal its pairs summed, and no pair is formed: 4e8 of them in the second part."""
+    r = random.Random(11)
+    day = lambda n: datetime.date(1990, 1, 1) + datetime.timedelta(days=n)
+    maybe = lambda n: None if r.random() < 0.2 else day(n)
+    docs = [(k % 70, maybe(a := r.randrange(4000)), maybe(a + r.choice([-3, 0, 1, 500])), maybe(a + r.choice([0, 2, 90]))) for k in range(80)] + [(None, day(5), day(9), None)]
+    windows = [(k, maybe(a := r.randrange(4000)), maybe(a + r.choice([-2, 0, 1, 30, 900]))) for k in range(90)] + [(k, day(7), day(7)) for k in range(3)]
+    docs = spark.createDataFrame(docs, "document_id long, published date, coverage_start date, coverage_end date")
+    windows = spark.createDataFrame(windows, "window_id long, date_from date, date_to date")
+    want = {x[0]: (x[1], x[2]) for x in intervals.covered_windows(docs, windows).groupBy("document_id").agg(F.count("*"), F.sum("covered")).collect()}
+    got = {x["document_id"]: (x["n"], x["covered"]) for x in intervals.coverage_totals(docs, windows).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (want[k][0], pytest.approx(want[k][1], abs=1e-12)) for k in want)
+    docs = spark.range(20000).select(F.col("id").alias("document_id"), *[F.lit(day(n)).alias(c) for c, n in (("published", 4), ("coverage_start", 3), ("coverage_end", 6))])
+    windows = spark.range(20000).select(F.col("id").alias("window_id"), F.lit(day(4)).alias("date_from"), F.lit(day(10)).alias("date_to"))
+    row = intervals.coverage_totals(docs, windows).agg(F.count("*"), F.min("n"), F.max("covered")).first()
+    assert row[:2] == (20000, 20000) and row[2] == pytest.approx(20000 / 3)
+
+
 def test_overlap_join(spark):
     r = random.Random(4)
     day = lambda n: datetime.date(1990, 1, 1) + datetime.timedelta(days=n)
