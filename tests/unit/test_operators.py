@@ -372,3 +372,10 @@ def test_answers_have_sources(spark):
     stored = spark.createDataFrame([("h2", "complete")], "file_hash string, ingestion_status string")
     out = api.ingest_documents(files, stored, spark.createDataFrame([], "key string, payload string"), Canned())
     assert out["nodes"].select("document_id").distinct().count() == 1 and out["metadata"].first()["title"] == "fine"
+
+
+def test_bundles_of_hosts_with_missing_parts(spark):
+    """As string_agg: no address is last, no contents are left out, and a host of such pages only has none."""
+    rows = [(None, "last"), ("http://b/1", "x"), ("http://b/1", "w"), ("http://b/0", None), ("http://c/", None), ("nohost", "first")]
+    got = {r["host"]: (r["n_pages"], r["content"]) for r in docproc.bundle_by_host(spark.createDataFrame(rows, "url string, content string")).collect()}
+    assert got == {"b": (3, "w\n\nx"), "c": (1, None), "unknown": (2, "first\n\nlast")}
