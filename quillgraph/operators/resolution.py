@@ -26,21 +26,39 @@ def same_words(entities: DataFrame) -> DataFrame:
     return rows.join(first, ["type", "words"]).where("slug <> survivor").select("type", "slug", "survivor")
 
 
-def variants(entities: DataFrame) -> DataFrame:
-    """type, parent, child: the name of a child has all words of its parent, and more.
+def _wider(names: DataFrame) -> DataFrame:
+    """type, words, wider: of different sets of words of a type (type, words), those that hold all words of another, and more.
 
-    A child has its parent's rarest word too: they meet on that word, over the whole type, and the others are tested.
+    A wider set has the other's rarest word too: they meet on that word, over the whole type, and the others are tested.
     """
-    rows = _worded(entities).withColumn("n", F.size("words"))
-    long = rows.select("type", "slug", "n", F.explode("words").alias("word"))
+    names = names.withColumn("n", F.size("words"))
+    long = names.select("type", "words", "n", F.explode("words").alias("word"))
     frequency = long.groupBy("type", "word").agg(F.count("*").alias("f"))
-    rarest = long.join(frequency, ["type", "word"]).groupBy("type", "slug").agg(F.min(F.struct("f", "word")).alias("r"))
-    parents = rows.join(rarest, ["type", "slug"]).where("r.f > 1").select("type", F.col("slug").alias("parent"), F.col("words").alias("_p"), F.col("n").alias("_np"), F.col("r.word").alias("word"))
-    children = long.select("type", "word", F.col("slug").alias("child"), F.col("n").alias("_nc"))
+    rarest = long.join(frequency, ["type", "word"]).groupBy("type", "words").agg(F.min(F.struct("f", "word")).alias("r"))
+    parents = rarest.where("r.f > 1").select("type", "words", F.size("words").alias("_np"), F.col("r.word").alias("word"))
+    children = long.select("type", "word", F.col("words").alias("wider"), F.col("n").alias("_nc"))
     met = parents.join(children, ["type", "word"]).where("_np < _nc")
-    single = met.where("_np = 1").select("type", "parent", "child")
-    more = met.where("_np > 1").join(rows.select("type", F.col("slug").alias("child"), F.col("words").alias("_c")), ["type", "child"])
-    return single.unionByName(more.where(F.size(F.array_except("_p", "_c")) == 0).select("type", "parent", "child"))
+    return met.where((F.col("_np") == 1) | (F.size(F.array_except("words", "wider")) == 0)).select("type", "words", "wider")
+
+
+def variants(entities: DataFrame) -> DataFrame:
+    """type, parent, child: the name of a child has all words of its parent, and more. A row for each pair: ``variant_counts`` has none."""
+    rows = _worded(entities)
+    own = lambda c, words: rows.select("type", F.col("words").alias(words), F.col("slug").alias(c))
+    pairs = _wider(rows.select("type", "words").distinct())
+    return pairs.join(own("parent", "words"), ["type", "words"]).join(own("child", "wider"), ["type", "wider"]).select("type", "parent", "child")
+
+
+def variant_counts(entities: DataFrame) -> DataFrame:
+    """type, parent, n, first: how many children each parent has (``variants``), and the smallest.
+
+    Entities of the same words are one class with a count, so that copies of a name form no pairs.
+    """
+    rows = _worded(entities)
+    classes = written(rows.groupBy("type", "words").agg(F.count("*").alias("n"), F.min("slug").alias("first")), "classes")
+    sizes = classes.select("type", F.col("words").alias("wider"), "n", "first")
+    found = _wider(classes.select("type", "words")).join(sizes, ["type", "wider"]).groupBy("type", "words").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return rows.join(found, ["type", "words"]).select("type", F.col("slug").alias("parent"), "n", "first")
 
 
 def final_survivors(merges: list[DataFrame]) -> DataFrame:

@@ -65,7 +65,7 @@ def _names(spark, d):
 
 def type_variants(spark, d):
     """Forms of names over whole types: how many children each has."""
-    return resolution.variants(_names(spark, d)).groupBy("type", "parent").agg(F.count("*").alias("n"), F.min("child").alias("first"))
+    return resolution.variant_counts(_names(spark, d))
 
 
 def merge_chains(spark, d):

@@ -91,6 +91,17 @@ def test_variants_beyond_neighbours(spark):
     assert [tuple(x) for x in same.collect()] == [("T", "b", "a")]
 
 
+def test_copies_of_a_name_are_one_class(spark):
+    """Counts of children equal the pairs counted; 20,000 and 30,000 copies of two names make no pairs."""
+    r = random.Random(8)
+    rows = [(k, r.choice("TU"), " ".join(r.choice(["red", "bolt", "ring", "large", "old", "steel"]) for _ in range(r.randrange(5)))) for k in range(200)] + [(5, "T", "red")]
+    frame = spark.createDataFrame(rows, "slug long, type string, canonical string").dropDuplicates(["type", "slug"]).cache()
+    want = {tuple(x) for x in resolution.variants(frame).groupBy("type", "parent").agg(F.count("*"), F.min("child")).collect()}
+    assert want and {tuple(x) for x in resolution.variant_counts(frame).collect()} == want
+    copies = spark.range(50000).select(F.col("id").alias("slug"), F.lit("T").alias("type"), F.when(F.col("id") < 20000, "red bolt").otherwise("red steel bolt").alias("canonical"))
+    assert resolution.variant_counts(copies).agg(F.count("*"), F.min("n"), F.max("n"), F.max("first")).first()[:] == (20000, 30000, 30000, 20000)
+
+
 def test_chains_end_at_one_survivor(spark):
     frame = lambda rows: spark.createDataFrame(rows, "slug string, survivor string")
     chain = frame([("c", "b"), ("d", "c"), ("e", "d"), ("x", "x"), ("q", "p")])
