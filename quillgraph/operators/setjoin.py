@@ -11,10 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.state import written
+
 #: Against rounding: bounds are lowered by so much, and the exact check decides.
 SLACK = 1e-9
 #: Below this Jaccard similarity prefixes hold most items of a set, so that all shared items are counted in one join.
 LEAST_PREFIX = 0.3
+#: Rows that a task of a join makes at most, or about. An item of more is dealt over several keys.
+TASK_ROWS = 1 << 23
 
 
 def _needed(measure: str, threshold: float, total: Column) -> Column:
@@ -67,16 +71,37 @@ def candidates(placed: DataFrame, measure: str, threshold: float, new: DataFrame
     return rows, pairs.select("aset_id", "bset_id", "an", "bn")
 
 
+def met_on(a: DataFrame, b: DataFrame, key: str, rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The equi join of a and b on a key, dealt by the rows that it makes, not by those that it reads: a task makes
+    about ``task_rows``, and so the partial sums that follow fit into a fixed memory whatever the input.
+
+    rows: key, d: the rows of a key on either side. A key of many rows is dealt by hash over several.
+    """
+    made = F.col("d").cast("double") * F.col("d")
+    total = rows.agg(F.coalesce(F.sum(made), F.lit(0.0))).first()[0]
+    parts = max(a.sparkSession.sparkContext.defaultParallelism, -(-int(total) // task_rows))
+    heavy = rows.where(made > task_rows).select(key, F.ceil(made / task_rows).cast("int").alias("_parts"))
+    if not heavy.isEmpty():
+        a, b = (x.join(heavy, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))) for x in (a, b))
+        a = a.withColumn("_part", F.pmod(F.xxhash64(*a.columns), "_parts").cast("int")).drop("_parts")
+        b = b.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        on = [key, "_part"]
+    else:
+        on = [key]
+    return a.repartition(parts, *on).join(b.repartition(parts, *on).hint("shuffle_hash"), on).drop("_part")
+
+
 def _counted(members: DataFrame, measure: str, threshold: float, new: DataFrame | None) -> DataFrame:
     """Shared items of all pairs of sets of fitting sizes, counted at once."""
     j = _jaccard(measure, threshold)
-    members = members.where("set_id IS NOT NULL AND item IS NOT NULL").select("set_id", "item").distinct()
+    members = written(members.where("set_id IS NOT NULL AND item IS NOT NULL").select("set_id", "item").distinct(), "members")
     rows = members.join(members.groupBy("set_id").agg(F.count("*").alias("n")), "set_id")
+    often = members.groupBy("item").agg(F.count("*").alias("d"))
     side = lambda c: rows.select("item", F.col("set_id").alias(f"{c}set_id"), F.col("n").alias(f"{c}n"))
 
     def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
         first = (F.col("an") < F.col("bn")) | (F.col("an") == F.col("bn")) & (F.col("aset_id") < F.col("bset_id"))
-        return a.join(b, "item").where(first & (F.col("an") >= F.col("bn") * j - SLACK))
+        return met_on(a, b, "item", often).where(first & (F.col("an") >= F.col("bn") * j - SLACK))
 
     if new is None:
         met = pairs(side("a"), side("b"))

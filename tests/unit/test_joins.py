@@ -6,6 +6,7 @@ from dataclasses import replace
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.config import DEFAULT
 from quillgraph.operators import graph, setjoin
@@ -54,6 +55,18 @@ def test_a_hot_item_makes_no_pairs(spark):
     assert [(r["src"], r["dst"]) for r in graph.set_similarity(frame, "jaccard", 0.5).collect()] == [(7, 2000)]
 
 
+def test_a_join_is_dealt_by_the_rows_it_makes(spark):
+    """Few rows that make many: an item of 400 sets is dealt over several tasks, and none makes much more than it may."""
+    rows = spark.createDataFrame([(k, "hot") for k in range(400)] + [(k, f"i{k % 50}") for k in range(400)], "set_id long, item string")
+    often = rows.groupBy("item").count().withColumnRenamed("count", "d")
+    a, b = rows.withColumnRenamed("set_id", "a"), rows.withColumnRenamed("set_id", "b")
+    met = setjoin.met_on(a, b, "item", often, task_rows=10_000).cache()
+    assert met.columns == ["item", "a", "b"] and met.count() == 400 * 400 + 50 * 8 * 8
+    assert met.exceptAll(a.join(b, "item")).isEmpty()
+    sizes = [r[0] for r in met.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 8 and max(sizes) < 60_000
+
+
 def test_threshold_above_zero(spark):
     with pytest.raises(ValueError):
         graph.set_similarity(spark.createDataFrame([], "set_id long, item string"), "dice", 0.0)
