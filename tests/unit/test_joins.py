@@ -1,5 +1,6 @@
 """Set similarity and common neighbours against brute force, with hubs."""
 
+import collections
 import math
 import random
 from dataclasses import replace
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.config import DEFAULT
-from quillgraph.operators import graph, setjoin
+from quillgraph.operators import graph, report, setjoin
 
 
 def some_sets(r, n):
@@ -67,6 +68,23 @@ def test_a_join_is_dealt_by_the_rows_it_makes(spark):
     assert len(sizes) > 8 and max(sizes) < 60_000
 
 
+def test_back_references_count_paragraphs_once(spark, monkeypatch):
+    """Repeated rows count once, and tasks grow in number with the mentions, not in size."""
+    monkeypatch.setattr(report, "TASK_MENTIONS", 50)
+    r = random.Random(2)
+    said = [(r.choice([None, *range(60)]), r.randrange(6)) for _ in range(1000)]
+    held = [(k, k % 7 if k % 5 else None) for k in range(50)] + [(3, 3), (3, 4)]
+    want = collections.defaultdict(set)
+    for node, slug in said:
+        for other, document in held:
+            if node is not None and node == other:
+                want[slug, document].add(node)
+    frames = spark.createDataFrame(said, "node_id long, slug long"), spark.createDataFrame(held, "node_id long, document_id long"), spark.createDataFrame([(2, "two")], "document_id long, title string")
+    found = report.back_references(*frames)
+    assert {(x["slug"], x["document_id"]): (x["title"], x["n_paragraphs"]) for x in found.collect()} == {k: ("two" if k[1] == 2 else None, len(v)) for k, v in want.items()}
+    assert "hashpartitioning(node_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
+
+
 def test_threshold_above_zero(spark):
     with pytest.raises(ValueError):
         graph.set_similarity(spark.createDataFrame([], "set_id long, item string"), "dice", 0.0)
