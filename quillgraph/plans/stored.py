@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillgraph.config import DEFAULT
 from quillgraph import ingestion, providers
 from quillgraph.functions import text as T
-from quillgraph.operators import evaluate, intervals, resolution, search, textindex, vectorlists, verify
+from quillgraph.operators import batchsearch, evaluate, intervals, resolution, search, textindex, vectorlists, verify
 from quillgraph.plans import retrieval
 from quillgraph.plans.exports import _slug, _words
 from quillgraph.plans.graphs import SECT
@@ -100,15 +100,23 @@ SETTINGS = {
 def ablation_matrix(spark, d):
     """Every hundredth document asks for the documents of its text, by its long words: metrics under eight settings."""
     docs = A.documents(spark, d).select("node_id", "content", "file_hash")
-    tf = written(textindex.counted_words(docs, "content").select("node_id", "dl", F.explode("words").alias("word")).groupBy("node_id", "dl", "word").agg(F.count("*").alias("tf")), "tf")
-    asked = tf.where((F.col("node_id") % 100 == 0) & (F.length("word") >= 9)).select(F.col("node_id").alias("query_id"), "word")
-    fulltext = search.bm25_batch(tf, docs.agg(F.count("*").alias("n")), asked)
-    n = asked.groupBy("query_id").agg(F.count("*").alias("_n"))
-    shared = asked.join(tf.select("node_id", "word"), "word").groupBy("query_id", "node_id").agg(F.count("*").alias("c")).join(n, "query_id")
+    words = textindex.counted_words(docs, "content").select("node_id", "dl", F.filter("words", lambda w: F.length(w) >= 9).alias("words"))
+    words = written(words, "words")  # texts are split once
+    size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("dl") > 0, F.col("dl"))), F.lit(0)).alias("length")).first()
+    tf = written(words.select("node_id", "dl", F.explode("words").alias("word")).groupBy("node_id", "dl", "word").agg(F.count("*").alias("tf")), "tf")
+    asked = tf.where(F.col("node_id") % 100 == 0).select(F.col("node_id").alias("query_id"), "word")
     near = docs.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), F.explode(F.array(F.col("node_id") - 1, F.col("node_id") + 1)).alias("node_id"))
+    near = near.join(docs.select("node_id"), "node_id", "left_semi")
+    postings, asked = (written(x, name) for x, name in zip(batchsearch.weighted_words(tf, size["n"], size["length"], asked), ("postings", "asked")))
+    weights = [(w.get("fulltext", 0.0), w.get("entity_pivot", 0.0)) for w in SETTINGS.values()]
+    pairs = batchsearch.best_pairs(postings, asked, size["n"], weights, 10)
+    # A neighbour counts with whatever words it shares.
+    shared = near.join(asked, "query_id").join(postings, ["node_id", "word"]).groupBy("query_id", "node_id").agg(F.sum("s").alias("fulltext"), F.count("*").alias("c"))
+    shared = shared.join(asked.groupBy("query_id").agg(F.count("*").alias("_n")), "query_id").join(pairs, ["query_id", "node_id"], "left_anti")
+    pairs = pairs.unionByName(shared.select("query_id", "node_id", "fulltext", (F.col("c") / F.col("_n")).alias("words")))
     phases = {
-        "fulltext": fulltext, "entity_pivot": shared.select("query_id", "node_id", (F.col("c") / F.col("_n")).alias("score")),
-        "structural": near.join(docs.select("node_id"), "node_id", "left_semi").withColumn("score", F.lit(1.0)),
+        "fulltext": pairs.select("query_id", "node_id", F.col("fulltext").alias("score")), "entity_pivot": pairs.select("query_id", "node_id", F.col("words").alias("score")),
+        "structural": near.withColumn("score", F.lit(1.0)),
     }
     gold = docs.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), "file_hash").join(docs.select("node_id", "file_hash"), "file_hash").select("query_id", "node_id")
     rows = evaluate.matrix(phases, gold, SETTINGS)
