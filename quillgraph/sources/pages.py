@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+#: Tasks a core that read pages, at most.
+READ_TASKS = 4
+
 
 def unique_paths(pages: DataFrame, key: str) -> DataFrame:
     """Pages (key, path, body) with paths of their own: of pages with one path the first by key keeps it, the k-th gets ``~k`` before the ending.
@@ -70,7 +73,8 @@ def write_pages(pages: DataFrame, uri: str) -> None:
 
 def read_pages(spark: SparkSession, uri: str) -> DataFrame:
     """path (below the URI), body of all pages."""
-    rows = spark.read.text(uri, wholetext=True, recursiveFileLookup=True)
+    # Spark counts a file as 4 MB at least, which would make a task of every few pages: a task reads many, one after the other.
+    rows = spark.read.text(uri, wholetext=True, recursiveFileLookup=True).coalesce(READ_TASKS * spark.sparkContext.defaultParallelism)
     place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     base = uri.split("://", 1)[-1].rstrip("/").lstrip("/")
     return rows.select(F.regexp_extract(place, r"(?s)^.*?" + r"\Q" + base + r"\E" + "/(.*)$", 1).alias("path"), F.col("value").alias("body"))

@@ -181,3 +181,17 @@ def test_one_file_a_page(spark, tmp_path):
     assert {k: v for k, v in want.items() if v} == {k: v for k, v in read.items() if v}
     with pytest.raises(Exception, match="stays in its folder"):
         pages.write_pages(spark.createDataFrame([("../x", "b")], "path string, body string"), uri)
+
+
+def test_many_pages_are_read_by_few_tasks(spark, tmp_path):
+    (tmp_path / "wiki").mkdir()
+    for k in range(150):
+        (tmp_path / "wiki" / f"p{k}.md").write_text(f"body {k}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = pages.read_pages(spark, f"file://{tmp_path}/wiki")
+        assert found.rdd.getNumPartitions() <= pages.READ_TASKS * spark.sparkContext.defaultParallelism
+        assert sorted((r["path"], r["body"]) for r in found.collect()) == sorted((f"p{k}.md", f"body {k}") for k in range(150))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
