@@ -123,7 +123,9 @@ def rollup_entities(spark, d):
 
 def tag_rollup(spark, d):
     """Tags of each document, the most frequent first."""
-    tags = A.paragraphs(spark, d).select("doc_id", F.explode(T.tokens(F.col("content"))).alias("tag"))
+    # A line holds no part of a word of another, so texts are split once; they move once, and both counts follow where they lie.
+    docs = A.table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    tags = docs.select("doc_id", F.explode(T.long_words(F.col("text"))).alias("tag")).where(~F.col("tag").isin(T.STOPWORDS))
     counts = tags.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "tag"))), lambda x: x["tag"])
     return counts.groupBy("doc_id").agg(F.md5(F.array_join(listed, ",")).alias("digest"), F.sum("n").alias("n"))

@@ -1,6 +1,7 @@
 """Vector lists, interval joins and resolution against brute force."""
 
 import datetime
+import hashlib
 import random
 
 import numpy as np
@@ -195,3 +196,14 @@ def test_many_pages_are_read_by_few_tasks(spark, tmp_path):
         assert sorted((r["path"], r["body"]) for r in found.collect()) == sorted((f"p{k}.md", f"body {k}") for k in range(150))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_tags_of_documents_move_texts_once(spark, tmp_path):
+    from quillgraph.plans import corpus
+
+    texts = ["Alpha beta alpha\nthe beta gamma", "x1\n\nzz9 ZZ9 alpha", None, "", "the of"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus.tag_rollup(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert sorted(map(tuple, found.collect())) == [(0, md5("alpha,beta,gamma"), 5), (1, md5("zz9,alpha"), 3)]
