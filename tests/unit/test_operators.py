@@ -379,3 +379,18 @@ def test_bundles_of_hosts_with_missing_parts(spark):
     rows = [(None, "last"), ("http://b/1", "x"), ("http://b/1", "w"), ("http://b/0", None), ("http://c/", None), ("nohost", "first")]
     got = {r["host"]: (r["n_pages"], r["content"]) for r in docproc.bundle_by_host(spark.createDataFrame(rows, "url string, content string")).collect()}
     assert got == {"b": (3, "w\n\nx"), "c": (1, None), "unknown": (2, "first\n\nlast")}
+
+
+def test_neighbours_that_vote_are_listed(spark):
+    """Edges are read once for both directions; a hub's neighbours come in lists of bounded size, copies and loops count once or not at all."""
+    n = 3000
+    hub = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    both = hub.unionByName(hub.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(spark.createDataFrame([(0, 0), (None, 1)], "src long, dst long"))
+    rows = graph.voter_lists(both, F.col("node_id") % 2).collect()
+    of_hub = [r for r in rows if r["node_id"] == 0]
+    assert max(len(r["voters"]) for r in rows) <= graph.BLOCK_NEIGHBOURS and len(of_hub) >= 3
+    assert sorted((r["turn"], v) for r in of_hub for v in r["voters"]) == sorted((k % 2, k) for k in range(1, n + 1))
+    assert sorted((r["node_id"], v) for r in rows if r["node_id"] for v in r["voters"]) == [(k, 0) for k in range(1, n + 1)]
+    joined = both.join(hub.select("dst").distinct().hint("merge"), "dst").select("src", "dst")
+    plan = graph.voter_lists(joined, F.col("node_id") % 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
