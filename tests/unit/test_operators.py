@@ -394,3 +394,24 @@ def test_neighbours_that_vote_are_listed(spark):
     joined = both.join(hub.select("dst").distinct().hint("merge"), "dst").select("src", "dst")
     plan = graph.voter_lists(joined, F.col("node_id") % 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 1
+
+
+def test_rules_of_presence_against_sets(spark):
+    """Copies count each, missing ids are like no other, a dead edge with two strays counts once; nodes and edges meet in one sum, not in joins."""
+    docs = ["d1", "d2", "d2", None]
+    secs = [("s1", "d1", None), ("s2", "d1", "s1"), ("s2", "d1", "s1"), (None, "d1", "s1")]
+    paras = [("p1", "d1"), ("p2", "d2"), ("p2", "d2"), ("p3", "d9")]
+    edge = [("s1", "s2", "HAS_CHILD"), ("p1", "d1", "BELONGS_TO"), ("x", "y", "BELONGS_TO"), ("x", "s1", "NEXT_PARA"), ("p2", "z", "NEXT_PARA"), (None, "d1", "NEXT_PARA"), ("p1", None, "HAS_CHILD")]
+    frames = [
+        spark.createDataFrame([(x,) for x in docs], "node_id string"), spark.createDataFrame([(*x, 1) for x in secs], "node_id string, document_id string, parent_id string, level int"),
+        spark.createDataFrame([(*x, None, "text", ["t"]) for x in paras], "node_id string, document_id string, section_id string, content string, tags array<string>"), spark.createDataFrame(edge, "src string, dst string, relation string"),
+    ]
+    nodes = [*docs, *(x[0] for x in secs), *(x[0] for x in paras)]
+    into, out, ends = {b for _, b, r in edge if r == "HAS_CHILD"} - {None}, {a for a, _, r in edge if r == "BELONGS_TO"}, {x for e in edge for x in e[:2]} - {None}
+    want = [("MISSING_SECTION_HAS_CHILD", x[0]) for x in secs if x[0] not in into] + [("MISSING_SECTION_PARENT_EDGE", x[0]) for x in secs if x[2] and x[0] not in into]
+    want += [("MISSING_BELONGS_TO", x[0]) for x in paras if x[0] not in out] + [("ORPHANED_NODES", x) for x in nodes if x not in ends]
+    want += [("DEAD_EDGES", a) for a, b, _ in edge if None in (a, b) or not {a, b} <= set(nodes)]
+    found = verify.verify(*frames)
+    codes = {c for c, _ in want}
+    assert sorted(((r["code"], r["node_id"] or "") for r in found.collect() if r["code"] in codes)) == sorted((c, x or "") for c, x in want)
+    assert "Join" not in verify.presence(*frames)._jdf.queryExecution().executedPlan().toString()
