@@ -69,14 +69,15 @@ class Store:
 
 def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """sections and blocks (document_id, position, section_at, content) of files (document_id, text): lines between blank ones and headings."""
-    lines = files.select("document_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("position", "line"))
+    # Split twice, for headings and for blocks, rather than written between; outer, since an explode also tests each array for being empty.
+    lines = files.select("document_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("position", "line"))
     order = Window.partitionBy("document_id").orderBy("position")
     head, blank = F.col("line").rlike(r"^#{1,6} \S"), F.trim("line") == ""
+    heads = lines.where(head).select("document_id", "position", F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("line", "^#+ ", "")).alias("title"))
     lines = lines.withColumns({"_head": head, "_stop": head | blank}).withColumns({"_run": F.sum(F.col("_stop").cast("int")).over(order), "section_at": F.last(F.when(F.col("_head"), F.col("position")), ignorenulls=True).over(order)})
-    lines = written(lines, "lines")
-    heads = lines.where("_head").select("document_id", "position", F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("line", "^#+ ", "")).alias("title"))
     nested = docproc.normalise_levels(docproc.nest_sections(heads, "document_id", "position"), "document_id", "position")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n")
+    # A document's lines lie together for their runs, so its blocks move no more.
     blocks = lines.where("NOT _stop").groupBy("document_id", "_run", "section_at").agg(F.min("position").alias("position"), text.alias("content"))
     return nested, blocks.select("document_id", "position", "section_at", "content")
 
@@ -102,7 +103,7 @@ def derive(files: DataFrame, vocabulary: DataFrame | None = None) -> dict[str, D
     paragraphs = written(_tagged(rows, vocabulary).select("node_id", "document_id", "section_id", "position", "content", "tags"), "paragraphs")
     edges = graph.structure_edges(sections.withColumnRenamed("position", "doc_position"))
     edges = edges.unionByName(graph.belongs_edges(paragraphs)).unionByName(graph.next_edges(paragraphs.withColumn("_up", F.coalesce("section_id", "document_id")), ["document_id", "_up"], "position", "NEXT_PARA"))
-    name = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(NAME), F.lit(0))))
+    name = F.explode_outer(F.array_distinct(F.regexp_extract_all("content", F.lit(NAME), F.lit(0))))  # outer: names are sought once; a null has no slug
     mentions = paragraphs.select("node_id", "document_id", name.alias("name")).withColumn("slug", T.slug(F.col("name"))).where("slug <> ''").dropDuplicates(["node_id", "slug"])
     metadata = ingest.document_metadata(files, "document_id")
     documents = files.select("document_id", "file_hash", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size")).join(metadata, "document_id")

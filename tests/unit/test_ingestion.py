@@ -75,3 +75,13 @@ def test_empty_and_odd_files(spark, tmp_path):
     assert ingestion.add_batch(spark, store, spark.createDataFrame(odd, SCHEMA), "b0") == 3
     assert [(r["document_id"], r["content"], r["section_id"]) for r in store.read(spark, "paragraphs").collect()] == [("c", "no heading", None)]
     assert ingestion.add_batch(spark, store, spark.createDataFrame([], SCHEMA), "b1") == 0
+
+
+def test_lines_become_blocks_where_they_lie(spark):
+    """No lines are written between the split and the blocks, which move with their document, once."""
+    files = spark.createDataFrame([("a", "x\ny\n\n# T\r\nz\n  \nw"), ("b", None), ("c", "")], "document_id string, text string")
+    nested, blocks = ingestion.structure(files)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r["document_id"], r["position"], r["section_at"], r["content"]) for r in blocks.collect()) == [("a", 0, None, "x\ny"), ("a", 4, 3, "z"), ("a", 6, 3, "w")]
+    assert [(r["document_id"], r["position"], r["title"]) for r in nested.collect()] == [("a", 3, "T")]
