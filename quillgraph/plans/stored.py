@@ -141,8 +141,9 @@ def page_files(spark, d):
     p = A.table(spark, d, "part").select("p_partkey", F.concat(F.lit("entities/"), T.wiki_slug(F.col("p_name")), F.lit(".md")).alias("path"), F.concat(F.lit("# "), F.col("p_name"), F.lit("\n"), F.col("p_brand")).alias("body"))
     uri = f"{shared_folder(spark)}/wiki-{uuid.uuid4().hex}"
     uri = uri if "://" in uri else "file://" + uri.removeprefix("file:")
-    pages.write_pages(pages.unique_paths(p, "p_partkey"), uri)
-    return pages.read_pages(spark, uri).select("path", F.md5("body").alias("digest"))
+    kept = written(pages.unique_paths(p, "p_partkey"), "pages")
+    pages.write_pages(kept, uri)
+    return pages.read_pages(spark, uri, kept).select("path", F.md5("body").alias("digest"))
 
 
 QUERIES = {f.__name__: f for f in (postings_topk, index_updates, vector_lists, interval_overlaps, type_variants, merge_chains, provider_chain, ablation_matrix, ingest_graph, page_files)}

@@ -207,3 +207,20 @@ def test_tags_of_documents_move_texts_once(spark, tmp_path):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     assert sorted(map(tuple, found.collect())) == [(0, md5("alpha,beta,gamma"), 5), (1, md5("zz9,alpha"), 3)]
+
+
+def test_no_list_of_pages_passes_the_driver(spark, tmp_path):
+    """Tasks find and open the files; the driver knew each of them before, and left out empty pages and names that begin with _."""
+    uri = f"file://{tmp_path}/wiki"
+    want = {f"e/{k % 3}/p{k}.md": f"body {k}" for k in range(120)} | {"e/_x.md": "y", "e/empty.md": "", "top": "z"} | {f"long/{k}.md": chr(97 + k) * 7_000_000 for k in range(4)}
+    rows = spark.createDataFrame(list(want.items()), "path string, body string")
+    pages.write_pages(rows, uri)
+    assert not list((tmp_path / "wiki").rglob(".*"))
+    (tmp_path / "wiki" / "e" / ".left").mkdir()
+    (tmp_path / "wiki" / "e" / ".left" / "page").write_text("of a task that was killed")
+    for known in ((), (rows,)):
+        found = pages.read_pages(spark, uri, *known)
+        assert not [f for f in found.inputFiles() if "/wiki/" in f]
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want.items())
+    with pytest.raises(Exception, match="gone.md"):
+        pages.read_pages(spark, uri, spark.createDataFrame([("gone.md",)], "path string")).collect()
