@@ -26,7 +26,7 @@ def markdown_headings(spark, d):
 
 
 def bundle_hosts(spark, d):
-    bundles = docproc.bundle_by_host(A.texts(spark, d, "pages"), content="html")
+    bundles = docproc.bundle_by_host(A.texts(spark, d, "pages"), content="html", key="page_id")
     return bundles.select("host", "n_pages", F.md5("content").alias("digest"))
 
 

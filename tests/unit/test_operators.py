@@ -4,9 +4,11 @@ import collections
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quillgraph import api, engine
 from quillgraph.functions import vector as V
 from quillgraph.operators import answer, docproc, evaluate, exports, fusion, graph, ingest, louvain, mutate, report, search, verify
@@ -415,3 +417,15 @@ def test_rules_of_presence_against_sets(spark):
     codes = {c for c, _ in want}
     assert sorted(((r["code"], r["node_id"] or "") for r in found.collect() if r["code"] in codes)) == sorted((c, x or "") for c, x in want)
     assert "Join" not in verify.presence(*frames)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bundles_equal_their_sql(spark, tmp_path):
+    """Pages of one address lie in the order of the table, as in DuckDB on tables this small; hosts are what the SQL takes for them."""
+    odd = ["http://a_b.example/1", "https://h.example/a b|c", "HTTP://h.example/", "ftp://h.example/", "http://u@h.example/", "http://h.example:8080?q", "http://é.example/", "http:///x", "https://h.example", "", None, "http://%zz/"]
+    rows = [(k, f"http://t.example/{k // 3}", f"{9 - k % 3} of {k}") for k in range(9)] + [(10 + k, u, f"odd {k}") for k, u in enumerate(odd)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = duck.sql(entry.oracle_sql()["bundle_hosts"]).fetchall()
+    got = entry.queries()["bundle_hosts"](spark, str(tmp_path))
+    assert sorted((r["host"], r["n_pages"], r["digest"]) for r in got.collect()) == sorted(want)
